@@ -17,6 +17,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = scratch.save(stage(spark, docs, sf_dir), f"{i}-{name}")
-        if i > 1:
+        if i:
             scratch.drop(f"{i - 1}-{STAGES[i - 1][0]}")
     return docs

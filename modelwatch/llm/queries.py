@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 OPERATORS = {
     "op1_warc": "warc",
     "op2_media": "media",
+    "op3_bpe": "bpe",
+    "op6_packing": "packing",
     "op7_sharding": "sharding",
     "op10_chat": "chat",
 }
