@@ -14,6 +14,7 @@ OPERATORS = {
     "op3_bpe": "bpe",
     "op6_packing": "packing",
     "op7_sharding": "sharding",
+    "op8_substrings": "substrings",
     "op10_chat": "chat",
 }
 
