@@ -16,6 +16,7 @@ OPERATORS = {
     "op6_packing": "packing",
     "op7_sharding": "sharding",
     "op8_substrings": "substrings",
+    "op9_lines": "lines",
     "op10_chat": "chat",
 }
 
