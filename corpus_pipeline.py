@@ -4,19 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
-#: No stage but the last two could be said in SQL, and a trained model decides the first two.
+from modelwatch.llm import lines, minhash, packing, quality, substrings
+from modelwatch.llm.shared import Scratch
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on labelled rows, accepts."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def good_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are content for the most part.
+
+    The field learns from all labelled documents: among those that the classifier let
+    through there are hardly any bad lines.
+    """
+    field = lines.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return lines.keep_content(docs, field)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return minhash.deduplicated(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that an earlier one has."""
+    return substrings.remove_repeats(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces in sequences of 4096 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", good_quality), ("rules", good_lines), ("near-dedup", one_of_each), ("substrings", without_repeats), ("packing", packed)]
+#: Trained models decide the first two stages and a tokenizer the last: SQL can't say them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies STAGES to ``documents``; each stage's rows are a table that the next one reads."""
-    from modelwatch.llm.shared import Scratch
-
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = scratch.save(stage(spark, docs, sf_dir), f"{i}-{name}")
-        if i:
-            scratch.drop(f"{i - 1}-{STAGES[i - 1][0]}")
+    for name, stage in STAGES:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        scratch.keep(name)
     return docs

@@ -248,6 +248,21 @@ def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select(F.col("doc_id"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``documents`` that score THRESHOLD at least, as they are."""
+    vectors, net = train(documents, labels)
+    schema = arrow_schema(documents.schema)
+
+    def make():
+        def step(rows: pa.RecordBatch):
+            good = net.score(pooled(rows.column("text"), vectors)) >= THRESHOLD
+            return pa.RecordBatch.from_arrays(rows.filter(pa.array(good)).columns, schema=schema)
+
+        return step
+
+    return arrow_map(documents, make, documents.schema, "text")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """Every document's quality score."""
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -12,6 +12,7 @@ OPERATORS = {
     "op1_warc": "warc",
     "op2_media": "media",
     "op3_bpe": "bpe",
+    "op4_minhash": "minhash",
     "op5_quality": "quality",
     "op6_packing": "packing",
     "op7_sharding": "sharding",

@@ -41,6 +41,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/modelwatch-{uuid.uuid4().hex}"
+        self.names: list[str] = []
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -48,6 +49,7 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written as a table and read back; executors that are lost later don't lose it."""
         path = self.path(name)
+        self.names.append(name)
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -57,6 +59,13 @@ class Scratch:
         where = jvm.org.apache.hadoop.fs.Path(self.path(name))
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
+    def keep(self, *names: str) -> None:
+        """Frees all tables but these."""
+        for name in self.names:
+            if name not in names:
+                self.drop(name)
+        self.names = list(names)
+
 
 def arrow_schema(schema: str | StructType) -> pa.Schema:
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
