@@ -51,7 +51,7 @@ WITH c AS (
                        ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t
   FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
 ), k AS (
-  SELECT conv_id, t, list_transform(t, x -> struct_pack(r := x.role, s := x.text)) AS whole FROM c
+  SELECT conv_id, t, list_transform(t, lambda x: struct_pack(r := x.role, s := x.text)) AS whole FROM c
 ), u AS (
   SELECT whole, min(conv_id) AS conv_id, count(*) AS n_copies FROM k GROUP BY whole
 ), p AS (
@@ -59,7 +59,7 @@ WITH c AS (
   FROM (SELECT whole, unnest(range(1, len(whole))) AS i FROM u)
 )
 SELECT u.conv_id, CAST(len(u.whole) AS BIGINT) AS n_turns, CAST(u.n_copies AS BIGINT) AS n_copies,
-       list_aggregate(list_transform(u.whole, x -> '<|' || x.r || '|>' || chr(10) || x.s || chr(10)), 'string_agg', '') AS rendered
+       list_aggregate(list_transform(u.whole, lambda x: '<|' || x.r || '|>' || chr(10) || x.s || chr(10)), 'string_agg', '') AS rendered
 FROM u WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.whole = u.whole)
 """
 
