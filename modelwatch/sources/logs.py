@@ -15,8 +15,8 @@ QUEUE = "caseId string, text string, acuity string, ageBand string, sex string"
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON lines; ``torn`` marks lines that don't parse. Blank lines give no row."""
-    df = spark.read.schema(f"{schema}, _torn string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_torn").json(path)
-    return df.withColumn("torn", F.col("_torn").isNotNull()).drop("_torn")
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(F.from_json("value", schema).alias("r"), F.try_parse_json("value").isNull().alias("torn")).select("r.*", "torn")
 
 
 def tail(rows: DataFrame, n: int = 5000, seq: str = "seq") -> DataFrame:
