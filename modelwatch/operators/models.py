@@ -129,9 +129,9 @@ def local_surrogate(instances: DataFrame, scorer: Scorer, key: str, n_flags: int
     width = 0.75 * float(np.sqrt(n_flags))
     active = F.aggregate(F.slice("x", 1, n_flags), F.lit(0.0), lambda s, v: s + v)
     p = F.least(F.lit(0.5), 2 / F.greatest(active, F.lit(1.0)))
-    each = instances.select(key, "x").withColumn("_p", p).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(perturbations - 1))))
+    each = instances.select(key, "x").withColumn("_flip", p).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(perturbations - 1))))
     draw = lambda j: F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("_i"), j), F.lit(1 << 20)) / float(1 << 20)
-    flags = F.transform(F.slice("x", 1, n_flags), lambda v, j: F.when((F.col("_i") > 0) & (draw(j) < F.col("_p")), 1 - v).otherwise(v))
+    flags = F.transform(F.slice("x", 1, n_flags), lambda v, j: F.when((F.col("_i") > 0) & (draw(j) < F.col("_flip")), 1 - v).otherwise(v))
     each = each.withColumn("_f", flags)
     changed = F.aggregate(F.zip_with("_f", F.slice("x", 1, n_flags), lambda a, b: (a != b).cast("double")), F.lit(0.0), lambda s, v: s + v)
     count = F.least(F.aggregate("_f", F.lit(0.0), lambda s, v: s + v), F.lit(6.0)) / 6

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from modelwatch.functions import matching
 from modelwatch.functions.numbers import argmax, rounded
 from modelwatch.operators import calibration, drift, explain, fairness, gates, joins, redaction, scanreport, snapshot, telemetry, textfeat
+from modelwatch.plans import learned
 from modelwatch.plans.carriers import CODES, LOGS, SCORED, logs, r, scored, table
 from modelwatch.sources import logs as log_source
 from modelwatch.sources import synth
@@ -30,11 +31,11 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | learned.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | learned.SQL
 
 
 # -- fairness and safety ----------------------------------------------------------------
