@@ -11,7 +11,10 @@ Steps, each a table in the shared folder:
    smallest member; each document's best one is verified on full shingle sets, and the
    verified links, which always lead to a smaller id, are followed to their roots.
 4. What stars can't see: in every bucket all pairs between different components are
-   estimated, in blocks, and those near the threshold are verified as well.
+   estimated, in blocks. Only which documents have a partner near the threshold is
+   written, a row for each and block; their texts then meet in the same blocks, where
+   pairs whose components aren't linked yet are verified on full sets. A pair that
+   shares several bands is looked at in the first of these only.
 5. Components over both kinds of links.
 
 Large groups of near copies collapse in step 3 with one row per document, so step 4
@@ -37,6 +40,7 @@ BANDS = REGISTERS // ROWS
 NUMERATOR, DENOMINATOR = 4, 5  # a link has at least this Jaccard similarity
 MARGIN = 0.18  # below the threshold an estimate still goes to verification: five standard deviations of 128 registers at 0.8
 BLOCK = 512  # documents that are compared with as many at a time
+FOLLOWERS = 128  # texts that one copy of a partner's text is compared with
 
 
 # -- sets and sketches ------------------------------------------------------------------
@@ -136,14 +140,12 @@ def sketched(documents: DataFrame) -> DataFrame:
 def bands(representatives: DataFrame) -> DataFrame:
     """(key, rep): BANDS rows a representative."""
     schema = arrow_schema("key long, rep long")
-    salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 rows = batch.slice(at, 4096)
-                regs = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(-1, BANDS)
-                keys = mix(mix(regs) ^ salt)
+                keys = band_keys(np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(rows.column("rep").to_numpy(), BANDS))], schema=schema)
 
     return representatives.select("rep", "sketch").mapInArrow(run, "key long, rep long")
@@ -155,11 +157,11 @@ def bands(representatives: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough.
 
-    b's text meets those of its partners; with more than BLOCK of these it is sent once
-    for each BLOCK, so no task gets all of them.
+    b's text meets those of its partners; with more than FOLLOWERS of these it is sent
+    once for so many each, so no task gets all of them.
     """
     counts = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    counts = checkpointed(counts.select("b", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
+    counts = checkpointed(counts.select("b", F.ceil(F.col("n") / FOLLOWERS).cast("int").alias("parts")))
     member = F.struct(F.col("b"), F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("member"))
     center = F.struct(F.col("b"), F.col("part"), F.lit(False).alias("member"))
     roles = pairs.join(counts, "b").select(F.col("a").alias("doc_id"), member.alias("role"))
@@ -219,52 +221,50 @@ def components(links: DataFrame) -> DataFrame:
 
 # -- pairs that stars can't see ---------------------------------------------------------
 
+_SALT = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+
+
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """[documents, BANDS] of a 64-bit key for each band's registers."""
+    return mix(mix(regs.view(np.uint64)) ^ _SALT)
 
-def cross_pairs(members: DataFrame, representatives: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """Distinct (a, b) of different components that share a bucket and whose estimate is near the threshold."""
-    # Buckets of one component only need no look.
-    labelled = scratch.save(members.join(labels.select(F.col("id").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("comp")), "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    sizes = scratch.save(labelled.join(scratch.save(mixed, "mixed"), "key", "left_semi").groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    # Blocks: a component of more than BLOCK members has its own, all others of a bucket share some.
-    shelf = F.when(F.col("n") > BLOCK, F.col("comp"))
-    shelves = sizes.groupBy("key", shelf.alias("shelf")).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts"))
-    shelves = checkpointed(shelves)
-    blocks = shelves.select("key", "shelf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    blocks = checkpointed(blocks)
-    one, two = blocks.select("key", F.struct("shelf", "part").alias("x")), blocks.select("key", F.struct("shelf", "part").alias("y"))
-    # A large component's blocks don't meet each other; the number of cells follows from blocks, not rows.
-    apart = ~F.coalesce(F.col("x.shelf") == F.col("y.shelf"), F.lit(False))
-    ordered = (F.col("x") < F.col("y")) | (F.col("x").eqNullSafe(F.col("y")) & F.col("x.shelf").isNull())
-    cells = one.join(two, "key").where(apart & ordered).withColumn("cell", F.xxhash64("key", "x", "y"))
-    sides = checkpointed(cells.select("key", "cell", F.explode(F.array_distinct(F.array("x", "y"))).alias("at"), F.col("x").eqNullSafe(F.col("y")).alias("within"), F.col("y").alias("_y")).select("key", "cell", F.col("at.shelf").alias("shelf"), F.col("at.part").alias("part"), "within", F.col("at").eqNullSafe(F.col("_y")).alias("second")))
-    with_shelf = scratch.save(labelled.join(sizes, ["key", "comp"]).select("key", "rep", "comp", shelf.alias("shelf")), "shelved")
-    s = shelves.select("key", F.col("shelf").alias("_shelf"), "parts")
-    placed = with_shelf.join(s, ["key"]).where(F.col("shelf").eqNullSafe(F.col("_shelf"))).select("key", "rep", "comp", "shelf", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"))
-    dealt = placed.join(sides.withColumnsRenamed({"shelf": "_shelf", "part": "_part"}), ["key"]).where(F.col("shelf").eqNullSafe(F.col("_shelf")) & (F.col("part") == F.col("_part"))).select("cell", "rep", "comp", "within", "second")
-    full = scratch.save(dealt, "dealt").join(representatives.select("rep", "n_shingles", "sketch"), "rep")
-    full = full.repartition("cell").sortWithinPartitions("cell")
-    schema = arrow_schema("a long, b long")
 
-    def compare(t: pa.Table):
-        rep, comp, n = (t.column(c).to_numpy() for c in ("rep", "comp", "n_shingles"))
-        regs = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        second = t.column("second").to_numpy(zero_copy_only=False)
-        within = t.column("within")[0].as_py()
-        left = np.arange(len(rep)) if within else np.flatnonzero(~second)
-        right = left if within else np.flatnonzero(second)
-        for i in left.tolist():
-            j = right[(comp[right] != comp[i]) & (np.minimum(n[right], n[i]) * DENOMINATOR >= np.maximum(n[right], n[i]) * NUMERATOR)]
-            if within:
-                j = j[j > i]
-            if len(j):
-                j = j[estimate((regs[j] == regs[i]).sum(1), n[j], n[i]) >= NUMERATOR / DENOMINATOR - MARGIN]
-            if len(j):
-                a, b = np.maximum(rep[j], rep[i]), np.minimum(rep[j], rep[i])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+def _near(rows: pa.Table, n: np.ndarray, regs: np.ndarray):
+    """(i, j, estimates): for each row i of a block the rows j of other components near the threshold.
+
+    Only pairs whose first shared band is the one of this block's bucket.
+    """
+    comp = rows.column("comp").to_numpy()
+    second = rows.column("second").to_numpy(zero_copy_only=False)
+    within, key = rows.column("within")[0].as_py(), np.int64(rows.column("key")[0].as_py()).view(np.uint64)
+    wide = regs.view(np.uint64)
+    band = int((band_keys(regs[:1])[0] == key).argmax())
+    left = np.arange(len(comp)) if within else np.flatnonzero(~second)
+    right = left if within else np.flatnonzero(second)
+    for i in left.tolist():
+        j = right[(comp[right] != comp[i]) & (np.minimum(n[right], n[i]) * DENOMINATOR >= np.maximum(n[right], n[i]) * NUMERATOR)]
+        if within:
+            j = j[j > i]
+        if len(j):
+            j = j[(wide[j] == wide[i]).argmax(1) == band]
+        if len(j):
+            e = estimate((regs[j] == regs[i]).sum(1), n[j], n[i])
+            near = e >= NUMERATOR / DENOMINATOR - MARGIN
+            if near.any():
+                yield i, j[near], e[near]
+
+
+def _by_cell(step, schema: pa.Schema):
+    """A function for mapInArrow that gives ``step`` whole cells of rows sorted by cell."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
+
+        def done():
+            out = step(pa.Table.from_batches(held).combine_chunks())
+            held.clear()
+            return [pa.RecordBatch.from_arrays(out, schema=schema)] if out is not None else []
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -272,13 +272,74 @@ def cross_pairs(members: DataFrame, representatives: DataFrame, labels: DataFram
             cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist()]
             for a, b in pairwise([*cuts, len(cell)]):
                 if held and held[-1].column("cell")[0].as_py() != cell[a]:
-                    yield from compare(pa.Table.from_batches(held))
-                    held = []
+                    yield from done()
                 held.append(batch.slice(a, b - a))
         if held:
-            yield from compare(pa.Table.from_batches(held))
+            yield from done()
+
+    return run
+
+
+_CELL = "cell long, key long, rep long, comp long, within boolean, second boolean"
 
-    return full.mapInArrow(run, "a long, b long").distinct()
+
+def cross_links(members: DataFrame, representatives: DataFrame, labels: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): verified links between different components that share a bucket, at least as many as connect them."""
+    labelled = scratch.save(members.join(labels.select(F.col("id").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("comp")), "labelled")
+    # Buckets of one component only need no look.
+    mixed = scratch.save(labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "mixed")
+    sizes = scratch.save(labelled.join(mixed, "key", "left_semi").groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    # Blocks: a component of more than BLOCK members has its own, all others of a bucket share some.
+    shelf = F.when(F.col("n") > BLOCK, F.col("comp"))
+    shelves = checkpointed(sizes.groupBy("key", shelf.alias("shelf")).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts")))
+    blocks = checkpointed(shelves.select("key", "shelf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
+    one, two = blocks.select("key", F.struct("shelf", "part").alias("x")), blocks.select("key", F.struct("shelf", "part").alias("y"))
+    # Cells are pairs of blocks, not of rows; a large component's own blocks don't meet each other.
+    apart = ~F.coalesce(F.col("x.shelf") == F.col("y.shelf"), F.lit(False))
+    ordered = (F.col("x") < F.col("y")) | (F.col("x").eqNullSafe(F.col("y")) & F.col("x.shelf").isNull())
+    cells = one.join(two, "key").where(apart & ordered).withColumn("cell", F.xxhash64("key", "x", "y"))
+    sides = checkpointed(cells.select("key", "cell", F.explode(F.array_distinct(F.array("x", "y"))).alias("at"), F.col("x").eqNullSafe(F.col("y")).alias("within"), F.col("y").alias("_y")).select("key", "cell", F.col("at.shelf").alias("_shelf"), F.col("at.part").alias("_part"), "within", F.col("at").eqNullSafe(F.col("_y")).alias("second")))
+    shelved = scratch.save(labelled.join(sizes, ["key", "comp"]).select("key", "rep", "comp", shelf.alias("shelf")), "shelved")
+    placed = shelved.join(shelves.withColumnRenamed("shelf", "_shelf"), "key").where(F.col("shelf").eqNullSafe(F.col("_shelf"))).select("key", "rep", "comp", "shelf", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"))
+    dealt = placed.join(sides, "key").where(F.col("shelf").eqNullSafe(F.col("_shelf")) & (F.col("part") == F.col("_part"))).select("cell", "key", "rep", "comp", "within", "second")
+    schema, links = arrow_schema(_CELL), arrow_schema("a long, b long")
+    names = schema.names
+
+    def involved(rows: pa.Table):
+        regs = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        some = np.zeros(rows.num_rows, bool)
+        for i, j, _ in _near(rows, rows.column("n_shingles").to_numpy(), regs):
+            some[i] = some[j] = True
+        if some.any():
+            return [c.combine_chunks() for c in rows.select(names).filter(pa.array(some)).columns]
+        return None
+
+    def linked(rows: pa.Table):
+        sets = shingle_sets(rows.column("text"))
+        n = np.array([len(x) for x in sets])
+        rep, comp = rows.column("rep").to_pylist(), rows.column("comp").to_pylist()
+        parent = {c: c for c in comp}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        pairs = [(e, i, k) for i, j, es in _near(rows, n, registers(sets)) for k, e in zip(j.tolist(), es.tolist(), strict=True)]
+        out = []
+        for _, i, k in sorted(pairs, reverse=True):
+            if (p := root(comp[i])) != (q := root(comp[k])):
+                both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                if DENOMINATOR * both >= NUMERATOR * (len(sets[i]) + len(sets[k]) - both):
+                    parent[p] = q
+                    out.append((max(rep[i], rep[k]), min(rep[i], rep[k])))
+        return [pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else None
+
+    sketch = representatives.select("rep", "n_shingles", "sketch")
+    full = scratch.save(dealt, "dealt").join(sketch, "rep").repartition("cell").sortWithinPartitions("cell")
+    near = scratch.save(full.mapInArrow(_by_cell(involved, schema), _CELL), "near")
+    told = near.join(texts.withColumnRenamed("doc_id", "rep"), "rep").repartition("cell").sortWithinPartitions("cell")
+    return told.mapInArrow(_by_cell(linked, links), "a long, b long").distinct()
 
 
 # -- the operator -----------------------------------------------------------------------
@@ -307,7 +368,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     best = scratch.save(_estimated(stars, sketch).groupBy("a").agg(F.max(F.struct("score", (-F.col("b")).alias("less"))).alias("m")).select("a", (-F.col("m.less")).alias("b")), "best")
     first = scratch.save(verified(best, texts), "first")
     labels = scratch.save(roots(first), "roots")
-    second = scratch.save(verified(scratch.save(cross_pairs(members.select("key", "rep"), reps, labels, scratch), "cross"), texts), "second")
+    second = scratch.save(cross_links(members.select("key", "rep"), reps, labels, texts, scratch), "second")
     final = components(first.unionByName(second))
 
     classes = scratch.save(reps.select("digest", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id")), "classes")
