@@ -197,7 +197,10 @@ def remove_repeats(documents: DataFrame, size: int = SIZE, digests: bool = False
     """
     spans = repeated_intervals(documents, size)
     joined = documents.select("doc_id", "text") if digests else documents
-    joined = joined.join(spans.withColumnRenamed("spans", "_spans"), "doc_id", "left")
+    own = "_spans"
+    while own in joined.columns:
+        own += "_"
+    joined = joined.join(spans.withColumnRenamed("spans", own), "doc_id", "left")
     if digests:
         wide = "doc_id long, n_words long, n_removed long, kept_sha256 string"
         joined = joined.withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -210,7 +213,7 @@ def remove_repeats(documents: DataFrame, size: int = SIZE, digests: bool = False
             column = plain(rows.column("text"))
             found = words(column)
             raw = column.cast(pa.large_binary()).to_pylist()
-            spans = rows.column("_spans").to_pylist()
+            spans = rows.column(own).to_pylist()
             if digests:
                 out: list[list] = [[], [], []]
                 for i, text in enumerate(raw):
@@ -231,7 +234,7 @@ def remove_repeats(documents: DataFrame, size: int = SIZE, digests: bool = False
 
         return step
 
-    return arrow_map(joined.select(*[c for c in joined.columns if c in schema.names or c in ("text", "_spans")]), make, wide, "text")
+    return arrow_map(joined.select(*[c for c in joined.columns if c in schema.names or c in ("text", own)]), make, wide, "text")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
