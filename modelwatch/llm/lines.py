@@ -171,37 +171,39 @@ class Field:
         return label
 
 
-def fit_field(x: np.ndarray, y: np.ndarray, first: np.ndarray, steps: int = 150, rate: float = 0.1, decay: float = 1e-3) -> Field:
-    """Maximum likelihood by forward and backward passes over padded chains, with Adam."""
+def fit_field(x: np.ndarray, y: np.ndarray, first: np.ndarray, steps: int = 120, rate: float = 0.1, decay: float = 1e-3) -> Field:
+    """Maximum likelihood by forward and backward passes with Adam.
+
+    Lines are laid out step by step, texts by descending length, so that the lines of a
+    step are a run of rows and texts that have ended cost nothing.
+    """
     counts = np.diff(first)
-    docs, longest = len(counts), int(counts.max(initial=1))
-    at = np.arange(longest) < counts[:, None]
-    px = np.zeros((docs, longest, x.shape[1]))
-    py = np.zeros((docs, longest), np.int64)
-    px[at], py[at] = x, y
-    target = np.zeros((docs, longest, 2))
-    target[at] = np.eye(2)[y]
-    inner = at[:, 1:]
-    pair = np.zeros((2, 2))
-    np.add.at(pair, (py[:, :-1][inner], py[:, 1:][inner]), 1)
+    order = np.argsort(-counts, kind="stable")
+    live = [int((counts > t).sum()) for t in range(int(counts.max(initial=0)))]
+    at = np.concatenate([[0], np.cumsum(live)]).astype(np.int64)
+    rows = np.concatenate([first[:-1][order[:n]] + t for t, n in enumerate(live)])
+    x, y = x[rows].astype(np.float64), y[rows]
+    # Lines after the first step, and the line before each of them.
+    later = np.arange(at[1], len(x))
+    prior = np.concatenate([np.arange(at[t], at[t] + n) for t, n in enumerate(live[1:])] or [np.zeros(0, np.int64)])
+    target, pair = np.eye(2)[y], np.zeros((2, 2))
+    np.add.at(pair, (y[prior], y[later]), 1)
     p = [np.zeros((2, x.shape[1])), np.zeros((2, 2))]
     m, v = [np.zeros_like(q) for q in p], [np.zeros_like(q) for q in p]
-    both = lambda a, axis: np.logaddexp(np.take(a, 0, axis), np.take(a, 1, axis))
     for step in range(1, steps + 1):
-        unary = px @ p[0].T
-        ahead, behind = np.zeros_like(unary), np.zeros_like(unary)
-        ahead[:, 0] = unary[:, 0]
-        for t in range(1, longest):
-            ahead[:, t] = both(ahead[:, t - 1, :, None] + p[1], 1) + unary[:, t]
-        for t in range(longest - 2, -1, -1):
-            gone = both(p[1] + (unary[:, t + 1] + behind[:, t + 1])[:, None, :], 2)
-            behind[:, t] = np.where(at[:, t + 1, None], gone, 0)
-        whole = both(ahead + behind, 2)[..., None]
-        single = np.exp(ahead + behind - whole) * at[..., None]
-        joint = ahead[:, :-1, :, None] + p[1] + (unary[:, 1:] + behind[:, 1:])[:, :, None, :] - whole[:, 1:, :, None]
-        expected = (np.exp(np.where(inner[..., None, None], joint, -np.inf))).sum((0, 1))
-        total = max(1, len(x))
-        grads = [np.einsum("dtk,dtf->kf", single - target, px) / total + decay * p[0], (expected - pair) / total + decay * p[1]]
+        unary = x @ p[0].T
+        ahead, behind = unary.copy(), np.zeros_like(unary)
+        for t, n in enumerate(live[1:], 1):
+            past = ahead[at[t - 1] : at[t - 1] + n]
+            ahead[at[t] : at[t] + n] += np.logaddexp(past[:, :1] + p[1][0], past[:, 1:] + p[1][1])
+        for t in range(len(live) - 1, 0, -1):
+            n = live[t]
+            next_ = unary[at[t] : at[t] + n] + behind[at[t] : at[t] + n]
+            behind[at[t - 1] : at[t - 1] + n] = np.logaddexp(next_[:, :1] + p[1][:, 0], next_[:, 1:] + p[1][:, 1])
+        both = ahead + behind
+        whole = np.logaddexp(both[:, 0], both[:, 1])
+        joint = ahead[prior][:, :, None] + p[1] + (unary[later] + behind[later])[:, None, :] - whole[later][:, None, None]
+        grads = [(np.exp(both - whole[:, None]) - target).T @ x / max(1, len(x)) + decay * p[0], (np.exp(joint).sum(0) - pair) / max(1, len(x)) + decay * p[1]]
         for i, g in enumerate(grads):
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.99 * v[i] + 0.01 * g * g
