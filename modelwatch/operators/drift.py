@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modelwatch.functions.numbers import rounded
+from modelwatch.functions.quantiles import exact_quantiles
 
 CLIP = 1e-6
 THRESHOLD = 0.25
@@ -35,12 +36,9 @@ def feature_psi(long: DataFrame, places: int = 6) -> DataFrame:
     don't count. Edges are rounded to six places so that engines agree on ties.
     """
     ref = long.where(F.col("side") == "ref")
-    # Sketch-free and still one row a feature: exact deciles by Spark's merging percentile, at most three levels by set.
-    shape = ref.groupBy("feature").agg(
-        F.percentile("value", F.array(*[F.lit(i / 10) for i in range(11)])).alias("deciles"),
-        F.min("value").alias("lo"), F.max("value").alias("hi"),
-    )
-    bounds = shape.select("feature", "lo", "hi", F.array_distinct(F.transform("deciles", lambda d: rounded(d, 6))).alias("edges"))
+    deciles = exact_quantiles(ref, "feature", "value", [i / 10 for i in range(11)])
+    edges = F.array_distinct(F.transform("quantiles", lambda q: rounded(q, 6)))
+    bounds = deciles.select("feature", F.element_at("quantiles", 1).alias("lo"), F.element_at("quantiles", -1).alias("hi"), edges.alias("edges"))
     with_bounds = long.join(F.broadcast(bounds), "feature")  # one row a feature
     # A third level lies strictly between the smallest and the largest one.
     inner = with_bounds.where((F.col("side") == "ref") & (F.col("value") > F.col("lo")) & (F.col("value") < F.col("hi"))).select("feature").distinct().withColumn("many", F.lit(True))

@@ -44,14 +44,15 @@ def mask_spans(text: Column, spans: Column) -> Column:
     return F.aggregate(ordered, text, lambda t, s: F.concat(F.left(t, s["start"]), F.lit("["), s["label"], F.lit("]"), F.substring(t, s["end"] + 1, F.length(t))))
 
 
-def json_strings(rows: DataFrame, body: str = "body") -> DataFrame:
+def json_strings(rows: DataFrame, body: str = "body", line: str | None = None) -> DataFrame:
     """Rows' columns but ``body``, with (field, value) of each string leaf; list items inherit their key.
 
-    Documents that don't parse have no leaf. Any depth in one pass over Arrow batches:
+    Documents that don't parse have no leaf; or, with a ``line`` column, their lines
+    without field, numbered from 1 where that column has 0. Any depth in one pass over Arrow batches:
     declared level by level, each level would read the documents again.
     """
     keep = [c for c in rows.columns if c != body]
-    schema = rows.select(*keep, F.lit("").alias("field"), F.lit("").alias("value")).schema
+    schema = rows.select(*keep, F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value")).schema
 
     def run(batches):
         import json
@@ -59,11 +60,17 @@ def json_strings(rows: DataFrame, body: str = "body") -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            at, fields, values = [], [], []
+            at, fields, values, moved = [], [], [], {}
             for i, text in enumerate(batch.column(body).to_pylist()):
                 try:
                     stack = [(None, json.loads(text))] if text is not None else []
                 except (ValueError, RecursionError):
+                    for k, x in enumerate(text.split("\n") if line else []):
+                        if not batch.column(line)[i].as_py():
+                            moved[len(at)] = k + 1
+                        at.append(i)
+                        fields.append(None)
+                        values.append(x)
                     continue
                 while stack:
                     field, node = stack.pop()
@@ -76,6 +83,9 @@ def json_strings(rows: DataFrame, body: str = "body") -> DataFrame:
                         fields.append(field)
                         values.append(node)
             own = batch.select(keep).take(pa.array(at, pa.int64())).columns
+            if moved:
+                k = keep.index(line)
+                own[k] = pa.array([moved.get(j, x) for j, x in enumerate(own[k].to_pylist())], own[k].type)
             yield pa.RecordBatch.from_arrays([*own, pa.array(fields, pa.string()), pa.array(values, pa.string())], names=[*keep, "field", "value"])
 
     return rows.select(*keep, body).mapInArrow(run, schema)
@@ -90,12 +100,12 @@ def scan_values(leaves: DataFrame) -> DataFrame:
 
 def scan_documents(documents: DataFrame, name: str = "name", body: str = "body") -> DataFrame:
     """Findings (name, line, field, kind, excerpt): .jsonl by line, .json whole, others and what doesn't parse by line."""
-    whole = F.col(name).endswith(".json") & F.try_parse_json(body).isNotNull()
+    whole = F.col(name).endswith(".json")
     one = documents.where(whole).select(name, F.lit(0).alias("line"), body)
     lines = documents.where(~F.coalesce(whole, F.lit(False))).select(name, F.posexplode(F.split(body, "\n")).alias("pos", body)).select(name, (F.col("pos") + 1).alias("line"), body)
-    parsed = F.col(name).endswith(".jsonl") & F.try_parse_json(body).isNotNull()
-    plain = lines.where(~F.coalesce(parsed, F.lit(False))).select(name, "line", F.lit(None).cast("string").alias("field"), F.col(body).alias("value"))
-    return scan_values(json_strings(one.unionByName(lines.where(parsed)), body).unionByName(plain))
+    parsed = F.coalesce(F.col(name).endswith(".jsonl"), F.lit(False))
+    plain = lines.where(~parsed).select(name, "line", F.lit(None).cast("string").alias("field"), F.col(body).alias("value"))
+    return scan_values(json_strings(one.unionByName(lines.where(parsed)), body, "line").unionByName(plain))
 
 
 def egress_gate(findings: DataFrame, wanted: DataFrame, present: DataFrame, name: str = "name") -> DataFrame:

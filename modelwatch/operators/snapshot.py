@@ -28,18 +28,15 @@ def row_hash(*columns: str) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
 
 
-def content_hash(rows: DataFrame, columns: list[str], buckets: int = 4096) -> DataFrame:
-    """(sha256, n): an identity of the rows as a multiset.
+def content_hash(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(sha256, n): an identity of the rows as a multiset, whatever their order and partitions.
 
-    Row hashes are sorted and hashed within buckets of their first three digits, then
-    the buckets' hashes; so no task or driver holds all rows' hashes. Equal rows first
-    turn into a hash and a count.
+    The eight 32-bit words of each row's SHA-256 are summed up and the sums hashed: one
+    aggregate of constant size a task, where sorting the hashes would move them all.
     """
-    one = rows.select(row_hash(*columns).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k"))
-    mark = F.concat("h", F.lit("x"), F.col("k").cast("string"))
-    by = one.groupBy(F.pmod(F.conv(F.left("h", F.lit(3)), 16, 10).cast("int"), F.lit(buckets)).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(mark)), ""), 256).alias("s"), F.sum("k").alias("k"))
-    whole = F.transform(F.array_sort(F.collect_list(F.struct("b", "s"))), lambda x: x["s"])
-    return by.agg(F.sha2(F.array_join(whole, ""), 256).alias("sha256"), F.coalesce(F.sum("k"), F.lit(0)).cast("long").alias("n"))
+    words = [F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)") for i in range(8)]
+    sums = rows.select(row_hash(*columns).alias("h")).agg(*[F.coalesce(F.sum(w).cast("string"), F.lit("0")).alias(f"w{i}") for i, w in enumerate(words)], F.count(F.lit(1)).alias("n"))
+    return sums.select(F.sha2(F.concat_ws("|", *[f"w{i}" for i in range(8)], F.col("n").cast("string")), 256).alias("sha256"), "n")
 
 
 def version_id(data_hash: Column, config: str) -> Column:

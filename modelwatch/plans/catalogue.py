@@ -388,9 +388,7 @@ def feature_statistics(spark, d):
 
 
 _HASHED = """h AS (SELECT sha256(concat_ws('|', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderpriority)) AS h FROM orders),
-o AS (SELECT h, count(*) AS k FROM h GROUP BY h),
-b AS (SELECT CAST(('0x' || left(h, 3)) AS INTEGER) AS b, sha256(string_agg(h || 'x' || CAST(k AS VARCHAR), '' ORDER BY h)) AS s, sum(k) AS k FROM o GROUP BY 1),
-whole AS (SELECT sha256(string_agg(s, '' ORDER BY b)) AS sha256, CAST(sum(k) AS BIGINT) AS n FROM b)"""
+whole AS (SELECT sha256(concat_ws('|', """ + ", ".join(f"CAST(sum(CAST(('0x' || substr(h, {8 * i + 1}, 8)) AS BIGINT)) AS VARCHAR)" for i in range(8)) + """, CAST(count(*) AS VARCHAR))) AS sha256, count(*) AS n FROM h)"""
 _HASH_COLUMNS = ["o_orderkey", "o_custkey", "o_orderpriority"]
 
 

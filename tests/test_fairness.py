@@ -77,3 +77,20 @@ def test_calibration(rows):
     df = rows([(0, [0.9, 0.1]), (1, [0.9, 0.1])], "y_true int, proba array<double>")
     assert _one(calibration.expected_calibration_error(df))["ece"] == 0.4
     assert _one(calibration.brier(df))["brier"] == 0.82
+
+
+def test_exact_quantiles_by_narrowing(spark):
+    import numpy as np
+
+    from modelwatch.functions.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(1)
+    data = {"normal": rng.normal(size=3000), "levels": rng.integers(0, 4, 2000).astype(float), "skewed": np.exp(rng.normal(0, 4, 3000)), "one": np.array([3.0]), "same": np.full(50, 2.5)}
+    df = spark.createDataFrame([(k, float(v)) for k, x in data.items() for v in x] + [("none", None), ("normal", None), ("normal", float("nan"))], "f string, v double")
+    qs = [i / 10 for i in range(11)]
+    for few in (10**6, 100, 0):
+        got = {r["f"]: r["quantiles"] for r in exact_quantiles(df, "f", "v", qs, bins=16, few=few).collect()}
+        assert set(got) == set(data)
+        for k, x in data.items():
+            assert np.allclose(got[k], np.quantile(x, qs), rtol=1e-12, atol=0)
+    assert exact_quantiles(df.limit(0), "f", "v", qs).count() == 0

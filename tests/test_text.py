@@ -92,10 +92,10 @@ def test_spans(rows):
 
 def test_json_leaves_and_scan(rows):
     docs = rows(
-        [("a.json", '{"caseId": "case_69837191d0", "notes": ["call 91234567", {"x": "fine"}], "n": 12345678}'), ("b.json", "{broken\nmail a@b.org"), ("c.jsonl", '{"id": "S1234567D"}\n{"t": "ok"}\nmail d@e.org'), ("d.txt", "ok")],
+        [("a.json", '{"caseId": "case_69837191d0", "notes": ["call 91234567", {"x": "fine"}], "n": 12345678}'), ("b.json", "{broken\nmail a@b.org"), ("c.jsonl", '{"id": "S1234567D"}\n{"t": "ok"}\nmail d@e.org'), ("d.txt", "ok"), ("e.json", '{"a": 1}\nmail f@g.org')],
         "name string, body string",
     )
     found = sorted((r["name"], r["line"], r["field"], r["kind"]) for r in redaction.scan_documents(docs).collect())
-    assert found == [("a.json", 0, "notes", "PHONE"), ("b.json", 2, None, "EMAIL"), ("c.jsonl", 1, "id", "NRIC"), ("c.jsonl", 3, None, "EMAIL")]
+    assert found == [("a.json", 0, "notes", "PHONE"), ("b.json", 2, None, "EMAIL"), ("c.jsonl", 1, "id", "NRIC"), ("c.jsonl", 3, None, "EMAIL"), ("e.json", 2, None, "EMAIL")]
     gate = redaction.egress_gate(redaction.scan_documents(docs), rows([("a.json",), ("z.json",)], "name string"), docs).first()
-    assert (gate["verdict"], gate["findings"], gate["skipped"]) == ("FAIL", 4, "z.json")
+    assert (gate["verdict"], gate["findings"], gate["skipped"]) == ("FAIL", 5, "z.json")
