@@ -10,19 +10,20 @@ from pyspark.sql import functions as F
 
 # Severities from worst on.
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW", "WARNING")
+ALSO_MEDIUM = "MODERATE"
 SARIF_LEVELS = {"error": "HIGH", "warning": "MEDIUM", "note": "LOW", "none": "LOW"}
 
 
 def severity_rank(severity: Column) -> Column:
     """0 for CRITICAL to 4 for WARNING, 5 for others."""
-    at = F.array_position(F.array(*map(F.lit, SEVERITIES)), severity)
+    at = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.when(severity == ALSO_MEDIUM, F.lit("MEDIUM")).otherwise(severity))
     return F.coalesce(F.nullif(at, F.lit(0)) - 1, F.lit(5)).cast("int")
 
 
 def sarif_severity(level: Column, score: Column) -> Column:
     """By level; a CVSS score overrides it."""
     s = score.try_cast("double")
-    by_level = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SARIF_LEVELS.items() for x in kv]), level), F.lit("MEDIUM"))
+    by_level = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SARIF_LEVELS.items() for x in kv]), F.lower(level)), F.lit("MEDIUM"))
     return F.when(s >= 9, "CRITICAL").when(s >= 7, "HIGH").when(s >= 4, "MEDIUM").when(s.isNotNull(), "LOW").otherwise(by_level)
 
 
@@ -66,39 +67,65 @@ def counts_map(rows: DataFrame, path: str) -> DataFrame:
     return cells.select("scanner", F.upper("severity").alias("severity"), F.explode(F.array_repeat(F.lit(""), F.col("n"))).alias("finding"))
 
 
-# How each shape's findings are reached.
+def keyed_arrays(rows: DataFrame, path: str) -> DataFrame:
+    """A map of names to arrays of findings that have no severity."""
+    cells = rows.select("scanner", F.explode(_at(F.col("v"), path, "map<string,array<variant>>")).alias("name", "found")).where("found is not null")
+    return cells.select("scanner", F.lit("HIGH").alias("severity"), F.explode(F.array_repeat("name", F.size("found"))).alias("finding"))
+
+
+# How each shape's findings are reached. The last two are JSON lines.
 SHAPES = {
     "sarif": sarif,
     "secrets": lambda r: findings_list(r, ("$",), "$.none", "$.RuleID", "HIGH"),
+    "keyed-secrets": lambda r: keyed_arrays(r, "$.results"),
     "static": lambda r: findings_list(r, ("$.results",), "$.issue_severity", "$.issue_text"),
     "semantic": lambda r: findings_list(r, ("$.results",), "$.extra.severity", "$.extra.message"),
+    "languages": lambda r: findings_list(r, ("$.analysisVulnerabilities",), "$.vulnerabilities.severity", "$.vulnerabilities.details"),
+    "models": lambda r: findings_list(r, ("$.issues",), "$.severity", "$.description"),
     "image": lambda r: findings_list(r, ("$.Results", "$.Vulnerabilities"), "$.Severity", "$.VulnerabilityID"),
     "dependencies": lambda r: findings_list(r, ("$.dependencies", "$.vulns"), "$.none", "$.id", "HIGH"),
+    "libraries": lambda r: findings_list(r, ("$", "$.results", "$.vulnerabilities"), "$.severity", "$.info[0]"),
     "packages": lambda r: counts_map(r, "$.metadata.vulnerabilities"),
     "ci": lambda r: findings_list(r, ("$.vulnerabilities",), "$.severity", "$.name"),
     "web": lambda r: findings_list(r, ("$.site", "$.alerts"), "$.riskdesc", "$.name"),
+    "server": lambda r: findings_list(r, ("$.vulnerabilities",), "$.none", "$.msg", "UNKNOWN"),
     "lint": lambda r: findings_list(r, ("$",), "$.level", "$.message"),
+    "templates": lambda r: _finding(r, _at(F.col("v"), "$.info.severity"), _at(F.col("v"), "$.info.name")),
+    "verified-secrets": lambda r: _finding(r, F.when(F.coalesce(_at(F.col("v"), "$.Verified", "boolean"), F.lit(False)), "CRITICAL").otherwise("HIGH"), _at(F.col("v"), "$.DetectorName")),
 }
+LINES = ("templates", "verified-secrets")
+#: Shapes whose critical findings block; one of them passes with others.
+BLOCKING = ("image", "verified-secrets")
+TOLERANT = ("image",)
 
 
 def findings(reports: DataFrame, shapes: dict[str, str]) -> DataFrame:
     """_FINDING rows of (scanner, body); ``shapes`` names each scanner's shape. Bodies that don't parse have none."""
-    parsed = reports.select("scanner", F.try_parse_json("body").alias("v")).where(F.col("v").isNotNull())
+    one = reports.where(~F.col("scanner").isin(*[k for k, v in shapes.items() if v in LINES])).select("scanner", F.try_parse_json("body").alias("v"))
+    lines = reports.where(F.col("scanner").isin(*[k for k, v in shapes.items() if v in LINES])).select("scanner", F.explode(F.split("body", "\n")).alias("line")).select("scanner", F.try_parse_json("line").alias("v"))
     out = None
     for shape in sorted(set(shapes.values())):
-        own = parsed.where(F.col("scanner").isin(*[s for s, k in shapes.items() if k == shape]))
-        rows = SHAPES[shape](own)
+        source = lines.where(F.schema_of_variant("v").startswith("OBJECT")) if shape in LINES else one.where(F.col("v").isNotNull())
+        rows = SHAPES[shape](source.where(F.col("scanner").isin(*[s for s, k in shapes.items() if k == shape])))
         if shape == "web":
             rows = rows.withColumn("severity", risk_word(F.col("severity")))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def summary(reports: DataFrame, found: DataFrame, blocking: tuple[str, ...] = ("CRITICAL",)) -> DataFrame:
-    """(scanner, findings, critical, high, medium, low, verdict) of every scanner with a report, without findings too."""
-    by = found.groupBy("scanner").agg(F.count(F.lit(1)).alias("findings"), *[F.count_if(F.col("severity") == s).alias(s.lower()) for s in SEVERITIES[:4]], F.count_if(F.col("severity").isin(*blocking)).alias("_b"))
+def summary(reports: DataFrame, found: DataFrame, shapes: dict[str, str] | None = None) -> DataFrame:
+    """(scanner, findings, critical, high, medium, low, verdict) of every scanner with a report, without findings too.
+
+    PASS without findings, else REVIEW; BLOCKING where the scanner's shape blocks on
+    critical findings. A tolerant shape passes with others. An absent report has no row.
+    """
+    of = shapes or {}
+    named = lambda kinds: [s for s, k in of.items() if k in kinds]
+    by = found.groupBy("scanner").agg(F.count(F.lit(1)).alias("findings"), *[F.count_if(F.col("severity").isin(*([s, ALSO_MEDIUM] if s == "MEDIUM" else [s]))).alias(s.lower()) for s in SEVERITIES[:4]])
     all_ = reports.select("scanner").distinct().join(by, "scanner", "left").na.fill(0)
-    return all_.withColumn("verdict", F.when(F.col("_b") > 0, "BLOCKING").otherwise("PASS")).drop("_b")
+    blocks = F.col("scanner").isin(*named(BLOCKING)) & (F.col("critical") > 0)
+    passes = (F.col("findings") == 0) | F.col("scanner").isin(*named(TOLERANT))
+    return all_.withColumn("verdict", F.when(blocks, "BLOCKING").when(passes, "PASS").otherwise("REVIEW"))
 
 
 def notable(found: DataFrame, seq: str, cap: int | None = None, width: int = 130) -> DataFrame:

@@ -645,7 +645,7 @@ def _found(spark: SparkSession, d: str) -> DataFrame:
     return scanreport.SHAPES["static"](parsed)
 
 
-@_query(f"WITH {_FOUND} SELECT scanner, count(*) AS findings, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low, CASE WHEN count(*) FILTER (severity = 'CRITICAL') > 0 THEN 'BLOCKING' ELSE 'PASS' END AS verdict FROM found GROUP BY scanner")
+@_query(f"WITH {_FOUND} SELECT scanner, count(*) AS findings, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low, 'REVIEW' AS verdict FROM found GROUP BY scanner")
 def scan_summary(spark, d):
     return scanreport.summary(_reports(spark, d), _found(spark, d))
 

@@ -59,14 +59,18 @@ def test_scanner_shapes(rows):
             ("packages", '{"metadata":{"vulnerabilities":{"high":2,"low":0,"total":2}}}'),
             ("web", '{"site":[{"alerts":[{"riskdesc":"High (Medium)","name":"a"}]}]}'),
             ("broken", "{"),
+            ("keys", '{"results":{"f":[{},{}],"g":[]}}'),
+            ("live", '{"Verified":true,"DetectorName":"d"}\n\n{"Verified":false}\nno json'),
+            ("libs", '[{"results":[{"vulnerabilities":[{"severity":"moderate","info":["u"]}]}]}]'),
+            ("none", '{"results":[]}'),
         ],
         "scanner string, body string",
     )
-    shapes = {"sarif": "sarif", "image": "image", "packages": "packages", "web": "web", "broken": "static"}
+    shapes = {"sarif": "sarif", "image": "image", "packages": "packages", "web": "web", "broken": "static", "keys": "keyed-secrets", "live": "verified-secrets", "libs": "libraries", "none": "static"}
     got = sorted((r["scanner"], r["severity"]) for r in scanreport.findings(reports, shapes).collect())
-    assert got == [("image", "CRITICAL"), ("packages", "HIGH"), ("packages", "HIGH"), ("sarif", "CRITICAL"), ("sarif", "HIGH"), ("web", "HIGH")]
-    table = {r["scanner"]: (r["findings"], r["verdict"]) for r in scanreport.summary(reports, scanreport.findings(reports, shapes)).collect()}
-    assert table["image"] == (1, "BLOCKING") and table["broken"] == (0, "PASS")
+    assert got == [("image", "CRITICAL"), ("keys", "HIGH"), ("keys", "HIGH"), ("libs", "MODERATE"), ("live", "CRITICAL"), ("live", "HIGH"), ("packages", "HIGH"), ("packages", "HIGH"), ("sarif", "CRITICAL"), ("sarif", "HIGH"), ("web", "HIGH")]
+    table = {r["scanner"]: (r["findings"], r["verdict"]) for r in scanreport.summary(reports, scanreport.findings(reports, shapes), shapes).collect()}
+    assert table["image"] == (1, "BLOCKING") and table["broken"] == (0, "PASS") and table["live"] == (2, "BLOCKING") and table["libs"] == (1, "REVIEW") and table["none"] == (0, "PASS")
     assert "\\|" in scanreport.markdown(rows([("a|b",)], "c string"))
 
 
