@@ -73,10 +73,10 @@ def disparate_impact(rows: DataFrame, pred: str = "y_pred", group: str = "grp")
 
     1.0 without groups or where no group has any; passes from four fifths on.
     """
-    rates = rows.groupBy(group).agg(_share(_severe(pred)).alias("r"))
+    rates = rows.groupBy(group).agg(rounded(_share(_severe(pred))).alias("r"))
     out = rates.agg(F.max("r").alias("hi"), F.min("r").alias("lo"))
     quotient = F.when(F.coalesce("hi", F.lit(0.0)) == 0, 1.0).otherwise(F.col("lo") / F.col("hi"))
-    return out.select(F.coalesce(rounded(F.col("hi") - F.col("lo")), F.lit(0.0)).alias("difference"), rounded(quotient).alias("ratio"), (quotient >= 0.8).alias("passes"))
+    return out.select(F.coalesce(rounded(F.col("hi") - F.col("lo")), F.lit(0.0)).alias("difference"), rounded(quotient).alias("ratio"), (rounded(quotient) >= 0.8).alias("passes"))
 
 
 def macro_f1(rows: DataFrame, label: str = "y_true", pred: str = "y_pred") -> DataFrame:
@@ -103,17 +103,21 @@ def opportunity_thresholds(rows: DataFrame, p_severe: str = "p_severe", label: s
     A severe row counts as caught when it is predicted severe already or its severe
     probability reaches the threshold. Each severe row turns into the highest hundredth
     that catches it, so one histogram by group and hundredth replaces a search over the
-    grid. Groups at the best recall already are left out; others fall back to ``floor``.
+    grid. Groups at the best recall, or without severe rows, have 1.0: never raise. Where
+    no hundredth is low enough it is ``floor``.
     """
-    caught_at = F.when(_severe(pred), F.lit(top)).otherwise(F.least(F.lit(top), F.floor(F.col(p_severe) * 100 + 1e-9).cast("int")))
-    severe = rows.where(_severe(label)).select(F.col(group), caught_at.alias("at"), _severe(pred).cast("int").alias("now"))
-    histogram = severe.groupBy(group, "at").agg(F.count(F.lit(1)).alias("n"), F.sum("now").alias("now"))
+    now = _severe(pred) | (F.col(p_severe) >= 1.0)
+    caught_at = F.when(now, F.lit(top)).otherwise(F.least(F.lit(top), F.floor(F.col(p_severe) * 100 + 1e-9).cast("int")))
+    counted = rows.select(F.col(group), F.when(_severe(label), caught_at).alias("at"), (now & _severe(label)).cast("int").alias("now"))
+    histogram = counted.groupBy(group, "at").agg(F.count("at").alias("n"), F.sum("now").alias("now"))
     by = histogram.groupBy(group).agg(F.sum("n").alias("n"), F.sum("now").alias("now"), F.collect_list(F.struct("at", "n")).alias("bins"))  # at most 100 bins a group
-    best = by.agg(F.max(F.col("now") / F.col("n")).alias("best"))
+    share = F.col("now") / F.nullif("n", F.lit(0))
+    best = by.agg(F.max(share).alias("best"))
     grid = F.sequence(F.lit(top), F.lit(floor), F.lit(-1))
     reached = lambda t: F.aggregate(F.filter("bins", lambda b: b["at"] >= t), F.lit(0).cast("long"), lambda s, b: s + b["n"]) / F.col("n") >= F.col("best") - 1e-12
-    trailing = by.crossJoin(F.broadcast(best)).where(F.col("now") / F.col("n") < F.col("best") - 1e-12)  # one row
-    return trailing.select(group, (F.coalesce(F.get(F.filter(grid, reached), F.lit(0)), F.lit(floor)) / 100.0).alias("threshold"))
+    found = F.coalesce(F.get(F.filter(grid, reached), F.lit(0)), F.lit(floor)) / 100.0
+    trailing = F.coalesce(share < F.col("best") - 1e-12, F.lit(False))
+    return by.crossJoin(F.broadcast(best)).select(group, F.when(trailing, found).otherwise(1.0).alias("threshold"))  # one row
 
 
 def raise_only(rows: DataFrame, thresholds: DataFrame, p_severe: str = "p_severe", pred: str = "y_pred", group: str = "grp", raise_to: int = 1) -> DataFrame:

@@ -37,29 +37,31 @@ def drift_gate(metrics: DataFrame, threshold: float = 0.25, share_threshold: flo
 
     The headline is driftShare for the backend ``evidently``, else dataDriftPSI; a
     missing headline is a breach without signals. Target drift and accuracy drop, where
-    missing, are not breaches. ``reason`` names the headline only.
+    missing, are not breaches. ``reason`` speaks of the headline only; retrain_reason names
+    the signals that breached, or else the headline.
     """
     shares = F.coalesce(F.col("backend") == "evidently", F.lit(False))
     value = F.when(shares, F.col("driftShare")).otherwise(F.col("dataDriftPSI"))
     name = F.when(shares, F.lit("driftShare")).otherwise(F.lit("dataDriftPSI"))
     bound = F.when(shares, F.lit(share_threshold)).otherwise(F.lit(threshold))
-    drop = rounded(F.col("referenceAccuracy") - F.col("currentAccuracy"))
+    drop = F.col("referenceAccuracy") - F.col("currentAccuracy")
     known = value.isNotNull()
-    signal = lambda n, v, b: F.struct(n.alias("metric"), v.alias("value"), F.coalesce(v >= b, F.lit(False)).alias("breached"))
+    signal = lambda n, v, b: F.struct(n.alias("metric"), rounded(v).alias("value"), F.coalesce(v >= b, F.lit(False)).alias("breached"))
     signals = F.when(known, F.array(signal(name, value, bound), signal(F.lit("targetDriftPSI"), F.col("targetDriftPSI"), F.lit(target_threshold)), signal(F.lit("accuracyDrop"), drop, F.lit(drop_threshold)))).otherwise(F.array().cast("array<struct<metric:string,value:double,breached:boolean>>"))
     out = metrics.withColumn("signals", signals)
     over = F.filter("signals", lambda s: s["breached"])
-    text = F.array_join(F.transform(over, lambda s: F.concat(s["metric"], F.lit("="), s["value"].cast("string"))), ",")
+    named = F.when(F.size(over) > 0, over).otherwise(F.slice("signals", 1, 1))
+    text = F.array_join(F.transform(named, lambda s: F.concat(s["metric"], F.lit("="), s["value"].cast("string"))), ",")
     return out.withColumns({
         "breached": ~known | (F.size(over) > 0),
-        "reason": F.when(~known, "unavailable").when(value >= bound, F.concat(name, F.lit(" at or over threshold"))).otherwise(F.concat(name, F.lit(" under threshold"))),
-        "retrain_reason": F.when(known & (F.size(over) > 0), F.concat(F.lit("drift:"), text)),
+        "reason": F.when(~known, "drift metric unavailable").when(value >= bound, "above threshold").otherwise("below threshold"),
+        "retrain_reason": F.when(known, F.concat(F.lit("drift:"), text)),
     })
 
 
 def retrain_decision(gate: DataFrame, triggered_by_retrain: bool = False) -> DataFrame:
     """Adds ``retrain``: not_attempted where drift is unmeasured, skipped inside a retrain, triggered or not_needed."""
-    decision = F.when(F.col("reason") == "unavailable", "not_attempted").when(F.col("breached") & F.lit(triggered_by_retrain), "skipped").when(F.col("breached"), "triggered").otherwise("not_needed")
+    decision = F.when(F.col("reason") == "drift metric unavailable", "not_attempted").when(F.col("breached") & F.lit(triggered_by_retrain), "skipped").when(F.col("breached"), "triggered").otherwise("not_needed")
     return gate.withColumn("retrain", decision)
 
 

@@ -94,7 +94,7 @@ def equalized_odds(spark, d):
     return fairness.equalized_odds(scored(spark, d))
 
 
-@_query(f"WITH {SCORED} SELECT {r('hi - lo')} AS difference, {r('CASE WHEN hi = 0 THEN 1.0 ELSE lo / hi END')} AS ratio, (CASE WHEN hi = 0 THEN 1.0 ELSE lo / hi END) >= 0.8 AS passes FROM (SELECT max(x) AS hi, min(x) AS lo FROM (SELECT {_RATE} AS x FROM scored GROUP BY grp))")
+@_query(f"WITH {SCORED}, q AS (SELECT {r('hi - lo')} AS difference, {r('CASE WHEN hi = 0 THEN 1.0 ELSE lo / hi END')} AS ratio FROM (SELECT max(x) AS hi, min(x) AS lo FROM (SELECT {r(_RATE)} AS x FROM scored GROUP BY grp))) SELECT *, ratio >= 0.8 AS passes FROM q")
 def disparate_impact(spark, d):
     return fairness.disparate_impact(scored(spark, d))
 
@@ -114,13 +114,14 @@ def subgroup_shortfalls(spark, d):
     return fairness.shortfalls(fairness.subgroup_red_flag_recall(scored(spark, d)))
 
 
-_THRESHOLDS = f"""sev AS (SELECT grp, y_pred <= 1 AS now, CASE WHEN y_pred <= 1 THEN 99 ELSE least(99, CAST(floor(p_severe * 100 + 1e-9) AS INTEGER)) END AS hit_at FROM scored WHERE y_true <= 1),
+_THRESHOLDS = f"""sev AS (SELECT grp, y_pred <= 1 OR p_severe >= 1.0 AS now, CASE WHEN y_pred <= 1 OR p_severe >= 1.0 THEN 99 ELSE least(99, CAST(floor(p_severe * 100 + 1e-9) AS INTEGER)) END AS hit_at FROM scored WHERE y_true <= 1),
 by_sev AS (SELECT grp, count(*) AS n, count(*) FILTER (now) AS hits FROM sev GROUP BY grp),
 best AS (SELECT max(CAST(hits AS DOUBLE) / n) AS best FROM by_sev),
-thr AS (SELECT g.grp, coalesce(max(t.t), 30) / 100.0 AS threshold FROM by_sev g CROSS JOIN best
+low AS (SELECT g.grp, coalesce(max(t.t), 30) / 100.0 AS threshold FROM by_sev g CROSS JOIN best
   LEFT JOIN (SELECT s.grp, t, count(*) FILTER (hit_at >= t) AS reached FROM sev s, range(30, 100) AS x(t) GROUP BY s.grp, t) t
     ON t.grp = g.grp AND CAST(t.reached AS DOUBLE) / g.n >= best.best - 1e-12
-  WHERE CAST(g.hits AS DOUBLE) / g.n < best.best - 1e-12 GROUP BY g.grp)"""
+  WHERE CAST(g.hits AS DOUBLE) / g.n < best.best - 1e-12 GROUP BY g.grp),
+thr AS (SELECT grp, coalesce(threshold, 1.0) AS threshold FROM (SELECT DISTINCT grp FROM scored) LEFT JOIN low USING (grp))"""
 
 
 @_query(f"WITH {SCORED}, {_THRESHOLDS} SELECT grp, CAST(threshold AS DOUBLE) AS threshold FROM thr")
@@ -232,9 +233,9 @@ def _drift_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select(k.alias("id"), F.when(k % 5 == 4, "evidently").otherwise("builtin").alias("backend"), F.when(k % 7 != 3, lit(0.02)).alias("dataDriftPSI"), lit(0.03).alias("driftShare"), F.when(k % 3 != 0, lit(0.015)).alias("targetDriftPSI"), F.lit(0.9).alias("referenceAccuracy"), F.when(k % 4 != 1, 0.9 - lit(0.006)).alias("currentAccuracy"))
 
 
-_DRIFT_GATE = f"""{_DRIFT_METRICS}, g AS (SELECT id, CASE WHEN backend = 'evidently' THEN share ELSE psi END AS v, CASE WHEN backend = 'evidently' THEN 0.5 ELSE 0.25 END AS b, CASE WHEN backend = 'evidently' THEN 'driftShare' ELSE 'dataDriftPSI' END AS n, target, {r('ref - cur')} AS fell FROM m),
+_DRIFT_GATE = f"""{_DRIFT_METRICS}, g AS (SELECT id, CASE WHEN backend = 'evidently' THEN share ELSE psi END AS v, CASE WHEN backend = 'evidently' THEN 0.5 ELSE 0.25 END AS b, CASE WHEN backend = 'evidently' THEN 'driftShare' ELSE 'dataDriftPSI' END AS n, target, ref - cur AS fell FROM m),
 gate AS (SELECT id, v IS NULL OR coalesce(v >= b OR coalesce(target >= 0.25, false) OR coalesce(fell >= 0.1, false), false) AS breached,
-  CASE WHEN v IS NULL THEN 'unavailable' WHEN v >= b THEN n || ' at or over threshold' ELSE n || ' under threshold' END AS reason,
+  CASE WHEN v IS NULL THEN 'drift metric unavailable' WHEN v >= b THEN 'above threshold' ELSE 'below threshold' END AS reason,
   CASE WHEN v IS NULL THEN 0 ELSE CAST(v >= b AS INTEGER) + CAST(coalesce(target >= 0.25, false) AS INTEGER) + CAST(coalesce(fell >= 0.1, false) AS INTEGER) END AS n_signals FROM g)"""
 
 
@@ -243,7 +244,7 @@ def drift_gate(spark, d):
     return gates.drift_gate(_drift_rows(spark, d)).select("id", "breached", "reason", F.size(F.filter("signals", lambda s: s["breached"])).alias("n_signals"))
 
 
-@_query(f"WITH {_DRIFT_GATE} SELECT id, CASE WHEN reason = 'unavailable' THEN 'not_attempted' WHEN breached THEN 'triggered' ELSE 'not_needed' END AS retrain, CASE WHEN reason <> 'unavailable' AND n_signals > 0 THEN n_signals END AS named FROM gate")
+@_query(f"WITH {_DRIFT_GATE} SELECT id, CASE WHEN reason = 'drift metric unavailable' THEN 'not_attempted' WHEN breached THEN 'triggered' ELSE 'not_needed' END AS retrain, CASE WHEN reason <> 'drift metric unavailable' THEN greatest(n_signals, 1) END AS named FROM gate")
 def retrain_decision(spark, d):
     out = gates.retrain_decision(gates.drift_gate(_drift_rows(spark, d)))
     return out.select("id", "retrain", F.when(F.col("retrain_reason").isNotNull(), F.size(F.split("retrain_reason", ","))).alias("named"))

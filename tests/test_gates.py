@@ -24,13 +24,13 @@ METRICS = "backend string, dataDriftPSI double, driftShare double, targetDriftPS
 @pytest.mark.parametrize(
     ("row", "breached", "reason", "retrain"),
     [
-        (("builtin", 0.30, None, None, None, None), True, "dataDriftPSI at or over threshold", "triggered"),
-        (("builtin", 0.10, None, None, None, None), False, "dataDriftPSI under threshold", "not_needed"),
-        (("builtin", None, None, 0.8, None, None), True, "unavailable", "not_attempted"),
-        (("builtin", 0.01, None, 0.80, None, None), True, "dataDriftPSI under threshold", "triggered"),
-        (("builtin", 0.01, None, None, 0.91, 0.55), True, "dataDriftPSI under threshold", "triggered"),
-        (("builtin", 0.07, None, 0.11, 0.9145, 0.8855), False, "dataDriftPSI under threshold", "not_needed"),
-        (("evidently", None, 0.6, None, None, None), True, "driftShare at or over threshold", "triggered"),
+        (("builtin", 0.30, None, None, None, None), True, "above threshold", "triggered"),
+        (("builtin", 0.10, None, None, None, None), False, "below threshold", "not_needed"),
+        (("builtin", None, None, 0.8, None, None), True, "drift metric unavailable", "not_attempted"),
+        (("builtin", 0.01, None, 0.80, None, None), True, "below threshold", "triggered"),
+        (("builtin", 0.01, None, None, 0.91, 0.55), True, "below threshold", "triggered"),
+        (("builtin", 0.07, None, 0.11, 0.9145, 0.8855), False, "below threshold", "not_needed"),
+        (("evidently", None, 0.6, None, None, None), True, "above threshold", "triggered"),
     ],
 )
 def test_drift_gate(rows, row, breached, reason, retrain):
