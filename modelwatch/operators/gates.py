@@ -66,9 +66,10 @@ def retrain_decision(gate: DataFrame, triggered_by_retrain: bool = False) -> Dat
 
 
 def canary_steps(metrics: DataFrame, error: float = 0.01, tool: float = 0.02) -> DataFrame:
-    """Adds ``verdict``: ABORT where a metric is missing or over its bound, else PROCEED."""
-    bad = F.col("errorRate").isNull() | F.col("toolFailureRate").isNull() | (F.col("errorRate") > error) | (F.col("toolFailureRate") > tool)
-    return metrics.withColumn("verdict", F.when(bad, "ABORT").otherwise("PROCEED"))
+    """Adds ``breaches``, what is missing or over its bound, and ``verdict``: ABORT with breaches, else PROCEED."""
+    parts = [F.when(F.col(m).isNull(), F.lit(f"{m} missing")).when(F.col(m) > bound, F.concat(F.lit(f"{m} "), F.col(m).cast("string"), F.lit(f" > {bound}"))) for m, bound in (("errorRate", error), ("toolFailureRate", tool))]
+    out = metrics.withColumn("breaches", F.filter(F.array(*parts), lambda b: b.isNotNull()))
+    return out.withColumn("verdict", F.when(F.size("breaches") > 0, "ABORT").otherwise("PROCEED"))
 
 
 def canary_ramp(metrics: DataFrame, ramp: str | None = None) -> DataFrame:
