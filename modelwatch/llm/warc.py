@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelwatch.llm.shared import Scratch, arrow_schema, plain, slices
+from modelwatch.llm.shared import Scratch, arrow_schema, checkpointed, plain, slices
 
 _READ = 1 << 18
 _URN = "<urn:modelwatch:page:{}>"
@@ -131,7 +131,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, level: int
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("same"), F.octet_length(html).alias("size"))
     groups = rows.where(F.col("size") >= min_bytes).groupBy("same").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    # The text joins only as far as its group has more than one page; a group that fills the table is split by adaptive execution.
+    # Behind a checkpoint this side has an exchange of its own, so adaptive execution can split a payload that fills the table.
+    groups = checkpointed(groups)
     marked = rows.join(groups, "same", "left").select("page_id", "url", "html", "first", F.coalesce(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False)).alias("revisit"))
     schema = arrow_schema("path string, records long")
 
