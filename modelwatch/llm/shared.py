@@ -98,7 +98,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
     yield batch.slice(start)
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | list | None]], schema: str | StructType, column: str, limit: int = 4 << 20) -> DataFrame:
+def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | list | None]], schema: str | StructType, column: str, limit: int = 2 << 20) -> DataFrame:
     """``df`` through ``make()(rows)``, a bounded number of text bytes at a time."""
 
     def run(batches):
