@@ -25,7 +25,7 @@ _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WS}\p{{L}}\p{{N}}]+")
 _SPECIAL = "\0\0 "  # begins the keys of special tokens; no pre-token has a space after other characters
-KNOWN = 300_000  # pre-tokens whose ids a worker keeps
+KNOWN = 200_000  # pre-tokens whose ids a worker keeps
 
 
 def byte_characters() -> list[str]:
@@ -207,7 +207,7 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
 
         return step
 
-    return arrow_map(documents.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, ids array<int>", "text", 8 << 20)
+    return arrow_map(documents.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, ids array<int>", "text", 4 << 20)
 
 
 _loaded: dict[str, Bpe] = {}

@@ -111,7 +111,7 @@ def pack(documents: DataFrame, path: str, window: int = 4096, end_id: int = 2, w
             return pa.RecordBatch.from_arrays(out, schema=schema)
 
         for batch in batches:
-            for rows in slices(batch, "text", 8 << 20):
+            for rows in slices(batch, "text", 4 << 20):
                 for doc, raw in zip(rows.column("doc_id").to_pylist(), encode(plain(rows.column("text")).to_pylist()), strict=True):
                     raw += end
                     n = len(raw) // 4
