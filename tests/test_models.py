@@ -34,16 +34,20 @@ def test_calibrated(data):
     assert out.where(F.abs(F.aggregate("proba", F.lit(0.0), lambda s, v: s + v) - 1) > 1e-9).count() == 0
 
 
-def test_surrogate_and_novelty(data):
+def test_surrogate(data):
     scorer, _ = models.forest(data, trees=10, depth=5)
     weights = models.local_surrogate(data.limit(2), scorer, "id", 3, perturbations=60).groupBy("feature_index").agg(F.avg("weight").alias("w")).collect()
     assert max(weights, key=lambda r: r["w"])["feature_index"] == 0
-    trees = models.isolation_trees(data, "id", trees=20)
-    far = data.select("id", "x").unionByName(data.limit(1).select(F.lit(-1).cast("long").alias("id"), F.array(*[F.lit(9.0)] * 6).alias("x")))
-    got = {r["id"]: r["novelty"] for r in models.novelty(far, trees).collect()}
-    assert got[-1] > np.quantile(list(got.values()), 0.5)
-    flagged = models.out_of_distribution(models.novelty(far, trees), F.col("id") >= 0, 2.0)
-    assert flagged.where("ood").count() == 1
+
+
+def test_novelty(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=3)]) for i in range(200)] + [(-1, [7.0, -7.0, 7.0])], "id long, x array<double>")
+    trees = models.isolation_trees(df, "id", trees=40)
+    got = {r["id"]: r["novelty"] for r in models.novelty(df, trees).collect()}
+    assert max(got, key=got.get) == -1 and all(0 < v <= 1 for v in got.values())
+    flagged = models.out_of_distribution(models.novelty(df, trees), F.col("id") != 5, 2.0)
+    assert [r["id"] for r in flagged.where("ood").collect()] == [5]
 
 
 def test_class_mix_stream(spark, tmp_path):
