@@ -37,6 +37,7 @@ from modelwatch.llm.words import BASE, mix, words
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // ROWS
+WIDTH, CONTRACT_WIDTH = 5, 2  # words of a shingle: of near-duplicate stages, and of op4_minhash by its contract
 NUMERATOR, DENOMINATOR = 4, 5  # a link has at least this Jaccard similarity
 MARGIN = 0.18  # below the threshold an estimate still goes to verification: five standard deviations of 128 registers at 0.8
 BLOCK = 512  # documents that are compared with as many at a time
@@ -46,7 +47,7 @@ FOLLOWERS = 128  # texts that one copy of a partner's text is compared with
 # -- sets and sketches ------------------------------------------------------------------
 
 
-def shingle_sets(column: pa.Array, width: int = 2) -> list[np.ndarray]:
+def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     """Each text's sorted distinct shingle hashes; fewer words than ``width`` are one shingle, none are none."""
     found = words(column, lower=True)
     hashed, n = found.hashes(), found.counts()
@@ -121,12 +122,12 @@ def _sizes_allow(a: Column, b: Column) -> Column:
 _SKETCHED = "doc_id long, n_shingles long, digest binary, sketch binary"
 
 
-def sketched(documents: DataFrame) -> DataFrame:
+def sketched(documents: DataFrame, width: int) -> DataFrame:
     schema = arrow_schema(_SKETCHED)
 
     def make():
         def step(rows: pa.RecordBatch):
-            sets = shingle_sets(rows.column("text"))
+            sets = shingle_sets(rows.column("text"), width)
             regs = registers(sets)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             cells = [rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([r.tobytes() if len(s) else None for r, s in zip(regs, sets, strict=True)], pa.binary())]
@@ -154,7 +155,7 @@ def bands(representatives: DataFrame) -> DataFrame:
 # -- verification -----------------------------------------------------------------------
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough.
 
     b's text meets those of its partners; with more than FOLLOWERS of these it is sent
@@ -177,7 +178,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             for rows in slices(batch, "text"):
                 linked = []
-                for s, a, b, part, is_member in zip(shingle_sets(rows.column("text")), *(rows.column(c).to_pylist() for c in ("doc_id", "b", "part", "member")), strict=True):
+                for s, a, b, part, is_member in zip(shingle_sets(rows.column("text"), width), *(rows.column(c).to_pylist() for c in ("doc_id", "b", "part", "member")), strict=True):
                     if not is_member:
                         center, of = s, (b, part)
                     elif of == (b, part) and len(s) and len(center):
@@ -283,7 +284,7 @@ def _by_cell(step, schema: pa.Schema):
 _CELL = "cell long, key long, rep long, comp long, within boolean, second boolean"
 
 
-def cross_links(members: DataFrame, representatives: DataFrame, labels: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+def cross_links(members: DataFrame, representatives: DataFrame, labels: DataFrame, texts: DataFrame, scratch: Scratch, width: int) -> DataFrame:
     """(a, b): verified links between different components that share a bucket, at least as many as connect them."""
     labelled = scratch.save(members.join(labels.select(F.col("id").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("comp")), "labelled")
     # Buckets of one component only need no look.
@@ -315,7 +316,7 @@ def cross_links(members: DataFrame, representatives: DataFrame, labels: DataFram
         return None
 
     def linked(rows: pa.Table):
-        sets = shingle_sets(rows.column("text"))
+        sets = shingle_sets(rows.column("text"), width)
         n = np.array([len(x) for x in sets])
         rep, comp = rows.column("rep").to_pylist(), rows.column("comp").to_pylist()
         parent = {c: c for c in comp}
@@ -345,16 +346,16 @@ def cross_links(members: DataFrame, representatives: DataFrame, labels: DataFram
 # -- the operator -----------------------------------------------------------------------
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
+def near_duplicates(documents: DataFrame, width: int = CONTRACT_WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row.
 
-    Shingles are two words of the text with A-Z lower-cased. Null and empty texts have no
+    Shingles are ``width`` words of the text with A-Z lower-cased; a text of fewer words is one. Null and empty texts have no
     shingles and are their own component. Rows that share a doc_id are each classified by
     their own text. Rows without doc_id have a null component and a null ``kept``.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark)
-    docs = scratch.save(sketched(documents), "docs")
+    docs = scratch.save(sketched(documents, width), "docs")
     some = docs.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     reps = scratch.save(some.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("r")).select("digest", F.col("r.doc_id").alias("rep"), "r.n_shingles", "r.sketch"), "reps")
     keyed = bands(reps)
@@ -366,9 +367,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     stars = members.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
     best = scratch.save(_estimated(stars, sketch).groupBy("a").agg(F.max(F.struct("score", (-F.col("b")).alias("less"))).alias("m")).select("a", (-F.col("m.less")).alias("b")), "best")
-    first = scratch.save(verified(best, texts), "first")
+    first = scratch.save(verified(best, texts, width), "first")
     labels = scratch.save(roots(first), "roots")
-    second = scratch.save(cross_links(members.select("key", "rep"), reps, labels, texts, scratch), "second")
+    second = scratch.save(cross_links(members.select("key", "rep"), reps, labels, texts, scratch, width), "second")
     final = components(first.unionByName(second))
 
     classes = scratch.save(reps.select("digest", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id")), "classes")
@@ -378,12 +379,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return of.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
-def deduplicated(documents: DataFrame) -> DataFrame:
+def deduplicated(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """``documents`` with one document of each component, that of the smallest doc_id.
 
     Rows equal in doc_id and text are one document. Rows without doc_id take no part and stay.
     """
-    kept = near_duplicates(documents.select("doc_id", "text")).where("kept").select("doc_id").distinct()
+    kept = near_duplicates(documents.select("doc_id", "text"), width).where("kept").select("doc_id").distinct()
     whole = documents.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return whole.unionByName(documents.where(F.col("doc_id").isNull()))
 
@@ -409,4 +410,4 @@ def _estimated(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Every document's component of near duplicates."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), CONTRACT_WIDTH)
