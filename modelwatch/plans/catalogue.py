@@ -565,6 +565,26 @@ def text_features(spark, d):
     return out.select("doc_id", "symptom_count", "text_length", "age_band", "sex_female", "uncovered")
 
 
+# The three above are tier 1, as their SQL says; these are the whole matcher over the same documents.
+
+@_query()
+def fuzzy_document_flags(spark, d):
+    out = textfeat.category_flags(table(spark, d, "documents").select("doc_id", "text"), LEXICON)
+    return out.select("doc_id", F.array_join("flags", ",").alias("flags"))
+
+
+@_query()
+def fuzzy_coverage_rate(spark, d):
+    return textfeat.coverage_rate(textfeat.category_flags(table(spark, d, "documents").select("doc_id", "text"), LEXICON))
+
+
+@_query()
+def fuzzy_text_features(spark, d):
+    flagged = textfeat.category_flags(table(spark, d, "documents").select("doc_id", "text"), LEXICON)
+    out = textfeat.features(flagged).withColumn("uncovered", textfeat.uncovered(F.col("text"), F.col("flags")))
+    return out.select("doc_id", "symptom_count", "text_length", "age_band", "sex_female", "uncovered")
+
+
 @_query("SELECT a.n_nationkey AS a, b.n_nationkey AS b, left(lower(a.n_name), 4) = left(lower(b.n_name), 4) AS same FROM nation a JOIN nation b USING (n_regionkey)")
 def short_words_verbatim(spark, d):
     n = table(spark, d, "nation").select("n_regionkey", "n_nationkey", F.left(F.lower("n_name"), F.lit(4)).alias("w"))
