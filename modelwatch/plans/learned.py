@@ -102,13 +102,13 @@ def provenance(spark, d):
 
 
 def stream_class_mix(spark, d):
-    """Class mix by day of the events as a stream that ends with what is there now."""
+    """Class mix by day of the events as a stream that ends with what is there now; windows that are still open are in it."""
     out = tempfile.mkdtemp(prefix="modelwatch-stream-") if spark.conf.get("spark.checkpoint.dir", None) is None else f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/stream-{spark.sql('select uuid()').first()[0]}"
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d)
     mix = monitor.class_mix(stream.select("ts", F.col("event_type").alias("acuity"), (F.col("value") / 500).alias("confidence")), window="1 day", late="1 hour")
-    monitor.each_batch(mix, lambda b: b, f"{out}/rows", f"{out}/progress").awaitTermination()
-    return spark.read.parquet(f"{out}/rows").drop("batch")
+    monitor.each_batch(mix, lambda b: b, f"{out}/rows", f"{out}/progress", "update").awaitTermination()
+    return monitor.latest(spark.read.parquet(f"{out}/rows"), ["start", "acuity"])
 
 
 QUERIES = {f.__name__: f for f in (model_predictions, calibrated_predictions, baseline_predictions, counterfactuals, partial_dependence, importances, surrogate_weights, surrogate_curve, novelty, artifact_compatibility, provenance, stream_class_mix)}

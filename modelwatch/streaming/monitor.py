@@ -17,10 +17,19 @@ def class_mix(stream: DataFrame, ts: str = "ts", code: str = "acuity", window: s
     return by.agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("confidence")).alias("confidence")).select(F.col("w.start").alias("start"), code, "n", "confidence")
 
 
-def each_batch(stream: DataFrame, step: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
-    """Starts a query that appends ``step(batch)`` of every micro-batch; a batch that is run again replaces its own folder."""
+def each_batch(stream: DataFrame, step: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, mode: str = "append"):
+    """Starts a query that appends ``step(batch)`` of every micro-batch; a batch that is run again replaces its own folder.
+
+    mode: ``append`` has a window once the watermark has closed it, ``update`` its state after every batch, open or closed.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         step(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(rows: DataFrame, keys: list[str], batch: str = "batch") -> DataFrame:
+    """Of the rows that ``each_batch`` wrote in update mode the last one of each key."""
+    values = [c for c in rows.columns if c not in (*keys, batch)]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), batch).alias("r")).select(*keys, "r.*")
