@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelwatch.llm.quality import labelled_sample
-from modelwatch.llm.shared import arrow_map, arrow_schema
+from modelwatch.llm.shared import arrow_map, arrow_schema, checkpointed
 from modelwatch.llm.substrings import valid_starts, window_hashes
 from modelwatch.llm.words import Words, mix, words
 
 SAMPLE = 3000  # labelled documents that the field is fitted to at most
-SAMPLE_LINES = 64  # consecutive lines of one of these at most
+SAMPLE_LINES = 1 << 18  # lines of all of these at most; a document is in the sample with every line or not at all
+CHAIN = 64  # consecutive lines of a document that are fitted as one chain; longer documents are several
 LEAST_WORDS, MOST_REPEATED, LEAST_CONTENT = 50, 50, 50  # words; percent of words; percent of words
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -212,29 +213,41 @@ def fit_field(x: np.ndarray, y: np.ndarray, first: np.ndarray, steps: int = 120,
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = 3) -> Field:
-    """A field fitted to at most ``sample`` labelled documents.
+    """A field fitted to all lines of at most ``sample`` labelled documents.
+
+    In the order of a hash of doc_id a document is taken if its lines still fit into SAMPLE_LINES.
 
     Without documents of both labels every line is content.
     """
-    wide = "doc_id long, label int, x binary"
+    wide = "doc_id long, label int, n long, x binary"
     schema = arrow_schema(wide)
 
     def make():
         def step(rows: pa.RecordBatch):
             got = measure(rows.column("text"))
-            x = [got.x[a : min(b, a + SAMPLE_LINES)].tobytes() for a, b in zip(got.line_first, got.line_first[1:], strict=False)]
-            return pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("label"), pa.array(x, pa.binary())], schema=schema)
+            x = [got.x[a:b].tobytes() for a, b in zip(got.line_first, got.line_first[1:], strict=False)]
+            return pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("label"), pa.array(np.diff(got.line_first), pa.int64()), pa.array(x, pa.binary())], schema=schema)
 
         return step
 
     chosen = labelled_sample(documents, labels, "quality", sample).select(F.col("doc_id").cast("long"), "text", "label")
-    rows = sorted((r["doc_id"], r["label"], bytes(r["x"])) for r in arrow_map(chosen, make, wide, "text").collect())  # ``sample`` rows of SAMPLE_LINES lines at most
+    measured = checkpointed(arrow_map(chosen, make, wide, "text"))
+    taken, total = [], 0
+    sizes = measured.groupBy("doc_id").agg(F.sum("n").alias("n")).select(F.xxhash64("doc_id"), "doc_id", "n").collect()  # ``sample`` rows at most
+    for _, doc, n in sorted(tuple(r) for r in sizes):
+        if total + n <= SAMPLE_LINES:
+            taken.append(doc)
+            total += n
+    if len(taken) < len(sizes):
+        measured = measured.where(F.col("doc_id").isin(taken))
+    rows = sorted((r["doc_id"], r["label"], bytes(r["x"])) for r in measured.collect())  # SAMPLE_LINES lines at most
     good = np.array([r[1] for r in rows], np.int64)
     if not len(good) or good.min() == good.max():
         return Field(np.zeros((2, FEATURES)), np.zeros((2, 2)))
     x = np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(-1, FEATURES)
-    first = np.concatenate([[0], np.cumsum([len(r[2]) // (4 * FEATURES) for r in rows])])
-    of = np.repeat(good, np.diff(first))
+    n = [len(r[2]) // (4 * FEATURES) for r in rows]
+    first = np.concatenate([[0], np.cumsum([min(CHAIN, k - at) for k in n for at in range(0, k, CHAIN)])])
+    of = np.repeat(good, n)
     y = of.copy()
     for k in range(rounds):
         field = fit_field(x, y, first)
