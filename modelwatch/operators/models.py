@@ -152,28 +152,68 @@ def local_surrogate(instances: DataFrame, scorer: Scorer, key: str, n_flags: int
     return scored.groupBy(key).applyInPandas(solve, f"{key} {kind}, feature_index int, weight double")
 
 
-def isolation_trees(rows: DataFrame, key: str, trees: int = 200, sample: int = 256, seed: int = 11) -> list[list]:
-    """Isolation trees, each from ``sample`` rows; a node is [feature, split, left, right] or [size].
+def _draws(h: np.ndarray, tree: int, seed: int) -> np.ndarray:
+    """A hash of (seed, tree, key) from each key's hash; 63 bits."""
+    mask = (1 << 64) - 1
+    z = h.view(np.uint64) ^ np.uint64((seed * 0xD6E8FEB86659FD93 + (tree + 1) * 0x9E3779B97F4A7C15) & mask)
+    for m in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        z = (z ^ (z >> np.uint64(29))) * np.uint64(m)
+    return ((z ^ (z >> np.uint64(32))) >> np.uint64(1)).astype(np.int64)
+
+
+def tree_rows(rows: DataFrame, key: str, trees: int, sample: int, seed: int) -> list[np.ndarray]:
+    """For each tree the ``x`` of the ``sample`` rows with the smallest hashes of (tree, key).
 
-    A row joins tree t by the smallest hashes of (t, key); one aggregate keeps the
-    ``trees`` x ``sample`` rows needed, which bounds what the driver gets.
+    Every task sends at most ``trees`` x ``sample`` rows on, the driver gets as many.
     """
-    picked = rows.orderBy(ordering(key, f"isolation{seed}"), key).limit(sample * 16).select("x").collect()  # 16 samples' worth of rows
-    x = np.array([r["x"] for r in picked])
+    import pyarrow as pa
+    from pyspark.sql import Window
+
+    schema = pa.schema([("tree", pa.int32()), ("v", pa.int64()), ("x", pa.list_(pa.float64()))])
+
+    def run(batches):
+        best = [(np.zeros(0, np.int64), None)] * trees
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, h = np.array(b.column("x").to_pylist(), dtype=float).reshape(b.num_rows, -1), b.column("h").to_numpy()
+            for t in range(trees):
+                v, (had, kept) = _draws(h, t, seed), best[t]
+                near = np.flatnonzero(v < had.max()) if len(had) == sample else np.arange(len(v))
+                if len(near) > sample:
+                    near = near[np.argpartition(v[near], sample - 1)[:sample]]
+                if len(near):
+                    v, rows_ = np.append(had, v[near]), x[near] if kept is None else np.concatenate([kept, x[near]])
+                    first = np.argsort(v, kind="stable")[:sample]
+                    best[t] = v[first], rows_[first]
+        for t, (v, kept) in enumerate(best):
+            if len(v):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), pa.array(v), pa.array(kept.tolist(), pa.list_(pa.float64()))], schema=schema)
+
+    near = rows.select(F.xxhash64(F.lit(seed), key).alias("h"), F.col("x").cast("array<double>").alias("x")).mapInArrow(run, "tree int, v long, x array<double>")
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy("v", "x"))
+    out = [[] for _ in range(trees)]
+    for r in sorted((r["tree"], r["v"], r["x"]) for r in near.withColumn("_rank", rank).where(F.col("_rank") <= sample).collect()):
+        out[r[0]].append(r[2])
+    return [np.array(o, dtype=float) for o in out]
+
+
+def isolation_trees(rows: DataFrame, key: str, trees: int = 200, sample: int = 256, seed: int = 11) -> list[list]:
+    """Isolation trees, each from ``sample`` rows of its own (``tree_rows``); a node is [feature, split, left, right] or [size]."""
     rng, out = np.random.default_rng(seed), []
-    limit = int(np.ceil(np.log2(max(2, min(sample, len(x))))))
 
-    def grow(rows_: np.ndarray, depth: int) -> list:
+    def grow(rows_: np.ndarray, depth: int, limit: int) -> list:
         spread = np.flatnonzero(rows_.max(0) > rows_.min(0)) if len(rows_) else []
         if depth >= limit or len(rows_) <= 1 or not len(spread):
             return [len(rows_)]
         f = int(rng.choice(spread))
         cut = float(rng.uniform(rows_[:, f].min(), rows_[:, f].max()))
         low = rows_[:, f] < cut
-        return [f, cut, grow(rows_[low], depth + 1), grow(rows_[~low], depth + 1)]
+        return [f, cut, grow(rows_[low], depth + 1, limit), grow(rows_[~low], depth + 1, limit)]
 
-    for _ in range(trees if len(x) else 0):
-        out.append(grow(x[rng.choice(len(x), min(sample, len(x)), replace=False)], 0))
+    for x in tree_rows(rows, key, trees, sample, seed):
+        if len(x):
+            out.append(grow(x, 0, int(np.ceil(np.log2(max(2, len(x)))))))
     return out
 
 

@@ -85,7 +85,7 @@ def surrogate_curve(spark, d):
 def novelty(spark, d):
     """(id, novelty, ood): threshold at the 99th percentile of the scores; invalid vectors are out as well."""
     rows = _cases(spark, d)
-    scored = models.novelty(rows, models.isolation_trees(rows, "id", trees=50))
+    scored = models.novelty(rows, models.isolation_trees(rows, "id"))
     bound = scored.agg(F.percentile("novelty", F.lit(0.99)).alias("b")).first()["b"]
     out = models.out_of_distribution(scored, textfeat.vector_valid(F.col("x"), _FLAGS), bound if bound is not None else 1.0)
     return out.select("id", rounded(F.col("novelty"), 6).alias("novelty"), "ood")
