@@ -107,6 +107,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
             for part in slices(batch, column, limit):
                 if (out := step(part)) is not None:
                     yield from out if isinstance(out, list) else [out]
+        pa.default_memory_pool().release_unused()  # workers live on after their task
 
     return df.mapInArrow(run, schema)
 

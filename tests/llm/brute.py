@@ -12,14 +12,14 @@ def words(text):
     return WORD.findall(text or "")
 
 
-def shingles(text):
+def shingles(text, width=2):
     w = words((text or "").translate(LOWER))
-    return (frozenset([tuple(w)]) if w else frozenset()) if len(w) < 2 else frozenset(zip(w, w[1:]))
+    return (frozenset([tuple(w)]) if w else frozenset()) if len(w) < width else frozenset(zip(*(w[k:] for k in range(width))))
 
 
-def components(rows):
+def components(rows, width=2):
     """doc_id -> (shingles, smallest reachable doc_id); every pair is compared."""
-    sets = {d: shingles(t) for d, t in rows}
+    sets = {d: shingles(t, width) for d, t in rows}
     parent = {d: d for d in sets}
 
     def find(d):

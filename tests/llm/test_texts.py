@@ -110,6 +110,55 @@ def test_substrings_without_rows_and_with_equal_ids(rows):
     assert got == sorted([(1, 0), (1, 0), (2, 80), (None, 0)], key=repr)
 
 
+@pytest.mark.parametrize("listed", [substrings.LISTED, 0])
+def test_substrings_of_crowded_anchors(rows, listed, monkeypatch):
+    """A phrase amid other words, and a passage in every batch: dealt by window, and judged in bounded groups."""
+    monkeypatch.setattr(substrings, "GROUP", 4)
+    monkeypatch.setattr(substrings, "LISTED", listed)
+    monkeypatch.setattr(substrings, "_BATCH", 500)
+    rng = random.Random(9)
+    vocabulary = _vocabulary(rng, 3000)
+    make = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    phrase, passage = make(12), make(30)
+    texts = [" ".join(make(20) + (passage if i % 2 else phrase) + make(20)) for i in range(60)] + ["a " * 400, "b " * 300 + "a " * 50, " ".join(passage * 4)]
+    rng.shuffle(texts)
+    docs = _frame(rows, texts)
+    counts = {r["anchor"]: r["n"] for r in substrings.anchor_counts(docs, 15).collect()}
+    assert sum(counts.values()) == sum(max(0, len(t.split()) - 14) for t in texts) and sum(n > 4 for n in counts.values()) > 3
+    want = sorted((d, n, k, brute.digest(kept)) for d, n, k, kept in brute.removed(list(enumerate(texts)), 15))
+    assert sorted(tuple(r) for r in substrings.remove_repeats(docs.repartition(5), 15, digests=True).collect()) == want
+
+
+def test_substrings_of_one_group_are_judged_in_bounded_memory(monkeypatch):
+    """A window that every batch sends: the group holds the least one, whatever comes."""
+    monkeypatch.setattr(substrings, "GROUP", 50)
+    most = []
+    schema = substrings.arrow_schema(substrings._ROW)
+    ids = list(range(1, 4001))
+    random.Random(3).shuffle(ids)
+    batches = [pa.RecordBatch.from_arrays([pa.array([7] * 20), pa.array(ids[k : k + 20]), pa.array([0] * 20), pa.array([5] * 20, pa.int32()), pa.array([6] * 20, pa.int32()), pa.array([b"windowed"] * 20, pa.binary())], schema=schema) for k in range(0, 4000, 20)]
+
+    class Frame:
+        def mapInArrow(self, run, _):
+            def watched():
+                for b in batches:
+                    most.append(pa.total_allocated_bytes())
+                    yield b
+
+            return list(run(watched()))
+
+    out = substrings._decided(Frame())
+    assert sorted(i for b in out for i in b.column("doc_id").to_pylist()) == list(range(2, 4001)) and len(out) > 20
+    assert max(most[20:]) < 2 * max(most[:20])
+
+
+def test_substrings_of_rows_that_share_an_id(rows):
+    one, two, three = (" ".join(f"{k}{i}" for i in range(60)) for k in "xyz")
+    docs = rows([(0, one, None, None, None), (5, two + " " + one, None, None, None), (5, three, None, None, None), (5, one, None, None, None), (7, three + " " + two, None, None, None)], TEXTS)
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.remove_repeats(docs, digests=True).collect())
+    assert got == [(0, 60, 0), (5, 60, 0), (5, 60, 60), (5, 120, 60), (7, 120, 120)]
+
+
 def test_extra_columns_with_clashing_names(rows):
     from pyspark.sql import functions as F
 
@@ -211,7 +260,7 @@ def test_pipeline(spark):
     for d, text in kept[2].items():
         n, *_, again = brute.base_counts(text)
         assert n >= 50 and 100 * again <= 50 * n and text == kept[0][d]
-    assert set(kept[3]) == {c for _, c in brute.components(list(kept[2].items())).values()}
+    assert set(kept[3]) == {c for _, c in brute.components(list(kept[2].items()), 5).values()}
     want = {d: " ".join(words) if gone else kept[3][d] for d, _, gone, words in brute.removed(list(kept[3].items()), 50)}
     assert kept[4] == want
     pieces = out[-1].collect()
