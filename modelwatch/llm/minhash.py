@@ -2,23 +2,29 @@
 
 Steps, each a table in the shared folder:
 
-1. Documents with equal shingle sets collapse to one representative; its sketch keeps
-   128 registers, each the leading-zero count and ten mantissa bits of the least hash in
-   a bucket; empty registers borrow by a probe sequence of their own.
+1. Every row gets a number, and rows with equal shingle sets collapse to one
+   representative; its sketch keeps 128 registers, each the leading-zero count and ten
+   mantissa bits of the least hash in a bucket; empty registers borrow by a probe
+   sequence of their own.
 2. Bands of four registers (64 bits, so a band's key is the registers themselves) put
    representatives into buckets; only buckets with two or more go on.
 3. Stars: the collision-corrected Jaccard estimate of each member and its bucket's
    smallest member; each document's best one is verified on full shingle sets, and the
-   verified links, which always lead to a smaller id, are followed to their roots.
+   verified links, which always lead to a smaller number, are followed to their roots.
 4. What stars can't see: in every bucket all pairs between different components are
    estimated, in blocks. Only which documents have a partner near the threshold is
    written, a row for each and block; their texts then meet in the same blocks, where
    pairs whose components aren't linked yet are verified on full sets. A pair that
    shares several bands is looked at in the first of these only.
-5. Components over both kinds of links.
-
-Large groups of near copies collapse in step 3 with one row per document, so step 4
-meets them as few components. Verification reads a member's and its partner's whole
+5. Buckets with more than BLOCK documents outside their largest component, as pages of one
+   template have, would need blocks without end. Their documents meet by rare shingles
+   instead: a pair that is similar enough shares one of the first shingles of both in any
+   common order, and in the order of rising frequency these are what the template lacks.
+   Pairs that share one are estimated and verified.
+6. Components over all links; each is named by the smallest doc_id in it.
+
+Large groups of near copies collapse in step 3 with one row per document, so the later
+steps meet them as few components. Verification reads a member's and its partner's whole
 texts; a partner with many members is sent once to every few hundred of them.
 """
 
@@ -40,7 +46,8 @@ BANDS = REGISTERS // ROWS
 WIDTH, CONTRACT_WIDTH = 5, 2  # words of a shingle: of near-duplicate stages, and of op4_minhash by its contract
 NUMERATOR, DENOMINATOR = 4, 5  # a link has at least this Jaccard similarity
 MARGIN = 0.18  # below the threshold an estimate still goes to verification: five standard deviations of 128 registers at 0.8
-BLOCK = 512  # documents that are compared with as many at a time
+BLOCK = 256  # documents that are compared with as many at a time
+SLOT_BITS = 18  # frequencies of shingles are counted in so many slots (as a power of two), which every task is told of
 FOLLOWERS = 128  # texts that one copy of a partner's text is compared with
 
 
@@ -119,10 +126,11 @@ def _sizes_allow(a: Column, b: Column) -> Column:
     return F.least(a, b) * DENOMINATOR >= F.greatest(a, b) * NUMERATOR
 
 
-_SKETCHED = "doc_id long, n_shingles long, digest binary, sketch binary"
+_SKETCHED = "row long, doc_id long, own long, n_shingles long, digest binary, sketch binary, text string"
 
 
 def sketched(documents: DataFrame, width: int) -> DataFrame:
+    """_SKETCHED of every row: a number of its own, a hash of its text, the digest of its shingle set and its sketch (null for an empty set)."""
     schema = arrow_schema(_SKETCHED)
 
     def make():
@@ -130,12 +138,13 @@ def sketched(documents: DataFrame, width: int) -> DataFrame:
             sets = shingle_sets(rows.column("text"), width)
             regs = registers(sets)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            cells = [rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([r.tobytes() if len(s) else None for r, s in zip(regs, sets, strict=True)], pa.binary())]
+            cells = [rows.column("row"), rows.column("doc_id"), rows.column("own"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([r.tobytes() if len(s) else None for r, s in zip(regs, sets, strict=True)], pa.binary()), rows.column("text")]
             return pa.RecordBatch.from_arrays(cells, schema=schema)
 
         return step
 
-    return arrow_map(documents.select(F.col("doc_id").cast("long"), "text"), make, _SKETCHED, "text")
+    text = F.col("text").cast("string")
+    return arrow_map(documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.xxhash64(text).alias("own"), text.alias("text")), make, _SKETCHED, "text")
 
 
 def bands(representatives: DataFrame) -> DataFrame:
@@ -289,7 +298,12 @@ def cross_links(members: DataFrame, representatives: DataFrame, labels: DataFram
     labelled = scratch.save(members.join(labels.select(F.col("id").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("comp")), "labelled")
     # Buckets of one component only need no look.
     mixed = scratch.save(labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "mixed")
-    sizes = scratch.save(labelled.join(mixed, "key", "left_semi").groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    every = scratch.save(labelled.join(mixed, "key", "left_semi").groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")), "every")
+    # Buckets whose documents outside the largest component fill more than a block meet by shingles.
+    wide = scratch.save(every.groupBy("key").agg((F.sum("n") - F.max("n")).alias("rest")).where(F.col("rest") > BLOCK).select("key"), "wide")
+    crowd = scratch.save(labelled.join(wide, "key", "left_semi").select("rep", "comp").distinct(), "crowd")
+    by_shingle = shingle_links(crowd, representatives, texts, scratch, width)
+    sizes = scratch.save(every.join(wide, "key", "left_anti"), "sizes")
     # Blocks: a component of more than BLOCK members has its own, all others of a bucket share some.
     shelf = F.when(F.col("n") > BLOCK, F.col("comp"))
     shelves = checkpointed(sizes.groupBy("key", shelf.alias("shelf")).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts")))
@@ -340,7 +354,85 @@ def cross_links(members: DataFrame, representatives: DataFrame, labels: DataFram
     full = scratch.save(dealt, "dealt").join(sketch, "rep").repartition("cell").sortWithinPartitions("cell")
     near = scratch.save(full.mapInArrow(_by_cell(involved, schema), _CELL), "near")
     told = near.join(texts.withColumnRenamed("doc_id", "rep"), "rep").repartition("cell").sortWithinPartitions("cell")
-    return told.mapInArrow(_by_cell(linked, links), "a long, b long").distinct()
+    return told.mapInArrow(_by_cell(linked, links), "a long, b long").unionByName(by_shingle).distinct()
+
+
+_TOKEN = "key long, rep long, comp long, indexed boolean"
+
+
+def prefix_sizes(n: int) -> tuple[int, int]:
+    """How many of a set's first shingles meet those of sets at least as large, and of smaller ones.
+
+    Of sets with x <= y shingles a link has 9 * common >= 4 * (x + y) >= 8 * x, and x >= 0.8 * y. Two sets with c common
+    elements share one of the first x - c + 1 and the first y - c + 1 in any common order.
+    """
+    return n - -(-8 * n // 9) + 1, n - -(-4 * n // 5) + 1
+
+
+def shingle_links(crowd: DataFrame, representatives: DataFrame, texts: DataFrame, scratch: Scratch, width: int) -> DataFrame:
+    """(a, b): all links between different components among ``crowd`` (rep, comp), found by rare shingles.
+
+    The order is by frequency in these documents, counted in 2**SLOT_BITS slots over all of
+    them, then by hash; any order gives all links, and a good one few candidates. A
+    document has a row for each of its first shingles. In a shingle's group each document is
+    at home in one part, and those that have it among their index shingles are copied to
+    all parts, so rows grow with the group unless many of it have a frequent shingle as rare.
+    """
+    read = crowd.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "comp", "text")
+    counts, tokens, links = arrow_schema("slot int, n long"), arrow_schema(_TOKEN), arrow_schema("a long, b long")
+
+    def slots(s: np.ndarray) -> np.ndarray:
+        return (s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def count():
+        def step(rows: pa.RecordBatch):
+            slot, n = np.unique(slots(np.concatenate(shingle_sets(rows.column("text"), width))), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n)], schema=counts)
+
+        return step
+
+    seen = np.zeros(1 << SLOT_BITS, np.int64)
+    for r in arrow_map(read, count, "slot int, n long", "text").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # a row a slot at most
+        seen[r["slot"]] = r["n"]
+    if not seen.any():
+        return crowd.sparkSession.createDataFrame([], "a long, b long")
+
+    def first():
+        def step(rows: pa.RecordBatch):
+            out, flags, sizes = [], [], []
+            for s in shingle_sets(rows.column("text"), width):
+                index, probe = prefix_sizes(len(s))
+                out.append(s[np.lexsort((s, seen[slots(s)]))[:probe]])
+                sizes.append(len(out[-1]))
+                flags.append(np.arange(sizes[-1]) < index)
+            rep, comp = (np.repeat(rows.column(c).to_numpy(), sizes) for c in ("rep", "comp"))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(rep), pa.array(comp), pa.array(np.concatenate(flags))], schema=tokens)
+
+        return step
+
+    rows = scratch.save(arrow_map(read, first, _TOKEN, "text"), "tokens")
+    groups = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("indexed").alias("some"), F.count(F.lit(1)).alias("n")).where("lo <> hi and some")
+    groups = scratch.save(groups.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "groups")
+    home = F.struct(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("home"))
+    copies = F.when(F.col("indexed"), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), F.lit(False).alias("home")))).otherwise(F.array().cast("array<struct<part: int, home: boolean>>"))
+    met = rows.join(groups, "key").select("key", "rep", "comp", F.explode(F.concat(F.array(home), copies)).alias("at"))
+    met = scratch.save(met.select(F.xxhash64("key", "at.part").alias("cell"), "rep", "comp", "at.home"), "met")
+
+    def candidates(rows: pa.Table):
+        regs = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        rep, comp, n, home = (rows.column(c).to_numpy() for c in ("rep", "comp", "n_shingles", "home"))
+        right, out = np.flatnonzero(home), []
+        for i in np.flatnonzero(~home).tolist():
+            m = n[right]
+            j = right[(comp[right] != comp[i]) & ((m > n[i]) | ((m == n[i]) & (rep[right] > rep[i]))) & (n[i] * DENOMINATOR >= m * NUMERATOR)]
+            if len(j):
+                j = j[estimate((regs[j] == regs[i]).sum(1), n[j], n[i]) >= NUMERATOR / DENOMINATOR - MARGIN]
+                out.append((np.maximum(rep[i], rep[j]), np.minimum(rep[i], rep[j])))
+        return [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)] if out else None
+
+    full = met.join(representatives.select("rep", "n_shingles", "sketch"), "rep").repartition("cell").sortWithinPartitions("cell")
+    pairs = scratch.save(full.mapInArrow(_by_cell(candidates, links), "a long, b long").distinct(), "pairs")
+    return verified(pairs, texts, width)
 
 
 # -- the operator -----------------------------------------------------------------------
@@ -349,20 +441,30 @@ def cross_links(members: DataFrame, representatives: DataFrame, labels: DataFram
 def near_duplicates(documents: DataFrame, width: int = CONTRACT_WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row.
 
-    Shingles are ``width`` words of the text with A-Z lower-cased; a text of fewer words is one. Null and empty texts have no
-    shingles and are their own component. Rows that share a doc_id are each classified by
-    their own text. Rows without doc_id have a null component and a null ``kept``.
+    Shingles are ``width`` words of the text with A-Z lower-cased; a text of fewer words is
+    one. Null, empty and blank texts have no shingles and are their own component. Repeated
+    rows are each answered, and rows that share a doc_id are each classified by their own
+    text: they link nothing by their id. Rows without doc_id have a null ``kept``, and the
+    component of the equal texts that have one. Of texts that are equally similar none is
+    preferred: all links count. A very long text is sketched as a slice of its own. An empty
+    table gives an empty table; other columns are dropped.
     """
+    return classified(documents, width).drop("own")
+
+
+def classified(documents: DataFrame, width: int) -> DataFrame:
+    """``near_duplicates`` with ``own``, xxhash64 of the row's text."""
     spark = documents.sparkSession
     scratch = Scratch(spark)
     docs = scratch.save(sketched(documents, width), "docs")
     some = docs.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    reps = scratch.save(some.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("r")).select("digest", F.col("r.doc_id").alias("rep"), "r.n_shingles", "r.sketch"), "reps")
+    reps = scratch.save(some.groupBy("digest").agg(F.min(F.struct("doc_id", "row", "n_shingles", "sketch")).alias("r")).select("digest", F.col("r.row").alias("rep"), F.col("r.doc_id").alias("least"), "r.n_shingles", "r.sketch"), "reps")
     keyed = bands(reps)
     pivots = scratch.save(keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "pivots")
     members = scratch.save(keyed.join(pivots, "key"), "members")
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = scratch.save(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(involved, "doc_id", "left_semi"), "texts")
+    # From here to the components, ``doc_id`` of a text is its representative's row number.
+    texts = scratch.save(docs.select(F.col("row").alias("doc_id"), "text").join(involved, "doc_id", "left_semi"), "texts")
     sketch = reps.select("rep", "n_shingles", "sketch")
 
     stars = members.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
@@ -370,22 +472,32 @@ def near_duplicates(documents: DataFrame, width: int = CONTRACT_WIDTH) -> DataFr
     first = scratch.save(verified(best, texts, width), "first")
     labels = scratch.save(roots(first), "roots")
     second = scratch.save(cross_links(members.select("key", "rep"), reps, labels, texts, scratch, width), "second")
-    final = components(first.unionByName(second))
+    final = components(first.unionByName(second)).withColumnRenamed("id", "rep")
 
-    classes = scratch.save(reps.select("digest", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id")), "classes")
+    linked = scratch.save(reps.select("digest", "rep", "least").join(final, "rep").select("digest", "root", "least"), "linked")
+    named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = reps.select("digest", "least").join(linked.join(named, "root").select("digest", "component_id"), "digest", "left").select("digest", F.coalesce("component_id", "least").alias("component_id"))
+    classes = scratch.save(classes, "classes")
     scratch.keep("docs", "classes")
-    of = docs.join(classes, "digest", "left")
+    of = docs.select("doc_id", "own", "n_shingles", "digest").join(classes, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
-    return of.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return of.select("doc_id", "own", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
 def deduplicated(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``documents`` with one document of each component, that of the smallest doc_id.
+    """``documents`` with one document of each component, that of the smallest doc_id; their columns stay.
 
-    Rows equal in doc_id and text are one document. Rows without doc_id take no part and stay.
+    Rows equal in doc_id and text are one document, and one of them stays. Rows that share a
+    doc_id and have different texts are documents of their own; of those that share it and
+    belong to one component all stay if it is the smallest. Rows without doc_id take no part
+    and stay, and so do those without words. An empty table gives an empty table.
     """
-    kept = near_duplicates(documents.select("doc_id", "text"), width).where("kept").select("doc_id").distinct()
-    whole = documents.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = classified(documents.select("doc_id", "text"), width).where("kept").select("doc_id", "own").distinct()
+    doc, own = "_kept_doc", "_kept_own"
+    while {doc, own} & set(documents.columns):
+        doc, own = doc + "_", own + "_"
+    same = (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(own))
+    whole = documents.where(F.col("doc_id").isNotNull()).join(kept.withColumnsRenamed({"doc_id": doc, "own": own}), same, "left_semi").dropDuplicates(["doc_id", "text"])
     return whole.unionByName(documents.where(F.col("doc_id").isNull()))
 
 

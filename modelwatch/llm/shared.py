@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,17 +18,29 @@ from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where it is unset (tests) a folder of our own."""
+    """The folder in ``spark.checkpoint.dir``, as a URI with its file system's scheme.
+
+    Where it is unset, a run in one process (tests) gets a folder of its own; on a cluster
+    that is an error, as executors don't see one another's folders.
+    """
+    context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(base)
-        return base.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
+    if not base and context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="modelwatch-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(f"file://{own}")
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+        base = f"file://{own}"
+    if base and context.getCheckpointDir() is None:
+        context.setCheckpointDir(base)
+    return qualified(spark, base or context.getCheckpointDir())
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and host of the file system that Spark finds it in; a bare path is in the default one."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -42,6 +56,14 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/modelwatch-{uuid.uuid4().hex}"
         self.names: list[str] = []
+        atexit.register(self.close)  # what a query returns may be read until then
+
+    def close(self) -> None:
+        """Frees all tables; nothing read from them can be read after it."""
+        atexit.unregister(self.close)
+        with contextlib.suppress(Exception):  # the session may be gone
+            self._delete(self.base)
+        self.names = []
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -55,8 +77,10 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Frees a table that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path(name))
+        self._delete(self.path(name))
+
+    def _delete(self, path: str) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
     def keep(self, *names: str) -> None:

@@ -74,7 +74,60 @@ def test_near_duplicates_of_nothing_and_repeated_rows(rows):
     twice = _frame(rows, ["a b c d", "a b c d"]).unionByName(_frame(rows, ["a b c d", "z"])).unionByName(rows([(None, "a b c d", None, None, None)], TEXTS))
     got = sorted((tuple(r) for r in minhash.near_duplicates(twice).collect()), key=repr)
     assert got == sorted([(0, 3, 0, True), (1, 3, 0, False), (0, 3, 0, True), (1, 1, 1, True), (None, 3, 0, None)], key=repr)
-    assert sorted((r["doc_id"], r["text"]) for r in minhash.deduplicated(twice.where("doc_id is not null")).collect()) == [(0, "a b c d"), (1, "a b c d"), (1, "z")]
+    assert sorted((r["doc_id"], r["text"]) for r in minhash.deduplicated(twice.where("doc_id is not null")).collect()) == [(0, "a b c d"), (1, "z")]
+
+
+def test_rows_that_share_an_id_link_nothing_by_it(rows):
+    x, y = (" ".join(f"{k}{i}" for i in range(60)) for k in "xy")
+    four = rows([(0, x, None, None, None), (1, x + " more", None, None, None), (1, y, None, None, None), (2, y + " other", None, None, None)], TEXTS)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(four).collect())
+    assert got == [(0, 59, 0, True), (1, 59, 1, True), (1, 60, 0, False), (2, 60, 1, False)]
+    assert sorted((r["doc_id"], r["text"]) for r in minhash.deduplicated(four).collect()) == [(0, x), (1, y)]
+
+
+def _template(seed, m, content=48, size=300):
+    """Pages that share most of their words, so that no two are linked but for a few near copies."""
+    rng = random.Random(seed)
+    frame, out = [f"t{i}" for i in range(size - content)], []
+    for i in range(m):
+        own = [f"p{i}w{k}" for k in range(content)] if i % 10 else [f"p{i // 50}w{k}" for k in range(content - 4)] + [f"p{i}x{k}" for k in range(4)]
+        out.append(" ".join(frame[:100] + own[:24] + frame[100:] + own[24:]))
+    rng.shuffle(out)
+    return out
+
+
+def test_pages_of_a_template(rows, monkeypatch):
+    """Buckets full of unlinked documents: all links are found, and rows grow as the documents do."""
+    monkeypatch.setattr(minhash, "BLOCK", 24)
+    monkeypatch.setattr(minhash, "FOLLOWERS", 8)
+    made = {}
+    save = minhash.Scratch.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash.Scratch, "save", counted)
+    seen = []
+    for m in (150, 300):
+        texts = _template(m, m)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(_frame(rows, texts).repartition(3)).collect()}
+        assert got == brute.components(list(enumerate(texts))) and len({c for _, c in got.values()}) < m
+        seen.append(dict(made))
+    assert seen[0]["wide"] > 0 and seen[1]["crowd"] == 300
+    for name in ("dealt", "near", "tokens", "met", "pairs"):
+        assert seen[1][name] <= 2.6 * max(seen[0][name], 150), (name, seen)
+
+
+@pytest.mark.parametrize("n", range(1, 60))
+def test_similar_sets_share_a_first_shingle(n):
+    """The first elements of both sets, in any common order, have one in common wherever a link is possible."""
+    for m in range(n, 5 * n // 4 + 1):
+        for both in range(n + 1):
+            if 9 * both >= 4 * (n + m):  # the worst order has what they don't share first
+                index, probe = minhash.prefix_sizes(n)[0], minhash.prefix_sizes(m)[1]
+                assert index > n - both and probe > m - both
 
 
 def test_estimate_is_close():
