@@ -11,13 +11,14 @@ Steps, each a table in the shared folder:
 3. Stars: the collision-corrected Jaccard estimate of each member and its bucket's
    smallest member; each document's best one is verified on full shingle sets, and the
    verified links, which always lead to a smaller number, are followed to their roots.
+   A few more rounds have other members in the centre.
 4. What stars can't see: in every bucket all pairs between different components are
    estimated, in blocks. Only which documents have a partner near the threshold is
    written, a row for each and block; their texts then meet in the same blocks, where
    pairs whose components aren't linked yet are verified on full sets. A pair that
    shares several bands is looked at in the first of these only.
-5. Buckets with more than BLOCK documents outside their largest component, as pages of one
-   template have, would need blocks without end. Their documents meet by rare shingles
+5. Where the small components of a bucket have more than BLOCK documents, as pages of one
+   template do, these would need pairs of blocks without end. They meet by rare shingles
    instead: a pair that is similar enough shares one of the first shingles of both in any
    common order, and in the order of rising frequency these are what the template lacks.
    Pairs that share one are estimated and verified.
@@ -31,6 +32,7 @@ texts; a partner with many members is sent once to every few hundred of them.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from itertools import pairwise
 
 import numpy as np
@@ -48,6 +50,7 @@ NUMERATOR, DENOMINATOR = 4, 5  # a link has at least this Jaccard similarity
 MARGIN = 0.18  # below the threshold an estimate still goes to verification: five standard deviations of 128 registers at 0.8
 BLOCK = 256  # documents that are compared with as many at a time
 SLOT_BITS = 18  # frequencies of shingles are counted in so many slots (as a power of two), which every task is told of
+ROUNDS = 2  # of stars with other centres
 FOLLOWERS = 128  # texts that one copy of a partner's text is compared with
 
 
@@ -293,26 +296,48 @@ def _by_cell(step, schema: pa.Schema):
 _CELL = "cell long, key long, rep long, comp long, within boolean, second boolean"
 
 
-def cross_links(members: DataFrame, representatives: DataFrame, labels: DataFrame, texts: DataFrame, scratch: Scratch, width: int) -> DataFrame:
+def star_rounds(labelled: DataFrame, representatives: DataFrame, texts: DataFrame, scratch: Scratch, width: int, rounds: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``labelled`` (key, rep, comp) after more rounds of stars, and the links (a, b) of each.
+
+    In every round each bucket has another centre, that of the least hash, and each document
+    of another component than a centre's has its best centre verified. So a large
+    component takes in what is linked to many of its members before anything is compared
+    in blocks.
+    """
+    found = []
+    for t in range(rounds):
+        centers = labelled.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(t), "rep").alias("h"), "rep", "comp")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "c")
+        pairs = labelled.join(centers, "key").where("comp <> c.comp").select(F.col("rep").alias("a"), F.col("c.rep").alias("b")).distinct()
+        sketch = representatives.select("rep", "n_shingles", "sketch")
+        best = scratch.save(_estimated(pairs, sketch).groupBy("a").agg(F.max(F.struct("score", (-F.col("b")).alias("less"))).alias("m")).select("a", (-F.col("m.less")).alias("b")), f"best{t}")
+        links = scratch.save(verified(best, texts, width), f"links{t}")
+        found.append(links)
+        comps = labelled.select("rep", "comp").distinct()
+        edges = links.join(comps.select(F.col("rep").alias("a"), F.col("comp").alias("x")), "a").join(comps.select(F.col("rep").alias("b"), F.col("comp").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        merged = components(scratch.save(edges, f"edges{t}")).select(F.col("id").alias("comp"), "root")
+        labelled = scratch.save(labelled.join(merged, "comp", "left").select("key", "rep", F.coalesce("root", "comp").alias("comp")), f"labelled{t}")
+    return labelled, found
+
+
+def cross_links(labelled: DataFrame, representatives: DataFrame, texts: DataFrame, scratch: Scratch, width: int) -> DataFrame:
     """(a, b): verified links between different components that share a bucket, at least as many as connect them."""
-    labelled = scratch.save(members.join(labels.select(F.col("id").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("comp")), "labelled")
     # Buckets of one component only need no look.
     mixed = scratch.save(labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "mixed")
-    every = scratch.save(labelled.join(mixed, "key", "left_semi").groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")), "every")
-    # Buckets whose documents outside the largest component fill more than a block meet by shingles.
-    wide = scratch.save(every.groupBy("key").agg((F.sum("n") - F.max("n")).alias("rest")).where(F.col("rest") > BLOCK).select("key"), "wide")
-    crowd = scratch.save(labelled.join(wide, "key", "left_semi").select("rep", "comp").distinct(), "crowd")
-    by_shingle = shingle_links(crowd, representatives, texts, scratch, width)
-    sizes = scratch.save(every.join(wide, "key", "left_anti"), "sizes")
+    sizes = scratch.save(labelled.join(mixed, "key", "left_semi").groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")), "sizes")
     # Blocks: a component of more than BLOCK members has its own, all others of a bucket share some.
     shelf = F.when(F.col("n") > BLOCK, F.col("comp"))
     shelves = checkpointed(sizes.groupBy("key", shelf.alias("shelf")).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts")))
+    # Where the shared shelf has more than one block, its documents meet by shingles and not in pairs of blocks.
+    wide = scratch.save(shelves.where("shelf is null and parts > 1").select("key"), "wide")
+    crowd = scratch.save(labelled.join(sizes.where(F.col("n") <= BLOCK).join(wide, "key", "left_semi"), ["key", "comp"]).select("rep", "comp").distinct(), "crowd")
+    by_shingle = shingle_links(crowd, representatives, texts, scratch, width)
     blocks = checkpointed(shelves.select("key", "shelf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
     one, two = blocks.select("key", F.struct("shelf", "part").alias("x")), blocks.select("key", F.struct("shelf", "part").alias("y"))
     # Cells are pairs of blocks, not of rows; a large component's own blocks don't meet each other.
     apart = ~F.coalesce(F.col("x.shelf") == F.col("y.shelf"), F.lit(False))
     ordered = (F.col("x") < F.col("y")) | (F.col("x").eqNullSafe(F.col("y")) & F.col("x.shelf").isNull())
-    cells = one.join(two, "key").where(apart & ordered).withColumn("cell", F.xxhash64("key", "x", "y"))
+    shared = F.col("x.shelf").isNull() & F.col("y.shelf").isNull()
+    cells = one.join(two, "key").where(apart & ordered).join(wide.withColumn("wide", F.lit(True)), "key", "left").where(F.col("wide").isNull() | ~shared).drop("wide").withColumn("cell", F.xxhash64("key", "x", "y"))
     sides = checkpointed(cells.select("key", "cell", F.explode(F.array_distinct(F.array("x", "y"))).alias("at"), F.col("x").eqNullSafe(F.col("y")).alias("within"), F.col("y").alias("_y")).select("key", "cell", F.col("at.shelf").alias("_shelf"), F.col("at.part").alias("_part"), "within", F.col("at").eqNullSafe(F.col("_y")).alias("second")))
     shelved = scratch.save(labelled.join(sizes, ["key", "comp"]).select("key", "rep", "comp", shelf.alias("shelf")), "shelved")
     placed = shelved.join(shelves.withColumnRenamed("shelf", "_shelf"), "key").where(F.col("shelf").eqNullSafe(F.col("_shelf"))).select("key", "rep", "comp", "shelf", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"))
@@ -471,8 +496,10 @@ def classified(documents: DataFrame, width: int) -> DataFrame:
     best = scratch.save(_estimated(stars, sketch).groupBy("a").agg(F.max(F.struct("score", (-F.col("b")).alias("less"))).alias("m")).select("a", (-F.col("m.less")).alias("b")), "best")
     first = scratch.save(verified(best, texts, width), "first")
     labels = scratch.save(roots(first), "roots")
-    second = scratch.save(cross_links(members.select("key", "rep"), reps, labels, texts, scratch, width), "second")
-    final = components(first.unionByName(second)).withColumnRenamed("id", "rep")
+    labelled = scratch.save(members.join(labels.select(F.col("id").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("comp")), "labelled")
+    labelled, more = star_rounds(labelled, reps, texts, scratch, width, ROUNDS)
+    second = scratch.save(cross_links(labelled, reps, texts, scratch, width), "second")
+    final = components(reduce(DataFrame.unionByName, more, first.unionByName(second))).withColumnRenamed("id", "rep")
 
     linked = scratch.save(reps.select("digest", "rep", "least").join(final, "rep").select("digest", "root", "least"), "linked")
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
