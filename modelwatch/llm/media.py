@@ -143,24 +143,55 @@ class Stream:
         return json.dumps({"program": self.program, "pid": self.pid, "type": self.stream_type, "packets": self.packets, "units": len(self.timestamps), "first_pts": self.timestamps[0], "last_pts": self.timestamps[-1], "points": len(self.access_points), "points_sha256": points, "counter_errors": self.counter_errors})
 
 
-def _sections(packets: np.ndarray) -> bytes:
-    """The first section that begins in these packets, its checksum verified."""
+def _body(packet: np.ndarray) -> bytes:
+    """A packet's payload."""
+    if not packet[3] & 0x10:
+        return b""
+    return packet[5 + int(packet[4]) if packet[3] & 0x20 else 4 :].tobytes()
+
+
+def _section_of(packets: np.ndarray) -> bytes:
+    """The first section that begins in these packets, gathered over as many of them as it takes, its checksum verified."""
+    raw: bytes | None = None
     for p in packets:
-        if p[1] & 0x40:
-            at = 4 + (1 + int(p[4]) if p[3] & 0x20 else 0)
-            at += 1 + int(p[at])
-            size = 3 + ((int(p[at + 1]) & 15) << 8 | int(p[at + 2]))
-            raw = p[at : at + size].tobytes()
-            if len(raw) != size or section_crc(raw):
-                raise MediaError("a program table is damaged")
-            return raw
+        body = _body(p)
+        if p[1] & 0x40 and body:
+            raw = raw or b""
+            raw = (raw + body[1 : 1 + body[0]]) if raw else body[1 + body[0] :]
+        elif raw is not None:
+            raw += body
+        if raw is not None and len(raw) >= 3:
+            size = 3 + ((raw[1] & 15) << 8 | raw[2])
+            if len(raw) >= size:
+                if section_crc(raw[:size]):
+                    raise MediaError("a program table is damaged")
+                return raw[:size]
     raise MediaError("a program table is missing")
 
 
-def demux(media: bytes) -> Stream:
-    """Parses a transport stream; raises MediaError where it is damaged.
+def programs(packets: np.ndarray, pids: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(program, [(stream type, pid)]) of every program that the tables list."""
+    table, out = _section_of(packets[pids == TABLE_PID]), []
+    for at in range(8, len(table) - 4, 4):
+        number, map_pid = int.from_bytes(table[at : at + 2], "big"), int.from_bytes(table[at + 2 : at + 4], "big") & 0x1FFF
+        if not number:  # the network's own table
+            continue
+        mapped, streams = _section_of(packets[pids == map_pid]), []
+        k = 12 + (int.from_bytes(mapped[10:12], "big") & 0x0FFF)
+        while k + 5 <= len(mapped) - 4:
+            streams.append((mapped[k], int.from_bytes(mapped[k + 1 : k + 3], "big") & 0x1FFF))
+            k += 5 + (int.from_bytes(mapped[k + 3 : k + 5], "big") & 0x0FFF)
+        out.append((number, streams))
+    return out
+
+
+def demux(media: bytes, program: int | None = None, pid: int | None = None) -> Stream:
+    """Parses one stream of a transport stream; raises MediaError where it is damaged.
 
-    Counter breaks are counted; the payload's loss then shows in a unit's length.
+    Without ``program`` or ``pid`` it is the first that the tables list. Packets without a
+    payload don't count, a packet may come twice, and a marked discontinuity is no break.
+    Other breaks of the counter are counted; the payload's loss then shows in a unit's
+    length.
     """
     raw = np.frombuffer(media, np.uint8)
     if not len(raw) or len(raw) % PACKET:
@@ -169,21 +200,25 @@ def demux(media: bytes) -> Stream:
     if (packets[:, 0] != 0x47).any():
         raise MediaError("a sync byte is missing")
     pids = (packets[:, 1] & 0x1F).astype(np.int32) << 8 | packets[:, 2]
-    table = _sections(packets[pids == TABLE_PID])
-    program, map_pid = int.from_bytes(table[8:10], "big"), int.from_bytes(table[10:12], "big") & 0x1FFF
-    mapped = _sections(packets[pids == map_pid])
-    at = 12 + (int.from_bytes(mapped[10:12], "big") & 0x0FFF)
-    stream_type, pid = mapped[at], int.from_bytes(mapped[at + 1 : at + 3], "big") & 0x1FFF
-    numbers = np.flatnonzero(pids == pid)
+    listed = [(n, kind, p) for n, streams in programs(packets, pids) for kind, p in streams if program in (None, n) and pid in (None, p)]
+    if not listed:
+        raise MediaError("no table lists the stream")
+    program, stream_type, pid = listed[0]
+    numbers = np.flatnonzero((pids == pid) & (packets[:, 3] & 0x10 > 0))
     own = packets[numbers]
-    if not len(own):
-        raise MediaError("the stream has no packets")
-    counters = own[:, 3] & 15
-    errors = int(((counters[1:] - counters[:-1]) & 15 != 1).sum())
     adapted = (own[:, 3] & 0x20) > 0
     start = np.where(adapted, 5 + own[:, 4].astype(np.int32), 4)
     if (start > PACKET).any():
         raise MediaError("an adaptation field is too long")
+    counters = (own[:, 3] & 15).astype(np.int16)
+    twice = np.zeros(len(own), bool)
+    for k in (np.flatnonzero(counters[1:] == counters[:-1]) + 1).tolist():
+        twice[k] = not twice[k - 1] and start[k] == start[k - 1] and (own[k, start[k] :] == own[k - 1, start[k] :]).all()
+    numbers, own, adapted, start, counters = numbers[~twice], own[~twice], adapted[~twice], start[~twice], counters[~twice]
+    if not len(own):
+        raise MediaError("the stream has no packets")
+    marked = adapted & (own[:, 4] > 0) & (own[:, 5] & 0x80 > 0)
+    errors = int((((counters[1:] - counters[:-1]) & 15 != 1) & ~marked[1:]).sum())
     data = own[_COLUMNS >= start[:, None]].tobytes()
     begins = np.flatnonzero(own[:, 1] & 0x40)
     offsets = np.concatenate([[0], np.cumsum(PACKET - start)])
@@ -191,7 +226,7 @@ def demux(media: bytes) -> Stream:
     units, done = [], 0
     for i, end in zip(begins.tolist(), [*begins[1:].tolist(), len(own)], strict=True):
         pes = data[offsets[i] : offsets[end]]
-        if pes[:3] != b"\x00\x00\x01" or not pes[7] & 0x80:
+        if len(pes) < 14 or pes[:3] != b"\x00\x00\x01" or not pes[7] & 0x80:
             raise MediaError("an elementary packet has no start code or timestamp")
         if (size := int.from_bytes(pes[4:6], "big")) and size + 6 != len(pes):
             raise MediaError("an elementary packet is incomplete")
@@ -217,7 +252,9 @@ def padded(raw: bytes) -> bytes:
 def encode_media(documents: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): every whole text (null: empty) as UTF-8, padded, as a transport stream.
 
-    One row out per row in, whatever repeats; other columns are dropped.
+    One row out per row in, whatever repeats or has no doc_id; other columns are dropped. An
+    empty text is 64 bytes 0. A very long text is a slice of its own; memory follows the
+    longest text. An empty table gives an empty table.
     """
     schema = arrow_schema(MEDIA)
 
@@ -232,29 +269,36 @@ def encode_media(documents: DataFrame) -> DataFrame:
     return arrow_map(documents.select(F.col("doc_id").cast("long"), "text"), make, MEDIA, "text", 2 << 20)
 
 
+_DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, timestamps array<long>, access_points array<struct<pts: long, offset: long, packet: long>>"
+
+
 def decode_media(media: DataFrame, digest_only: bool = False) -> DataFrame:
     """Reads media columns back: payload, timestamps, random-access points and a feature string.
 
-    digest_only: instead of payload and points, payload_bytes, payload_sha256 and
-    tail_crc32 (of the last 64 bytes), so that the bytes don't leave the worker.
+    digest_only: instead of the payload, payload_bytes, payload_sha256 and tail_crc32 (of
+    the last 64 bytes), so that the bytes don't leave the worker. A null cell gives nulls;
+    a damaged one raises MediaError. Other columns are dropped.
     """
-    wide = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" if digest_only else PARSED
+    wide = _DIGESTS if digest_only else PARSED
     schema = arrow_schema(wide)
 
     def make():
         def step(rows: pa.RecordBatch):
             cells: list[list] = [[] for _ in range(len(schema) - 2)]
             for m in rows.column("media").to_pylist():
-                s = demux(m)
-                head = [len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-64:])] if digest_only else [s.payload]
-                tail = [] if digest_only else [s.timestamps, [dict(zip(("pts", "offset", "packet"), p, strict=True)) for p in s.access_points]]
-                for cell, v in zip(cells, [*head, len(m), hashlib.sha256(m).hexdigest(), s.feature(), *tail], strict=True):
+                if m is None:
+                    row = [None] * len(cells)
+                else:
+                    s = demux(m)
+                    head = [len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-64:])] if digest_only else [s.payload]
+                    row = [*head, len(m), hashlib.sha256(m).hexdigest(), s.feature(), s.timestamps, [dict(zip(("pts", "offset", "packet"), p, strict=True)) for p in s.access_points]]
+                for cell, v in zip(cells, row, strict=True):
                     cell.append(v)
             return pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("n_bytes"), *(pa.array(c, f.type) for c, f in zip(cells, list(schema)[2:], strict=True))], schema=schema)
 
         return step
 
-    return arrow_map(media, make, wide, "media", 2 << 20)
+    return arrow_map(media.select("doc_id", "n_bytes", "media"), make, wide, "media", 2 << 20)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from modelwatch.llm.shared import Scratch, arrow_schema, checkpointed, plain, slices
 
 _READ = 1 << 18
+_HEAD = 1 << 20  # bytes of a record's header at most
 _URN = "<urn:modelwatch:page:{}>"
 _DATE = "1970-01-01T00:00:00Z"  # records don't say when they were written, so equal pages give equal archives
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -77,47 +78,84 @@ class Record:
         return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, body
 
 
-def _framed(raw: bytearray, offset: int) -> Record:
-    head, gap, rest = bytes(raw).partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
-    if not gap or not lines[0].startswith("WARC/1."):
+class _Source:
+    """An open file with a place in it."""
+
+    def __init__(self, stream, chunk: int):
+        self.stream, self.chunk, self.held, self.at = stream, chunk, b"", 0
+
+    def more(self) -> bool:
+        self.held = self.held or self.stream.read(self.chunk)
+        return bool(self.held)
+
+
+class _Member:
+    """One gzip member of a source, inflated a bounded number of bytes at a time."""
+
+    def __init__(self, source: _Source):
+        self.source, self.start, self.unzip = source, source.at, zlib.decompressobj(31)
+
+    def read(self, most: int) -> bytes:
+        """At least a byte and ``most`` at most; none at the member's end."""
+        source = self.source
+        while not self.unzip.eof:
+            if not source.more():
+                raise WarcError(f"the member at {self.start} is cut off")
+            before = len(source.held)
+            try:
+                out = self.unzip.decompress(source.held, most)
+            except zlib.error as e:
+                raise WarcError(f"the member at {self.start} is damaged: {e}") from e
+            source.held = self.unzip.unused_data if self.unzip.eof else self.unzip.unconsumed_tail
+            source.at += before - len(source.held)
+            if out:
+                return out
+        return b""
+
+
+def _record(member: _Member) -> Record:
+    """The member's record; no more of it is inflated than its header and its content length ask for."""
+    raw, offset = bytearray(), member.start
+    while (gap := raw.find(b"\r\n\r\n")) < 0:
+        if len(raw) > _HEAD or not (piece := member.read(1024)):
+            raise WarcError(f"no record header in the member at {offset}")
+        raw += piece
+    lines = raw[:gap].decode("utf-8").split("\r\n")
+    if not lines[0].startswith("WARC/1."):
         raise WarcError(f"no record header in the member at {offset}")
     headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    size = int(headers.get("content-length", "-1"))
-    if size < 0 or len(rest) != size + 4 or rest[size:] != b"\r\n\r\n":
+    size = headers.get("content-length", "")
+    del raw[: gap + 4]
+    end = int(size) + 4 if size.isdigit() else -1
+    while 0 <= len(raw) <= end and (piece := member.read(min(_READ, end + 1 - len(raw)))):  # one byte more would be too many
+        raw += piece
+    if len(raw) != end or raw[-4:] != b"\r\n\r\n":
         raise WarcError(f"the record at {offset} doesn't have its content length")
-    block = rest[:size]
-    if (want := headers.get("warc-block-digest")) and want != f"sha1:{sha1_label(block)}":
+    del raw[-4:]
+    record = Record(headers, bytes(raw), offset)
+    if (want := headers.get("warc-block-digest")) and want != f"sha1:{sha1_label(record.block)}":
         raise WarcError(f"the block digest of the record at {offset} doesn't match")
-    record = Record(headers, block, offset)
     if headers.get("warc-type") == "response" and (want := headers.get("warc-payload-digest")) and want != f"sha1:{sha1_label(record.http()[1])}":
         raise WarcError(f"the payload digest of the record at {offset} doesn't match")
     return record
 
 
 def read_records(stream, chunk: int = _READ) -> Iterator[Record]:
-    """Records of an open archive, one gzip member each; holds one record at a time."""
-    at = 0  # of ``held``'s first byte
-    held = b""
-    while True:
-        held = held or stream.read(chunk)
-        if not held:
-            return
-        start, raw, unzip = at, bytearray(), zlib.decompressobj(31)
-        while not unzip.eof:
-            if not held and not (held := stream.read(chunk)):
-                raise WarcError(f"the member at {start} is cut off")
-            try:
-                raw += unzip.decompress(held)
-            except zlib.error as e:
-                raise WarcError(f"the member at {start} is damaged: {e}") from e
-            at += len(held) - len(unzip.unused_data)
-            held = unzip.unused_data
-        yield _framed(raw, start)
+    """Records of an open archive, one gzip member each; holds one record and ``chunk`` bytes of the file at a time."""
+    source = _Source(stream, chunk)
+    while source.more():
+        yield _record(_Member(source))
 
 
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    """The file system of a URI and the path in it. What only Spark can open is refused: no machine writes to its own disk instead."""
+    scheme, mark, rest = folder.partition(":")
+    if not mark:
+        raise ValueError(f"{folder} has no scheme; see shared.qualified")
+    try:
+        return fs.FileSystem.from_uri(("s3" if scheme in ("s3a", "s3n") else scheme) + ":" + rest)
+    except (pa.ArrowInvalid, OSError) as e:
+        raise ValueError(f"archives can't be written to {scheme}: {e}") from e
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, level: int = 1) -> DataFrame:
@@ -126,7 +164,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, level: int
     Of pages with equal payloads (null html: the empty payload) of at least
     ``min_bytes`` bytes that with the smallest page_id becomes a response and the
     others revisit it; smaller payloads are all responses. Rows that repeat the
-    smallest page_id are responses too; a null page_id counts as larger than any.
+    smallest page_id are responses too; a null page_id counts as larger than any. A null
+    url is an empty one. One record is in memory at a time, however long its payload. An
+    empty table writes nothing; other columns are ignored.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("same"), F.octet_length(html).alias("size"))
@@ -203,10 +243,27 @@ def read_archives(manifest: DataFrame, folder: str, payload: bool = True) -> Dat
     return manifest.mapInArrow(read, wide)
 
 
+def dangling_revisits(records: DataFrame) -> DataFrame:
+    """(refers_to, payload_digest, payload_bytes) of revisits that no response of that page, digest and length backs."""
+    what = ["payload_digest", "payload_bytes"]
+    revisits = records.where("record_type = 'revisit'").select("refers_to", *what).distinct()
+    responses = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), *what).distinct()
+    both = F.lit(True)
+    left, right = revisits.alias("l"), responses.alias("r")
+    for c in ("refers_to", *what):
+        both = both & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    return left.join(right, both, "left_anti")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    """Every page written to archives and read back: its digest row."""
+    """Every page written to archives and read back: its digest row. Revisits are held against their responses; the archives go then."""
     scratch = Scratch(spark)
     folder = scratch.path("archives")
     manifest = scratch.save(write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder), "manifest")
     tasks = max(1, manifest.count())  # a row an archive
-    return read_archives(manifest.repartition(tasks), folder, payload=False)
+    records = scratch.save(read_archives(manifest.repartition(tasks), folder, payload=False), "records")
+    if lost := dangling_revisits(records).limit(1).collect():
+        raise WarcError(f"a revisit of page {lost[0]['refers_to']} has no response with its digest")
+    scratch.keep("records")
+    scratch.drop("archives")
+    return records

@@ -52,6 +52,57 @@ def test_archive_damage():
             list(warc.read_records(io.BytesIO(z.compress(bad) + z.flush())))
 
 
+def test_reader_is_bounded_by_the_content_length():
+    """What follows a record in its member is not inflated, however much it is."""
+    raw = zlib.decompress(warc.page_record(1, "u", b"abc", None, False), 31)
+    z = zlib.compressobj(9, zlib.DEFLATED, 31)
+    bomb = z.compress(raw) + b"".join(z.compress(bytes(1 << 20)) for _ in range(64)) + z.flush()
+    import tracemalloc
+
+    tracemalloc.start()
+    with pytest.raises(warc.WarcError, match="content length"):
+        list(warc.read_records(io.BytesIO(bomb)))
+    assert tracemalloc.get_traced_memory()[1] < 4 << 20
+    tracemalloc.stop()
+    for head in (b"WARC/1.1\r\nContent-Length: -5\r\n\r\nabc\r\n\r\n", b"WARC/1.1\r\n\r\nabc\r\n\r\n", b"WARC/1.1\r\nContent-Length: 99\r\n\r\nabc\r\n\r\n"):
+        z = zlib.compressobj(1, zlib.DEFLATED, 31)
+        with pytest.raises(warc.WarcError, match="content length"):
+            list(warc.read_records(io.BytesIO(z.compress(head) + z.flush())))
+
+
+def test_folders_of_archives(spark, tmp_path):
+    from modelwatch.llm import shared
+
+    assert shared.qualified(spark, str(tmp_path)) == f"file:{tmp_path}" and shared.shared_dir(spark).startswith("file:")
+    where, path = warc._open(shared.qualified(spark, f"file://{tmp_path}/a"))
+    assert path == f"{tmp_path}/a" and where.type_name == "local"
+    for bad in (str(tmp_path), "viewfs://store/x", "nosuch://x/y"):
+        with pytest.raises(ValueError, match="scheme|can't be written"):
+            warc._open(bad)
+
+
+def test_revisits_are_held_against_their_responses(rows):
+    kind = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    good = [(1, 3, "A", "response", None), (2, 3, "A", "revisit", 1), (3, 3, "A", "revisit", 1), (None, 0, "B", "response", None), (None, 0, "B", "revisit", None)]
+    assert warc.dangling_revisits(rows(good, kind)).count() == 0
+    bad = [(4, 3, "C", "revisit", 1), (5, 4, "A", "revisit", 1), (6, 3, "A", "revisit", 9), (7, 3, "A", "revisit", 9)]
+    assert warc.dangling_revisits(rows(good + bad, kind)).count() == 3
+
+
+def test_pages_with_more_columns(spark, rows):
+    from pyspark.sql import functions as F
+
+    pages = rows([(1, "u", "<p>"), (2, "u", "<p>"), (2, "u", "<p>")], "page_id long, url string, html string").withColumns({c: F.lit("z") for c in ("same", "first", "n", "size", "revisit", "path")})
+    scratch = Scratch(spark)
+    folder = scratch.path("archives")
+    manifest = scratch.save(warc.write_archives(pages, folder), "manifest")
+    assert sorted(r["record_type"] for r in warc.read_archives(manifest, folder).collect()) == ["response", "revisit", "revisit"]
+    scratch.close()
+    import os
+
+    assert not os.path.exists(folder.removeprefix("file:"))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.one_of(st.binary(max_size=600), st.integers(0, 70_000).map(lambda n: bytes(i * 7 & 255 for i in range(n)))))
 def test_stream_round_trip(raw):
@@ -71,11 +122,57 @@ def test_stream_damage():
     m[20] ^= 1
     with pytest.raises(media.MediaError, match="table"):
         media.demux(bytes(m))
-    two = bytearray(media.mux(bytes(5000)))
+    two = bytearray(media.mux(bytes(i * 7 & 255 for i in range(5000))))  # packets that differ: an equal one may come twice
     two[188 * 4 + 3] ^= 3
     assert media.demux(bytes(two)).counter_errors == 2
 
 
+def _without_payload(packet):
+    """A packet of the same stream and counter that has an adaptation field only."""
+    return packet[:3] + bytes([0x20 | packet[3] & 15, 183, 0]) + b"\xff" * 182
+
+
+def test_streams_as_others_write_them():
+    """Packets that come twice or without a payload, a marked discontinuity, tables over several packets, several programs."""
+    raw = bytes(i * 11 & 255 for i in range(40_000))
+    m = media.mux(raw)
+    packets = [m[k : k + 188] for k in range(0, len(m), 188)]
+    odd = [q for i, p in enumerate(packets) for q in ([p, p] if i % 7 == 3 else [p, _without_payload(p)] if i % 7 == 5 and p[1] & 0x1F else [p])]
+    s = media.demux(b"".join(odd))
+    assert s.payload == raw and s.counter_errors == 0 and s.packets == len(odd) > len(packets)
+    thrice = packets[:5] + [packets[4]] * 2 + packets[5:]
+    with pytest.raises(media.MediaError, match="incomplete"):
+        media.demux(b"".join(thrice))
+    streams = [(0x1B, 0x200 + k) for k in range(60)] + [(0x06, 0x100)]
+    body = (0xE000 | 0x200).to_bytes(2, "big") + b"\xf0\x00" + b"".join(bytes([kind]) + (0xE000 | pid).to_bytes(2, "big") + b"\xf0\x03\x0a\x01e" for kind, pid in streams)
+    mapped, pieces = b"\0" + media._section(0x02, 2, body), []
+    for k in range(0, len(mapped), 184):
+        pieces.append((bytes([0x47, 0x40 * (k == 0) | 0x11, 0, 0x10 | k // 184 & 15]) + mapped[k : k + 184]).ljust(188, b"\xff"))
+    listed = media._table_packet(0, media._section(0, 1, b"\0\0\xe0\x10" + (1).to_bytes(2, "big") + (0xE000 | media.MAP_PID).to_bytes(2, "big") + (2).to_bytes(2, "big") + (0xE000 | 0x1100).to_bytes(2, "big"))).tobytes()
+    several = listed + b"".join(pieces) + b"".join(packets[1:])
+    array = np.frombuffer(several, np.uint8).reshape(-1, 188)
+    found = dict(media.programs(array, (array[:, 1] & 0x1F).astype(int) << 8 | array[:, 2]))
+    assert found == {1: [(media.STREAM_TYPE, 0x100)], 2: streams} and len(pieces) > 2
+    assert media.demux(several).program == 1 and media.demux(several, program=2, pid=0x100).payload == raw
+    with pytest.raises(media.MediaError, match="no packets"):
+        media.demux(several, program=2, pid=0x200)
+    with pytest.raises(media.MediaError, match="no table"):
+        media.demux(several, program=9)
+
+
+def test_media_without_a_cell_and_with_more_columns(rows):
+    from pyspark.sql import functions as F
+
+    docs = rows([(1, "a", None, "s"), (1, "a", None, "s"), (None, None, None, None)], TEXTS).withColumns({c: F.lit("z") for c in ("media", "n_bytes", "payload", "feature")})
+    cells = media.encode_media(docs)
+    assert cells.count() == 3
+    none = cells.withColumns({"media": F.when(F.col("doc_id").isNull(), F.col("media")), "feature": F.lit(1)})
+    for only in (True, False):
+        got = media.decode_media(none, digest_only=only).collect()
+        assert [r["feature"] is None for r in got] == [r["doc_id"] is not None for r in got] and len(got) == 3
+        assert all(r["timestamps"] == [0] and r["access_points"][0]["pts"] == 0 for r in got if r["doc_id"] is None)
+
+
 def test_media_columns(documents):
     got = {r["doc_id"]: r for r in media.decode_media(media.encode_media(documents), digest_only=True).collect()}
     for i, t in SAMPLE:
