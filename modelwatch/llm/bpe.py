@@ -1,7 +1,8 @@
 """Byte-pair encoding and decoding of whole texts with a public tokenizer file.
 
 Texts fall into pre-tokens, which no merge crosses, and each worker keeps the ids of
-those it has met. New ones are encoded together: a pair occurrence index holds, for each adjacent pair that some merge joins, all its
+those it has met. The new ones of a slice of a partition are encoded together: a pair
+occurrence index holds, for each adjacent pair that some merge joins, all its
 positions; active merges are applied in ascending rank, each at all its positions at
 once, and the positions of the pairs that come and go are updated.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 
 import numpy as np
@@ -35,6 +37,18 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in set(shown) else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+_ranges: list[re.Pattern] = []
+
+
+def _unassigned() -> re.Pattern:
+    """Any character that is not assigned in this Python's Unicode tables."""
+    if not _ranges:
+        none = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], none, [False]]).astype(np.int8))).reshape(-1, 2)
+        _ranges.append(re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.tolist()) + "]"))
+    return _ranges[0]
+
+
 class PairIndex:
     """Merges many words at once; ``table`` maps a pair of ids to rank and joined id."""
 
@@ -135,7 +149,7 @@ class Bpe:
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.fixed = {_SPECIAL + t: np.array([i], np.uint32).tobytes() for t, i in self.special.items()}
         self.known: dict[str, bytes] = dict(self.fixed)
-        self.newer: set[str] = set()  # pre-tokens with characters that are not assigned in this Python's Unicode
+        self.value = {ord(c): b for b, c in enumerate(chars)}
         self.path, self.library = path, None
 
     def pretokens(self, text: str) -> list[str]:
@@ -144,6 +158,8 @@ class Bpe:
         return [c for part in self.split.split(text) for c in ([_SPECIAL + part] if part in self.special else self.plain_pretokens(part))]
 
     def plain_pretokens(self, text: str) -> list[str]:
+        if not text.isascii() and _unassigned().search(text):
+            return self.library_pretokens(text)
         if self.suffix:  # sigma: letter by letter, as at no word's end
             text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
         return self.pattern.findall(text)
@@ -167,22 +183,17 @@ class Bpe:
         known = self.known
         if new := list(set().union(*parts).difference(known)):
             self.learn(new)
-            self.newer.update(p for p in new if not p.isascii() and any(unicodedata.category(c) == "Cn" for c in p))
-        out = [b"".join(map(known.__getitem__, p)) for p in parts]
-        if self.newer:
-            for i in (i for i, p in enumerate(parts) if not self.newer.isdisjoint(p)):
-                out[i] = self.by_library(texts[i])
-        return out
-
-    def by_library(self, text: str) -> bytes:
-        """For texts with characters that Unicode got lately: the pattern's tables may know them, those of the library don't."""
+        return [b"".join(map(known.__getitem__, p)) for p in parts]
+
+    def library_pretokens(self, text: str) -> list[str]:
+        """For characters that Unicode got lately: the pattern's tables may know them, those of the library don't, so it splits such texts."""
         if self.library is None:
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_file(self.path)
-            self.library.no_padding()
-            self.library.no_truncation()
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        if self.library.normalizer is not None:
+            text = self.library.normalizer.normalize_str(text)
+        return [bytes(self.value[ord(c)] for c in piece).decode() for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; word files' text has a space after each word."""
@@ -192,7 +203,10 @@ class Bpe:
 def encode(documents: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids): the ids of every whole text (null: empty); special tokens' strings become their ids.
 
-    A row out per row in; other columns are dropped. ``path``: a tokenizer file that every machine has.
+    A row out per row in, whatever repeats or has no doc_id; other columns are dropped. An
+    empty text has no ids. A very long text is a slice of its own; memory follows the longest
+    text and KNOWN. An empty table gives an empty table. ``path``: a tokenizer file that
+    every machine has.
     """
     schema = arrow_schema("doc_id long, ids array<int>")
 
@@ -221,7 +235,10 @@ def loaded(path: str) -> Bpe:
 
 
 def decode(tokens: DataFrame, path: str, digests: bool = False) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids). digests: n_tokens, ids_sha256 and decoded_sha256 instead of the text."""
+    """(doc_id, text) from (doc_id, ids); null ids give the empty text, repeated rows are each decoded, other columns are dropped.
+
+    digests: n_tokens, ids_sha256 and decoded_sha256 instead of the text.
+    """
     wide = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, text string"
     schema = arrow_schema(wide)
 
@@ -240,7 +257,7 @@ def decode(tokens: DataFrame, path: str, digests: bool = False) -> DataFrame:
                         o.append(c)
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(o, f.type) for o, f in zip(out, list(schema)[1:], strict=True))], schema=schema)
 
-    return tokens.mapInArrow(run, wide)
+    return tokens.select("doc_id", "ids").mapInArrow(run, wide)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

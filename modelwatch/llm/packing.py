@@ -84,8 +84,11 @@ def pack(documents: DataFrame, path: str, window: int = 4096, end_id: int = 2, w
     """Pieces of all documents (null text: empty), packed into sequences of at most ``window`` tokens.
 
     A document is its ids and then ``end_id``, so it has a token at least. Documents over
-    ``window`` are first cut into full windows and a rest. Rows that repeat a document are
-    packed each by itself. sequence_id is the task's number times 2**32 plus a count within
+    ``window`` are first cut into full windows and a rest. Rows that repeat a document, or
+    have no doc_id, are packed each by itself; other columns are dropped; an empty table gives
+    an empty one. A task packs at most RUN pieces together, so which pieces share a sequence
+    depends on the partitions of ``documents``, and each partition leaves about one window
+    part empty; with_ids holds the ids of RUN pieces. sequence_id is the task's number times 2**32 plus a count within
     the task; offsets in a sequence are gapless from 0. with_ids: adds the ids of each piece.
     """
     wide = PIECE + (", ids array<int>" if with_ids else "")

@@ -205,6 +205,42 @@ def test_ids_are_those_of_the_library(path):
         assert [own.decode(w.ids) for w in want] == [library.decode(w.ids, skip_special_tokens=False) for w in want]
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_unassigned_characters_go_through_the_index(path, monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    library, own = tokenizers.Tokenizer.from_file(path), bpe.Bpe(path)
+    merged = []
+    merge = bpe.PairIndex.merge
+    monkeypatch.setattr(bpe.PairIndex, "merge", lambda self, symbols, first: merged.append(len(first) - 1) or merge(self, symbols, first))
+    rng = random.Random(8)
+    odd = [c for c in map(chr, range(0x300, 0x1FFFF)) if bpe.unicodedata.category(c) == "Cn"]
+    texts = ["".join(rng.choice([rng.choice(odd), "Hello", " ", "é", "\n", "12", "<|endoftext|>"]) for _ in range(rng.randint(1, 12))) for _ in range(500)]
+    texts += ["\uffff", "a\U0003ffffb", "x" * 50 + odd[0] + " tail"]
+    assert [np.frombuffer(g, np.uint32).tolist() for g in own.encode(texts)] == [w.ids for w in library.encode_batch(texts, add_special_tokens=False)]
+    assert sum(merged) > 300 and not hasattr(own, "by_library")
+
+
+def test_tokens_with_more_columns(rows):
+    from pyspark.sql import functions as F
+
+    docs = rows([(1, "a b", None, "s"), (1, "a b", None, "s"), (None, None, None, None)], TEXTS).withColumns({c: F.lit("z") for c in ("ids", "n_tokens", "start", "length", "sequence_id", "offset")})
+    tokens = bpe.encode(docs, BYTES)
+    assert sorted((r["text"], r["doc_id"]) for r in bpe.decode(tokens.withColumn("text", F.lit(1)), BYTES).collect() if r["doc_id"]) == [("a b", 1)] * 2
+    none = tokens.withColumn("ids", F.when(F.col("doc_id") == 1, F.col("ids")))
+    assert {r["text"] for r in bpe.decode(none, BYTES).where("doc_id is null").collect()} == {""}
+    assert packing.pack(docs, WORDS).count() == 3
+
+
+def test_padding_of_many_small_partitions(rows):
+    """Each partition leaves about one window part empty, and no more."""
+    rng = random.Random(2)
+    docs = rows([(i, "word " * rng.randint(1, 60), None, "s") for i in range(600)], TEXTS)
+    for parts in (1, 12):
+        got = packing.pack(docs.repartition(parts), WORDS, window=64).collect()
+        used, sequences = sum(r["length"] for r in got), len({r["sequence_id"] for r in got})
+        assert sequences * 64 - used <= 64 * (parts + 0.05 * sequences)
+
+
 def test_known_pretokens_are_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "KNOWN", 50)
     own = bpe.Bpe(BYTES)

@@ -281,6 +281,79 @@ def test_classifier_and_rules(rows):
     assert {r["doc_id"] for r in lines.keep_content(docs, field).collect()} == {d for d, r in verdict.items() if r["kept"]}
 
 
+def _plain_space(texts, vocabulary):
+    """Context sums and features, word by word."""
+    hashes = {}
+    for t in texts:
+        found = words(pa.array([t], pa.string()))
+        for w, h, f in zip(brute.words(t), *quality._both(found)):
+            hashes[w] = (int(h), int(f))
+    index = lambda h: dict_sum(zip(*(x[0].tolist() for x in quality.index_entries(np.array([h], np.uint64)))))
+
+    def dict_sum(pairs):
+        out = np.zeros(quality.DIMS)
+        for d, s in pairs:
+            out[d] += s
+        return out
+
+    known = [{int(h): i for i, h in enumerate(vocabulary.words)}, {int(h): i + len(vocabulary.words) for i, h in enumerate(vocabulary.forms)}]
+    sums = np.zeros((len(vocabulary), quality.DIMS + 1))
+    for t in texts:
+        w = [hashes[x] for x in brute.words(t)]
+        for i, pair in enumerate(w):
+            for kind in (0, 1):
+                if (at := known[kind].get(pair[kind])) is not None:
+                    sums[at, -1] += 1
+                    for k in (i - 1, i + 1):
+                        if 0 <= k < len(w):
+                            sums[at, :-1] += index(w[k][kind])
+    vectors = np.concatenate([sums[:, :-1] / (sums[:, -1:] + quality.PRIOR), np.zeros((1, quality.DIMS))])
+    features = []
+    for t in texts:
+        w, row = [hashes[x] for x in brute.words(t)], []
+        if not w:
+            features.append(np.zeros(quality.FEATURES))
+            continue
+        for kind in (0, 1):
+            at = [known[kind].get(p[kind]) for p in w]
+            have = [vectors[k] for k in at if k is not None]
+            own = sum(index(p[kind]) for p in w) / len(w)
+            repeats = sum(a[kind] == b[kind] for a, b in itertools.pairwise(w))
+            row += [*(np.mean(have, 0) if have else np.zeros(quality.DIMS)), *own, repeats / len(w), at.count(None) / len(w), np.sqrt(own @ own)]
+        features.append(np.array([*row, np.log1p(len(w))]))
+    return sums, np.array(features)
+
+
+def test_word_vectors_and_features(rows, monkeypatch):
+    monkeypatch.setattr(quality, "_BLOCK", 7)
+    texts = [t or "" for t in _copies(11)[:40]]
+    docs = _frame(rows, texts).repartition(3)
+    vocabulary = quality.sample_vocabulary(_frame(rows, texts[:25]), (60, 5))
+    counts = {}
+    for t in texts[:25]:
+        for h in words(pa.array([t], pa.string())).hashes().tolist():
+            counts[h] = counts.get(h, 0) + 1
+    ranked = sorted(counts, key=lambda h: (-counts[h], np.uint64(h).view(np.int64)))
+    assert sorted(ranked[:60]) == vocabulary.words.tolist() and 1 < len(vocabulary.forms) <= 5
+    sums = quality.context_sums(docs, vocabulary)
+    want, features = _plain_space(texts, vocabulary)
+    assert np.array_equal(sums, want) and sums[:, -1].min() > 0
+    got = quality.pooled(pa.array(texts, pa.string()), quality.Space(vocabulary, quality.word_vectors(sums)))
+    assert np.allclose(got, features, atol=1e-4)
+
+
+def test_network_follows_its_gradient_and_temperature():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 6))
+    y = (x[:, 0] * x[:, 1] + 0.3 * rng.normal(size=400) > 0).astype(np.int64)
+    loss = lambda net, rows: float(np.mean(np.logaddexp(0, net.logits(x[rows]) / net.temperature) - y[rows] * net.logits(x[rows]) / net.temperature))
+    order = np.random.default_rng(7).permutation(400)
+    short, long = quality.fit(x, y, epochs=2), quality.fit(x, y, epochs=60)
+    assert loss(long, order[80:]) < 0.7 * loss(short, order[80:])
+    best = min(np.exp(np.linspace(np.log(0.25), np.log(8), 101)), key=lambda t: float(np.mean(np.logaddexp(0, long.logits(x[order[:80]]) / t) - y[order[:80]] * long.logits(x[order[:80]]) / t)))
+    assert abs(best - long.temperature) < 1e-9
+
+
 def test_classifier_without_labels(rows):
     none = rows([], "doc_id long, quality int, toxic int")
     assert [r["score"] for r in quality.classify(_frame(rows, ["a b", None]), none).collect()] == [0.5, 0.5]
