@@ -342,10 +342,10 @@ def test_word_vectors_and_features(rows, monkeypatch):
     assert np.allclose(got, features, atol=1e-4)
 
 
-def test_network_follows_its_gradient_and_temperature():
+def test_network_learns_and_its_temperature_is_the_best():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 6))
-    y = (x[:, 0] * x[:, 1] + 0.3 * rng.normal(size=400) > 0).astype(np.int64)
+    y = (x[:, 0] - x[:, 1] + 0.3 * rng.normal(size=400) > 0).astype(np.int64)
     loss = lambda net, rows: float(np.mean(np.logaddexp(0, net.logits(x[rows]) / net.temperature) - y[rows] * net.logits(x[rows]) / net.temperature))
     order = np.random.default_rng(7).permutation(400)
     short, long = quality.fit(x, y, epochs=2), quality.fit(x, y, epochs=60)
