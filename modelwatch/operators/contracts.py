@@ -44,6 +44,32 @@ def compatible(artifacts: DataFrame, schema_version: int, names: Sequence[str])
     return artifacts.withColumns({"compatible": reason.isNull(), "reason": reason})
 
 
+def newest_compatible(artifacts: DataFrame, family: str = "family") -> DataFrame:
+    """(family, path): of each family's artifacts, judged by ``compatible`` and ``intact``, the newest that may be loaded.
+
+    Columns family, path, modified, compatible, intact. What isn't known to be intact is
+    refused. Of equally new ones the largest path counts; families without any have a null path.
+    """
+    usable = F.coalesce(F.col("compatible") & F.col("intact"), F.lit(False))
+    return artifacts.groupBy(family).agg(F.max(F.when(usable, F.struct("modified", "path"))).alias("m")).select(family, F.col("m.path").alias("path"))
+
+
+def backend_status(spark: SparkSession, modules: Sequence[str]) -> DataFrame:
+    """(module, status) of optional backends: available, not installed, or failed to import (what is there but broken), with the reason."""
+    import importlib
+
+    def status(name: str) -> str:
+        try:
+            importlib.import_module(name)
+        except ModuleNotFoundError as e:
+            return f"not installed ({e.name})"
+        except Exception as e:  # anything can go wrong in a broken module
+            return f"failed to import ({type(e).__name__}: {e})"
+        return "available"
+
+    return spark.createDataFrame([(m, status(m)) for m in modules], "module string, status string")
+
+
 def intact(files: DataFrame, sidecars: DataFrame) -> DataFrame:
     """(path, intact): (path, content) against (path, sha256) of its sidecar; without a sidecar a file is not intact."""
     return files.select("path", F.sha2("content", 256).alias("_h")).join(sidecars.select("path", F.trim("sha256").alias("_s")), "path", "left").select("path", F.coalesce(F.col("_h") == F.col("_s"), F.lit(False)).alias("intact"))

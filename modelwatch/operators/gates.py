@@ -102,6 +102,26 @@ def stage_for(passed: Column) -> Column:
     return F.when(passed, "Staging").otherwise("Development")
 
 
+def version_tags(versions: DataFrame, passed: Column) -> DataFrame:
+    """Adds what a registered version says of itself: stage, release_gate, and its metrics with four places.
+
+    Columns accuracy, red_flag_recall and ece become text; hashes and names stay as they are.
+    """
+    four = lambda c: F.format_string("%.4f", F.col(c))
+    return versions.withColumns({
+        "stage": stage_for(passed),
+        "release_gate": F.when(passed, "passed").otherwise("failed"),
+        "overall_accuracy": F.when(F.col("accuracy").isNotNull(), four("accuracy")),
+        "red_flag_recall": F.when(F.col("red_flag_recall").isNotNull(), four("red_flag_recall")),
+        "calibration_ece": F.when(F.col("ece").isNotNull(), four("ece")),
+    })
+
+
+def pointer_gate(pointers: DataFrame) -> DataFrame:
+    """Adds ``passed``: the committed pointer's text is the regenerated one's; a missing one fails."""
+    return pointers.withColumn("passed", F.coalesce(F.col("committed") == F.col("current"), F.lit(False)))
+
+
 def lineage(committed: DataFrame, regenerated: DataFrame, model: DataFrame) -> DataFrame:
     """(intact): three one-row frames with the same ``sha256``; a missing row is not intact."""
     one = lambda df, name: df.agg(F.max("sha256").alias(name))

@@ -5,36 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Word characters, digits, spaces and word edges are those of Unicode.
+_W, _D, _S = r"\p{L}\p{N}_", r"\p{Nd}", r"[\s\x1c-\x1f\x85\p{Z}]"
+_EDGE = rf"(?:(?<=[{_W}])(?![{_W}])|(?<![{_W}])(?=[{_W}]))"
 # Identifier kinds in the order in which they are masked, and their shapes.
 KINDS = {
-    "NRIC": r"(?i)\b[STFGM]\d{7}[A-Z]\b",
-    "EMAIL": r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b",
-    "PHONE": r"(?<![\d+-])(?:\+\d{1,3}[\s-]?\d{2,4}(?:[\s-]?\d{2,4}){1,3}|(?:\+?65[\s-]?)?[3689]\d{3}[\s-]?\d{4})(?![\d-])",
-    "MRN": r"\b\d{7,}\b",
+    "NRIC": rf"(?iu){_EDGE}[STFGM]{_D}{{7}}[A-Z]{_EDGE}",
+    "EMAIL": rf"{_EDGE}[{_W}.+-]+@[{_W}-]+\.[{_W}.-]+{_EDGE}",
+    "PHONE": rf"(?<![{_D}+-])(?:\+{_D}{{1,3}}(?:{_S}|-)?{_D}{{2,4}}(?:(?:{_S}|-)?{_D}{{2,4}}){{1,3}}|(?:\+?65(?:{_S}|-)?)?[3689]{_D}{{3}}(?:{_S}|-)?{_D}{{4}})(?![{_D}-])",
+    "MRN": rf"{_EDGE}{_D}{{7,}}{_EDGE}",
 }
+#: What a text with an identifier of a kind has in any case; cheap to look for.
+_NEEDS = {"NRIC": rf"{_D}{{7}}", "EMAIL": "@", "PHONE": rf"{_D}{{2}}", "MRN": rf"{_D}{{7}}"}
 OPAQUE = ("ts", "timestamp", "createdAt", "updatedAt", "caseId", "id", "sessionId", "escalationId", "modelVersion", "versionId", "schemaVersion", "dataSha256", "modelSha256", "sha256", "hash", "acuity", "modelAcuity", "clinicianAcuity", "agreement", "decision", "verdict", "status")
 MACHINE = (
     r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?\n?$",
     r"^[a-z]+_[0-9a-f]{8,32}\n?$",
     r"^[0-9a-f]{32,64}\n?$",
-    r"^[a-z]+(?:-[a-z]+)+-[0-9a-f]{12}(?: \([a-z0-9/, ]+\))?\n?$",
 )
 EXCERPT = 160
 
 
 def redact(rows: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``masked`` and ``kinds``; each kind is looked for in what the kinds before it left. Null stays null."""
-    masked, kinds = F.col(text), []
+    """Adds ``masked`` and ``kinds``; each kind is looked for in what the kinds before it left. Null stays null.
+
+    A kind has a projection of its own for the test and one for the mask, so that a
+    pattern runs once over a text that has what its kind needs.
+    """
+    out, now = rows.withColumn("masked", F.col(text)), F.col("masked")
+    hits = []
     for kind, shape in KINDS.items():
-        kinds.append(F.when(masked.rlike(shape), F.lit(kind)))
-        masked = F.regexp_replace(masked, shape, f"[REDACTED_{kind}]")
-    return rows.withColumns({"masked": masked, "kinds": F.filter(F.array(*kinds), lambda k: k.isNotNull())})
+        hit = f"_hit_{kind}"
+        hits.append(hit)
+        out = out.withColumn(hit, now.rlike(_NEEDS[kind]) & now.rlike(shape))
+        out = out.withColumn("masked", F.when(F.col(hit), F.regexp_replace(now, shape, f"[REDACTED_{kind}]")).otherwise(now))
+    kinds = F.filter(F.array(*[F.when(F.col(hit), F.lit(kind)) for hit, kind in zip(hits, KINDS, strict=True)]), lambda k: k.isNotNull())
+    return out.withColumn("kinds", kinds).drop(*hits)
 
 
-def machine_token(value: Column, shapes: tuple[str, ...] = MACHINE) -> Column:
+def machine_token(value: Column, shapes: tuple[str, ...] = MACHINE, prefixes: tuple[str, ...] = ()) -> Column:
+    """Whether a value is a time, an id or a digest; or a version ``prefix-`` and 12 hex digits, of the prefixes given."""
     out = F.lit(False)
     for shape in shapes:
         out = out | value.rlike(shape)
+    for prefix in prefixes:
+        out = out | (value.startswith(f"{prefix}-") & F.substring(value, len(prefix) + 2, 1 << 20).rlike(r"^[0-9a-f]{12}(?: \([a-z0-9/, ]+\))?\n?$"))
     return out
 
 
@@ -91,21 +106,21 @@ def json_strings(rows: DataFrame, body: str = "body", line: str | None = None) -
     return rows.select(*keep, body).mapInArrow(run, schema)
 
 
-def scan_values(leaves: DataFrame) -> DataFrame:
+def scan_values(leaves: DataFrame, prefixes: tuple[str, ...] = ()) -> DataFrame:
     """Findings (columns, kind, excerpt) among (field, value); machine tokens in opaque fields are passed over."""
-    checked = leaves.where(~(F.coalesce(F.col("field").isin(*OPAQUE), F.lit(False)) & machine_token(F.col("value"))))
+    checked = leaves.where(~(F.coalesce(F.col("field").isin(*OPAQUE), F.lit(False)) & machine_token(F.col("value"), prefixes=prefixes)))
     found = redact(checked, "value")
     return found.select(*[c for c in leaves.columns if c != "value"], F.explode("kinds").alias("kind"), F.left("masked", F.lit(EXCERPT)).alias("excerpt"))
 
 
-def scan_documents(documents: DataFrame, name: str = "name", body: str = "body") -> DataFrame:
+def scan_documents(documents: DataFrame, name: str = "name", body: str = "body", prefixes: tuple[str, ...] = ()) -> DataFrame:
     """Findings (name, line, field, kind, excerpt): .jsonl by line, .json whole, others and what doesn't parse by line."""
     whole = F.col(name).endswith(".json")
     one = documents.where(whole).select(name, F.lit(0).alias("line"), body)
     lines = documents.where(~F.coalesce(whole, F.lit(False))).select(name, F.posexplode(F.split(body, "\n")).alias("pos", body)).select(name, (F.col("pos") + 1).alias("line"), body)
     parsed = F.coalesce(F.col(name).endswith(".jsonl"), F.lit(False))
     plain = lines.where(~parsed).select(name, "line", F.lit(None).cast("string").alias("field"), F.col(body).alias("value"))
-    return scan_values(json_strings(one.unionByName(lines.where(parsed)), body, "line").unionByName(plain))
+    return scan_values(json_strings(one.unionByName(lines.where(parsed)), body, "line").unionByName(plain), prefixes)
 
 
 def egress_gate(findings: DataFrame, wanted: DataFrame, present: DataFrame, name: str = "name") -> DataFrame:

@@ -146,7 +146,24 @@ def spread(by_group: DataFrame, value: str) -> DataFrame:
 
 
 def markdown(rows: DataFrame, most: int = 1000) -> str:
-    """A Markdown table of a small frame; ``most`` rows at most."""
+    """A Markdown table of a frame of ``most`` rows at most; a larger one is an error, no row is left out."""
     escape = lambda x: str("" if x is None else x).replace("|", "\\|")
     lines = ["| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns)]
-    return "\n".join(lines + ["| " + " | ".join(map(escape, r)) + " |" for r in rows.limit(most).collect()])
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a table of more than {most} rows; narrow it first")
+    return "\n".join(lines + ["| " + " | ".join(map(escape, r)) + " |" for r in found])
+
+
+def pipeline_model(documents: DataFrame, name: str = "name", body: str = "body") -> DataFrame:
+    """(name, stage, position, jobs) of pipeline configurations, JSON objects whose members with a ``stage`` are jobs.
+
+    Stages come in the order of the document's ``stages``, those without jobs too; a stage
+    that only a job names has no position. Bodies that don't parse have no row.
+    """
+    parsed = documents.select(name, F.try_parse_json(body).alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    listed = parsed.select(name, F.posexplode(_at(F.col("v"), "$.stages", "array<string>")).alias("position", "stage"))
+    jobs = parsed.select(name, F.explode(_at(F.col("v"), "$", "map<string,variant>")).alias("job", "v"))
+    jobs = jobs.select(name, "job", _at(F.col("v"), "$.stage").alias("stage")).where("stage is not null")
+    both = listed.groupBy(name, "stage").agg(F.min("position").alias("position")).join(jobs.groupBy(name, "stage").agg(F.array_sort(F.collect_list("job")).alias("jobs")), [name, "stage"], "full")
+    return both.select(name, "stage", "position", F.coalesce("jobs", F.array().cast("array<string>")).alias("jobs"))

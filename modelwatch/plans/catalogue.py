@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelwatch.functions import matching
 from modelwatch.functions.numbers import argmax, rounded
-from modelwatch.operators import calibration, drift, explain, fairness, gates, joins, redaction, scanreport, snapshot, telemetry, textfeat
+from modelwatch.operators import calibration, contracts, drift, explain, fairness, gates, joins, redaction, scanreport, snapshot, telemetry, textfeat
 from modelwatch.plans import learned
 from modelwatch.plans.carriers import CODES, LOGS, SCORED, logs, r, scored, table
 from modelwatch.sources import logs as log_source
@@ -233,21 +234,32 @@ def _drift_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select(k.alias("id"), F.when(k % 5 == 4, "evidently").otherwise("builtin").alias("backend"), F.when(k % 7 != 3, lit(0.02)).alias("dataDriftPSI"), lit(0.03).alias("driftShare"), F.when(k % 3 != 0, lit(0.015)).alias("targetDriftPSI"), F.lit(0.9).alias("referenceAccuracy"), F.when(k % 4 != 1, 0.9 - lit(0.006)).alias("currentAccuracy"))
 
 
+def _named(name: str, value: str) -> str:
+    return f"{name} || '=' || coalesce(CAST({r(value)} AS VARCHAR), 'null')"
+
+
+def _signal(name: str, value: str, bound: str) -> str:
+    return f"{_named(name, value)} || ':' || CAST(coalesce({value} >= {bound}, false) AS VARCHAR)"
+
+
 _DRIFT_GATE = f"""{_DRIFT_METRICS}, g AS (SELECT id, CASE WHEN backend = 'evidently' THEN share ELSE psi END AS v, CASE WHEN backend = 'evidently' THEN 0.5 ELSE 0.25 END AS b, CASE WHEN backend = 'evidently' THEN 'driftShare' ELSE 'dataDriftPSI' END AS n, target, ref - cur AS fell FROM m),
 gate AS (SELECT id, v IS NULL OR coalesce(v >= b OR coalesce(target >= 0.25, false) OR coalesce(fell >= 0.1, false), false) AS breached,
   CASE WHEN v IS NULL THEN 'drift metric unavailable' WHEN v >= b THEN 'above threshold' ELSE 'below threshold' END AS reason,
-  CASE WHEN v IS NULL THEN 0 ELSE CAST(v >= b AS INTEGER) + CAST(coalesce(target >= 0.25, false) AS INTEGER) + CAST(coalesce(fell >= 0.1, false) AS INTEGER) END AS n_signals FROM g)"""
+  CASE WHEN v IS NULL THEN '' ELSE array_to_string([{_signal("n", "v", "b")}, {_signal("'targetDriftPSI'", "target", "0.25")}, {_signal("'accuracyDrop'", "fell", "0.1")}], ' ') END AS signals,
+  CASE WHEN v IS NOT NULL THEN 'drift:' || CASE WHEN v >= b OR coalesce(target >= 0.25, false) OR coalesce(fell >= 0.1, false)
+    THEN array_to_string(list_filter([CASE WHEN v >= b THEN {_named("n", "v")} END, CASE WHEN target >= 0.25 THEN {_named("'targetDriftPSI'", "target")} END, CASE WHEN fell >= 0.1 THEN {_named("'accuracyDrop'", "fell")} END], lambda x: x IS NOT NULL), ',') ELSE {_named("n", "v")} END END AS retrain_reason FROM g)"""
 
 
-@_query(f"WITH {_DRIFT_GATE} SELECT * FROM gate")
+@_query(f"WITH {_DRIFT_GATE} SELECT id, breached, reason, signals FROM gate")
 def drift_gate(spark, d):
-    return gates.drift_gate(_drift_rows(spark, d)).select("id", "breached", "reason", F.size(F.filter("signals", lambda s: s["breached"])).alias("n_signals"))
+    told = F.transform("signals", lambda s: F.concat(s["metric"], F.lit("="), F.coalesce(s["value"].cast("string"), F.lit("null")), F.lit(":"), s["breached"].cast("string")))
+    return gates.drift_gate(_drift_rows(spark, d)).select("id", "breached", "reason", F.array_join(told, " ").alias("signals"))
 
 
-@_query(f"WITH {_DRIFT_GATE} SELECT id, CASE WHEN reason = 'drift metric unavailable' THEN 'not_attempted' WHEN breached THEN 'triggered' ELSE 'not_needed' END AS retrain, CASE WHEN reason <> 'drift metric unavailable' THEN greatest(n_signals, 1) END AS named FROM gate")
+@_query(f"WITH {_DRIFT_GATE} SELECT id, CASE WHEN reason = 'drift metric unavailable' THEN 'not_attempted' WHEN breached THEN 'triggered' ELSE 'not_needed' END AS retrain, retrain_reason FROM gate")
 def retrain_decision(spark, d):
     out = gates.retrain_decision(gates.drift_gate(_drift_rows(spark, d)))
-    return out.select("id", "retrain", F.when(F.col("retrain_reason").isNotNull(), F.size(F.split("retrain_reason", ","))).alias("named"))
+    return out.select("id", "retrain", "retrain_reason")
 
 
 _AUDITS = "a AS (SELECT s_suppkey AS id, 0.7 + (s_suppkey % 10) * 0.03 AS accuracy, 0.9 + (s_suppkey % 7) * 0.015 AS recall, s_suppkey % 3 - 1 AS short, 0.2 + (s_suppkey % 5) * 0.05 AS before, 0.2 + (s_suppkey % 4) * 0.06 AS after, CASE WHEN s_suppkey % 11 <> 0 THEN 0.02 + (s_suppkey % 6) * 0.008 END AS ece, CASE WHEN s_suppkey % 13 <> 0 THEN 0.9 END AS agreement, 0.05 AS eo FROM supplier)"
@@ -262,6 +274,33 @@ def release_gate(spark, d):
     return gates.release_gate(audits, "id").withColumn("stage", gates.stage_for(F.col("passed")))
 
 
+@_query(f"""WITH {_AUDITS} SELECT id, CASE WHEN accuracy >= 0.75 AND recall >= 0.95 THEN 'Staging' ELSE 'Development' END AS stage, CASE WHEN accuracy >= 0.75 AND recall >= 0.95 THEN 'passed' ELSE 'failed' END AS release_gate, printf('%.4f', accuracy) AS overall_accuracy, printf('%.4f', recall) AS red_flag_recall, CASE WHEN ece IS NOT NULL THEN printf('%.4f', ece) END AS calibration_ece, sha256(CAST(id AS VARCHAR)) AS model_sha256 FROM a""")
+def version_tags(spark, d):
+    k = F.col("s_suppkey")
+    step = lambda m, base, by: base + (k % m).cast("double") * by
+    rows = table(spark, d, "supplier").select(k.alias("id"), step(10, 0.7, 0.03).alias("accuracy"), step(7, 0.9, 0.015).alias("red_flag_recall"), F.when(k % 11 != 0, step(6, 0.02, 0.008)).alias("ece"), F.sha2(k.cast("string"), 256).alias("model_sha256"))
+    return gates.version_tags(rows, (F.col("accuracy") >= 0.75) & (F.col("red_flag_recall") >= 0.95)).drop("accuracy", "ece")
+
+
+@_query("SELECT p_partkey AS id, p_partkey % 3 <> 0 AND p_partkey % 5 <> 0 AS passed FROM part")
+def pointer_gate(spark, d):
+    k = F.col("p_partkey")
+    rows = table(spark, d, "part").select(k.alias("id"), F.md5("p_name").alias("current"), F.when(k % 3 == 0, F.md5(F.concat("p_name", F.lit(" ")))).when(k % 5 != 0, F.md5("p_name")).alias("committed"))
+    return gates.pointer_gate(rows).select("id", "passed")
+
+
+@_query("SELECT o_custkey AS family, arg_max('m-' || CAST(o_orderkey AS VARCHAR), (o_orderdate, 'm-' || CAST(o_orderkey AS VARCHAR))) FILTER (o_orderkey % 3 <> 0 AND o_orderkey % 4 = 1) AS path FROM orders GROUP BY 1")
+def newest_compatible(spark, d):
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("family"), F.concat(F.lit("m-"), k.cast("string")).alias("path"), F.col("o_orderdate").alias("modified"), (k % 3 != 0).alias("compatible"), F.when(k % 4 < 2, k % 4 == 1).alias("intact"))
+    return contracts.newest_compatible(rows)
+
+
+@_query("SELECT * FROM (VALUES ('json', 'available'), ('no_such_backend', 'not installed (no_such_backend)')) AS t(module, status)")
+def backend_status(spark, d):
+    return contracts.backend_status(spark, ["json", "no_such_backend"])
+
+
 _CANARY = "c AS (SELECT o_custkey AS ramp, o_orderkey AS step, CASE WHEN o_orderkey % 29 <> 0 THEN (o_orderkey % 101) / 9000.0 END AS err, CASE WHEN o_orderkey % 31 <> 0 THEN (o_orderkey % 103) / 5000.0 END AS tool FROM orders)"
 
 
@@ -399,17 +438,33 @@ def content_hash(spark, d):
     return out.withColumn("version", snapshot.version_id(F.col("sha256"), "rf/200"))
 
 
-@_query("SELECT true AS intact")
+def _hashes(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Content hashes of the orders: recorded, made again in another layout, with one row altered, without one row, and none."""
+    orders = table(spark, d, "orders")
+    key = F.col("o_orderkey")
+    last = orders.agg(F.max("o_orderkey")).first()[0]
+    made = {
+        "recorded": orders,
+        "again": orders.repartition(7, "o_custkey"),
+        "altered": orders.withColumn("o_orderpriority", F.when(key == last, F.lit("x")).otherwise(F.col("o_orderpriority"))),
+        "shorter": orders.where(key != last),
+    }
+    return {k: snapshot.content_hash(v, _HASH_COLUMNS) for k, v in made.items()} | {"none": spark.createDataFrame([], "sha256 string")}
+
+
+_CASES = ("recorded", "again", "altered", "shorter", "none")
+
+
+@_query("SELECT * FROM (VALUES ('recorded', true), ('again', true), ('altered', false), ('shorter', false), ('none', false)) AS t(kase, intact)")
 def lineage(spark, d):
-    h = snapshot.content_hash(table(spark, d, "orders"), _HASH_COLUMNS)
-    again = snapshot.content_hash(table(spark, d, "orders").repartition(7, "o_custkey"), _HASH_COLUMNS)
-    return gates.lineage(h, again, h)
+    h = _hashes(spark, d)
+    return reduce(DataFrame.unionByName, [gates.lineage(h["recorded"], h[k], h["recorded"]).withColumn("kase", F.lit(k)) for k in _CASES])
 
 
-@_query("SELECT 'match' AS status")
+@_query("SELECT * FROM (VALUES ('recorded', 'match'), ('again', 'match'), ('altered', 'mismatch'), ('shorter', 'mismatch'), ('none', 'no_baseline')) AS t(kase, status)")
 def snapshot_reproducible(spark, d):
-    h = snapshot.content_hash(table(spark, d, "orders"), _HASH_COLUMNS)
-    return gates.reproducible(h, h)
+    h = _hashes(spark, d)
+    return reduce(DataFrame.unionByName, [gates.reproducible(h[k], h["recorded"]).withColumn("kase", F.lit(k)) for k in _CASES])
 
 
 @_query("""WITH v AS (SELECT l_discount AS a, l_tax AS b, l_quantity / 50.0 AS c, CAST(l_linenumber % 5 AS INTEGER) AS y FROM lineitem), c AS (SELECT y, count(*) AS n FROM v GROUP BY y)
@@ -420,10 +475,14 @@ def data_validation(spark, d):
     return snapshot.validation(rows, ["a", "b", "c"])
 
 
-@_query("SELECT false AS passed, 'in_unit_range' AS failed_rule")
+@_query("""WITH v AS (SELECT l_orderkey % 4 AS kase, CASE WHEN l_orderkey % 4 = 0 THEN l_quantity WHEN l_orderkey % 4 = 1 AND l_linenumber = 6 THEN NULL ELSE l_discount END AS a, CASE WHEN l_orderkey % 4 = 2 AND l_linenumber = 7 THEN 9 ELSE CAST(l_linenumber % 5 AS INTEGER) END AS y FROM lineitem),
+n AS (SELECT kase, y, count(*) AS n FROM v GROUP BY ALL), c AS (SELECT kase, min(n) >= 100 AS enough, max(n) <= 0.6 * sum(n) AS even FROM n GROUP BY kase)
+SELECT kase, failed_rule IS NULL AS passed, failed_rule FROM (SELECT kase, CASE WHEN count(*) FILTER (a IS NULL) > 0 THEN 'finite' WHEN count(*) FILTER (NOT a BETWEEN 0 AND 1) > 0 THEN 'in_unit_range' WHEN count(*) FILTER (y NOT BETWEEN 0 AND 4) > 0 THEN 'known_labels' WHEN NOT any_value(enough) THEN 'class_rows' WHEN NOT any_value(even) THEN 'class_share' END AS failed_rule FROM v JOIN c USING (kase) GROUP BY kase)""")
 def data_validation_gate(spark, d):
-    rows = table(spark, d, "lineitem").select(F.col("l_quantity").alias("a"), (F.col("l_linenumber") % 5).cast("int").alias("y"))
-    return snapshot.first_failure(snapshot.validation(rows, ["a"]))
+    key, line = F.col("l_orderkey") % 4, F.col("l_linenumber")
+    a = F.when(key == 0, F.col("l_quantity")).when((key == 1) & (line == 6), F.lit(None)).otherwise(F.col("l_discount"))
+    rows = table(spark, d, "lineitem").select(key.alias("kase"), a.alias("a"), F.when((key == 2) & (line == 7), 9).otherwise((line % 5).cast("int")).alias("y"))
+    return reduce(DataFrame.unionByName, [snapshot.first_failure(snapshot.validation(rows.where(F.col("kase") == k), ["a"])).withColumn("kase", F.lit(k).cast("long")) for k in range(4)])
 
 
 def _rank_sql(seed: str) -> str:
@@ -585,11 +644,16 @@ def fuzzy_text_features(spark, d):
     return out.select("doc_id", "symptom_count", "text_length", "age_band", "sex_female", "uncovered")
 
 
-@_query("SELECT a.n_nationkey AS a, b.n_nationkey AS b, left(lower(a.n_name), 4) = left(lower(b.n_name), 4) AS same FROM nation a JOIN nation b USING (n_regionkey)")
-def short_words_verbatim(spark, d):
-    n = table(spark, d, "nation").select("n_regionkey", "n_nationkey", F.left(F.lower("n_name"), F.lit(4)).alias("w"))
-    m = n.select("n_regionkey", F.col("n_nationkey").alias("b"), F.col("w").alias("v"))
-    return n.join(m, "n_regionkey").select(F.col("n_nationkey").alias("a"), "b", matching.same_word(F.col("w"), F.col("v"), []).alias("same"))
+_EXACT = ["anti_histone", "stomach"]
+_WORD_PAIRS = ["stomach", "stomachs", "stomack", "stomech", "stom", "sto", "chest", "chests", "chess", "ache", "aches", "headache", "headach", "headachy", "head", "breath", "breathe", "breathing", "bread", "feverish", "fever", "fevers", "severe"]
+
+
+@_query(f"""WITH w AS (SELECT unnest({_WORD_PAIRS}) AS w) SELECT k.w AS keyword, t.w AS token, k.w = t.w OR (len(t.w) >= {matching.FUZZY_LENGTH} AND t.w NOT IN ('anti_histone', 'stomach') AND ((len(k.w) >= {matching.PREFIX} AND len(t.w) >= {matching.PREFIX} AND left(k.w, {matching.PREFIX}) = left(t.w, {matching.PREFIX}))
+ OR (len(t.w) >= {matching.EDIT_LENGTH} AND len(k.w) >= {matching.EDIT_PREFIX} AND left(k.w, {matching.EDIT_PREFIX}) = left(t.w, {matching.EDIT_PREFIX}) AND levenshtein(k.w, t.w) <= 1))) AS same FROM w k, w t""")
+def same_words(spark, d):
+    words = spark.createDataFrame([(w,) for w in _WORD_PAIRS], "keyword string")
+    pairs = words.crossJoin(words.select(F.col("keyword").alias("token")))  # a fixed list with itself
+    return pairs.withColumn("same", matching.same_word(F.col("keyword"), F.col("token"), _EXACT))
 
 
 _VEC = "v AS (SELECT l_orderkey, l_linenumber, [CAST(l_linenumber % 2 AS DOUBLE), CAST(l_quantity > 25 AS DOUBLE), least(l_linenumber % 2 + CAST(l_quantity > 25 AS INTEGER), 6) / 6.0 + CASE WHEN l_tax > 0.07 THEN 0.1 ELSE 0 END, l_discount, CAST(l_linenumber % 4 = 0 AS DOUBLE), CAST(l_linenumber % 4 = 1 AS DOUBLE), CAST(l_linenumber % 4 = 2 AS DOUBLE), CAST(l_linenumber % 4 = 3 AS DOUBLE), CAST(l_returnflag = 'R' AS DOUBLE)] AS x, l_tax FROM lineitem)"
@@ -619,13 +683,34 @@ def display_labels(spark, d):
 
 # -- personal data ----------------------------------------------------------------------
 
-@_query("SELECT doc_id, regexp_matches(text, '(?i)\\b[STFGM]\\d{7}[A-Z]\\b') AS nric, regexp_matches(text, '\\b[\\w.+-]+@[\\w-]+\\.[\\w.-]+\\b') AS email FROM documents")
+# RE2 has no look-around: what stands before and after is matched and put back, twice, as neighbours share it.
+_W, _D, _S = r"\p{L}\p{N}_", r"\p{Nd}", r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+_SHAPES = {
+    "NRIC": rf"(?i)(^|[^{_W}])[STFGM]{_D}{{7}}[A-Z]($|[^{_W}])",
+    "PHONE": rf"(^|[^{_D}+-])(?:\+{_D}{{1,3}}(?:{_S}|-)?{_D}{{2,4}}(?:(?:{_S}|-)?{_D}{{2,4}}){{1,3}}|(?:\+?65(?:{_S}|-)?)?[3689]{_D}{{3}}(?:{_S}|-)?{_D}{{4}})($|[^{_D}-])",
+    "MRN": rf"(^|[^{_W}]){_D}{{7,}}($|[^{_W}])",
+}
+#: An address begins and ends with a word character in the texts; the greedy tail gives back what isn't.
+_MAIL = rf"(^|[^{_W}])([.+-]*)[{_W}][{_W}.+-]*@[{_W}-]+\.[{_W}.-]*[{_W}]"
+
+
+def _masked(kind: str, text: str) -> str:
+    if kind == "EMAIL":
+        return f"regexp_replace({text}, '{_MAIL}', '\\1\\2[REDACTED_EMAIL]', 'g')"
+    once = lambda t: f"regexp_replace({t}, '{_SHAPES[kind]}', '\\1[REDACTED_{kind}]\\2', 'g')"
+    return once(once(text))
+
+
+_REDACTED = f"""a AS (SELECT doc_id, text AS t0, {_masked('NRIC', 'text')} AS t1 FROM documents), b AS (SELECT *, {_masked('EMAIL', 't1')} AS t2 FROM a), c AS (SELECT *, {_masked('PHONE', 't2')} AS t3 FROM b), d AS (SELECT *, {_masked('MRN', 't3')} AS t4 FROM c)"""
+
+
+@_query(f"WITH {_REDACTED} SELECT doc_id, t1 <> t0 AS nric, t2 <> t1 AS email, t3 <> t2 AS phone, t4 <> t3 AS mrn FROM d")
 def redact_kinds(spark, d):
     out = redaction.redact(table(spark, d, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.array_contains("kinds", "NRIC").alias("nric"), F.array_contains("kinds", "EMAIL").alias("email"))
+    return out.select("doc_id", *[F.array_contains("kinds", k).alias(k.lower()) for k in redaction.KINDS])
 
 
-@_query()
+@_query(f"WITH {_REDACTED} SELECT doc_id, sha256(t4) AS masked_sha256, array_to_string(list_filter([CASE WHEN t1 <> t0 THEN 'NRIC' END, CASE WHEN t2 <> t1 THEN 'EMAIL' END, CASE WHEN t3 <> t2 THEN 'PHONE' END, CASE WHEN t4 <> t3 THEN 'MRN' END], lambda x: x IS NOT NULL), ',') AS kinds FROM d")
 def redact_mask(spark, d):
     return redaction.redact(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.sha2("masked", 256).alias("masked_sha256"), F.array_join("kinds", ",").alias("kinds"))
 
@@ -637,13 +722,24 @@ def json_string_leaves(spark, d):
     return redaction.json_strings(e.select("event_id", body.alias("body"))).select("event_id", "field", "value")
 
 
-@_query("SELECT user_id, count(*) FILTER (event_id % 3 = 0) AS n FROM events GROUP BY 1 HAVING count(*) FILTER (event_id % 3 = 0) > 0")
+_NOTES = {0: ("mail u{}@example.org", "EMAIL", "mail [REDACTED_EMAIL]"), 1: ("card S{}A", "NRIC", "card [REDACTED_NRIC]"), 2: ("ring 9{}", "PHONE", "ring [REDACTED_PHONE]"), 3: ("file 111{}", "MRN", "file [REDACTED_MRN]")}
+
+
+@_query(f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) || CASE CAST(user_id % 3 AS INTEGER) WHEN 0 THEN '.json' WHEN 1 THEN '.jsonl' ELSE '.txt' END AS name, event_id % 5 AS k, user_id % 3 AS f FROM events)
+SELECT name, CASE WHEN f < 2 THEN 'note' END AS field, ['EMAIL', 'NRIC', 'PHONE', 'MRN'][k + 1] AS kind, CASE WHEN f < 2 THEN '' ELSE 'plain ' END || ['{_NOTES[0][2]}', '{_NOTES[1][2]}', '{_NOTES[2][2]}', '{_NOTES[3][2]}'][k + 1] AS excerpt, count(*) AS n FROM e WHERE k < 4 GROUP BY ALL""")
 def egress_scan(spark, d):
-    k = F.col("event_id")
-    body = F.to_json(F.struct(F.concat(F.lit("case_"), F.lpad(k.cast("string"), 10, "0")).alias("caseId"), F.when(k % 3 == 0, F.concat(F.lit("mail u"), k.cast("string"), F.lit("@example.org"))).otherwise("nothing").alias("note")))
-    docs = table(spark, d, "events").select(F.concat(F.col("user_id").cast("string"), F.lit(".json")).alias("name"), body.alias("body"))
-    found = redaction.scan_documents(docs).where("kind = 'EMAIL'")
-    return found.groupBy(F.split("name", r"\.").getItem(0).cast("long").alias("user_id")).agg(F.count(F.lit(1)).alias("n"))
+    """Documents of all three kinds, with one identifier of each kind and machine tokens that are none."""
+    k, u = F.col("event_id"), F.col("user_id")
+    seven = F.lpad(k.cast("string"), 7, "0")
+    note = F.lit("nothing")
+    for i, (shape, _, _) in _NOTES.items():
+        head, tail = shape.split("{}")
+        note = F.when(k % 5 == i, F.concat(F.lit(head), seven, F.lit(tail))).otherwise(note)
+    body = F.to_json(F.struct(F.concat(F.lit("case_"), F.lpad(k.cast("string"), 10, "0")).alias("caseId"), F.lit("2024-01-01T00:00:00Z").alias("ts"), note.alias("note")))
+    made = F.when(u % 3 == 2, F.concat(F.lit("plain "), note)).otherwise(body)
+    name = F.concat(u.cast("string"), F.when(u % 3 == 0, ".json").when(u % 3 == 1, ".jsonl").otherwise(".txt"))
+    found = redaction.scan_documents(table(spark, d, "events").select(name.alias("name"), made.alias("body")))
+    return found.groupBy("name", "field", "kind", "excerpt").agg(F.count(F.lit(1)).alias("n"))
 
 
 # -- reports ----------------------------------------------------------------------------
@@ -652,28 +748,63 @@ _SEV = ["CRITICAL", "HIGH", "MEDIUM", "LOW"]
 
 
 def _reports(spark: SparkSession, d: str) -> DataFrame:
-    """A static scanner's report a supplier and a web scanner's report a nation, made from their rows."""
-    li = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.collect_list(F.struct(F.element_at(F.array(*map(F.lit, _SEV)), F.col("l_linenumber") % 4 + 1).alias("issue_severity"), F.concat(F.lit("part "), (F.col("l_partkey") % 20).cast("string")).alias("issue_text"))).alias("results"))
-    static = li.select(F.concat(F.lit("static-"), F.col("l_suppkey").cast("string")).alias("scanner"), F.to_json(F.struct("results")).alias("body"))
-    return static
-
-
-_FOUND = "found AS (SELECT 'static-' || CAST(l_suppkey AS VARCHAR) AS scanner, ['CRITICAL', 'HIGH', 'MEDIUM', 'LOW'][l_linenumber % 4 + 1] AS severity, 'part ' || CAST(l_partkey % 20 AS VARCHAR) AS finding FROM lineitem)"
+    """(scanner, shape, body): a static scanner's report a supplier, a web scanner's and an image scanner's a nation, made from their rows."""
+    severity = lambda n, k: F.element_at(F.array(*map(F.lit, _SEV)), (n % k + 1).cast("int"))
+    part = F.concat(F.lit("part "), (F.col("l_partkey") % 20).cast("string"))
+    static = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.collect_list(F.struct(severity(F.col("l_linenumber"), 4).alias("issue_severity"), part.alias("issue_text"))).alias("results"))
+    static = static.select(F.concat(F.lit("static-"), F.col("l_suppkey").cast("string")).alias("scanner"), F.lit("static").alias("shape"), F.to_json(F.struct("results")).alias("body"))
+    c = table(spark, d, "customer")
+    key = F.col("c_custkey")
+    web = c.groupBy("c_nationkey").agg(F.array(F.struct(F.collect_list(F.struct(F.concat(F.initcap(severity(key, 4)), F.lit(" (Medium)")).alias("riskdesc"), F.col("c_mktsegment").alias("name"))).alias("alerts"))).alias("site"))
+    web = web.select(F.concat(F.lit("web-"), F.col("c_nationkey").cast("string")).alias("scanner"), F.lit("web").alias("shape"), F.to_json(F.struct("site")).alias("body"))
+    # Reports with LOW findings only are possible, and with none.
+    image = c.groupBy("c_nationkey").agg(F.array(F.struct(F.filter(F.collect_list(F.when(key % 7 == 0, F.struct(F.when(F.col("c_nationkey") % 2 == 0, "LOW").otherwise(severity(key, 4)).alias("Severity"), F.concat(F.lit("V-"), (key % 9).cast("string")).alias("VulnerabilityID")))), lambda x: x.isNotNull() & (F.col("c_nationkey") % 5 != 0)).alias("Vulnerabilities"))).alias("Results"))
+    image = image.select(F.concat(F.lit("image-"), F.col("c_nationkey").cast("string")).alias("scanner"), F.lit("image").alias("shape"), F.to_json(F.struct("Results")).alias("body"))
+    return static.unionByName(web).unionByName(image)
+
+
+_SEVERITY = "['CRITICAL', 'HIGH', 'MEDIUM', 'LOW']"
+_FOUND = f"""found AS (SELECT 'static-' || CAST(l_suppkey AS VARCHAR) AS scanner, {_SEVERITY}[l_linenumber % 4 + 1] AS severity, 'part ' || CAST(l_partkey % 20 AS VARCHAR) AS finding FROM lineitem
+ UNION ALL SELECT 'web-' || CAST(c_nationkey AS VARCHAR), {_SEVERITY}[c_custkey % 4 + 1], c_mktsegment FROM customer
+ UNION ALL SELECT 'image-' || CAST(c_nationkey AS VARCHAR), CASE WHEN c_nationkey % 2 = 0 THEN 'LOW' ELSE {_SEVERITY}[c_custkey % 4 + 1] END, 'V-' || CAST(c_custkey % 9 AS VARCHAR) FROM customer WHERE c_custkey % 7 = 0 AND c_nationkey % 5 <> 0)"""
 
 
 def _found(spark: SparkSession, d: str) -> DataFrame:
-    parsed = _reports(spark, d).select("scanner", F.try_parse_json("body").alias("v"))
-    return scanreport.SHAPES["static"](parsed)
+    reports = _reports(spark, d)
+    parsed = reports.select("scanner", "shape", F.try_parse_json("body").alias("v"))
+    return reduce(DataFrame.unionByName, [rows.withColumn("severity", scanreport.risk_word(F.col("severity"))) if shape == "web" else rows for shape in ("static", "web", "image") for rows in [scanreport.SHAPES[shape](parsed.where(F.col("shape") == shape).drop("shape"))]])
 
 
-@_query(f"WITH {_FOUND} SELECT scanner, count(*) AS findings, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low, 'REVIEW' AS verdict FROM found GROUP BY scanner")
+@_query(f"""WITH {_FOUND}, every AS (SELECT DISTINCT 'static-' || CAST(l_suppkey AS VARCHAR) AS scanner FROM lineitem UNION ALL SELECT DISTINCT k || CAST(c_nationkey AS VARCHAR) FROM customer, (VALUES ('web-'), ('image-')) AS t(k)),
+s AS (SELECT scanner, count(finding) AS findings, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low FROM every LEFT JOIN found USING (scanner) GROUP BY scanner)
+SELECT *, CASE WHEN scanner LIKE 'image-%' THEN CASE WHEN critical > 0 THEN 'BLOCKING' ELSE 'PASS' END WHEN findings = 0 THEN 'PASS' ELSE 'REVIEW' END AS verdict FROM s""")
 def scan_summary(spark, d):
-    return scanreport.summary(_reports(spark, d), _found(spark, d))
+    images = [f"image-{r['n_nationkey']}" for r in table(spark, d, "nation").select("n_nationkey").collect()]  # 25 nations
+    return scanreport.summary(_reports(spark, d), _found(spark, d), {s: "image" for s in images})
 
 
-@_query(f"WITH {_FOUND} SELECT scanner, severity, finding, CAST(row_number() OVER (PARTITION BY scanner ORDER BY list_position(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW'], severity), finding) AS INTEGER) AS rank FROM (SELECT DISTINCT * FROM found)")
+@_query(f"""WITH {_FOUND}, k AS (SELECT scanner, severity, finding, CAST(row_number() OVER (PARTITION BY scanner ORDER BY list_position({_SEVERITY}, severity), finding) AS INTEGER) AS rank, count(*) OVER (PARTITION BY scanner) AS n FROM (SELECT DISTINCT * FROM found))
+SELECT scanner, severity, finding, rank, greatest(n - 12, 0) AS more FROM k WHERE rank <= 12""")
 def finding_dedup(spark, d):
-    return scanreport.notable(_found(spark, d).withColumn("seq", F.col("finding")), "seq").select("scanner", "severity", "finding", "rank")
+    return scanreport.notable(_found(spark, d).withColumn("seq", F.col("finding")), "seq", cap=12).select("scanner", "severity", "finding", "rank", "more")
+
+
+@_query(f"WITH {_FOUND}, n AS (SELECT scanner, count(*) AS n FROM found GROUP BY scanner) SELECT floor((max(n) / 7.0 - min(n) / 7.0) * 1000 + 0.5) / 1000 AS spread FROM n")
+def finding_spread(spark, d):
+    return scanreport.spread(_found(spark, d).groupBy("scanner").agg((F.count(F.lit(1)) / 7.0).alias("n")), "n")
+
+
+@_query("""WITH j AS (SELECT o_custkey % 20 AS k, CAST(o_orderkey AS VARCHAR) AS job, CASE WHEN o_orderkey % 11 = 0 THEN 'extra' ELSE ['build', 'test', 'deploy'][o_orderkey % 3 + 1] END AS stage FROM orders WHERE o_orderkey % 13 <> 0),
+g AS (SELECT k, stage, list_sort(list('job-' || job)) AS jobs FROM j GROUP BY ALL), s AS (SELECT k, stage, position FROM (SELECT DISTINCT k FROM j), (VALUES ('build', 0), ('test', 1), ('deploy', 2), ('idle', 3)) AS t(stage, position))
+SELECT 'p' || CAST(k AS VARCHAR) AS name, stage, position, array_to_string(coalesce(jobs, []), ',') AS jobs FROM s FULL JOIN g USING (k, stage)""")
+def pipeline_model(spark, d):
+    key = F.col("o_orderkey")
+    stage = F.when(key % 11 == 0, "extra").otherwise(F.element_at(F.array(*map(F.lit, ("build", "test", "deploy"))), (key % 3 + 1).cast("int")))
+    jobs = table(spark, d, "orders").where(key % 13 != 0).select((F.col("o_custkey") % 20).alias("k"), F.concat(F.lit('"job-'), key.cast("string"), F.lit('": {"stage": "'), stage, F.lit('"}')).alias("job"))
+    body = F.concat(F.lit('{"stages": ["build", "test", "deploy", "idle"], "variables": {"a": 1}, "image": "x", '), F.array_join(F.collect_list("job"), ", "), F.lit("}"))
+    docs = jobs.groupBy(F.concat(F.lit("p"), F.col("k").cast("string")).alias("name")).agg(body.alias("body"))
+    broken = spark.createDataFrame([("broken", "{"), ("list", "[1]"), ("none", None)], "name string, body string")
+    return scanreport.pipeline_model(docs.unionByName(broken)).select("name", "stage", "position", F.array_join("jobs", ",").alias("jobs"))
 
 
 @_query("SELECT CAST(l_suppkey AS VARCHAR) AS scanner, CASE WHEN l_quantity >= 45 THEN CASE WHEN l_tax * 100 >= 7 THEN 'HIGH' WHEN l_tax * 100 >= 4 THEN 'MEDIUM' ELSE 'LOW' END WHEN l_linenumber % 2 = 0 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, count(*) AS n FROM lineitem GROUP BY ALL")
@@ -720,11 +851,11 @@ def explanation_agreement(spark, d):
     return explain.agreement(_attributions(spark, d))
 
 
-@_query(f"WITH {_rank_sql('fold')}, f AS (SELECT rk % 5 AS fold, avg(CAST(y_true = y_pred AS DOUBLE)) AS acc FROM (SELECT rk, scored.y_true, scored.y_pred FROM ranked JOIN scored ON scored.row_id = ranked.row_id) GROUP BY 1) SELECT {r('avg(acc)')} AS mean, {r('stddev_samp(acc)')} AS std FROM f")
+@_query(f"WITH {_rank_sql('fold')}, f AS (SELECT rk % 5 AS fold, avg(CAST(y_true = y_pred AS DOUBLE)) AS acc FROM (SELECT rk, scored.y_true, scored.y_pred FROM ranked JOIN scored ON scored.row_id = ranked.row_id) GROUP BY 1) SELECT {r('avg(acc)')} AS mean, {r('stddev_samp(acc)')} AS std, string_agg(CAST({r('acc')} AS VARCHAR), ',' ORDER BY fold) AS folds FROM f")
 def cross_validation(spark, d):
     folds = snapshot.stratified_folds(scored(spark, d).select("row_id", "y_true", "y_pred"), "row_id", "y_true")
     by = folds.groupBy("fold").agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("accuracy"))
-    return explain.cross_validation(by, "accuracy").select("mean", "std")
+    return explain.cross_validation(by, "accuracy").select("mean", "std", "folds")
 
 
 @_query("SELECT l_orderkey AS row_id, l_returnflag AS direction, arg_max(l_linenumber, (l_discount, -l_linenumber)) AS feature_index, max(l_discount) AS p FROM lineitem GROUP BY 1, 2")

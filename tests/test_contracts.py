@@ -42,3 +42,33 @@ def test_artifacts(spark, tmp_path):
 
 def test_source_choice(spark):
     assert [contracts.live_or_sample(spark.range(n), spark.range(1), w, 10)[0] for n, w in ((10, True), (9, True), (10, False))] == ["live", "sample", "sample"]
+
+
+def test_newest_compatible(rows):
+    data = [("a", "p1", 1, True, True), ("a", "p2", 3, True, None), ("a", "p3", 4, False, True), ("a", "p4", 2, True, True), ("a", "p5", 2, True, True), ("b", "q", 1, None, True)]
+    df = rows(data, "family string, path string, modified int, compatible boolean, intact boolean")
+    assert {r["family"]: r["path"] for r in contracts.newest_compatible(df).collect()} == {"a": "p5", "b": None}
+
+
+def test_broken_backend(spark, tmp_path, monkeypatch):
+    (tmp_path / "broken_backend_x.py").write_text("raise TypeError('bad layout')")
+    (tmp_path / "needy_backend_x.py").write_text("import not_there_x")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    got = {r["module"]: r["status"] for r in contracts.backend_status(spark, ["broken_backend_x", "needy_backend_x", "json"]).collect()}
+    assert got == {"broken_backend_x": "failed to import (TypeError: bad layout)", "needy_backend_x": "not installed (not_there_x)", "json": "available"}
+
+
+def test_reports_are_whole(rows):
+    import pytest
+
+    from modelwatch.operators import scanreport
+
+    found = rows([("s", "LOW", "b", 1), ("s", "HIGH", "a|c", 2), ("s", "LOW", "b", 3), ("s", "LOW", "d", 4), ("t", "MODERATE", "e", 5)], "scanner string, severity string, finding string, seq int")
+    got = sorted((r["scanner"], r["rank"], r["severity"], r["finding"], r["more"]) for r in scanreport.notable(found, "seq", cap=2).collect())
+    assert got == [("s", 1, "HIGH", "a|c", 1), ("s", 2, "LOW", "b", 1), ("t", 1, "MODERATE", "e", 0)]
+    assert len(scanreport.markdown(found).split("\n")) == 7 and "a\\|c" in scanreport.markdown(found)
+    with pytest.raises(ValueError, match="more than 4 rows"):
+        scanreport.markdown(found, most=4)
+    pipelines = rows([("p", '{"stages": ["a", "b", "a"], "x": {"stage": "b"}, "y": {"stage": "c"}, "z": {"script": 1}, "w": 3}'), ("q", "{}"), ("r", "nonsense")], "name string, body string")
+    got = sorted((r["name"], r["stage"], r["position"], r["jobs"]) for r in scanreport.pipeline_model(pipelines).collect())
+    assert got == [("p", "a", 0, []), ("p", "b", 1, ["x"]), ("p", "c", None, ["y"])]

@@ -78,6 +78,14 @@ def test_vector_round_trip(rows):
         ("mrn 123456789012", "mrn [REDACTED_MRN]", ["MRN"]),
         ("id s1234567d mail a.b@c.org", "id [REDACTED_NRIC] mail [REDACTED_EMAIL]", ["NRIC", "EMAIL"]),
         ("", "", []),
+        ("write é.ü@exämple.org!", "write [REDACTED_EMAIL]!", ["EMAIL"]),
+        ("file ٣٣٣٣٣٣٣٣٣ here", "file [REDACTED_MRN] here", ["MRN"]),
+        ("call +٦٥ ٩١٢٣ ٤٥٦٧", "call [REDACTED_PHONE]", ["PHONE"]),
+        ("ring 9123\u00a04567 now", "ring [REDACTED_PHONE] now", ["PHONE"]),
+        ("éS1234567A and S1234567Aé", "éS1234567A and S1234567Aé", []),
+        ("ø12345678", "ø12345678", []),
+        ("-a.b@c.de-", "-[REDACTED_EMAIL]-", ["EMAIL"]),
+        ("s1234567a 91234567 91234568 1234567", "[REDACTED_NRIC] [REDACTED_PHONE] [REDACTED_PHONE] [REDACTED_MRN]", ["NRIC", "PHONE", "MRN"]),
     ],
 )
 def test_redaction(rows, text, masked, kinds):
@@ -99,3 +107,42 @@ def test_json_leaves_and_scan(rows):
     assert found == [("a.json", 0, "notes", "PHONE"), ("b.json", 2, None, "EMAIL"), ("c.jsonl", 1, "id", "NRIC"), ("c.jsonl", 3, None, "EMAIL"), ("e.json", 2, None, "EMAIL")]
     gate = redaction.egress_gate(redaction.scan_documents(docs), rows([("a.json",), ("z.json",)], "name string"), docs).first()
     assert (gate["verdict"], gate["findings"], gate["skipped"]) == ("FAIL", 5, "z.json")
+
+
+def test_machine_tokens_of_versions(rows):
+    df = rows([("rf-0123456789ab",), ("rf-0123456789ab (a, b)",), ("john-smith-0123456789ab",), ("2024-01-02T03:04:05Z",), ("case_12345678",)], "v string")
+    got = [tuple(r) for r in df.select(redaction.machine_token(df["v"]), redaction.machine_token(df["v"], prefixes=("rf",))).collect()]
+    assert got == [(False, True), (False, True), (False, False), (True, True), (True, True)]
+
+
+def test_synthetic_texts(spark):
+    """Every text, word by word, from the draws that its number gives."""
+    import hashlib
+
+    from modelwatch.plans.catalogue import PHRASES, PROFILES
+    from modelwatch.sources import synth
+
+    def u(i, purpose, *more):
+        return int(hashlib.md5(":".join(map(str, (42, purpose, i, *more))).encode()).hexdigest()[:7], 16) / (1 << 28)
+
+    def pick(xs, x):
+        return xs[int(x * len(xs))]
+
+    for shift in (False, True):
+        prior = synth.SHIFTED if shift else synth.PRIOR
+        for r in synth.cases(spark, 400, PROFILES, PHRASES, shift=shift).collect():
+            i, base = r["id"], 0
+            while base < 4 and u(r["id"], "class") >= round(sum(prior[: base + 1]), 10):
+                base += 1
+            chosen = list(pick(PROFILES[base], u(i, "combo")))
+            if u(i, "extra") < (0.30 if shift else 0.15):
+                chosen.append(pick(sorted({c for k in (base - 1, base, base + 1) for combo in PROFILES.get(k, []) for c in combo}), u(i, "distractor")))
+            text = "not feeling well" if u(i, "vague") < 0.08 else " and ".join(_phrase(i, k, PHRASES[c]) for k, c in enumerate(chosen))
+            assert r["text"] == text
+            assert r["y"] == (base - 1 if r["band"] == "65+" and base in (2, 3) and u(i, "escalate") < 0.85 else base)
+
+
+def _phrase(i, k, phrases):
+    import hashlib
+
+    return phrases[int(int(hashlib.md5(f"42:phrase:{i}:{k}".encode()).hexdigest()[:7], 16) / (1 << 28) * len(phrases))]
