@@ -53,10 +53,17 @@ def denied(before: Column, after: Column) -> Column:
 
 
 def reported(needle: Column, hay: Column) -> Column:
-    """``needle`` occurs in ``hay`` at some place where it isn't denied; overlapping places count."""
-    size = F.length(needle)
-    places = F.sequence(F.lit(1), F.greatest(F.length(hay) - size + 1, F.lit(1)))
-    return F.contains(hay, needle) & F.exists(places, lambda i: (F.substring(hay, i, size) == needle) & ~denied(tokens(F.substring(hay, F.lit(1), i - 1)), F.substring(hay, i + size, F.length(hay))))
+    """``needle`` occurs in ``hay`` at some place where it isn't denied; overlapping places count.
+
+    The clause is cut before each place by a pattern, so only places are judged; and only
+    clauses that contain the needle are cut.
+    """
+    parts = F.split(hay, F.concat(F.lit("(?=\\Q"), needle, F.lit("\\E)")))
+    before = lambda k: F.array_join(F.slice(parts, F.lit(1), k), "")
+    after = lambda k: F.substring(hay, F.length(before(k)) + F.length(needle) + 1, F.length(hay))
+    start = F.when(F.startswith(hay, needle), 0).otherwise(1)
+    places = F.when(F.size(parts) > start, F.sequence(start, F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.contains(hay, needle) & F.exists(places, lambda k: ~denied(tokens(before(k)), after(k)))
 
 
 def same_word(keyword: Column, token: Column, exact: Sequence[str]) -> Column:

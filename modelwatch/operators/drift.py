@@ -40,20 +40,23 @@ def feature_psi(long: DataFrame, places: int = 6) -> DataFrame:
     edges = F.array_distinct(F.transform("quantiles", lambda q: rounded(q, 6)))
     bounds = deciles.select("feature", F.element_at("quantiles", 1).alias("lo"), F.element_at("quantiles", -1).alias("hi"), edges.alias("edges"))
     with_bounds = long.join(F.broadcast(bounds), "feature")  # one row a feature
-    # A third level lies strictly between the smallest and the largest one.
-    inner = with_bounds.where((F.col("side") == "ref") & (F.col("value") > F.col("lo")) & (F.col("value") < F.col("hi"))).select("feature").distinct().withColumn("many", F.lit(True))
-    kind = with_bounds.join(F.broadcast(inner), "feature", "left").withColumn("many", F.coalesce("many", F.lit(False)))
+    inside = (F.col("value") >= F.element_at("edges", 1)) & (F.col("value") <= F.element_at("edges", -1))
     last = F.size("edges")
-    in_bin = F.when((F.col("value") >= F.element_at("edges", 1)) & (F.col("value") <= F.element_at("edges", -1)), F.greatest(F.least(F.size(F.filter("edges", lambda e: e <= F.col("value"))), last - 1), F.lit(1)))
+    in_bin = F.when(inside, F.greatest(F.least(F.size(F.filter("edges", lambda e: e <= F.col("value"))), last - 1), F.lit(1)))
     level = F.when(F.col("value") == F.col("lo"), 1).when(F.col("value") == F.col("hi"), 2).otherwise(3)
-    binned = kind.select("feature", "side", "many", F.when(F.col("many"), in_bin).otherwise(level).alias("bin"), F.when(F.col("many"), F.greatest(last - 1, F.lit(1))).when(F.col("lo") == F.col("hi"), 1).otherwise(2).alias("bins"))
-    counts = binned.where("bin is not null").groupBy("feature", "many", "bins", "bin").agg(F.count_if(F.col("side") == "ref").alias("e"), F.count_if(F.col("side") == "cur").alias("a"))
-    by = counts.groupBy("feature", "many", "bins").agg(F.map_from_entries(F.collect_list(F.struct("bin", F.struct("e", "a")))).alias("m"), F.sum("e").alias("ne"), F.sum("a").alias("na"))
+    # One pass counts both by level and by bin; a third level of the reference tells which of them holds.
+    binned = with_bounds.select("feature", "side", F.greatest(last - 1, F.lit(1)).alias("bins"), (F.col("lo") == F.col("hi")).alias("single"), in_bin.alias("bin"), level.alias("level"), ((F.col("value") > F.col("lo")) & (F.col("value") < F.col("hi"))).alias("between"))
+    counts = binned.groupBy("feature", "bins", "single", "bin", "level").agg(F.count_if(F.col("side") == "ref").cast("double").alias("e"), F.count_if(F.col("side") == "cur").cast("double").alias("a"), F.count_if((F.col("side") == "ref") & F.col("between")).alias("between"))
+    by = counts.groupBy("feature", "bins", "single").agg((F.sum("between") > 0).alias("many"), F.collect_list(F.struct("bin", "level", "e", "a")).alias("cells"))
+    by = by.withColumn("cells", F.filter(F.transform("cells", lambda c: F.struct(F.when(F.col("many"), c["bin"]).otherwise(c["level"]).alias("bin"), c["e"].alias("e"), c["a"].alias("a"))), lambda c: c["bin"].isNotNull()))
+    total = lambda cells, f: F.aggregate(cells, F.lit(0.0), lambda s, c: s + c[f])
+    by = by.withColumns({"ne": F.greatest(total("cells", "e"), F.lit(1.0)), "na": F.greatest(total("cells", "a"), F.lit(1.0))})
     # Deciles with a single edge hold one point; both sides then have all of what counts.
-    spine = F.concat(F.sequence(F.lit(1), F.col("bins")), F.when(~F.col("many") & F.map_contains_key("m", F.lit(3)), F.array(F.lit(3))).otherwise(F.array().cast("array<int>")))
-    share = lambda b, f, n: F.coalesce(F.try_element_at("m", b)[f].cast("double"), F.lit(0.0)) / F.greatest(F.col(n), F.lit(1))
+    few = F.when(F.exists("cells", lambda c: c["bin"] == 3), F.array(F.lit(3))).otherwise(F.array().cast("array<int>"))
+    spine = F.when(F.col("many"), F.sequence(F.lit(1), F.col("bins"))).otherwise(F.concat(F.sequence(F.lit(1), F.when(F.col("single"), 1).otherwise(2)), few))
+    share = lambda b, f, n: total(F.filter("cells", lambda c: c["bin"] == b), f) / F.col(n)
     psi = F.aggregate(spine, F.lit(0.0), lambda s, b: s + _term(share(b, "e", "ne"), share(b, "a", "na")))
-    return by.select("feature", rounded(psi, places).alias("psi"))
+    return by.where(F.size("cells") > 0).select("feature", rounded(psi, places).alias("psi"))
 
 
 def drift_detail(psis: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
