@@ -12,7 +12,10 @@ def turn_lists(turns: DataFrame) -> DataFrame:
     Turns are ordered by (turn, role, text); nulls sort first and count as the empty
     string in hashes. The hash after turn k is SHA-256 of the hash after turn k-1,
     the role's length, the role and the text, so equal prefixes and no others
-    share hashes. Rows without conv_id belong to no conversation and are left out.
+    share hashes. Rows without conv_id belong to no conversation and are left out; a turn row
+    that repeats is one more turn. Turns that tie in number go by role and text. Other columns
+    are dropped; an empty table gives an empty table. A conversation is one row, so its turns,
+    however long, are in one task; prefixes cost its number of turns in hashes, not in texts.
     """
     none = F.lit("")
     turn = F.struct(F.col("turn"), F.coalesce("role", none).alias("role"), F.coalesce("text", none).alias("text"))
@@ -38,9 +41,14 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
     return lists.select("conv_id", "turns").join(kept, "conv_id")
 
 
-def render(conversations: DataFrame, opening: str = "<|", closing: str = "|>\n", end: str = "\n") -> DataFrame:
-    """Adds ``rendered``: each turn as opening, role, closing, text, end."""
-    lines = F.transform("turns", lambda t: F.concat(F.lit(opening), t["role"], F.lit(closing), t["text"], F.lit(end)))
+def render(conversations: DataFrame, opening: str = "<|", closing: str = "|>\n", end: str = "\n", escape: str = "") -> DataFrame:
+    """Adds ``rendered``: each turn as opening, role, closing, text, end.
+
+    escape: put after each opening mark that a role or a text has, so that neither can pass
+    for a turn; without it they are rendered as they are.
+    """
+    own = (lambda c: F.replace(c, F.lit(opening), F.lit(opening + escape))) if escape else (lambda c: c)
+    lines = F.transform("turns", lambda t: F.concat(F.lit(opening), own(t["role"]), F.lit(closing), own(t["text"]), F.lit(end)))
     return conversations.withColumn("rendered", F.array_join(lines, ""))
 
 

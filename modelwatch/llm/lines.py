@@ -217,7 +217,8 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds:
 
     In the order of a hash of doc_id a document is taken if its lines still fit into SAMPLE_LINES.
 
-    Without documents of both labels every line is content.
+    Without documents of both labels every line is content. A doc_id that repeats counts with
+    each of its rows; null texts have one empty line.
     """
     wide = "doc_id long, label int, n long, x binary"
     schema = arrow_schema(wide)
@@ -262,8 +263,11 @@ RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 def judge(documents: DataFrame, field: Field) -> DataFrame:
     """RESULT of every row: counts over the whole text, whether the base rules fail, and the verdict.
 
-    kept: the base rules hold and half of the words at least are in content lines.
-    Null and empty texts have no words and fail.
+    kept: the base rules hold and half of the words at least are in content lines; of
+    labels that score alike content wins. Null, empty and short texts fail the base rules.
+    Repeated rows, and rows without doc_id, are each judged by their own text. A very long
+    text is a slice of its own; memory follows the longest one. Other columns are dropped; an
+    empty table gives an empty table.
     """
     schema = arrow_schema(RESULT)
 
@@ -284,7 +288,7 @@ def judge(documents: DataFrame, field: Field) -> DataFrame:
 
 
 def keep_content(documents: DataFrame, field: Field) -> DataFrame:
-    """The rows of ``documents`` that ``judge`` keeps, as they are."""
+    """The rows of ``documents`` that ``judge`` keeps, as they are, with all their columns, whatever repeats or has no doc_id."""
     schema = arrow_schema(documents.schema)
 
     def make():

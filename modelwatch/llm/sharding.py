@@ -31,7 +31,9 @@ def assign_shards(rows: DataFrame, shards: int = 40) -> DataFrame:
 
     Rows with equal doc_id are ordered by checksum and size; rows equal in all of
     these are interchangeable. A null doc_id sorts first. One row wider than a share
-    can leave shards empty. An empty table gives no rows.
+    can leave shards empty. An empty table gives no rows. Only sizes travel, so long texts
+    cost nothing here; other columns are dropped. Rows equal in all three columns meet in one
+    range partition, as narrow rows.
     """
     keys = ["doc_id", "text_crc32", "size"]
     ordered = checkpointed(rows.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys))

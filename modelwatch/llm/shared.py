@@ -92,6 +92,7 @@ class Scratch:
 
 
 def arrow_schema(schema: str | StructType) -> pa.Schema:
+    """The Arrow schema of a Spark one."""
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     return to_arrow_schema(kind)
 

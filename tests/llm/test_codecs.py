@@ -322,3 +322,24 @@ def test_chat(rows):
     got = {r["conv_id"]: (r["n_copies"], r["rendered"]) for r in chat.render(chat.maximal_conversations(df)).collect()}
     assert got == {3: (1, "<|user|>\nhi\n<|assistant|>\nyes\n<|user|>\n\n"), 5: (2, "<|user|>\nho\n"), 6: (1, "<|us|>\nerhi\n")}
     assert chat.maximal_conversations(df.limit(0)).count() == 0
+
+
+def test_chat_with_more_columns_and_repeats(rows):
+    from pyspark.sql import functions as F
+
+    data = [(1, 0, "user", "a"), (1, 0, "user", "a"), (2, 0, "user", "a"), (3, None, None, None), (4, 0, "user", "<|x|>")]
+    df = rows(data, "conv_id long, turn int, role string, text string").withColumns({c: F.lit("z") for c in ("turns", "prefixes", "whole", "n_copies", "rendered")})
+    got = {r["conv_id"]: r["rendered"] for r in chat.render(chat.maximal_conversations(df)).collect()}
+    assert got == {1: "<|user|>\na\n" * 2, 3: "<||>\n\n", 4: "<|user|>\n<|x|>\n"}  # 2 is a prefix of 1
+    safe = {r["conv_id"]: r["rendered"] for r in chat.render(chat.maximal_conversations(df), escape="\\").collect()}
+    assert safe[4] == "<|user|>\n<|\\x|>\n" and safe[1] == got[1]
+
+
+def test_sharding_of_a_hot_row(rows):
+    """Equal rows in one partition: slots and shares hold."""
+    docs = rows([(7, "x" * 84)] * 900 + [(i, "y" * (i % 50)) for i in range(300)], "doc_id long, text string").repartition(6)
+    got = sharding.assign_shards(sharding.sized(docs), 8).collect()
+    total = sum(r["size"] for r in got)
+    for k in range(8):
+        own = sorted(r["slot"] for r in got if r["shard"] == k)
+        assert own == list(range(len(own))) and abs(sum(r["size"] for r in got if r["shard"] == k) - total / 8) <= 100

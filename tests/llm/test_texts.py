@@ -398,6 +398,31 @@ def test_pipeline(spark):
     assert all(full[p["doc_id"]] == p["doc_tokens"] for p in pieces)
 
 
+def test_pipeline_of_odd_rows(spark, rows, tmp_path):
+    """Nulls in every column, repeated rows, a shared doc_id, very long texts, a text that loses all its words, and no rows at all."""
+    import corpus_pipeline
+
+    texts, labels = _labelled(rows, 60)
+    rng = random.Random(6)
+    words_of = sorted({w.strip(".").lower() for i, t in enumerate(texts) if i % 4 for w in t.split()})
+    story = lambda n: "\n".join(" ".join(rng.choice(words_of) for _ in range(12)).capitalize() + "." for _ in range(n))
+    long, part = story(2500), story(9)
+    odd = [(None, texts[1], "en", "s", 5), (1, texts[1], "en", "s", None), (1, texts[1], "en", "s", None), (70, None, None, None, None), (71, "", None, None, 0), (72, long, "en", None, len(long)), (73, part, "en", "s", len(part)), (73, story(9), "en", "s", 1), (74, story(30) + "\n" + part, "en", "s", 1), (75, part + "\n" + story(60), "en", "s", 1)]
+    docs = _frame(rows, texts).unionByName(rows(odd, TEXTS))
+    for name, table in (("whole", docs), ("none", docs.limit(0))):
+        table.repartition(3).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/whole")
+    pieces = out.collect()
+    kept = {p["doc_id"] for p in pieces}
+    assert {72, 73, 74, 75, None} <= kept and not {70, 71} & kept and len([p for p in pieces if p["doc_id"] == 72]) > 2
+    assert sum(p["start"] == 0 for p in pieces if p["doc_id"] == 73) == 2 and sum(p["start"] == 0 for p in pieces if p["doc_id"] == 1) == 1
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    gone = rows([(1, part, None, None, None), (2, " ".join(part.split()[5:80]), None, None, None)], TEXTS)
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.without_repeats(spark, gone, "").collect()}
+    assert left == {1: part, 2: ""} and corpus_pipeline.packed(spark, rows([(2, "", None, None, None)], TEXTS), "").first()["doc_tokens"] == 1
+
+
 @pytest.mark.parametrize("name", ["op1_warc", "op2_media", "op3_bpe", "op4_minhash", "op5_quality", "op6_packing", "op7_sharding", "op8_substrings", "op9_lines", "op10_chat"])
 def test_query_runs_over_its_whole_table(spark, name):
     from modelwatch.llm import queries
