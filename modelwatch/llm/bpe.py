@@ -12,8 +12,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import re
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -37,18 +37,6 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in set(shown) else chr(256 + hidden.index(b)) for b in range(256)]
 
 
-_ranges: list[re.Pattern] = []
-
-
-def _unassigned() -> re.Pattern:
-    """Any character that is not assigned in this Python's Unicode tables."""
-    if not _ranges:
-        none = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], none, [False]]).astype(np.int8))).reshape(-1, 2)
-        _ranges.append(re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.tolist()) + "]"))
-    return _ranges[0]
-
-
 class PairIndex:
     """Merges many words at once; ``table`` maps a pair of ids to rank and joined id."""
 
@@ -149,17 +137,16 @@ class Bpe:
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.fixed = {_SPECIAL + t: np.array([i], np.uint32).tobytes() for t, i in self.special.items()}
         self.known: dict[str, bytes] = dict(self.fixed)
+        self.newer: set[str] = set()  # known ones with characters that are not assigned in this Python's Unicode tables
         self.value = {ord(c): b for b, c in enumerate(chars)}
         self.path, self.library = path, None
 
-    def pretokens(self, text: str) -> list[str]:
+    def pretokens(self, text: str, plain: Callable[[str], list[str]]) -> list[str]:
         if self.split is None or not self.split.search(text):
-            return self.plain_pretokens(text)
-        return [c for part in self.split.split(text) for c in ([_SPECIAL + part] if part in self.special else self.plain_pretokens(part))]
+            return plain(text)
+        return [c for part in self.split.split(text) for c in ([_SPECIAL + part] if part in self.special else plain(part))]
 
     def plain_pretokens(self, text: str) -> list[str]:
-        if not text.isascii() and _unassigned().search(text):
-            return self.library_pretokens(text)
         if self.suffix:  # sigma: letter by letter, as at no word's end
             text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
         return self.pattern.findall(text)
@@ -177,12 +164,18 @@ class Bpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as 32-bit integers in a row."""
-        parts = [self.pretokens(t) for t in texts]
         if len(self.known) > KNOWN:
-            self.known = dict(self.fixed)
+            self.known, self.newer = dict(self.fixed), set()
+        parts = [self.pretokens(t, self.plain_pretokens) for t in texts]
+        if new := set().union(*parts).difference(self.known):
+            self.newer.update(p for p in new if not p.isascii() and any(unicodedata.category(c) == "Cn" for c in p))
+        if self.newer:
+            for i in (i for i, p in enumerate(parts) if not self.newer.isdisjoint(p)):
+                parts[i] = self.pretokens(texts[i], self.library_pretokens)
+                new.update(set(parts[i]).difference(self.known))
+        if new:
+            self.learn(list(new))
         known = self.known
-        if new := list(set().union(*parts).difference(known)):
-            self.learn(new)
         return [b"".join(map(known.__getitem__, p)) for p in parts]
 
     def library_pretokens(self, text: str) -> list[str]:
