@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -26,8 +27,12 @@ from modelwatch.llm.shared import arrow_map, arrow_schema, plain
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WS}\p{{L}}\p{{N}}]+")
+# The same for texts of ASCII alone, without tables of Unicode.
+_ASCII = r"\t-\r "
+_ASCII_PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^{_ASCII}A-Za-z0-9]+|[{_ASCII}]+(?![^{_ASCII}])|[{_ASCII}]+")
+_ASCII_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^{_ASCII}A-Za-z0-9]+")
 _SPECIAL = "\0\0 "  # begins the keys of special tokens; no pre-token has a space after other characters
-KNOWN = 200_000  # pre-tokens whose ids a worker keeps
+KNOWN = 200_000  # pre-tokens whose ids a worker keeps, half of them of older slices
 
 
 def byte_characters() -> list[str]:
@@ -137,6 +142,7 @@ class Bpe:
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.fixed = {_SPECIAL + t: np.array([i], np.uint32).tobytes() for t, i in self.special.items()}
         self.known: dict[str, bytes] = dict(self.fixed)
+        self.older: dict[str, bytes] = {}
         self.newer: set[str] = set()  # known ones with characters that are not assigned in this Python's Unicode tables
         self.value = {ord(c): b for b, c in enumerate(chars)}
         self.path, self.library = path, None
@@ -147,6 +153,8 @@ class Bpe:
         return [c for part in self.split.split(text) for c in ([_SPECIAL + part] if part in self.special else plain(part))]
 
     def plain_pretokens(self, text: str) -> list[str]:
+        if text.isascii():
+            return _ASCII_WORD.findall(text.lower()) if self.suffix else _ASCII_PRETOKEN.findall(text)
         if self.suffix:  # sigma: letter by letter, as at no word's end
             text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
         return self.pattern.findall(text)
@@ -164,20 +172,31 @@ class Bpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as 32-bit integers in a row."""
-        if len(self.known) > KNOWN:
-            self.known, self.newer = dict(self.fixed), set()
+        if 2 * len(self.known) > KNOWN:  # what the last slices had stays; what none of them had goes
+            self.older, self.known = self.known, dict(self.fixed)
+            self.newer.intersection_update(self.older)
         parts = [self.pretokens(t, self.plain_pretokens) for t in texts]
-        if new := set().union(*parts).difference(self.known):
-            self.newer.update(p for p in new if not p.isascii() and any(unicodedata.category(c) == "Cn" for c in p))
+        new = self.unknown(parts)
+        self.newer.update(p for p in new if not p.isascii() and any(unicodedata.category(c) == "Cn" for c in p))
         if self.newer:
-            for i in (i for i, p in enumerate(parts) if not self.newer.isdisjoint(p)):
+            again = [i for i, p in enumerate(parts) if not self.newer.isdisjoint(p)]
+            for i in again:
                 parts[i] = self.pretokens(texts[i], self.library_pretokens)
-                new.update(set(parts[i]).difference(self.known))
+            new.update(self.unknown([parts[i] for i in again]))
         if new:
             self.learn(list(new))
         known = self.known
         return [b"".join(map(known.__getitem__, p)) for p in parts]
 
+    def unknown(self, parts: list[list[str]]) -> set[str]:
+        """Pre-tokens that aren't known; those of older slices become known again."""
+        new = set().union(*parts).difference(self.known)
+        if self.older:
+            back = new.intersection(self.older)
+            self.known.update((p, self.older[p]) for p in back)
+            new -= back
+        return new
+
     def library_pretokens(self, text: str) -> list[str]:
         """For characters that Unicode got lately: the pattern's tables may know them, those of the library don't, so it splits such texts."""
         if self.library is None:
