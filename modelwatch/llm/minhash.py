@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modelwatch.llm.shared import Scratch, arrow_map, arrow_schema, checkpointed
+from modelwatch.llm.shared import Scratch, arrow_map, arrow_schema, checkpointed, trim
 from modelwatch.llm.words import BASE, mix, words
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
@@ -199,6 +199,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
                             linked.append((a, b))
                 if linked:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*linked, strict=True)], schema=schema)
+        trim()
 
     return placed.mapInArrow(run, "a long, b long")
 
@@ -289,6 +290,7 @@ def _by_cell(step, schema: pa.Schema):
                 held.append(batch.slice(a, b - a))
         if held:
             yield from done()
+        trim()
 
     return run
 

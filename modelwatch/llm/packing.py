@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelwatch.llm.bpe import loaded
-from modelwatch.llm.shared import arrow_schema, plain, slices
+from modelwatch.llm.shared import arrow_schema, plain, slices, trim
 
 RUN = 1 << 18  # pieces that are packed together at most
 
@@ -131,6 +131,7 @@ def pack(documents: DataFrame, path: str, window: int = 4096, end_id: int = 2, w
                     yield packed()
         if lengths:
             yield packed()
+        trim()
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, wide)
 

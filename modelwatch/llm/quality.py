@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelwatch.llm.shared import arrow_map, arrow_schema, slices
+from modelwatch.llm.shared import arrow_map, arrow_schema, slices, trim
 from modelwatch.llm.words import Words, mix, words
 
 WORDS, FORMS = 1 << 15, 1 << 12  # of the sample that have vectors at most
@@ -144,6 +144,7 @@ def context_sums(documents: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
                     yield settled()
                     total[:], flat[:], many = 0, 0, 0
         yield settled()
+        trim()
 
     sums = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(run, wide).groupBy("place").agg(*(F.sum(c).alias(c) for c in columns))
     table = sums.toArrow()  # a row a word at most

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import re
 import shutil
 import tempfile
@@ -123,6 +124,13 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
     yield batch.slice(start)
 
 
+def trim() -> None:
+    """Gives memory that is free back to the system: a worker lives on after its task, and its executor counts what it holds."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | list | None]], schema: str | StructType, column: str, limit: int = 2 << 20) -> DataFrame:
     """``df`` through ``make()(rows)``, a bounded number of text bytes at a time."""
 
@@ -132,7 +140,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
             for part in slices(batch, column, limit):
                 if (out := step(part)) is not None:
                     yield from out if isinstance(out, list) else [out]
-        pa.default_memory_pool().release_unused()  # workers live on after their task
+        trim()
 
     return df.mapInArrow(run, schema)
 

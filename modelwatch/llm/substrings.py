@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelwatch.llm.shared import arrow_map, arrow_schema, plain
+from modelwatch.llm.shared import arrow_map, arrow_schema, plain, trim
 from modelwatch.llm.words import BASE, BASE_INVERSE, Words, mix, powers, words
 
 SIZE = 50
@@ -257,6 +257,7 @@ def _decided(by_anchor: DataFrame) -> DataFrame:
                     yield out
         if held and (out := judge(held)[0]) is not None:
             yield out
+        trim()
 
     return by_anchor.mapInArrow(run, _GONE)
 
