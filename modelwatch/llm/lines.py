@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelwatch.llm.quality import labelled_sample
-from modelwatch.llm.shared import arrow_map, arrow_schema, checkpointed
+from modelwatch.llm.shared import arrow_map, arrow_schema, checkpointed, trim
 from modelwatch.llm.substrings import valid_starts, window_hashes
 from modelwatch.llm.words import Words, mix, words
 
@@ -241,12 +241,13 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds:
             total += n
     if len(taken) < len(sizes):
         measured = measured.where(F.col("doc_id").isin(taken))
-    rows = sorted((r["doc_id"], r["label"], bytes(r["x"])) for r in measured.collect())  # SAMPLE_LINES lines at most
-    good = np.array([r[1] for r in rows], np.int64)
+    rows = measured.toArrow().sort_by([(c, "ascending") for c in ("doc_id", "label", "x")])  # SAMPLE_LINES lines at most
+    good = rows.column("label").to_numpy().astype(np.int64)
     if not len(good) or good.min() == good.max():
         return Field(np.zeros((2, FEATURES)), np.zeros((2, 2)))
-    x = np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(-1, FEATURES)
-    n = [len(r[2]) // (4 * FEATURES) for r in rows]
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, FEATURES)
+    n = rows.column("n").to_pylist()
+    del rows
     first = np.concatenate([[0], np.cumsum([min(CHAIN, k - at) for k in n for at in range(0, k, CHAIN)])])
     of = np.repeat(good, n)
     y = of.copy()
@@ -254,6 +255,8 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds:
         field = fit_field(x, y, first)
         if k + 1 < rounds:
             y = np.where(of == 1, 1, field.decode(x, first))
+    del x
+    trim()  # the driver, too, lives on
     return field
 
 

@@ -419,8 +419,8 @@ def shingle_links(crowd: DataFrame, representatives: DataFrame, texts: DataFrame
         return step
 
     seen = np.zeros(1 << SLOT_BITS, np.int64)
-    for r in arrow_map(read, count, "slot int, n long", "text").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # a row a slot at most
-        seen[r["slot"]] = r["n"]
+    frequent = arrow_map(read, count, "slot int, n long", "text").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # a row a slot at most
+    seen[frequent.column("slot").to_numpy()] = frequent.column("n").to_numpy()
     if not seen.any():
         return crowd.sparkSession.createDataFrame([], "a long, b long")
 

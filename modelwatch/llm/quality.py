@@ -98,8 +98,8 @@ def sample_vocabulary(sample: DataFrame, most: tuple[int, int] = (WORDS, FORMS))
         return step
 
     counts = arrow_map(sample.select("text"), make, wide, "text").groupBy("form", "hash").agg(F.sum("n").alias("n"))
-    kept = [counts.where(F.col("form") == form).orderBy(F.desc("n"), "hash").limit(k).select("hash").collect() for form, k in zip((False, True), most, strict=True)]
-    return Vocabulary(*(np.sort(np.array([r["hash"] for r in rows], np.int64).view(np.uint64)) for rows in kept))
+    kept = [counts.where(F.col("form") == form).orderBy(F.desc("n"), "hash").limit(k).select("hash").toArrow() for form, k in zip((False, True), most, strict=True)]
+    return Vocabulary(*(np.sort(rows.column("hash").to_numpy().view(np.uint64)) for rows in kept))
 
 
 def context_sums(documents: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
@@ -148,7 +148,9 @@ def context_sums(documents: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
 
     sums = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(run, wide).groupBy("place").agg(*(F.sum(c).alias(c) for c in columns))
     table = sums.toArrow()  # a row a word at most
-    out[table.column("place").to_numpy()] = np.stack([table.column(c).to_numpy() for c in columns], 1)
+    place = table.column("place").to_numpy()
+    for i, c in enumerate(columns):
+        out[place, i] = table.column(c).to_numpy()
     return out
 
 
@@ -239,15 +241,17 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 60, batch:
     if len(y) < 10 or y.min() == y.max():
         p = np.clip(y.mean() if len(y) else 0.5, 0.001, 0.999)
         return Network(np.zeros(width), np.ones(width), np.zeros((width, 1)), np.zeros(1), np.zeros(1), float(np.log(p / (1 - p))))
-    x, y = x.astype(np.float64), y.astype(np.float64)
+    z, y = x.astype(np.float64), y.astype(np.float64)
     order = rng.permutation(len(y))
     cut = len(y) // 5
     tune, train = order[:cut], order[cut:]
-    mean, scale = x[train].mean(0), x[train].std(0) + 1e-3
+    mean, scale = z[train].mean(0), z[train].std(0) + 1e-3
     base = np.clip(y[train].mean(), 0.001, 0.999)
     p = [rng.normal(0, width**-0.5, (width, hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), np.log(base / (1 - base))]
     m, v, step = [np.zeros_like(q) for q in p], [np.zeros_like(q) for q in p], 0
-    z = np.clip((x - mean) / scale, -FAR, FAR)
+    z -= mean
+    z /= scale
+    np.clip(z, -FAR, FAR, out=z)
     for epoch in range(epochs):
         shuffled = rng.permutation(train)
         for k in range(0, len(shuffled), batch):
@@ -303,9 +307,13 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", sampl
 
         return step
 
-    rows = sorted((r["doc_id"], r["label"], bytes(r["x"])) for r in arrow_map(chosen, make, wide, "text").collect())  # ``sample`` small rows
-    x = np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(len(rows), FEATURES)
-    return space, fit(x, np.array([r[1] for r in rows], np.int64))
+    rows = arrow_map(chosen, make, wide, "text").toArrow()  # ``sample`` small rows
+    rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "label", "x")])
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(rows.num_rows, FEATURES)
+    net = fit(x, rows.column("label").to_numpy().astype(np.int64))
+    del rows, x
+    trim()  # the driver, too, lives on
+    return space, net
 
 
 def score(documents: DataFrame, space: Space, net: Network) -> DataFrame:
