@@ -19,6 +19,9 @@ OPERATORS = {
     "op8_substrings": "substrings",
     "op9_lines": "lines",
     "op10_chat": "chat",
+    "op11_ngrams": "ngrams",
+    "op12_centroids": "centroids",
+    "op13_divergence": "divergence",
 }
 
 
