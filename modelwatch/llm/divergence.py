@@ -2,10 +2,10 @@
 
 1. Every task counts the terms of its documents by group (language and source) and puts them
    into a radix trie a language: edges are bytes, and a leaf holds a counter for each group
-   and the number of documents. A trie that has LEAVES counters is written out, a row a
-   leaf, and the task begins another.
+   and the number of documents. Tries that have LEAVES counters are written out in the order
+   of their walk, a row a leaf, and the task begins others.
 2. Rows are dealt by ranges of (language, term), so a task gets all tries' leaves below a
-   range of prefixes; it merges these into one trie and drops the terms of too few documents.
+   range of prefixes; it merges their walks and drops the terms of too few documents.
 3. Kept terms give each group's total and each language's number of terms.
 4. A walk over the merged tries in the order of UTF-8 streams, for a chunk of terms at a
    time, the addends of every pair of sources and the candidates of every group, of which it
@@ -17,17 +17,19 @@ a row for every two groups of a language, so these are few against the documents
 
 from __future__ import annotations
 
+import gc
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelwatch.llm.shared import Scratch, arrow_schema, plain, slices, trim
 
-LEAVES = 1 << 18  # counters of a trie, and of what is counted before it goes into one
+LEAVES = 1 << 18  # counters of a task's tries, and a slice's more
 CHUNK = 1 << 18  # cells, terms times sources, of which a walk computes at a time
 LONG = 1 << 20  # bytes of a text that are split into terms at a time
 UNIT, LEAST, FIRST = 1_000_000_000, 3, 200  # of a share; documents of a kept term; ranks of terms
@@ -40,52 +42,53 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 
 
 class Trie:
-    """A radix trie over bytes; a node is [label, children by first byte, counters by group or None, documents]."""
+    """A radix trie over bytes; a node is [label, children by first byte or None, leaf number or -1]."""
 
     def __init__(self):
-        self.root: list = [b"", {}, None, 0]
-        self.counters = 0
-
-    def add(self, term: bytes, counts: dict[int, int], documents: int) -> None:
-        """Adds to the counters of ``term``'s leaf, which is made where it isn't there."""
-        node, at = self.root, 0
-        while at < len(term):
-            below = node[1].get(term[at])
+        self.root: list = [b"", None, -1]
+        self.leaves = 0
+
+    def leaf(self, term: bytes) -> int:
+        """The number of ``term``'s leaf, which is made where it isn't there."""
+        node, at, size = self.root, 0, len(term)
+        while at < size:
+            below = node[1].get(term[at]) if node[1] else None
             if below is None:
-                below = [term[at:], {}, None, 0]
+                below = [term[at:], None, -1]
+                if node[1] is None:
+                    node[1] = {}
                 node[1][term[at]] = below
-                at = len(term)
+                at = size
             else:
                 label = below[0]
                 if term.startswith(label, at):
                     at += len(label)
                 else:  # the edge parts where the two differ
                     n = 1
-                    while n < len(label) and at + n < len(term) and label[n] == term[at + n]:
+                    while n < len(label) and at + n < size and label[n] == term[at + n]:
                         n += 1
-                    upper = [label[:n], {label[n]: below}, None, 0]
+                    upper = [label[:n], {label[n]: below}, -1]
                     below[0] = label[n:]
                     node[1][term[at]] = below = upper
                     at += n
             node = below
-        if node[2] is None:
-            node[2] = {}
-        have = node[2]
-        self.counters -= len(have)
-        for g, n in counts.items():
-            have[g] = have.get(g, 0) + n
-        self.counters += len(have)
-        node[3] += documents
-
-    def walk(self):
-        """(term, counters, documents) of all leaves in byte order."""
-        stack = [(b"", self.root)]
+        if node[2] < 0:
+            node[2] = self.leaves
+            self.leaves += 1
+        return node[2]
+
+    def walk(self) -> tuple[list[bytes], list[int]]:
+        """Terms and numbers of all leaves in byte order."""
+        terms, numbers, stack = [], [], [(b"", self.root)]
         while stack:
             before, node = stack.pop()
             term = before + node[0]
-            if node[2] is not None:
-                yield term, node[2], node[3]
-            stack.extend((term, node[1][b]) for b in sorted(node[1], reverse=True))
+            if node[2] >= 0:
+                terms.append(term)
+                numbers.append(node[2])
+            if node[1]:
+                stack += [(term, node[1][b]) for b in sorted(node[1], reverse=True)]
+        return terms, numbers
 
 
 def pieces(text: bytes):
@@ -104,89 +107,96 @@ _LEAF = "lang string, term binary, groups array<int>, counts array<long>, docume
 _LEAF_SCHEMA = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("groups", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64())), ("documents", pa.int64())])
 
 
-def _leaves(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _LEAF_SCHEMA, strict=True)], schema=_LEAF_SCHEMA)
-
-
-def _written(lang: str, trie: Trie, at_once: int = 8192):
-    rows = []
-    for term, counts, documents in trie.walk():
-        order = sorted(counts)
-        rows.append((lang, term, order, [counts[g] for g in order], documents))
-        if len(rows) == at_once:
-            yield _leaves(rows)
-            rows = []
-    if rows:
-        yield _leaves(rows)
+def _rows(lang: pa.Array, term: pa.Array, at: np.ndarray, groups: np.ndarray, counts: np.ndarray, documents: np.ndarray) -> pa.RecordBatch:
+    """_LEAF rows; counter j is that of row at[j] and group groups[j], and equal ones are added."""
+    width = int(groups.max(initial=0)) + 1
+    key = at * width + groups
+    order = np.argsort(key, kind="stable")
+    key, start = key[order], np.zeros(0, np.int64)
+    if len(key):
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        key, counts = key[start], np.add.reduceat(counts[order], start)
+    offsets = np.append(0, np.cumsum(np.bincount(key // width, minlength=len(term)))).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(v)) for v in ((key % width).astype(np.int32), counts.astype(np.int64))]
+    return pa.RecordBatch.from_arrays([lang, term, *lists, pa.array(documents.astype(np.int64))], schema=_LEAF_SCHEMA)
 
 
 def counted(documents: DataFrame, groups: dict[tuple[str, str], int]) -> DataFrame:
     """_LEAF rows of every task's tries over (lang, source, text); a term comes again with each trie that has it."""
 
     def run(batches):
-        tries: dict[str, Trie] = defaultdict(Trie)
-        found: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        found: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
         holders: dict[str, Counter] = defaultdict(Counter)
 
-        def gathered():
-            for lang in holders:
-                by: dict[bytes, dict[int, int]] = defaultdict(dict)
-                for (of, source), counts in found.items():
-                    if of == lang:
-                        g = groups[of, source]
-                        for term, n in counts.items():
-                            by[term][g] = n
-                for term, counts in by.items():
-                    tries[lang].add(term, counts, holders[lang][term])
-            found.clear()
-            holders.clear()
-
-        def flush(least: int):
-            gathered()
-            for lang in [x for x, t in tries.items() if t.counters >= least]:
-                yield from _written(lang, tries.pop(lang))
-
-        for batch in batches:
-            for rows in slices(batch, "text"):
-                for lang, source, text in zip(rows.column("lang").to_pylist(), rows.column("source").to_pylist(), plain(rows.column("text")).cast(pa.large_binary()).to_pylist(), strict=True):
-                    counts, seen = found[lang, source], set()
-                    for piece in pieces(text):
-                        terms = _TERM.findall(piece)
-                        counts.update(terms)
-                        seen.update(terms)
-                    holders[lang].update(seen)
-                if sum(map(len, found.values())) >= LEAVES:
-                    # All tries together have LEAVES counters at most, and one more batch's.
-                    yield from flush(LEAVES // (len(tries) or 1))
-        yield from flush(0)
-        trim()
+        def walked_trie(lang: str):
+            """A trie of the language's terms, its counters by leaf, and its walk as rows."""
+            trie = Trie()
+            number = {term: trie.leaf(term) for term in holders[lang]}
+            at, gs, ns = [], [], []
+            for source, counts in found[lang].items():
+                at.append(np.fromiter((number[t] for t in counts), np.int64, len(counts)))
+                ns.append(np.fromiter(counts.values(), np.int64, len(counts)))
+                gs.append(np.full(len(counts), groups[lang, source], np.int64))
+            seen = np.fromiter(holders[lang].values(), np.int64, len(number))
+            terms, leaves = trie.walk()
+            place = np.empty(len(leaves), np.int64)
+            place[leaves] = np.arange(len(leaves))
+            return _rows(pa.array([lang] * len(terms), pa.string()), pa.array(terms, pa.binary()), place[np.concatenate(at)], np.concatenate(gs), np.concatenate(ns), seen[leaves])
+
+        def flush():
+            for lang in list(holders):
+                if holders[lang]:
+                    rows = walked_trie(lang)
+                    yield from (rows.slice(i, 8192) for i in range(0, rows.num_rows, 8192))
+                del holders[lang], found[lang]
+
+        gc.disable()  # tries have many nodes and no cycles
+        try:
+            for batch in batches:
+                for rows in slices(batch, "text"):
+                    for lang, source, text in zip(rows.column("lang").to_pylist(), rows.column("source").to_pylist(), plain(rows.column("text")).cast(pa.large_binary()).to_pylist(), strict=True):
+                        counts, seen = found[lang][source], set()
+                        for piece in pieces(text):
+                            terms = _TERM.findall(piece)
+                            counts.update(terms)
+                            seen.update(terms)
+                        holders[lang].update(seen)
+                    if sum(len(c) for of in found.values() for c in of.values()) >= LEAVES:
+                        yield from flush()
+            yield from flush()
+        finally:
+            gc.enable()
+            trim()
 
     return documents.mapInArrow(run, _LEAF)
 
 
 def merged(leaves: DataFrame, least: int) -> DataFrame:
-    """_LEAF rows with one row a term, of those in ``least`` documents; each task merges the leaves below a range of prefixes."""
+    """_LEAF rows with one row a term, of those in ``least`` documents.
 
-    def run(batches):
-        trie, lang, last = Trie(), None, None
-
-        def kept(trie: Trie, lang: str):
-            for rows in _written(lang, trie):
-                few = rows.filter(pa.array(rows.column("documents").to_numpy() >= least))
-                if few.num_rows:
-                    yield few
+    Each task merges what all tries have below a range of prefixes, as their walks interleave:
+    equal leaves add their counters. It holds a batch and the newest leaf.
+    """
 
+    def run(batches):
+        newest: pa.RecordBatch | None = None
         for batch in batches:
-            for of, term, gs, ns, documents in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                # In order of terms nothing that comes later changes a leaf that lies before the newest.
-                if of != lang or (trie.counters >= LEAVES and term != last):
-                    if lang is not None:
-                        yield from kept(trie, lang)
-                    trie, lang = Trie(), of
-                trie.add(term, dict(zip(gs, ns, strict=True)), documents)
-                last = term
-        if lang is not None:
-            yield from kept(trie, lang)
+            if not batch.num_rows:
+                continue
+            own = [c.cast(f.type) for c, f in zip(batch.columns, _LEAF_SCHEMA, strict=True)]
+            if newest is not None:
+                own = [pa.concat_arrays([a, b]) for a, b in zip(newest.columns, own, strict=True)]
+            lang, term, groups, counts, documents = own
+            same = pc.and_(pc.equal(lang[1:], lang[:-1]), pc.equal(term[1:], term[:-1])).to_numpy(zero_copy_only=False)
+            start = np.flatnonzero(np.append(True, ~same))
+            row = np.repeat(np.append(0, np.cumsum(~same)), pc.list_value_length(groups).to_numpy(zero_copy_only=False))
+            first = pa.array(start)
+            rows = _rows(lang.take(first), term.take(first), row, groups.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy(), np.add.reduceat(documents.to_numpy(), start))
+            # What follows can only add to the newest leaf.
+            newest, rows = rows.slice(rows.num_rows - 1), rows.slice(0, rows.num_rows - 1)
+            yield rows.filter(pc.greater_equal(rows.column("documents"), least))
+        if newest is not None:
+            yield newest.filter(pc.greater_equal(newest.column("documents"), least))
         trim()
 
     return leaves.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(run, _LEAF)
