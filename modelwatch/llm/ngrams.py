@@ -1,13 +1,14 @@
 """N-gram Jaccard join by a token-group matrix, and the components of its links.
 
-1. Rows get numbers, and rows with equal shingle sets collapse to one representative.
-2. A representative has a row for each of its first shingles in a common order, that of
-   rising frequency: a link's two sets share one of these. Shingles that one set alone has
-   first fall away.
+1. Rows get numbers and their first shingles in a common order, that of rising frequency,
+   and rows with equal shingle sets collapse to one representative.
+2. A representative has a row for each of its first shingles: a link's two sets share one of
+   these. Shingles that one set alone has first fall away.
 3. Similar documents find a common group by stars: each holder of a shingle names the holder
    whose own rarest shingle is the most frequent (a document without edits of its own),
    each document has the one named most often verified on full sets, and so grow
-   components; two more rounds name others.
+   components; one more round names others. Where the first shingles that two sets share are
+   too few for any link, no text is read.
 4. Components are partitioned into groups of at most BLOCK documents of about the same size.
    The matrix's rows are the first shingles of each group: a document asks only groups of
    other components that have one of its own first shingles and a fitting size.
@@ -40,7 +41,7 @@ NUMERATOR, DENOMINATOR = 17, 20  # a link has at least this Jaccard similarity
 BLOCK, SHINGLES = 256, 1 << 20  # documents of a group, and shingles of them all unless it is one document
 FOLLOWERS = 256  # documents that one copy of a group is compared with
 SLOT_BITS = 18  # frequencies of shingles are counted in so many slots (as a power of two), which every task is told of
-ROUNDS = 3  # of stars
+ROUNDS = 2  # of stars
 RATIO = 1.05  # between the sizes of a group's documents
 
 
@@ -66,30 +67,15 @@ def _fits(n: Column, low: Column, high: Column) -> Column:
 
 # -- sets and their first shingles ------------------------------------------------------
 
-_ROW = "row long, doc_id long, n_shingles long, digest binary, text string"
-_TOKEN = "key long, rep long, n long, typical long, indexed boolean"
-
-
-def sized(documents: DataFrame, width: int) -> DataFrame:
-    """_ROW of every row: a number of its own and the digest of its shingle set, null for an empty one."""
-    schema = arrow_schema(_ROW)
-
-    def make():
-        def step(rows: pa.RecordBatch):
-            sets = shingle_sets(rows.column("text"), width)
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            return pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), rows.column("text")], schema=schema)
-
-        return step
-
-    return arrow_map(documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), make, _ROW, "text")
+_ROW = "row long, doc_id long, n_shingles long, digest binary, typical long, last long, keys binary, text string"
+_TOKEN = "key long, rep long, indexed boolean"
 
 
 def _slots(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def frequencies(docs: DataFrame, width: int) -> np.ndarray:
+def frequencies(documents: DataFrame, width: int) -> np.ndarray:
     """In how many documents the shingles of each slot are; 2**SLOT_BITS numbers for the driver, whatever the documents."""
     schema = arrow_schema("slot int, n long")
 
@@ -102,36 +88,84 @@ def frequencies(docs: DataFrame, width: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(seen[some])], schema=schema)
         trim()
 
-    found = docs.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    found = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     seen = np.zeros(1 << SLOT_BITS, np.int64)
     seen[found.column("slot").to_numpy()] = found.column("n").to_numpy()
     return seen
 
 
-def first_shingles(texts: DataFrame, width: int, seen: np.ndarray) -> DataFrame:
-    """_TOKEN: each text's first shingles by frequency, then hash; ``typical`` is the frequency of its rarest one."""
-    schema = arrow_schema(_TOKEN)
-    known = texts.sparkSession.sparkContext.broadcast(seen)  # 2**SLOT_BITS numbers
+def sized(documents: DataFrame, width: int, seen: np.ndarray) -> DataFrame:
+    """_ROW of every row: a number of its own, the digest of its shingle set (null for an empty one) and its first shingles.
+
+    These are ordered by frequency, then hash; ``typical`` and ``last`` are the frequencies
+    of the first and the last of them.
+    """
+    schema = arrow_schema(_ROW)
+    known = documents.sparkSession.sparkContext.broadcast(seen)  # 2**SLOT_BITS numbers
 
     def make():
         seen = known.value
 
         def step(rows: pa.RecordBatch):
-            keys, sizes, flags, typical = [np.zeros(0, np.uint64)], [], [np.zeros(0, bool)], []
-            sets = shingle_sets(rows.column("text"), width)
-            for s in sets:
-                index, probe = prefix_sizes(len(s)) if len(s) else (0, 0)
+            n, digests, typical, last, keys = [], [], [], [], []
+            for s in shingle_sets(rows.column("text"), width):
                 often = seen[_slots(s)]
-                keys.append(s[np.lexsort((s, often))[:probe]])
-                sizes.append(probe)
-                flags.append(np.arange(probe) < index)
-                typical.append(often.min() if len(s) else 0)
-            each = [np.repeat(c, sizes) for c in (rows.column("rep").to_numpy(), np.array([len(s) for s in sets], np.int64), np.array(typical, np.int64))]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *map(pa.array, each), pa.array(np.concatenate(flags))], schema=schema)
+                first = np.lexsort((s, often))[: prefix_sizes(len(s))[1] if len(s) else 0]
+                n.append(len(s))
+                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                typical.append(int(often[first[0]]) if len(s) else 0)
+                last.append(int(often[first[-1]]) if len(s) else 0)
+                keys.append(s[first].tobytes())
+            own = [pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(typical, pa.int64()), pa.array(last, pa.int64()), pa.array(keys, pa.binary())]
+            return pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc_id"), *own, rows.column("text")], schema=schema)
 
         return step
 
-    return arrow_map(texts, make, _TOKEN, "text")
+    return arrow_map(documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), make, _ROW, "text")
+
+
+def tokens(firsts: DataFrame) -> DataFrame:
+    """_TOKEN: a row for each first shingle of (rep, n, keys)."""
+    schema = arrow_schema(_TOKEN)
+
+    def make():
+        def step(rows: pa.RecordBatch):
+            keys = [np.frombuffer(k, np.int64) for k in rows.column("keys").to_pylist()]
+            sizes = [len(k) for k in keys]
+            index = prefix_sizes(rows.column("n").to_numpy())[0]
+            flags = np.arange(sum(sizes)) - np.repeat(np.cumsum([0, *sizes[:-1]]), sizes) < np.repeat(index, sizes)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(rows.column("rep").to_numpy(), sizes)), pa.array(flags)], schema=schema)
+
+        return step
+
+    return arrow_map(firsts.select("rep", "n", "keys"), make, _TOKEN, "keys")
+
+
+def possible(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The (rep, g) whose sets, by their first shingles alone, may link; g is a representative as well.
+
+    Of the two runs of first shingles one ends earlier in the common order. What both sets
+    have up to there is in both runs, so all that they share is at most what the runs share
+    and the rest of that set.
+    """
+    schema = arrow_schema("rep long, g long")
+    x = firsts.select("rep", *(F.col(c).alias(f"x_{c}") for c in ("n", "last", "keys"))).hint("merge")
+    y = firsts.select(F.col("rep").alias("g"), *(F.col(c).alias(f"y_{c}") for c in ("n", "last", "keys"))).hint("merge")
+
+    def run(batches):
+        for batch in batches:
+            for rows in slices(batch, "x_keys"):
+                out = []
+                for rep, g, n, m, a, b, s, t in zip(*(rows.column(c).to_pylist() for c in ("rep", "g", "x_n", "y_n", "x_last", "y_last", "x_keys", "y_keys")), strict=True):
+                    s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+                    rest = n - len(s) if (a, s[-1]) <= (b, t[-1]) else m - len(t)
+                    if (NUMERATOR + DENOMINATOR) * (len(np.intersect1d(s, t, assume_unique=True)) + rest) >= NUMERATOR * (n + m):
+                        out.append((rep, g))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+        trim()
+
+    return pairs.join(x, "rep").join(y, "g").mapInArrow(run, "rep long, g long")
 
 
 # -- groups that are compared with documents --------------------------------------------
@@ -143,7 +177,7 @@ def dealt(pairs: DataFrame, members: DataFrame, texts: DataFrame, scratch: Scrat
     asks = pairs.join(counts, "g").select("rep", "g", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("member"))
     owns = members.join(counts, "g").select("rep", "g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("member"))
     roles = scratch.save(asks.unionByName(owns), f"{name}_roles")
-    return texts.join(roles, "rep").select("g", "part", "member", "rep", "text").repartition("g", "part").sortWithinPartitions("g", "part", F.col("member").desc())
+    return texts.hint("merge").join(roles, "rep").select("g", "part", "member", "rep", "text").repartition("g", "part").sortWithinPartitions("g", "part", F.col("member").desc())
 
 
 def opened(pairs: DataFrame, members: DataFrame, texts: DataFrame, scratch: Scratch, name: str, width: int) -> DataFrame:
@@ -237,8 +271,8 @@ def qualifying(pairs: DataFrame, stored: DataFrame, texts: DataFrame, scratch: S
 # -- components -------------------------------------------------------------------------
 
 
-def star_rounds(shared: DataFrame, texts: DataFrame, scratch: Scratch, width: int) -> tuple[DataFrame, list[DataFrame]]:
-    """``shared`` _TOKEN rows with ``comp``, and the links (a, b) of each round."""
+def star_rounds(shared: DataFrame, firsts: DataFrame, texts: DataFrame, scratch: Scratch, width: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``shared`` (key, rep, n, typical, indexed) with ``comp``, and the links (a, b) of each round."""
     now, found = shared.withColumn("comp", F.col("rep")), []
     for t in range(ROUNDS):
         first = F.col("typical") if t == 0 else F.xxhash64(F.lit(t), "rep")
@@ -246,7 +280,7 @@ def star_rounds(shared: DataFrame, texts: DataFrame, scratch: Scratch, width: in
         centers = centers.select("key", (-F.col("c.less")).alias("center"), F.col("c.comp").alias("theirs"), F.col("c.n").alias("m"), F.col("c.h").alias("h"))
         votes = now.join(centers, "key").where((F.col("comp") != F.col("theirs")) & (F.least("n", "m") * DENOMINATOR >= F.greatest("n", "m") * NUMERATOR)).groupBy("rep", "center", "h").agg(F.count(F.lit(1)).alias("votes"))
         best = votes.groupBy("rep").agg(F.max(F.struct("votes", "h", (-F.col("center")).alias("less"))).alias("m")).select("rep", (-F.col("m.less")).alias("g"))
-        best = scratch.save(best, f"best{t}")
+        best = scratch.save(possible(best, firsts), f"best{t}")
         links = scratch.save(opened(best, best.select("g").distinct().withColumn("rep", F.col("g")), texts, scratch, f"star{t}", width), f"links{t}")
         found.append(links)
         comps = now.select("rep", "comp").distinct()
@@ -261,7 +295,7 @@ def star_rounds(shared: DataFrame, texts: DataFrame, scratch: Scratch, width: in
     return now, found
 
 
-def group_links(labelled: DataFrame, texts: DataFrame, scratch: Scratch, width: int) -> DataFrame:
+def group_links(labelled: DataFrame, firsts: DataFrame, texts: DataFrame, scratch: Scratch, width: int) -> DataFrame:
     """(a, b): of every document and every group of another component a link, if there is one."""
     docs = labelled.select("rep", "comp", "n").distinct()
     docs = docs.withColumn("band", F.floor(F.log("n") / float(np.log(RATIO))))
@@ -282,7 +316,10 @@ def group_links(labelled: DataFrame, texts: DataFrame, scratch: Scratch, width:
     many = scratch.save(size.where("size > 1").select("g"), "many")
     bounded = pairs.join(many, "g", "left_semi")
     stored = scratch.save(unions(members.join(many, "g", "left_semi"), texts, width), "unions")
-    left = qualifying(bounded, stored, texts, scratch, width).unionByName(pairs.join(many, "g", "left_anti"))
+    # A group of one document needs no union: its first shingles are at hand.
+    sole = pairs.join(many, "g", "left_anti").join(placed.select("g", F.col("rep").alias("other")), "g")
+    near = possible(sole.select("rep", F.col("other").alias("g")), firsts)
+    left = qualifying(bounded, stored, texts, scratch, width).unionByName(near.join(placed.select(F.col("rep").alias("g"), F.col("g").alias("of")), "g").select("rep", F.col("of").alias("g")))
     left = scratch.save(left, "left")
     return opened(left, placed.join(left.select("g").distinct(), "g", "left_semi"), texts, scratch, "open", width)
 
@@ -301,17 +338,22 @@ def joined(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     table gives an empty table; other columns are dropped.
     """
     scratch = Scratch(documents.sparkSession)
-    docs = scratch.save(sized(documents, width), "docs")
+    docs = scratch.save(sized(documents, width, frequencies(documents, width)), "docs")
     some = docs.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     reps = scratch.save(some.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("r")).select("digest", F.col("r.row").alias("rep"), F.col("r.doc_id").alias("least")), "reps")
-    own = docs.select(F.col("row").alias("rep"), "text").join(reps, "rep", "left_semi")
-    tokens = scratch.save(first_shingles(own, width, frequencies(docs, width)), "tokens")
-    keys = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("indexed").alias("some")).where("n > 1 and some").select("key")
-    shared = scratch.save(tokens.join(keys, "key", "left_semi"), "shared")
+    of = docs.withColumnsRenamed({"row": "rep", "n_shingles": "n"}).hint("merge")
+    every = scratch.save(of.select("rep", "n", "typical", "last", "keys").join(reps, "rep", "left_semi"), "every")
+    rows = scratch.save(tokens(every), "tokens")
+    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("indexed").alias("some")).where("n > 1 and some").select("key")
+    rows = scratch.save(rows.hint("merge").join(keys, "key", "left_semi"), "common")
     scratch.drop("tokens")
-    texts = scratch.save(own.join(shared.select("rep").distinct(), "rep", "left_semi"), "texts")
-    labelled, links = star_rounds(shared, texts, scratch, width)
-    for more in [*links[1:], scratch.save(group_links(labelled, texts, scratch, width), "last")]:
+    involved = scratch.save(rows.select("rep").distinct(), "involved")
+    firsts = scratch.save(every.hint("merge").join(involved, "rep", "left_semi"), "firsts")
+    scratch.drop("every")
+    shared = scratch.save(rows.join(firsts.select("rep", "n", "typical").hint("merge"), "rep"), "shared")
+    texts = scratch.save(of.select("rep", "text").join(involved, "rep", "left_semi"), "texts")
+    labelled, links = star_rounds(shared, firsts, texts, scratch, width)
+    for more in [*links[1:], scratch.save(group_links(labelled, firsts, texts, scratch, width), "last")]:
         links[0] = links[0].unionByName(more)
     final = components(links[0]).withColumnRenamed("id", "rep")
     held = scratch.save(reps.join(final, "rep").select("digest", "root", "least"), "linked")
