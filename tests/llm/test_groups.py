@@ -142,7 +142,7 @@ def test_clusters_equal_plain(rows, monkeypatch):
     rng = random.Random(3)
     hot = [0.25] * 6
     data = [(i, [rng.gauss(3 * (i % 3), 0.4) for _ in range(6)]) for i in range(150)] + [(i, hot) for i in range(150, 200)] + [(7, hot), (7, hot)]
-    data += [(900, None), (901, []), (902, [1.0] * 5), (903, [1.0] * 7), (904, [1.0, None, 0, 0, 0, 0]), (905, [math.nan] + [0.0] * 5), (906, [math.inf] * 6)]
+    data += [(900, None), (901, []), (902, [1.0] * 5), (903, [1.0] * 7), (904, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (905, [math.nan] + [0.0] * 5), (906, [math.inf] * 6)]
     got = centroids.clusters(rows([(i, v, 1) for i, v in data], "vec_id long, embedding array<double>, cluster int"), dimensions=6, scale=8, k=5)
     assert sorted(map(tuple, got.collect())) == sorted(plain_clusters(data, 6, 8, 5, 3))
 
@@ -154,7 +154,8 @@ def test_clusters_of_odd_tables(rows):
     assert [(r["vec_id"], r["cluster"], r["distance"], r["inertia"]) for r in sorted(one, key=str)] == [(5, 0, 0, 0), (None, 0, 0, 0)]
 
 
-def test_pruning_keeps_owners():
+def test_pruning_keeps_owners(monkeypatch):
+    monkeypatch.setattr(centroids, "LEAF", 4)
     rng = np.random.default_rng(1)
     x = rng.integers(-40, 40, (700, 3)).astype(np.int32)
     order, low, high, sums = centroids.grown(x)
