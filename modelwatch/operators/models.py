@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modelwatch.functions.numbers import argmax, rounded
+from modelwatch.functions.quantiles import exact_quantiles
 from modelwatch.operators.snapshot import ordering, stratified_folds
 
 #: A scorer adds ``proba`` (array<double>) to rows that have ``x`` (array<double>).
@@ -33,37 +34,46 @@ def forest(rows: DataFrame, label: str = "y", trees: int = 200, leaf: int = 5, d
     return scorer, model
 
 
-def isotonic(rows: DataFrame, train: Callable[[DataFrame], Scorer], key: str, label: str = "y", classes: int = 5, folds: int = 3) -> Scorer:
-    """A calibrated scorer: for each fold a model on the others and an isotonic curve per class on it; means, renormalised.
+def curve(held: DataFrame, c: int, grid: int = 10_000, label: str = "y") -> tuple[list[float], list[float]]:
+    """The isotonic curve of class c over rows with ``proba``: its points and their values.
 
-    The curves are step tables of bounded size, applied as literals by binary search in
-    the plan's own expressions: no Python on the scoring path.
+    Chances are counted at ``grid`` + 1 points, so neither the fit nor the curve grows with
+    the rows.
     """
+    p = F.round(F.get("proba", F.lit(c)) * grid) / grid
+    points = held.groupBy(p.alias("f")).agg(F.avg((F.col(label) == c).cast("double")).alias("t"), F.count(F.lit(1)).cast("double").alias("w"))
+    m = IsotonicRegression(featuresCol="f", labelCol="t", weightCol="w").fit(points)
+    return [float(v) for v in m.boundaries.toArray()], [float(v) for v in m.predictions.toArray()]
+
+
+def curved(df: DataFrame, curves: list[tuple[list[float], list[float]]], name: str) -> DataFrame:
+    """Adds ``name``: ``proba`` with each class on its curve, straight between two points; a binary search a value, in Arrow."""
+    import pyarrow as pa
+
+    known = df.sparkSession.sparkContext.broadcast([tuple(map(np.array, c)) for c in curves])  # grid + 1 points each
+
+    def run(batches):
+        for b in batches:
+            raw = np.array(b.column(b.schema.names.index("proba")).to_pylist(), float).reshape(b.num_rows, len(known.value))
+            out = np.column_stack([np.interp(raw[:, c], *xy) for c, xy in enumerate(known.value)])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out.tolist(), pa.list_(pa.float64()))], names=[*b.schema.names, name])
+
+    return df.mapInArrow(run, df.withColumn(name, F.lit(None).cast("array<double>")).schema)
+
+
+def isotonic(rows: DataFrame, train: Callable[[DataFrame], Scorer], key: str, label: str = "y", classes: int = 5, folds: int = 3, grid: int = 10_000) -> Scorer:
+    """A calibrated scorer: for each fold a model on the others and a curve per class on it; means, renormalised."""
     dealt = stratified_folds(rows, key, label, folds)
     parts: list[tuple[Scorer, list[tuple[list[float], list[float]]]]] = []
     for k in range(folds):
         scorer = train(dealt.where(F.col("fold") != k))
-        held = scorer(dealt.where(F.col("fold") == k)).select("proba", F.col(label).alias("_l")).checkpoint()
-        curves = []
-        for c in range(classes):
-            data = held.select(F.get("proba", F.lit(c)).alias("f"), (F.col("_l") == c).cast("double").alias("t"))
-            m = IsotonicRegression(featuresCol="f", labelCol="t").fit(data)
-            curves.append((list(map(float, m.boundaries.toArray())), list(map(float, m.predictions.toArray()))))
-        parts.append((scorer, curves))
-
-    def at(curve: tuple[list[float], list[float]], p: Column) -> Column:
-        xs, ys = (F.array(*map(F.lit, v)) for v in curve)
-        i = F.greatest(F.size(F.filter(xs, lambda x: x <= p)), F.lit(1))
-        j = F.least(i + 1, F.size(xs))
-        x0, x1, y0, y1 = F.element_at(xs, i), F.element_at(xs, j), F.element_at(ys, i), F.element_at(ys, j)
-        return F.when((x1 <= x0) | (p <= x0), y0).otherwise(y0 + (y1 - y0) * F.least((p - x0) / (x1 - x0), F.lit(1.0)))
+        held = scorer(dealt.where(F.col("fold") == k)).select("proba", label).checkpoint()
+        parts.append((scorer, [curve(held, c, grid, label) for c in range(classes)]))
 
     def calibrated(df: DataFrame) -> DataFrame:
         out, names = df, []
         for k, (scorer, curves) in enumerate(parts):
-            out = scorer(out)
-            raw = F.array(*[at(curves[c], F.get("proba", F.lit(c))) for c in range(classes)])
-            out = out.withColumn(f"_c{k}", raw).drop("proba")
+            out = curved(scorer(out), curves, f"_c{k}").drop("proba")
             names.append(f"_c{k}")
         total = F.array(*[sum((F.get(n, F.lit(c)) for n in names), F.lit(0.0)) for c in range(classes)])
         whole = F.aggregate("_t", F.lit(0.0), lambda s, v: s + v)
@@ -114,7 +124,7 @@ def partial_dependence(rows: DataFrame, scorer: Scorer, feature: int, levels: in
     v = F.get("x", F.lit(feature))
     few = [r[0] for r in rows.select(v.alias("v")).distinct().orderBy("v").limit(levels + 1).collect()]
     if len(few) > levels:
-        few = rows.agg(F.percentile(v, F.array(*[F.lit(i / (levels - 1)) for i in range(levels)]))).first()[0]
+        few = exact_quantiles(rows.select(F.lit(feature).alias("feature"), v.alias("value")), "feature", "value", [i / (levels - 1) for i in range(levels)]).first()["quantiles"]
     grid = rows.withColumn("value", F.explode(F.array(*map(F.lit, sorted(set(few))))))
     moved = grid.withColumn("x", F.concat(F.slice("x", 1, feature) if feature else F.array().cast("array<double>"), F.array("value"), F.slice("x", F.lit(feature + 2), F.size("x"))))
     return scorer(moved).groupBy("value").agg(rounded(F.avg(F.get("proba", F.lit(0)) + F.get("proba", F.lit(1)))).alias("p_severe"))
@@ -217,30 +227,35 @@ def isolation_trees(rows: DataFrame, key: str, trees: int = 200, sample: int = 2
     return out
 
 
-def novelty(rows: DataFrame, trees: list[list], sample: int = 256) -> DataFrame:
-    """Adds ``novelty`` (near 1: isolated early) from trees of ``isolation_trees``; bounded batches in Arrow."""
-    import pyarrow as pa
+def novelties(x: np.ndarray, trees: list[list], sample: int = 256) -> np.ndarray:
+    """For each row of x a number in (0, 1], near 1 where trees isolate it early."""
 
     def usual(n: float) -> float:
         return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
-    def depths(node: list, x: np.ndarray, at: np.ndarray, depth: int, out: np.ndarray) -> None:
+    def depths(node: list, at: np.ndarray, depth: int) -> None:
         if len(node) == 1:
-            out[at] += depth + usual(node[0])
+            total[at] += depth + usual(node[0])
             return
         low = x[at, node[0]] < node[1]
         for side, part in ((node[2], at[low]), (node[3], at[~low])):
             if len(part):
-                depths(side, x, part, depth + 1, out)
+                depths(side, part, depth + 1)
+
+    total = np.zeros(len(x))
+    for t in trees:
+        depths(t, np.arange(len(x)), 0)
+    return 2.0 ** (-total / max(1, len(trees)) / max(usual(sample), 1e-9))
+
+
+def novelty(rows: DataFrame, trees: list[list], sample: int = 256) -> DataFrame:
+    """Adds ``novelty`` from trees of ``isolation_trees``; bounded batches in Arrow."""
+    import pyarrow as pa
 
     def run(batches):
         for b in batches:
             x = np.array(b.column("x").to_pylist(), dtype=float).reshape(b.num_rows, -1)
-            total = np.zeros(len(x))
-            for t in trees:
-                depths(t, x, np.arange(len(x)), 0, total)
-            s = 2.0 ** (-total / max(1, len(trees)) / max(usual(sample), 1e-9))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, "novelty"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(novelties(x, trees, sample))], names=[*b.schema.names, "novelty"])
 
     return rows.mapInArrow(run, rows.withColumn("novelty", F.lit(0.0)).schema)
 

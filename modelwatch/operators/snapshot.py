@@ -97,7 +97,7 @@ def stratified_split(rows: DataFrame, key: str, stratum: str, test_percent: int
     """Adds ``part``: test for the rounded share of each stratum, train for the rest."""
     sizes = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("_all"))
     cut = F.floor((F.col("_all") * test_percent * 2 + 100) / 200)
-    return _ranked(rows, key, stratum, seed).join(F.broadcast(sizes), stratum).withColumn("part", F.when(F.col("_rank") < cut, "test").otherwise("train")).drop("_rank", "_all")
+    return _ranked(rows, key, stratum, seed).join(sizes, stratum).withColumn("part", F.when(F.col("_rank") < cut, "test").otherwise("train")).drop("_rank", "_all")
 
 
 def stratified_folds(rows: DataFrame, key: str, stratum: str, folds: int = 5, seed: str = "fold") -> DataFrame:
@@ -115,7 +115,7 @@ def oversample(rows: DataFrame, key: str, stratum: str, seed: str = "over") -> D
     most = sizes.agg(F.max("_n").alias("_most"))
     lacking = sizes.crossJoin(F.broadcast(most)).select(stratum, "_n", (F.col("_most") - F.col("_n")).alias("_d"))  # one row
     more = F.greatest(F.lit(0), F.ceil((F.col("_d") - F.col("_rank")) / F.col("_n"))).cast("int")
-    return _ranked(rows, key, stratum, seed).join(F.broadcast(lacking), stratum).withColumn("copy", F.explode(F.sequence(F.lit(0), more))).drop("_rank", "_n", "_d")
+    return _ranked(rows, key, stratum, seed).join(lacking, stratum).withColumn("copy", F.explode(F.sequence(F.lit(0), more))).drop("_rank", "_n", "_d")
 
 
 def sample_rows(rows: DataFrame, key: str, n: int, seed: str = "sample") -> DataFrame:

@@ -200,6 +200,39 @@ def data_drift_detail(spark, d):
     return drift.drift_detail(_psis(spark, d))
 
 
+_LEVELS = ["l_returnflag", "l_linenumber"]
+_TESTS = f"""{_LONG},
+seen AS (SELECT feature, value, count(*) FILTER (side = 'ref') AS r, count(*) FILTER (side = 'cur') AS c FROM long WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY ALL),
+steps AS (SELECT feature, sum(r) OVER w / sum(r) OVER (PARTITION BY feature) AS f, sum(c) OVER w / sum(c) OVER (PARTITION BY feature) AS g, sum(r) OVER (PARTITION BY feature) AS n, sum(c) OVER (PARTITION BY feature) AS m
+  FROM seen WINDOW w AS (PARTITION BY feature ORDER BY value)),
+ks AS (SELECT feature, max(abs(f - g)) AS d, any_value(n * m / (n + m)) AS e FROM steps GROUP BY feature),
+lam AS (SELECT feature, d, (sqrt(e) + 0.12 + 0.11 / sqrt(e)) * d AS x FROM ks),
+kp AS (SELECT feature, 'ks' AS test, d AS statistic, CASE WHEN x < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * k * k * x * x))))) END AS p_value FROM lam),
+lv AS (SELECT f AS feature, CASE WHEN l_shipdate < TIMESTAMP '1998-01-01' THEN 'ref' ELSE 'cur' END AS side, v AS value FROM (SELECT l_shipdate, unnest(['l_returnflag', 'l_linenumber']) AS f, unnest([l_returnflag, CAST(l_linenumber AS VARCHAR)]) AS v FROM lineitem)),
+cl AS (SELECT feature, value, CAST(count(*) FILTER (side = 'ref') AS DOUBLE) AS r, CAST(count(*) FILTER (side = 'cur') AS DOUBLE) AS c FROM lv GROUP BY ALL),
+ct AS (SELECT feature, sum(r) AS n, sum(c) AS m, count(*) - 1 AS df FROM cl GROUP BY feature),
+cs AS (SELECT feature, any_value(df) AS df, sum((r - (r + c) * n / (n + m)) ** 2 / ((r + c) * n / (n + m)) + (c - (r + c) * m / (n + m)) ** 2 / ((r + c) * m / (n + m))) AS x FROM cl JOIN ct USING (feature) GROUP BY feature),
+cp AS (SELECT feature, 'chi2' AS test, x AS statistic, least(1.0, list_sum(list_transform(range(0, df // 2), lambda i: exp(-x / 2) * (x / 2) ** i / CAST(factorial(CAST(i AS INTEGER)) AS DOUBLE)))) AS p_value FROM cs),
+ps AS (FROM kp UNION ALL FROM cp),
+holm AS (SELECT *, max(least(1.0, p_value * (k - i + 1))) OVER (ORDER BY i) AS adjusted FROM (SELECT *, row_number() OVER (ORDER BY p_value, feature) AS i, count(*) OVER () AS k FROM ps))"""
+
+
+def _tests(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").withColumn("is_open", (F.col("l_linestatus") == "O").cast("double"))
+    side = F.when(F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz"), "ref").otherwise("cur")
+    return drift.column_drift(rows, side, _FEATURES, _LEVELS)
+
+
+@_query(f"WITH {_TESTS} SELECT feature, test, {r('statistic', 6)} AS statistic, {r('p_value', 6)} AS p_value, {r('adjusted', 6)} AS adjusted, adjusted < 0.05 AS drifted FROM holm")
+def column_drift(spark, d):
+    return _tests(spark, d).select("feature", "test", *(rounded(F.col(c), 6).alias(c) for c in ("statistic", "p_value", "adjusted")), "drifted")
+
+
+@_query(f"WITH {_TESTS} SELECT avg(CAST(adjusted < 0.05 AS DOUBLE)) >= 0.5 AS datasetDrift, {r('avg(CAST(adjusted < 0.05 AS DOUBLE))')} AS driftShare, count(*) FILTER (adjusted < 0.05) AS driftedColumns, count(*) AS columns FROM holm")
+def dataset_drift(spark, d):
+    return drift.dataset_drift(_tests(spark, d))
+
+
 def _target_sql(label: str, name: str) -> str:
     return f"WITH {SCORED}, t AS (SELECT greatest(count(*) FILTER (side = 'ref'), 1) AS ne, greatest(count(*) FILTER (side = 'cur'), 1) AS na FROM scored), c AS (SELECT k, greatest(count(*) FILTER (side = 'ref' AND {label} = k) / max(ne), 1e-6) AS e, greatest(count(*) FILTER (side = 'cur' AND {label} = k) / max(na), 1e-6) AS a FROM range(5) AS x(k), scored, t GROUP BY k) SELECT {r('sum((a - e) * ln(a / e))', 6)} AS {name} FROM c"
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelwatch.functions.numbers import rounded
-from modelwatch.operators import contracts, explain, models, textfeat
+from modelwatch.functions.quantiles import exact_quantiles
+from modelwatch.operators import attribution, contracts, explain, models, scoring, textfeat
 from modelwatch.plans.carriers import table
+from modelwatch.sources.shared import checkpoints, folder
 from modelwatch.streaming import monitor
 
 _FLAGS = 8
@@ -39,8 +39,7 @@ def model_predictions(spark, d):
 
 def calibrated_predictions(spark, d):
     rows = _cases(spark, d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="modelwatch-"))
+    checkpoints(spark)
     calibrated = models.isotonic(rows, lambda r: models.forest(r, trees=5, depth=5)[0], "id")
     return models.predict(rows, calibrated).select("id", "y", "y_pred", "confidence")
 
@@ -83,14 +82,55 @@ def surrogate_curve(spark, d):
 
 
 def novelty(spark, d):
-    """(id, novelty, ood): threshold at the 99th percentile of the scores; invalid vectors are out as well."""
+    """(id, novelty, ood): threshold at the 99th percentile of the scores of a held-out quarter; invalid vectors are out as well."""
     rows = _cases(spark, d)
-    scored = models.novelty(rows, models.isolation_trees(rows, "id"))
-    bound = scored.agg(F.percentile("novelty", F.lit(0.99)).alias("b")).first()["b"]
-    out = models.out_of_distribution(scored, textfeat.vector_valid(F.col("x"), _FLAGS), bound if bound is not None else 1.0)
+    held = F.pmod(F.xxhash64(F.lit("held"), "id"), F.lit(4)) == 0
+    trees = models.isolation_trees(rows.where(~held), "id")
+    scored = models.novelty(rows, trees)
+    bound = exact_quantiles(scored.where(held).select(F.lit("all").alias("g"), "novelty"), "g", "novelty", [0.99]).first()
+    out = models.out_of_distribution(scored, textfeat.vector_valid(F.col("x"), _FLAGS), bound["quantiles"][0] if bound else 1.0)
     return out.select("id", rounded(F.col("novelty"), 6).alias("novelty"), "ood")
 
 
+_NAMES = [*(f"flag_{i}" for i in range(_FLAGS)), "count", "length", *(f"age_{i}" for i in range(4)), "sex"]
+
+
+def _attributed(spark, d):
+    rows = _cases(spark, d)
+    nodes = attribution.node_table(models.forest(rows, trees=20, depth=6)[1], folder(spark, "forest"))
+    return attribution.long_form(attribution.attributed(rows, attribution.paths(nodes, len(_NAMES))), "id")
+
+
+def tree_attributions(spark, d):
+    """(id, feature_index, value, rank): the six features that move a part's urgency most, with its sign."""
+    top = explain.top_contributions(_attributed(spark, d), row="id", feature="feature_index")
+    return top.select("id", "feature_index", rounded(F.col("value"), 6).alias("value"), "rank")
+
+
+def attribution_means(spark, d):
+    """(feature_index, mean_abs): mean size of a feature's attributions over all parts and classes."""
+    each = _attributed(spark, d).select("feature_index", F.explode("contributions").alias("value"))
+    return explain.mean_attribution(each, feature="feature_index")
+
+
+def _triage(spark, d):
+    rows = _cases(spark, d).withColumn("grp", F.concat(F.lit("age"), F.array_position(F.slice("x", _FLAGS + 3, 4), 1.0).cast("string")))
+    root = folder(spark, "artifact")
+    scoring.build(rows, root, scoring.Settings(_FLAGS, trees=20, depth=6, novelty_trees=50), _NAMES)
+    return scoring.Triage(root=root).transform(rows.select("id", "x", "grp"))
+
+
+def triage_scores(spark, d):
+    """Every part through a model that is built, published and loaded here: class, raise, evidence, counterfactual, novelty."""
+    done = _triage(spark, d)
+    return done.select("id", "grp", "y_pred", "final", "raised", rounded(F.col("confidence"), 3).alias("confidence"), F.array_join("evidence", ",").alias("evidence"), F.col("up.feature_index").alias("up"), F.col("down.feature_index").alias("down"), "ood")
+
+
+def triage_log(spark, d):
+    """The log rows of the same."""
+    return scoring.log_rows(_triage(spark, d))
+
+
 def artifact_compatibility(spark, d):
     names = F.when(F.col("n_nationkey") % 4 != 0, F.array(F.lit("a"), F.lit("b")))
     rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 3 != 0, 5).otherwise(4).alias("schema_version"), names.alias("names"), F.array(F.lit("forest")).alias("estimators"), F.lit("f").alias("fingerprint"))
@@ -103,7 +143,7 @@ def provenance(spark, d):
 
 def stream_class_mix(spark, d):
     """Class mix by day of the events as a stream that ends with what is there now; windows that are still open are in it."""
-    out = tempfile.mkdtemp(prefix="modelwatch-stream-") if spark.conf.get("spark.checkpoint.dir", None) is None else f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/stream-{spark.sql('select uuid()').first()[0]}"
+    out = folder(spark, "stream")
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d)
     mix = monitor.class_mix(stream.select("ts", F.col("event_type").alias("acuity"), (F.col("value") / 500).alias("confidence")), window="1 day", late="1 hour")
@@ -111,5 +151,5 @@ def stream_class_mix(spark, d):
     return monitor.latest(spark.read.parquet(f"{out}/rows"), ["start", "acuity"])
 
 
-QUERIES = {f.__name__: f for f in (model_predictions, calibrated_predictions, baseline_predictions, counterfactuals, partial_dependence, importances, surrogate_weights, surrogate_curve, novelty, artifact_compatibility, provenance, stream_class_mix)}
+QUERIES = {f.__name__: f for f in (model_predictions, calibrated_predictions, baseline_predictions, counterfactuals, partial_dependence, importances, surrogate_weights, surrogate_curve, novelty, tree_attributions, attribution_means, triage_scores, triage_log, artifact_compatibility, provenance, stream_class_mix)}
 SQL = {"artifact_compatibility": "SELECT n_nationkey AS id, n_nationkey % 3 <> 0 AND n_nationkey % 4 <> 0 AS compatible, CASE WHEN n_nationkey % 3 = 0 THEN 'schema version differs' WHEN n_nationkey % 4 = 0 THEN 'feature names differ' END AS reason FROM nation"}
