@@ -329,9 +329,12 @@ def newest_compatible(spark, d):
     return contracts.newest_compatible(rows)
 
 
-@_query("SELECT * FROM (VALUES ('json', 'available'), ('no_such_backend', 'not installed (no_such_backend)')) AS t(module, status)")
+@_query("SELECT n_nationkey AS id, m AS module, CASE m WHEN 'json' THEN 'available' ELSE 'not installed (' || m || ')' END AS status FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'json' ELSE 'no_such_backend_' || CAST(n_nationkey % 2 AS VARCHAR) END AS m FROM nation)")
 def backend_status(spark, d):
-    return contracts.backend_status(spark, ["json", "no_such_backend"])
+    """Each nation's monitoring backend and whether it can be used."""
+    module = F.when(F.col("n_nationkey") % 3 == 0, "json").otherwise(F.concat(F.lit("no_such_backend_"), (F.col("n_nationkey") % 2).cast("string")))
+    wanted = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), module.alias("module"))
+    return wanted.join(contracts.backend_status(spark, ["json", "no_such_backend_0", "no_such_backend_1"]), "module").select("id", "module", "status")
 
 
 _CANARY = "c AS (SELECT o_custkey AS ramp, o_orderkey AS step, CASE WHEN o_orderkey % 29 <> 0 THEN (o_orderkey % 101) / 9000.0 END AS err, CASE WHEN o_orderkey % 31 <> 0 THEN (o_orderkey % 103) / 5000.0 END AS tool FROM orders)"
@@ -678,15 +681,18 @@ def fuzzy_text_features(spark, d):
 
 
 _EXACT = ["anti_histone", "stomach"]
-_WORD_PAIRS = ["stomach", "stomachs", "stomack", "stomech", "stom", "sto", "chest", "chests", "chess", "ache", "aches", "headache", "headach", "headachy", "head", "breath", "breathe", "breathing", "bread", "feverish", "fever", "fevers", "severe"]
 
 
-@_query(f"""WITH w AS (SELECT unnest({_WORD_PAIRS}) AS w) SELECT k.w AS keyword, t.w AS token, k.w = t.w OR (len(t.w) >= {matching.FUZZY_LENGTH} AND t.w NOT IN ('anti_histone', 'stomach') AND ((len(k.w) >= {matching.PREFIX} AND len(t.w) >= {matching.PREFIX} AND left(k.w, {matching.PREFIX}) = left(t.w, {matching.PREFIX}))
- OR (len(t.w) >= {matching.EDIT_LENGTH} AND len(k.w) >= {matching.EDIT_PREFIX} AND left(k.w, {matching.EDIT_PREFIX}) = left(t.w, {matching.EDIT_PREFIX}) AND levenshtein(k.w, t.w) <= 1))) AS same FROM w k, w t""")
+@_query(f"""WITH k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z'']+')) AS w FROM benchmark), t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z'']+')) AS w FROM documents)
+SELECT k.w AS keyword, t.w AS token FROM k JOIN t ON left(k.w, 3) = left(t.w, 3) WHERE k.w = t.w OR (len(t.w) >= {matching.FUZZY_LENGTH} AND t.w NOT IN ('anti_histone', 'stomach') AND ((len(k.w) >= {matching.PREFIX} AND len(t.w) >= {matching.PREFIX} AND left(k.w, {matching.PREFIX}) = left(t.w, {matching.PREFIX}))
+ OR (len(t.w) >= {matching.EDIT_LENGTH} AND len(k.w) >= {matching.EDIT_PREFIX} AND left(k.w, {matching.EDIT_PREFIX}) = left(t.w, {matching.EDIT_PREFIX}) AND levenshtein(k.w, t.w) <= 1)))""")
 def same_words(spark, d):
-    words = spark.createDataFrame([(w,) for w in _WORD_PAIRS], "keyword string")
-    pairs = words.crossJoin(words.select(F.col("keyword").alias("token")))  # a fixed list with itself
-    return pairs.withColumn("same", matching.same_word(F.col("keyword"), F.col("token"), _EXACT))
+    """Which words of the documents count as a word of the benchmark; whatever is the same shares the first three letters."""
+    words = lambda name: table(spark, d, name).select(F.explode(matching.tokens(F.lower("text"))).alias("w")).distinct()
+    start = lambda c: F.left(F.col(c), F.lit(matching.EDIT_PREFIX))
+    keywords = words("benchmark").select(F.col("w").alias("keyword"), start("w").alias("start"))
+    tokens = words("documents").select(F.col("w").alias("token"), start("w").alias("start"))
+    return keywords.join(tokens, "start").where(matching.same_word(F.col("keyword"), F.col("token"), _EXACT)).select("keyword", "token")
 
 
 _VEC = "v AS (SELECT l_orderkey, l_linenumber, [CAST(l_linenumber % 2 AS DOUBLE), CAST(l_quantity > 25 AS DOUBLE), least(l_linenumber % 2 + CAST(l_quantity > 25 AS INTEGER), 6) / 6.0 + CASE WHEN l_tax > 0.07 THEN 0.1 ELSE 0 END, l_discount, CAST(l_linenumber % 4 = 0 AS DOUBLE), CAST(l_linenumber % 4 = 1 AS DOUBLE), CAST(l_linenumber % 4 = 2 AS DOUBLE), CAST(l_linenumber % 4 = 3 AS DOUBLE), CAST(l_returnflag = 'R' AS DOUBLE)] AS x, l_tax FROM lineitem)"
@@ -911,14 +917,45 @@ def _u(purpose: str) -> str:
     return f"CAST(('0x' || left(md5('42:{purpose}:' || CAST(id AS VARCHAR)), 7)) AS BIGINT) / 268435456.0"
 
 
-@_query(f"""WITH c AS (SELECT id, {_u('class')} AS u, {_u('band')} AS b, {_u('sex')} AS s, {_u('escalate')} AS e FROM range(20000) AS x(id)),
-k AS (SELECT id, CASE WHEN u < 0.08 THEN 0 WHEN u < 0.2 THEN 1 WHEN u < 0.5 THEN 2 WHEN u < 0.82 THEN 3 ELSE 4 END AS base, CASE WHEN b < 0.3 THEN '0-17' WHEN b < 0.6 THEN '18-39' WHEN b < 0.88 THEN '40-64' ELSE '65+' END AS band, CASE WHEN s < 0.5 THEN 'Female' ELSE 'Male' END AS sex, e FROM c)
-SELECT band, sex, CASE WHEN band = '65+' AND base IN (2, 3) AND e < 0.85 THEN base - 1 ELSE base END AS y, count(*) AS n FROM k GROUP BY ALL""")
+def _steps(u: str, weights: tuple[float, ...]) -> str:
+    cuts = [round(sum(weights[: i + 1]) / sum(weights), 10) for i in range(len(weights) - 1)]
+    return "CASE " + " ".join(f"WHEN {u} < {c} THEN {i}" for i, c in enumerate(cuts)) + f" ELSE {len(cuts)} END"
+
+
+def _map(of: dict) -> str:
+    return "MAP {" + ", ".join(f"{k!r}: {v!r}" for k, v in of.items()) + "}"
+
+
+def _cases_sql(prior: tuple[float, ...], extra: float) -> str:
+    """``synth.cases`` of the parts' keys, texts included."""
+    combos = {k: [list(c) for c in v] for k, v in PROFILES.items()}
+    pools = {k: sorted({c for j in (k - 1, k, k + 1) for combo in PROFILES.get(j, []) for c in combo}) for k in PROFILES}
+    pick = lambda xs, u: f"{xs}[1 + CAST(floor({u} * len({xs})) AS BIGINT)]"
+    drawn = "CAST(('0x' || left(md5('42:phrase:' || CAST(id AS VARCHAR) || ':' || CAST(i - 1 AS VARCHAR)), 7)) AS BIGINT) / 268435456.0"
+    return f"""WITH c AS (SELECT id, {_u('class')} AS u, {_u('band')} AS b, {_u('sex')} AS s, {_u('escalate')} AS e, {_u('combo')} AS co, {_u('extra')} AS ex, {_u('distractor')} AS di, {_u('vague')} AS va FROM (SELECT p_partkey AS id FROM part)),
+k AS (SELECT *, {_steps('u', prior)} AS base, {list(synth.BANDS)}[1 + {_steps('b', synth.BAND_WEIGHTS)}] AS band, CASE WHEN s < 0.5 THEN 'Female' ELSE 'Male' END AS sex FROM c),
+m AS (SELECT *, {_map(combos)}[base] AS cs, {_map(pools)}[base] AS ps FROM k),
+x AS (SELECT *, list_concat({pick('cs', 'co')}, CASE WHEN ex < {extra} THEN [{pick('ps', 'di')}] ELSE [] END) AS chosen, {_map({k: list(v) for k, v in PHRASES.items()})} AS ph FROM m)
+SELECT id, CAST(CASE WHEN band = '65+' AND base IN (2, 3) AND e < {synth.ESCALATED} THEN base - 1 ELSE base END AS INTEGER) AS y, band, sex,
+  CASE WHEN va < {synth.VAGUE} THEN 'not feeling well' ELSE array_to_string(list_transform(chosen, lambda c, i: {pick('ph[c]', drawn)}), ' and ') END AS text, band || ' · ' || sex AS grp FROM x"""
+
+
+@_query(_cases_sql(synth.PRIOR, synth.EXTRA))
 def synthetic_cases(spark, d):
-    return synth.cases(spark, 20000, PROFILES, PHRASES).groupBy("band", "sex", "y").agg(F.count(F.lit(1)).alias("n"))
+    """A case for every part: class, band, sex, text and group."""
+    return synth.cases(spark, table(spark, d, "part").select(F.col("p_partkey").alias("id")), PROFILES, PHRASES)
+
+
+@_query(_cases_sql(synth.SHIFTED, synth.EXTRA_SHIFTED))
+def synthetic_shifted(spark, d):
+    """The same from the shifted classes, with more distractors."""
+    return synth.cases(spark, table(spark, d, "part").select(F.col("p_partkey").alias("id")), PROFILES, PHRASES, shift=True)
 
 
-@_query("SELECT CAST(k AS INTEGER) AS class, array_to_string(list_sort(list(DISTINCT c)), ',') AS pool FROM (VALUES (0, 'collapse'), (1, 'pain'), (1, 'breath'), (2, 'fever'), (2, 'pain'), (3, 'cough'), (4, 'rash')) AS p(y, c), range(5) AS x(k) WHERE abs(y - k) <= 1 GROUP BY k")
+@_query("""SELECT CAST(k AS INTEGER) AS class, array_to_string(list_sort(list(DISTINCT c)), ',') AS pool
+FROM (SELECT DISTINCT l_linenumber AS y, l_returnflag || l_linestatus || CAST(CAST(l_quantity AS INTEGER) % 7 + l_linenumber AS VARCHAR) AS c FROM lineitem) p, (SELECT DISTINCT l_linenumber AS k FROM lineitem) x WHERE abs(y - k) <= 1 GROUP BY k""")
 def cooccurrence_pool(spark, d):
-    rows = [(k, c) for k, combos in PROFILES.items() for combo in combos for c in combo]
-    return synth.distractors(spark.createDataFrame(rows, "class int, category string")).select("class", F.array_join("pool", ",").alias("pool"))
+    """For each line number the flags, states and quantities that go with it or with its neighbours."""
+    category = F.concat("l_returnflag", "l_linestatus", (F.col("l_quantity").cast("int") % 7 + F.col("l_linenumber")).cast("string"))
+    rows = table(spark, d, "lineitem").select(F.col("l_linenumber").cast("int").alias("class"), category.alias("category"))
+    return synth.distractors(rows).select("class", F.array_join("pool", ",").alias("pool"))
\ No newline at end of file

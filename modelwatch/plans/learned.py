@@ -138,7 +138,9 @@ def artifact_compatibility(spark, d):
 
 
 def provenance(spark, d):
-    return contracts.provenance(spark)
+    """Where each nation's rows were worked on: commit, versions, and how many customers they have."""
+    counts = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("id")).agg(F.count(F.lit(1)).alias("customers"))
+    return counts.crossJoin(F.broadcast(contracts.provenance(spark)))  # one row
 
 
 def stream_class_mix(spark, d):

@@ -35,8 +35,8 @@ def distractors(profiles: DataFrame) -> DataFrame:
     return pools.join(profiles.select("class").distinct(), "class", "left_semi")
 
 
-def cases(spark: SparkSession, n: int, profiles: Mapping[int, Sequence[Sequence[str]]], lexicon: Mapping[str, Sequence[str]], seed: int = 42, shift: bool = False, vague: str = "not feeling well") -> DataFrame:
-    """(id, y, band, sex, text, grp): labelled texts of ``n`` cases.
+def cases(spark: SparkSession, n: int | DataFrame, profiles: Mapping[int, Sequence[Sequence[str]]], lexicon: Mapping[str, Sequence[str]], seed: int = 42, shift: bool = False, vague: str = "not feeling well") -> DataFrame:
+    """(id, y, band, sex, text, grp): labelled texts of ``n`` cases, or one for each ``id`` of a table.
 
     profiles: class -> combinations of categories. A share of rows is vague, a share has
     one more category of a neighbouring class, and most of the oldest band's classes 2
@@ -48,7 +48,8 @@ def cases(spark: SparkSession, n: int, profiles: Mapping[int, Sequence[Sequence[
     combos = F.create_map(*[x for k, v in profiles.items() for x in (F.lit(k), literal([list(c) for c in v]))])
     pools = F.create_map(*[x for k in profiles for x in (F.lit(k), literal(sorted({c for j in (k - 1, k, k + 1) for combo in profiles.get(j, []) for c in combo})))])
     phrases = F.create_map(*[x for k, v in lexicon.items() for x in (F.lit(k), literal(list(v)))])
-    rows = spark.range(n).withColumn("base", categorical(u("class"), SHIFTED if shift else PRIOR)).withColumn("band", F.element_at(literal(list(BANDS)), categorical(u("band"), BAND_WEIGHTS) + 1)).withColumn("sex", F.when(u("sex") < 0.5, "Female").otherwise("Male"))
+    ids = n.select("id") if isinstance(n, DataFrame) else spark.range(n)
+    rows = ids.withColumn("base", categorical(u("class"), SHIFTED if shift else PRIOR)).withColumn("band", F.element_at(literal(list(BANDS)), categorical(u("band"), BAND_WEIGHTS) + 1)).withColumn("sex", F.when(u("sex") < 0.5, "Female").otherwise("Male"))
     rows = rows.withColumn("chosen", F.concat(pick(F.element_at(combos, F.col("base")), "combo"), F.when(u("extra") < (EXTRA_SHIFTED if shift else EXTRA), F.array(pick(F.element_at(pools, F.col("base")), "distractor"))).otherwise(F.array().cast("array<string>"))))
     draw = lambda c, i: F.element_at(F.element_at(phrases, c), (F.floor(F.conv(F.left(F.md5(F.concat_ws(":", F.lit(seed), F.lit("phrase"), F.col("id"), i)), F.lit(7)), 16, 10).cast("long") / float(1 << 28) * F.size(F.element_at(phrases, c))) + 1).cast("int"))
     text = F.when(u("vague") < VAGUE, F.lit(vague)).otherwise(F.array_join(F.transform("chosen", draw), " and "))
