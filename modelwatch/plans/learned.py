@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from modelwatch.functions.numbers import rounded
 from modelwatch.functions.quantiles import exact_quantiles
-from modelwatch.operators import attribution, contracts, explain, models, scoring, textfeat
+from modelwatch.operators import attack, attribution, contracts, explain, models, scoring, textfeat
 from modelwatch.plans.carriers import table
 from modelwatch.sources.shared import checkpoints, folder
 from modelwatch.streaming import monitor
@@ -131,6 +131,36 @@ def triage_log(spark, d):
     return scoring.log_rows(_triage(spark, d))
 
 
+def _grove(spark, rows):
+    return scoring.Grove.of(attribution.node_table(models.forest(rows, trees=20, depth=6)[1], folder(spark, "forest")).collect())
+
+
+def _balances(spark, d):
+    """(id, x, y) of customers: balance, nation and number in [0, 1]; the class is a band of the balance, an other one in some nations."""
+    balance = F.least(F.greatest((F.col("c_acctbal") + 1000) / 11000.0, F.lit(0.0)), F.lit(1.0))
+    band = F.least(F.floor(balance * 5), F.lit(4)).cast("int")
+    y = F.when(F.col("c_nationkey") % 6 == 0, F.greatest(band - 1, F.lit(0))).otherwise(band)
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.array(balance, F.col("c_nationkey") / 24.0, F.pmod("c_custkey", F.lit(100)) / 99.0).alias("x"), y.alias("y"))
+
+
+def boundary_attack(spark, d):
+    """(id, y, y_pred, found, distance): every customer's smallest change found, within 0.25 of each entry, that flips the forest's class."""
+    rows = _balances(spark, d)
+    out = attack.attacked(rows, _grove(spark, rows).probabilities, "id")
+    return out.select("id", "y", "y_pred", F.col("adversarial").isNotNull().alias("found"), rounded(F.col("distance"), 6).alias("distance"), "scorings")
+
+
+def robustness(spark, d):
+    """(model, accuracy, robust_accuracy, flipped, mean_distance) of a forest, and of one that has learned from the points that flipped the first."""
+    rows = _balances(spark, d)
+    first = attack.attacked(rows, _grove(spark, rows).probabilities, "id")
+    checkpoints(spark)
+    first = first.checkpoint()
+    more = attack.hardened_rows(first, "id")
+    second = attack.attacked(rows, _grove(spark, more).probabilities, "id")
+    return attack.robust_accuracy(first).withColumn("model", F.lit("baseline")).unionByName(attack.robust_accuracy(second).withColumn("model", F.lit("hardened")))
+
+
 def artifact_compatibility(spark, d):
     names = F.when(F.col("n_nationkey") % 4 != 0, F.array(F.lit("a"), F.lit("b")))
     rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 3 != 0, 5).otherwise(4).alias("schema_version"), names.alias("names"), F.array(F.lit("forest")).alias("estimators"), F.lit("f").alias("fingerprint"))
@@ -153,5 +183,5 @@ def stream_class_mix(spark, d):
     return monitor.latest(spark.read.parquet(f"{out}/rows"), ["start", "acuity"])
 
 
-QUERIES = {f.__name__: f for f in (model_predictions, calibrated_predictions, baseline_predictions, counterfactuals, partial_dependence, importances, surrogate_weights, surrogate_curve, novelty, tree_attributions, attribution_means, triage_scores, triage_log, artifact_compatibility, provenance, stream_class_mix)}
+QUERIES = {f.__name__: f for f in (model_predictions, calibrated_predictions, baseline_predictions, counterfactuals, partial_dependence, importances, surrogate_weights, surrogate_curve, novelty, tree_attributions, attribution_means, triage_scores, triage_log, boundary_attack, robustness, artifact_compatibility, provenance, stream_class_mix)}
 SQL = {"artifact_compatibility": "SELECT n_nationkey AS id, n_nationkey % 3 <> 0 AND n_nationkey % 4 <> 0 AS compatible, CASE WHEN n_nationkey % 3 = 0 THEN 'schema version differs' WHEN n_nationkey % 4 = 0 THEN 'feature names differ' END AS reason FROM nation"}
