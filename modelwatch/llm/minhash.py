@@ -12,16 +12,19 @@ Steps, each a table in the shared folder:
    smallest member; each document's best one is verified on full shingle sets, and the
    verified links, which always lead to a smaller number, are followed to their roots.
    A few more rounds have other members in the centre.
-4. What stars can't see: in every bucket all pairs between different components are
-   estimated, in blocks. Only which documents have a partner near the threshold is
-   written, a row for each and block; their texts then meet in the same blocks, where
-   pairs whose components aren't linked yet are verified on full sets. A pair that
-   shares several bands is looked at in the first of these only.
-5. Where the small components of a bucket have more than BLOCK documents, as pages of one
-   template do, these would need pairs of blocks without end. They meet by rare shingles
-   instead: a pair that is similar enough shares one of the first shingles of both in any
-   common order, and in the order of rising frequency these are what the template lacks.
-   Pairs that share one are estimated and verified.
+4. What stars can't see: pairs of different components in a bucket. Components of more than
+   BLOCK documents are families: a document that shares a bucket with one asks it as a
+   whole. A family is a tree of groups, the leaves of at most BLOCK documents, each with the
+   union of its shingles; who shares too little with a union for any link is done with all
+   below it, and members are compared on full sets only in the leaves that are left.
+5. The other documents of a bucket meet in one block where they are at most BLOCK: pairs are
+   estimated, only which documents have a partner near the threshold is written, and their
+   texts meet in the same block, where pairs whose components aren't linked yet are
+   verified on full sets. A pair that shares several bands is looked at in the first of
+   these only. Where they are more, as pages of one template, they meet by rare shingles: a
+   pair that is similar enough shares one of the first shingles of both in any common
+   order, and in the order of rising frequency these are what the template lacks. Pairs that
+   share one are estimated and verified.
 6. Components over all links; each is named by the smallest doc_id in it.
 
 Large groups of near copies collapse in step 3 with one row per document, so the later
@@ -52,6 +55,9 @@ BLOCK = 256  # documents that are compared with as many at a time
 SLOT_BITS = 18  # frequencies of shingles are counted in so many slots (as a power of two), which every task is told of
 ROUNDS = 2  # of stars with other centres
 FOLLOWERS = 128  # texts that one copy of a partner's text is compared with
+UNION = 1 << 18  # shingles of a stored union at most; a group with more has none, and its parts are asked instead
+ASKERS = 4096  # documents that one copy of a group is compared with
+LABELS = 1 << 20  # rows of a table of labels that a task takes
 
 
 # -- sets and sketches ------------------------------------------------------------------
@@ -207,12 +213,19 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 # -- components -------------------------------------------------------------------------
 
 
+def _compact(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, a table of about ``rows`` labels, in no more tasks than these need; one of many rows stays as it is."""
+    return df.coalesce(max(1, -(-rows // LABELS)))
+
+
 def roots(parents: DataFrame) -> DataFrame:
     """(id, root) from (id, parent) where every parent is smaller: each step follows two links."""
     now = checkpointed(parents.select(F.col("a").alias("id"), F.col("b").alias("root")))
+    n = now.count()
+    now = _compact(now, n)
     while True:
         up = now.select(F.col("id").alias("root"), F.col("root").alias("above"))
-        step = checkpointed(now.join(up, "root", "left").select("id", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
+        step = checkpointed(_compact(now.join(up, "root", "left").select("id", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), n))
         now = step.drop("moved")
         if not step.where("moved").limit(1).count():
             return now
@@ -220,14 +233,17 @@ def roots(parents: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(id, root): for every id in (a, b) the smallest one that links reach, by least neighbours and jumps."""
-    both = checkpointed(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    now = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("root")))
+    links = checkpointed(links.select("a", "b").distinct())
+    n = 2 * links.count()
+    links = _compact(links, n)
+    both = checkpointed(_compact(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), n))
+    now = checkpointed(_compact(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("root")), n))
     while True:
         at = now.select(F.col("id").alias("b"), "root")
-        near = checkpointed(both.join(at, "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near")))
-        mid = checkpointed(now.join(near, "id").select("id", "root", F.least("root", "near").alias("next")))
+        near = both.join(at, "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
+        mid = checkpointed(_compact(now.join(near, "id").select("id", "root", F.least("root", "near").alias("next")), n))
         up = mid.select(F.col("id").alias("next"), F.col("next").alias("above"))
-        step = checkpointed(mid.join(up, "next", "left").select("id", F.least("next", F.coalesce("above", "next")).alias("new"), "root"))
+        step = checkpointed(_compact(mid.join(up, "next", "left").select("id", F.least("next", F.coalesce("above", "next")).alias("new"), "root"), n))
         now = step.select("id", F.col("new").alias("root"))
         if not step.where("new <> root").limit(1).count():
             return now
@@ -246,19 +262,15 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
 def _near(rows: pa.Table, n: np.ndarray, regs: np.ndarray):
     """(i, j, estimates): for each row i of a block the rows j of other components near the threshold.
 
-    Only pairs whose first shared band is the one of this block's bucket.
+    Only pairs whose first shared band is the one of this block's bucket, whose key is the cell.
     """
     comp = rows.column("comp").to_numpy()
-    second = rows.column("second").to_numpy(zero_copy_only=False)
-    within, key = rows.column("within")[0].as_py(), np.int64(rows.column("key")[0].as_py()).view(np.uint64)
+    key = np.int64(rows.column("cell")[0].as_py()).view(np.uint64)
     wide = regs.view(np.uint64)
     band = int((band_keys(regs[:1])[0] == key).argmax())
-    left = np.arange(len(comp)) if within else np.flatnonzero(~second)
-    right = left if within else np.flatnonzero(second)
-    for i in left.tolist():
-        j = right[(comp[right] != comp[i]) & (np.minimum(n[right], n[i]) * DENOMINATOR >= np.maximum(n[right], n[i]) * NUMERATOR)]
-        if within:
-            j = j[j > i]
+    for i in range(len(comp) - 1):
+        j = np.arange(i + 1, len(comp))
+        j = j[(comp[j] != comp[i]) & (np.minimum(n[j], n[i]) * DENOMINATOR >= np.maximum(n[j], n[i]) * NUMERATOR)]
         if len(j):
             j = j[(wide[j] == wide[i]).argmax(1) == band]
         if len(j):
@@ -295,7 +307,13 @@ def _by_cell(step, schema: pa.Schema):
     return run
 
 
-_CELL = "cell long, key long, rep long, comp long, within boolean, second boolean"
+_CELL = "cell long, rep long, comp long"
+
+
+def mixed(labelled: DataFrame) -> DataFrame:
+    """The rows (key, rep, comp) of buckets with more than one component; nothing more can come of the others."""
+    keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    return labelled.join(keys, "key", "left_semi")
 
 
 def star_rounds(labelled: DataFrame, representatives: DataFrame, texts: DataFrame, scratch: Scratch, width: int, rounds: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -304,7 +322,7 @@ def star_rounds(labelled: DataFrame, representatives: DataFrame, texts: DataFram
     In every round each bucket has another centre, that of the least hash, and each document
     of another component than a centre's has its best centre verified. So a large
     component takes in what is linked to many of its members before anything is compared
-    in blocks.
+    in blocks. Buckets that one component has left to itself are gone from the result.
     """
     found = []
     for t in range(rounds):
@@ -317,33 +335,24 @@ def star_rounds(labelled: DataFrame, representatives: DataFrame, texts: DataFram
         comps = labelled.select("rep", "comp").distinct()
         edges = links.join(comps.select(F.col("rep").alias("a"), F.col("comp").alias("x")), "a").join(comps.select(F.col("rep").alias("b"), F.col("comp").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
         merged = components(scratch.save(edges, f"edges{t}")).select(F.col("id").alias("comp"), "root")
-        labelled = scratch.save(labelled.join(merged, "comp", "left").select("key", "rep", F.coalesce("root", "comp").alias("comp")), f"labelled{t}")
+        changed = scratch.save(labelled.join(merged, "comp", "left").select("key", "rep", F.coalesce("root", "comp").alias("comp")), f"labelled{t}")
+        labelled = scratch.save(mixed(changed), f"mixed{t}")
+        scratch.drop(f"labelled{t}")
     return labelled, found
 
 
 def cross_links(labelled: DataFrame, representatives: DataFrame, texts: DataFrame, scratch: Scratch, width: int) -> DataFrame:
     """(a, b): verified links between different components that share a bucket, at least as many as connect them."""
-    # Buckets of one component only need no look.
-    mixed = scratch.save(labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "mixed")
-    sizes = scratch.save(labelled.join(mixed, "key", "left_semi").groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    # Blocks: a component of more than BLOCK members has its own, all others of a bucket share some.
-    shelf = F.when(F.col("n") > BLOCK, F.col("comp"))
-    shelves = checkpointed(sizes.groupBy("key", shelf.alias("shelf")).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts")))
-    # Where the shared shelf has more than one block, its documents meet by shingles and not in pairs of blocks.
-    wide = scratch.save(shelves.where("shelf is null and parts > 1").select("key"), "wide")
-    crowd = scratch.save(labelled.join(sizes.where(F.col("n") <= BLOCK).join(wide, "key", "left_semi"), ["key", "comp"]).select("rep", "comp").distinct(), "crowd")
+    large = scratch.save(labelled.select("rep", "comp").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("comp", F.lit(True).alias("large")), "large")
+    marked = scratch.save(labelled.join(large, "comp", "left").select("key", "rep", "comp", F.col("large").isNotNull().alias("large")), "marked")
+    by_family = family_links(marked, representatives, texts, scratch, width)
+    small = marked.where("not large").drop("large")
+    sizes = scratch.save(small.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "n"), "sizes")
+    # Where a bucket has more than one block of these, they meet by shingles and not in pairs of blocks.
+    wide = scratch.save(sizes.where(F.col("n") > BLOCK).select("key"), "wide")
+    crowd = scratch.save(small.join(wide, "key", "left_semi").select("rep", "comp").distinct(), "crowd")
     by_shingle = shingle_links(crowd, representatives, texts, scratch, width)
-    blocks = checkpointed(shelves.select("key", "shelf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
-    one, two = blocks.select("key", F.struct("shelf", "part").alias("x")), blocks.select("key", F.struct("shelf", "part").alias("y"))
-    # Cells are pairs of blocks, not of rows; a large component's own blocks don't meet each other.
-    apart = ~F.coalesce(F.col("x.shelf") == F.col("y.shelf"), F.lit(False))
-    ordered = (F.col("x") < F.col("y")) | (F.col("x").eqNullSafe(F.col("y")) & F.col("x.shelf").isNull())
-    shared = F.col("x.shelf").isNull() & F.col("y.shelf").isNull()
-    cells = one.join(two, "key").where(apart & ordered).join(wide.withColumn("wide", F.lit(True)), "key", "left").where(F.col("wide").isNull() | ~shared).drop("wide").withColumn("cell", F.xxhash64("key", "x", "y"))
-    sides = checkpointed(cells.select("key", "cell", F.explode(F.array_distinct(F.array("x", "y"))).alias("at"), F.col("x").eqNullSafe(F.col("y")).alias("within"), F.col("y").alias("_y")).select("key", "cell", F.col("at.shelf").alias("_shelf"), F.col("at.part").alias("_part"), "within", F.col("at").eqNullSafe(F.col("_y")).alias("second")))
-    shelved = scratch.save(labelled.join(sizes, ["key", "comp"]).select("key", "rep", "comp", shelf.alias("shelf")), "shelved")
-    placed = shelved.join(shelves.withColumnRenamed("shelf", "_shelf"), "key").where(F.col("shelf").eqNullSafe(F.col("_shelf"))).select("key", "rep", "comp", "shelf", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"))
-    dealt = placed.join(sides, "key").where(F.col("shelf").eqNullSafe(F.col("_shelf")) & (F.col("part") == F.col("_part"))).select("cell", "key", "rep", "comp", "within", "second")
+    dealt = small.join(sizes.where(F.col("n") <= BLOCK).select("key"), "key", "left_semi").select(F.col("key").alias("cell"), "rep", "comp")
     schema, links = arrow_schema(_CELL), arrow_schema("a long, b long")
     names = schema.names
 
@@ -381,7 +390,190 @@ def cross_links(labelled: DataFrame, representatives: DataFrame, texts: DataFram
     full = scratch.save(dealt, "dealt").join(sketch, "rep").repartition("cell").sortWithinPartitions("cell")
     near = scratch.save(full.mapInArrow(_by_cell(involved, schema), _CELL), "near")
     told = near.join(texts.withColumnRenamed("doc_id", "rep"), "rep").repartition("cell").sortWithinPartitions("cell")
-    return told.mapInArrow(_by_cell(linked, links), "a long, b long").unionByName(by_shingle).distinct()
+    return told.mapInArrow(_by_cell(linked, links), "a long, b long").unionByName(by_shingle).unionByName(by_family).distinct()
+
+
+_NODE = "comp long, g long, low long, high long, shingles binary"
+
+
+def family_links(marked: DataFrame, representatives: DataFrame, texts: DataFrame, scratch: Scratch, width: int) -> DataFrame:
+    """(a, b): of every document and every leaf of a family that it shares a bucket with a link, if there is one.
+
+    ``marked`` (key, rep, comp, large). Of two families the one of the larger number asks. A
+    family has a root, asked once by each document, so rows follow the documents; what
+    passes a bound asks at most BLOCK nodes below.
+    """
+    if not marked.where("large").limit(1).count():
+        return marked.sparkSession.createDataFrame([], "a long, b long")
+    tops = marked.where("large").select("key", F.col("comp").alias("theirs")).distinct()
+    other = (F.col("comp") != F.col("theirs")) & (~F.col("large") | (F.col("comp") > F.col("theirs")))
+    asks = scratch.save(marked.join(tops, "key").where(other).select("rep", F.col("theirs").alias("comp"), F.lit(0).cast("long").alias("g")).distinct(), "asks")
+    members = marked.where("large").select("rep", "comp").distinct().join(representatives.select("rep", F.col("n_shingles").alias("n")), "rep")
+    parts = scratch.save(members.groupBy("comp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / UNION)).cast("long").alias("parts")), "parts")
+    placed = scratch.save(members.join(parts, "comp").select("rep", "comp", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("g")), "placed")
+    levels = [scratch.save(leaf_unions(placed, texts, width), "nodes0")]
+    most = parts.agg(F.max("parts")).first()[0]
+    while most > 1:
+        most = -(-most // BLOCK)
+        levels.append(scratch.save(node_unions(levels[-1]), f"nodes{len(levels)}"))
+    for k in reversed(range(len(levels))):
+        asks = scratch.save(qualifying(asks, levels[k], texts, width), f"asked{k}")
+        if k:
+            below = levels[k - 1].select("comp", F.col("g").alias("child"), F.floor(F.col("g") / BLOCK).alias("g"))
+            asks = asks.join(below, ["comp", "g"]).select("rep", "comp", F.col("child").alias("g"))
+    return scratch.save(opened(asks, placed, texts, width), "opened")
+
+
+def _united(items, schema: pa.Schema):
+    """A node of each run of items (comp, g, low, high, shingles or None) that have one (comp, g)."""
+    of, low, high, held, size = None, 0, 0, [], 0
+
+    def node():
+        shingles = None if held is None else np.unique(np.concatenate(held)).tobytes()
+        return pa.RecordBatch.from_pylist([dict(zip(schema.names, (*of, low, high, shingles), strict=True))], schema=schema)
+
+    for comp, g, least, greatest, s in items:
+        if (comp, g) != of:
+            if of is not None:
+                yield node()
+            of, low, high, held, size = (comp, g), least, greatest, [], 0
+        low, high = min(low, least), max(high, greatest)
+        if s is None:
+            held = None
+        elif held is not None:
+            held.append(s)
+            size += len(s)
+            if size > 2 * UNION:
+                held = [np.unique(np.concatenate(held))]
+                size = len(held[0])
+                if size > UNION:
+                    held = None
+    if of is not None:
+        yield node()
+    trim()
+
+
+def leaf_unions(placed: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """_NODE of every leaf (comp, g) of ``placed``."""
+    schema = arrow_schema(_NODE)
+
+    def items(batches):
+        from modelwatch.llm.shared import slices
+
+        for batch in batches:
+            for rows in slices(batch, "text"):
+                for s, comp, g in zip(shingle_sets(rows.column("text"), width), *(rows.column(c).to_pylist() for c in ("comp", "g")), strict=True):
+                    yield comp, g, len(s), len(s), s
+
+    read = texts.withColumnRenamed("doc_id", "rep").join(placed, "rep").select("comp", "g", "text")
+    return read.repartition("comp", "g").sortWithinPartitions("comp", "g").mapInArrow(lambda batches: _united(items(batches), schema), _NODE)
+
+
+def node_unions(below: DataFrame) -> DataFrame:
+    """_NODE of the nodes above: each joins BLOCK of ``below``."""
+    schema = arrow_schema(_NODE)
+
+    def items(batches):
+        for batch in batches:
+            for comp, g, low, high, shingles in zip(*(batch.column(c) for c in schema.names), strict=True):
+                yield comp.as_py(), g.as_py(), low.as_py(), high.as_py(), np.frombuffer(shingles.as_py(), np.uint64) if shingles.is_valid else None
+
+    up = below.withColumn("g", F.floor(F.col("g") / BLOCK))
+    return up.repartition("comp", "g").sortWithinPartitions("comp", "g").mapInArrow(lambda batches: _united(items(batches), schema), _NODE)
+
+
+def _parts(asks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The asked nodes with the numbers of their copies, (comp, g, part), and the asks with the copy that each meets."""
+    counts = checkpointed(asks.groupBy("comp", "g").agg(F.ceil(F.count(F.lit(1)) / ASKERS).cast("int").alias("parts")))
+    copies = counts.select("comp", "g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return copies, asks.join(counts, ["comp", "g"]).select("rep", "comp", "g", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"))
+
+
+def qualifying(asks: DataFrame, nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """The asks (rep, comp, g) whose overlap with the node's union allows a link with a member."""
+    copies, placed = _parts(asks)
+    told = texts.withColumnRenamed("doc_id", "rep").join(placed, "rep").select("comp", "g", "part", "rep", "text", *(F.lit(None).cast(t).alias(c) for c, t in (("low", "long"), ("high", "long"), ("shingles", "binary"))))
+    owns = nodes.join(copies, ["comp", "g"]).select("comp", "g", "part", F.lit(None).cast("long").alias("rep"), F.lit(None).cast("string").alias("text"), "low", "high", "shingles")
+    cells = owns.unionByName(told).repartition("comp", "g", "part").sortWithinPartitions("comp", "g", "part", F.col("rep").asc_nulls_first())
+    schema = arrow_schema("rep long, comp long, g long")
+
+    def run(batches):
+        from modelwatch.llm.shared import slices
+
+        whole, low, high = None, 0, 0
+        for batch in batches:
+            for rows in slices(batch, "text"):
+                out = []
+                for s, rep, comp, g, least, greatest, shingles in zip(shingle_sets(rows.column("text"), width), *(rows.column(c).to_pylist() for c in ("rep", "comp", "g", "low", "high", "shingles")), strict=True):
+                    if rep is None:
+                        whole, low, high = None if shingles is None else np.frombuffer(shingles, np.uint64), least, greatest
+                        continue
+                    x = max(low, -(-NUMERATOR * len(s) // DENOMINATOR))  # the least size of a member that fits
+                    if x > high or x * NUMERATOR > len(s) * DENOMINATOR:
+                        continue
+                    if whole is not None:
+                        at = np.minimum(np.searchsorted(whole, s), len(whole) - 1)
+                        if (NUMERATOR + DENOMINATOR) * int((whole[at] == s).sum()) < NUMERATOR * (len(s) + x):
+                            continue
+                    out.append((rep, comp, g))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+        trim()
+
+    return cells.mapInArrow(run, "rep long, comp long, g long")
+
+
+def opened(asks: DataFrame, placed: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(a, b), a > b: a link of each document with a member of the leaf that it asks, if there is one."""
+    copies, askers = _parts(asks)
+    roles = askers.withColumn("member", F.lit(False)).unionByName(placed.join(copies, ["comp", "g"]).select("rep", "comp", "g", "part", F.lit(True).alias("member")))
+    cells = texts.withColumnRenamed("doc_id", "rep").join(roles, "rep").select("comp", "g", "part", "member", "rep", "text")
+    cells = cells.repartition("comp", "g", "part").sortWithinPartitions("comp", "g", "part", F.col("member").desc())
+    schema = arrow_schema("a long, b long")
+
+    def run(batches):
+        from modelwatch.llm.shared import slices
+
+        of, sets, reps, index = None, [], [], None
+        for batch in batches:
+            for rows in slices(batch, "text"):
+                out = []
+                for s, comp, g, part, member, rep in zip(shingle_sets(rows.column("text"), width), *(rows.column(c).to_pylist() for c in ("comp", "g", "part", "member", "rep")), strict=True):
+                    if of != (comp, g, part):
+                        of, sets, reps, index = (comp, g, part), [], [], None
+                    if member:
+                        sets.append(s)
+                        reps.append(rep)
+                        continue
+                    index = index or _Overlaps(sets)
+                    both = index.with_set(s)
+                    fit = np.flatnonzero(DENOMINATOR * both >= NUMERATOR * (len(s) + index.sizes - both))
+                    if len(fit):
+                        out.append((max(rep, reps[fit[0]]), min(rep, reps[fit[0]])))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+        trim()
+
+    return cells.mapInArrow(run, "a long, b long")
+
+
+class _Overlaps:
+    """How many elements a set shares with each of some sets."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.values, first = np.unique(every[order], return_index=True)
+        self.bounds = np.append(first, len(every))
+
+    def with_set(self, s: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.values, s), len(self.values) - 1)
+        at = at[self.values[at] == s]
+        n = self.bounds[at + 1] - self.bounds[at]
+        place = np.repeat(self.bounds[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.owner[place], minlength=len(self.sizes))
 
 
 _TOKEN = "key long, rep long, comp long, indexed boolean"
@@ -499,6 +691,7 @@ def classified(documents: DataFrame, width: int) -> DataFrame:
     first = scratch.save(verified(best, texts, width), "first")
     labels = scratch.save(roots(first), "roots")
     labelled = scratch.save(members.join(labels.select(F.col("id").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("comp")), "labelled")
+    labelled = scratch.save(mixed(labelled), "mixed")
     labelled, more = star_rounds(labelled, reps, texts, scratch, width, ROUNDS)
     second = scratch.save(cross_links(labelled, reps, texts, scratch, width), "second")
     final = components(reduce(DataFrame.unionByName, more, first.unionByName(second))).withColumnRenamed("id", "rep")

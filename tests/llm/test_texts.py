@@ -120,6 +120,63 @@ def test_pages_of_a_template(rows, monkeypatch):
         assert seen[1][name] <= 2.6 * max(seen[0][name], 150), (name, seen)
 
 
+def _family(seed, m, linked=3):
+    """Near copies of one page beside as many unlinked pages of its template, and a few documents that link with copies only."""
+    rng = random.Random(seed)
+    frame, own = [f"t{i}" for i in range(252)], [f"base{k}" for k in range(48)]
+    page = lambda words: " ".join(frame[:100] + words[:24] + frame[100:] + words[24:])
+    out = [page([w if k != i % 48 else f"c{i}" for k, w in enumerate(own)]) for i in range(m)]
+    out += [page([f"p{i}w{k}" for k in range(48)]) for i in range(m)]
+    out += [page(own[:20] + [f"l{i}w{k}" for k in range(28)]) for i in range(linked)]
+    rng.shuffle(out)
+    return out
+
+
+def test_a_family_among_pages_of_its_template(rows, monkeypatch):
+    """A component larger than a block beside unlinked pages of its template: rows grow as the documents do."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "ASKERS", 50)
+    made, seen = {}, []
+    save = minhash.Scratch.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash.Scratch, "save", counted)
+    for m in (120, 240):
+        made.clear()
+        texts = _family(m, m)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(_frame(rows, texts).repartition(3)).collect()}
+        assert got == brute.components(list(enumerate(texts)))
+        assert max(sum(c == d for _, d in got.values()) for _, c in got.values()) >= m
+        seen.append(dict(made))
+    assert seen[0]["large"] == 1 and seen[0]["asks"] > 100 and "nodes1" in seen[0]
+    for name in seen[1]:  # tables of a row a document at most may fill up
+        assert seen[1][name] <= 2.6 * max(seen[0].get(name, 0), seen[0]["docs"]), (name, seen)
+
+
+@pytest.mark.parametrize("stored", [40, 1 << 18])
+def test_families_link_through_their_trees(rows, stored, monkeypatch):
+    """Without stars of other centres, families meet one another and single documents; also where unions are too long to store."""
+    monkeypatch.setattr(minhash, "BLOCK", 2)
+    monkeypatch.setattr(minhash, "UNION", stored)
+    monkeypatch.setattr(minhash, "ASKERS", 2)
+    monkeypatch.setattr(minhash, "ROUNDS", 0)
+    texts = _copies(5, 16)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(_frame(rows, texts)).collect()}
+    assert got == brute.components(list(enumerate(texts)))
+
+
+def test_overlaps():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, n)).astype(np.uint64) for n in (1, 5, 40, 80)]
+    index = minhash._Overlaps(sets)
+    for s in [*sets, np.array([99], np.uint64)]:
+        assert index.with_set(s).tolist() == [len(np.intersect1d(s, t)) for t in sets]
+
+
 @pytest.mark.parametrize("n", range(1, 60))
 def test_similar_sets_share_a_first_shingle(n):
     """The first elements of both sets, in any common order, have one in common wherever a link is possible."""
