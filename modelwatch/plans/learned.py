@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from modelwatch.functions.numbers import rounded
 from modelwatch.functions.quantiles import exact_quantiles
 from modelwatch.operators import attack, attribution, contracts, explain, models, scoring, textfeat
-from modelwatch.plans.carriers import table
+from modelwatch.plans.carriers import CODES, LOGS, table
 from modelwatch.sources.shared import checkpoints, folder
-from modelwatch.streaming import monitor
+from modelwatch.streaming import labels, monitor
 
 _FLAGS = 8
 
@@ -183,5 +183,16 @@ def stream_class_mix(spark, d):
     return monitor.latest(spark.read.parquet(f"{out}/rows"), ["start", "acuity"])
 
 
-QUERIES = {f.__name__: f for f in (model_predictions, calibrated_predictions, baseline_predictions, counterfactuals, partial_dependence, importances, surrogate_weights, surrogate_curve, novelty, tree_attributions, attribution_means, triage_scores, triage_log, boundary_attack, robustness, artifact_compatibility, provenance, stream_class_mix)}
-SQL = {"artifact_compatibility": "SELECT n_nationkey AS id, n_nationkey % 3 <> 0 AND n_nationkey % 4 <> 0 AS compatible, CASE WHEN n_nationkey % 3 = 0 THEN 'schema version differs' WHEN n_nationkey % 4 = 0 THEN 'feature names differ' END AS reason FROM nation"}
+def stream_labels(spark, d):
+    """(case_id, seq, y_pred, y_true): predictions among the events and their case's latest label, as two streams with a keyed state."""
+    out = folder(spark, "labels")
+    stream = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(d)
+    rows = stream.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("case_id"), "event_type", "ts")
+    log = rows.where("seq % 3 <> 0").withColumnRenamed("event_type", "pred_code")
+    truth = rows.where("seq % 3 = 0").withColumn("label_code", F.when(F.col("seq") % 7 != 0, F.col("event_type")))
+    monitor.each_batch(labels.labelled_facts(log, truth, CODES), lambda b: b, f"{out}/facts", f"{out}/progress").awaitTermination()
+    return labels.current(spark.read.schema(labels.FACTS).parquet(f"{out}/facts"))
+
+
+QUERIES = {f.__name__: f for f in (model_predictions, calibrated_predictions, baseline_predictions, counterfactuals, partial_dependence, importances, surrogate_weights, surrogate_curve, novelty, tree_attributions, attribution_means, triage_scores, triage_log, boundary_attack, robustness, artifact_compatibility, provenance, stream_class_mix, stream_labels)}
+SQL = {"artifact_compatibility": "SELECT n_nationkey AS id, n_nationkey % 3 <> 0 AND n_nationkey % 4 <> 0 AS compatible, CASE WHEN n_nationkey % 3 = 0 THEN 'schema version differs' WHEN n_nationkey % 4 = 0 THEN 'feature names differ' END AS reason FROM nation", "stream_labels": f"WITH {LOGS}, known AS (SELECT unnest([{', '.join(map(repr, CODES))}]) AS code, unnest(range({len(CODES)})) AS i), last AS (SELECT case_id, arg_max(i, seq) AS y_true FROM truth JOIN known ON label_code = code GROUP BY 1) SELECT case_id, seq, CAST(i AS INTEGER) AS y_pred, CAST(y_true AS INTEGER) AS y_true FROM log JOIN known ON pred_code = code JOIN last USING (case_id)"}
