@@ -72,3 +72,37 @@ def test_reports_are_whole(rows):
     pipelines = rows([("p", '{"stages": ["a", "b", "a"], "x": {"stage": "b"}, "y": {"stage": "c"}, "z": {"script": 1}, "w": 3}'), ("q", "{}"), ("r", "nonsense")], "name string, body string")
     got = sorted((r["name"], r["stage"], r["position"], r["jobs"]) for r in scanreport.pipeline_model(pipelines).collect())
     assert got == [("p", "a", 0, []), ("p", "b", 1, ["x"]), ("p", "c", None, ["y"])]
+
+
+def _put(folder, name, body, sidecar, at):
+    import os
+
+    (folder / name).write_bytes(body)
+    if sidecar is not None:
+        (folder / f"{name}.sha256").write_text(sidecar)
+    os.utime(folder / name, (at, at))
+
+
+def test_newest_artifact_of_files(spark, tmp_path):
+    import hashlib
+
+    right = lambda b: hashlib.sha256(b).hexdigest().upper() + "  name\n"
+    big = b"x" * 3_000_001  # three chunks
+    (tmp_path / "deep").mkdir()
+    _put(tmp_path, "forest-1.bin", b"one", right(b"one"), 100)
+    _put(tmp_path / "deep", "forest-2.bin", big, right(big), 200)
+    _put(tmp_path, "forest-3.bin", b"three", right(b"other"), 300)
+    _put(tmp_path, "forest-4.bin", b"four", None, 400)
+    _put(tmp_path, "forest-5.bin", b"five", "\n", 500)
+    _put(tmp_path, "curve-1.bin", b"c", "0" * 64, 100)
+    _put(tmp_path, "tie-1.bin", b"a", right(b"a"), 100)
+    _put(tmp_path, "tie-2.bin", b"b", right(b"b"), 100)
+    _put(tmp_path, "no family.bin", b"b", right(b"b"), 100)
+    found = artifacts.artifact_files(spark, str(tmp_path), "*.bin", r"^([a-z]+)-\d+")
+    assert found.count() == 8
+    short = lambda df: sorted((r["path"].split("/")[-1].split(".")[0], r["verdict"]) for r in df.collect())
+    assert short(artifacts.newest_artifact(found)) == [("curve-1", "digest differs"), ("forest-2", "loaded"), ("forest-3", "digest differs"), ("forest-4", "no sidecar"), ("forest-5", "no sidecar"), ("tie-2", "loaded")]
+    judged = found.where("path not like '%tie-2%'").select("path", (~F.col("path").contains("forest-2")).alias("compatible"))
+    assert short(artifacts.newest_artifact(found, judged)) == [("curve-1", "digest differs"), ("forest-1", "loaded"), ("forest-2", "incompatible"), ("forest-3", "digest differs"), ("forest-4", "no sidecar"), ("forest-5", "no sidecar"), ("tie-1", "loaded"), ("tie-2", "no contract")]
+    assert len(artifacts.file_verdicts(found).where("verdict = 'intact'").collect()) == 4
+    assert artifacts.newest_artifact(found.where("false")).count() == 0
