@@ -49,7 +49,8 @@ def merged(sketches: DataFrame, by: list[str]) -> DataFrame:
 
 def merged_totals(parts: DataFrame, by: list[str]) -> DataFrame:
     """Adds up ``totals``; ``seconds`` is the time that the parts took, without the gaps between them."""
-    took = (F.col("last").cast("double") - F.col("first").cast("double"))
+    at = lambda c: F.col(c).cast("timestamp").cast("double")
+    took = at("last") - at("first")
     return parts.groupBy(*by).agg(F.sum("requests").alias("requests"), F.sum("failures").alias("failures"), F.sum(took).alias("seconds"))
 
 

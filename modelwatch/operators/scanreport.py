@@ -49,9 +49,15 @@ def _finding(rows: DataFrame, severity: Column, text: Column) -> DataFrame:
 
 
 def sarif(rows: DataFrame) -> DataFrame:
-    """runs[].results[]"""
+    """runs[].results[] as "rule: message (file:line)"; the first location counts, without its folders."""
     results = _items(_items(rows, "$.runs"), "$.results")
-    return _finding(results, sarif_severity(_at(F.col("v"), "$.level"), _at(F.col("v"), '$.properties["security-severity"]')), F.concat_ws(": ", _at(F.col("v"), "$.ruleId"), _at(F.col("v"), "$.message.text")))
+    v = F.col("v")
+    place = "$.locations[0].physicalLocation"
+    file = F.nullif(F.element_at(F.split(_at(v, f"{place}.artifactLocation.uri"), "/"), -1), F.lit(""))
+    line = F.nullif(_at(v, f"{place}.region.startLine", "int"), F.lit(0)).cast("string")
+    where = F.coalesce(F.concat(F.lit(" ("), F.concat_ws(":", file, line), F.when(file.isNotNull(), ")")), F.lit(""))
+    text = F.concat(F.coalesce(F.nullif(_at(v, "$.ruleId"), F.lit("")), F.lit("rule")), F.lit(": "), F.trim(F.coalesce(_at(v, "$.message.text"), F.lit(""))), where)
+    return _finding(results, sarif_severity(_at(v, "$.level"), _at(v, '$.properties["security-severity"]')), text)
 
 
 def findings_list(rows: DataFrame, items: tuple[str, ...], severity: str, text: str, fixed: str | None = None) -> DataFrame:
@@ -99,14 +105,29 @@ BLOCKING = ("image", "verified-secrets")
 TOLERANT = ("image",)
 
 
-def findings(reports: DataFrame, shapes: dict[str, str]) -> DataFrame:
-    """_FINDING rows of (scanner, body); ``shapes`` names each scanner's shape. Bodies that don't parse have none."""
-    one = reports.where(~F.col("scanner").isin(*[k for k, v in shapes.items() if v in LINES])).select("scanner", F.try_parse_json("body").alias("v"))
-    lines = reports.where(F.col("scanner").isin(*[k for k, v in shapes.items() if v in LINES])).select("scanner", F.explode(F.split("body", "\n")).alias("line")).select("scanner", F.try_parse_json("line").alias("v"))
+def _shaped(reports: DataFrame, shapes: dict[str, str] | None) -> DataFrame:
+    """Reports with a ``shape``: their own column's, or that which ``shapes`` names for their scanner."""
+    if shapes is None:
+        return reports if "shape" in reports.columns else reports.withColumn("shape", F.lit(None).cast("string"))
+    pairs = [F.lit(x) for pair in shapes.items() for x in pair]
+    return reports.withColumn("shape", F.try_element_at(F.create_map(*pairs), F.col("scanner")) if pairs else F.lit(None).cast("string"))
+
+
+def findings(reports: DataFrame, shapes: dict[str, str] | None = None) -> DataFrame:
+    """_FINDING rows of (scanner, body) with a ``shape``, or with ``shapes`` by scanner.
+
+    Bodies that don't parse have none, nor have reports of a shape that isn't in SHAPES.
+    """
+    of = _shaped(reports, shapes)
     out = None
-    for shape in sorted(set(shapes.values())):
-        source = lines.where(F.schema_of_variant("v").startswith("OBJECT")) if shape in LINES else one.where(F.col("v").isNotNull())
-        rows = SHAPES[shape](source.where(F.col("scanner").isin(*[s for s, k in shapes.items() if k == shape])))
+    for shape in SHAPES if shapes is None else sorted(set(shapes.values())):
+        mine = of.where(F.col("shape") == shape)
+        if shape in LINES:
+            lines = mine.select("scanner", F.explode(F.split("body", "\n")).alias("line")).select("scanner", F.try_parse_json("line").alias("v"))
+            parsed = lines.where(F.schema_of_variant("v").startswith("OBJECT"))
+        else:
+            parsed = mine.select("scanner", F.try_parse_json("body").alias("v")).where("v is not null")
+        rows = SHAPES[shape](parsed)
         if shape == "web":
             rows = rows.withColumn("severity", risk_word(F.col("severity")))
         out = rows if out is None else out.unionByName(rows)
@@ -119,13 +140,45 @@ def summary(reports: DataFrame, found: DataFrame, shapes: dict[str, str] | None
     PASS without findings, else REVIEW; BLOCKING where the scanner's shape blocks on
     critical findings. A tolerant shape passes with others. An absent report has no row.
     """
-    of = shapes or {}
-    named = lambda kinds: [s for s, k in of.items() if k in kinds]
     by = found.groupBy("scanner").agg(F.count(F.lit(1)).alias("findings"), *[F.count_if(F.col("severity").isin(*([s, ALSO_MEDIUM] if s == "MEDIUM" else [s]))).alias(s.lower()) for s in SEVERITIES[:4]])
-    all_ = reports.select("scanner").distinct().join(by, "scanner", "left").na.fill(0)
-    blocks = F.col("scanner").isin(*named(BLOCKING)) & (F.col("critical") > 0)
-    passes = (F.col("findings") == 0) | F.col("scanner").isin(*named(TOLERANT))
-    return all_.withColumn("verdict", F.when(blocks, "BLOCKING").when(passes, "PASS").otherwise("REVIEW"))
+    all_ = _shaped(reports, shapes).groupBy("scanner").agg(F.coalesce(F.min("shape"), F.lit("")).alias("shape")).join(by, "scanner", "left").na.fill(0)
+    blocks = F.col("shape").isin(*BLOCKING) & (F.col("critical") > 0)
+    passes = (F.col("findings") == 0) | F.col("shape").isin(*TOLERANT)
+    return all_.withColumn("verdict", F.when(blocks, "BLOCKING").when(passes, "PASS").otherwise("REVIEW")).drop("shape")
+
+
+def _percent(share: Column) -> Column:
+    return F.concat(F.round(F.coalesce(share, F.lit(0.0)) * 100).cast("long").cast("string"), F.lit("%"))
+
+
+def evidence(artifacts: DataFrame, expected: DataFrame) -> DataFrame:
+    """(name, kind, detail, verdict) for each row of ``expected`` (name, kind) from ``artifacts`` (name, body).
+
+    Kinds: ``load`` (a load test's summary), ``guardrail`` (a scored gate) and ``credentials``
+    (live credentials that an agent can reach). What is absent, doesn't parse or is no object
+    was not run, which is no pass.
+    """
+    v, kind = F.col("v"), F.col("kind")
+    text = lambda path, other="?": F.coalesce(_at(v, path), F.lit(other))
+    listed = lambda path: F.coalesce(_at(v, path, "array<string>"), F.array().cast("array<string>"))
+    number = lambda path: F.coalesce(_at(v, path, "double"), F.lit(0.0))
+    breaches, live = listed("$.breaches"), listed("$.live")
+    said = F.array_join(breaches, "; ")
+    load = F.concat(F.lit("p95 "), text("$.p95Ms"), F.lit("ms, "), text("$.rps"), F.lit(" rps, "), F.format_string("%.2f%%", number("$.failRatio") * 100), F.lit(" failed over "), text("$.requests", "0"), F.lit(" requests"))
+    guardrail = F.concat(F.lit("recall "), _percent(number("$.recall")), F.lit(" / false-pos "), _percent(number("$.falsePositiveRate")), F.lit(" / injection bypass "), _percent(number("$.bypassRate")), F.lit(" over "), text("$.counts.cases", "0"), F.lit(" labelled cases"))
+    applies = F.coalesce(_at(v, "$.applicable", "boolean"), F.lit(False))
+    credentials = F.when(~applies, F.concat(F.lit("not applicable in "), text("$.environment"))).when(F.size(live) > 0, F.concat(F.lit("live credentials present: "), F.array_join(live, ", "))).otherwise(F.concat(F.size(listed("$.checked")).cast("string"), F.lit(" agent-reachable credentials checked")))
+    with_breaches = lambda word: F.when(F.size(breaches) > 0, F.concat(word, F.lit(" - "), said)).otherwise(word)
+    absent = v.isNull()
+    detail = F.when(absent, "artifact absent").when(kind == "load", load).when(kind == "guardrail", guardrail).when(kind == "credentials", credentials)
+    verdict = (
+        F.when(absent, "not run")
+        .when(kind == "load", with_breaches(F.when(F.size(breaches) > 0, F.lit("REVIEW")).otherwise(F.lit("PASS"))))
+        .when(kind == "guardrail", with_breaches(text("$.verdict")))
+        .when(kind == "credentials", F.when(~applies, "not run").when(F.size(live) > 0, "FAIL").otherwise("PASS"))
+    )
+    parsed = artifacts.select("name", F.try_parse_json("body").alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    return expected.select("name", "kind").join(parsed, "name", "left").select("name", "kind", detail.alias("detail"), verdict.alias("verdict"))
 
 
 def notable(found: DataFrame, seq: str, cap: int | None = None, width: int = 130) -> DataFrame:

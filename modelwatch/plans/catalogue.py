@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from modelwatch.functions import matching
 from modelwatch.functions.numbers import argmax, rounded
 from modelwatch.operators import calibration, contracts, drift, explain, fairness, gates, joins, redaction, scanreport, snapshot, telemetry, textfeat
-from modelwatch.plans import learned
+from modelwatch.plans import evidence, learned
 from modelwatch.plans.carriers import CODES, LOGS, SCORED, logs, r, scored, table
 from modelwatch.sources import logs as log_source
 from modelwatch.sources import synth
@@ -32,11 +32,11 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES | learned.QUERIES
+    return _QUERIES | learned.QUERIES | evidence.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | learned.SQL
+    return _SQL | learned.SQL | evidence.SQL
 
 
 # -- fairness and safety ----------------------------------------------------------------

@@ -161,6 +161,15 @@ def robustness(spark, d):
     return attack.robust_accuracy(first).withColumn("model", F.lit("baseline")).unionByName(attack.robust_accuracy(second).withColumn("model", F.lit("hardened")))
 
 
+def trained_cross_validation(spark, d):
+    """(metric, mean, std, folds): five forests, each judged on the fold that it didn't see, by ages."""
+    checkpoints(spark)
+    rows = _cases(spark, d).withColumn("grp", F.pmod("id", F.lit(4)))
+    folds = models.cross_validated(rows, lambda r: models.forest(r, trees=20, depth=6)[0], "id").checkpoint()
+    each = [explain.cross_validation(folds, m).select(F.lit(m).alias("metric"), "mean", "std", "folds") for m in ("accuracy", "red_flag_recall", "gap")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
 def artifact_compatibility(spark, d):
     names = F.when(F.col("n_nationkey") % 4 != 0, F.array(F.lit("a"), F.lit("b")))
     rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 3 != 0, 5).otherwise(4).alias("schema_version"), names.alias("names"), F.array(F.lit("forest")).alias("estimators"), F.lit("f").alias("fingerprint"))
@@ -194,5 +203,5 @@ def stream_labels(spark, d):
     return labels.current(spark.read.schema(labels.FACTS).parquet(f"{out}/facts"))
 
 
-QUERIES = {f.__name__: f for f in (model_predictions, calibrated_predictions, baseline_predictions, counterfactuals, partial_dependence, importances, surrogate_weights, surrogate_curve, novelty, tree_attributions, attribution_means, triage_scores, triage_log, boundary_attack, robustness, artifact_compatibility, provenance, stream_class_mix, stream_labels)}
+QUERIES = {f.__name__: f for f in (model_predictions, calibrated_predictions, baseline_predictions, counterfactuals, partial_dependence, importances, surrogate_weights, surrogate_curve, novelty, tree_attributions, attribution_means, triage_scores, triage_log, boundary_attack, robustness, trained_cross_validation, artifact_compatibility, provenance, stream_class_mix, stream_labels)}
 SQL = {"artifact_compatibility": "SELECT n_nationkey AS id, n_nationkey % 3 <> 0 AND n_nationkey % 4 <> 0 AS compatible, CASE WHEN n_nationkey % 3 = 0 THEN 'schema version differs' WHEN n_nationkey % 4 = 0 THEN 'feature names differ' END AS reason FROM nation", "stream_labels": f"WITH {LOGS}, known AS (SELECT unnest([{', '.join(map(repr, CODES))}]) AS code, unnest(range({len(CODES)})) AS i), last AS (SELECT case_id, arg_max(i, seq) AS y_true FROM truth JOIN known ON label_code = code GROUP BY 1) SELECT case_id, seq, CAST(i AS INTEGER) AS y_pred, CAST(y_true AS INTEGER) AS y_true FROM log JOIN known ON pred_code = code JOIN last USING (case_id)"}
