@@ -100,7 +100,7 @@ def cross_validated(rows: DataFrame, train: Callable[[DataFrame], Scorer], key:
         return train(dealt.where(F.col("fold") != k).drop("fold"))
 
     with ThreadPool(jobs) as pool:
-        scorers = pool.map(inheritable_thread_target(fitted), range(folds))
+        scorers = pool.map(inheritable_thread_target(rows.sparkSession)(fitted), range(folds))
     judged = reduce(DataFrame.unionByName, [predict(dealt.where(F.col("fold") == k), s).select("fold", group, label, "y_pred") for k, s in enumerate(scorers)])
     severe, raised = F.col(label) <= SEVERE, F.col("y_pred") <= SEVERE
     by = judged.groupBy("fold", group).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == F.col("y_pred")).alias("hits"), F.count_if(severe).alias("severe"), F.count_if(severe & raised).alias("caught"))

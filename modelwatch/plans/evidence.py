@@ -25,12 +25,14 @@ def archived_orders(spark, d):
 
 
 def artifact_digests(spark, d):
-    """(name, family, length, verdict, sha256): a file for every customer, with its digest beside it, with another's, or with none."""
+    """(name, family, length, verdict, sha256): a file for each nation and segment, with its digest beside it, with another's, or with none."""
     at = folder(spark, "artifacts")
-    k = F.col("c_custkey")
-    body = F.concat_ws("|", k.cast("string"), "c_name", "c_mktsegment")
-    sidecar = F.when(k % 3 == 0, F.concat(F.sha2(body, 256), F.lit("  artifact"))).when(k % 3 == 1, F.sha2(F.concat(body, F.lit("!")), 256))
-    made = table(spark, d, "customer").select(F.concat(F.lit("m"), F.col("c_nationkey").cast("string"), F.lit("-"), k.cast("string"), F.lit(".bin")).alias("name"), body.alias("body"), sidecar.alias("sidecar"))
+    k, segment = F.col("c_nationkey"), F.col("c_mktsegment")
+    body = F.concat_ws("|", k.cast("string"), segment, F.col("n").cast("string"), F.col("last").cast("string"))
+    kind = (k + F.length(segment)) % 3
+    sidecar = F.when(kind == 0, F.concat(F.sha2(body, 256), F.lit("  artifact"))).when(kind == 1, F.sha2(F.concat(body, F.lit("!")), 256))
+    rows = table(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.max("c_custkey").alias("last"))
+    made = rows.select(F.concat(F.lit("m"), k.cast("string"), F.lit("-"), segment, F.lit(".bin")).alias("name"), body.alias("body"), sidecar.alias("sidecar"))
     artifacts.write_artifacts(made, at).write.format("noop").mode("overwrite").save()
     found = artifacts.file_verdicts(artifacts.artifact_files(spark, at, "*.bin", r"^(m\d+)-"))
     return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "family", "length", "verdict", "sha256")
@@ -145,10 +147,10 @@ _SHAPES = ", ".join(f"('{s}')" for s in scanreport.SHAPES)
 _FOUND = f"""found AS (SELECT shape, shape || '-' || CAST(c_nationkey AS VARCHAR) AS scanner,
  CASE WHEN shape IN ('secrets', 'keyed-secrets', 'dependencies') THEN 'HIGH' WHEN shape = 'server' THEN 'UNKNOWN' WHEN shape = 'verified-secrets' THEN CASE WHEN c_custkey % 4 = 0 THEN 'CRITICAL' ELSE 'HIGH' END ELSE {_S4} END AS severity,
  CASE shape WHEN 'sarif' THEN c_mktsegment || ': m (a.py:3)' WHEN 'keyed-secrets' THEN 'file.env' WHEN 'packages' THEN '' ELSE c_mktsegment END AS finding FROM customer, (VALUES {_SHAPES}) AS t(shape))"""
-_BODY = "CAST(c_custkey AS VARCHAR) || '|' || c_name || '|' || c_mktsegment"
+_BODY = "CAST(c_nationkey AS VARCHAR) || '|' || c_mktsegment || '|' || CAST(count(*) AS VARCHAR) || '|' || CAST(max(c_custkey) AS VARCHAR)"
 SQL = {
     "archived_orders": "SELECT o_orderkey AS id, CAST(o_totalprice AS DOUBLE) AS price, CAST(o_custkey AS DOUBLE) AS customer, o_orderstatus = 'F' AS done, o_orderpriority AS grp FROM orders",
-    "artifact_digests": f"SELECT 'm' || CAST(c_nationkey AS VARCHAR) || '-' || CAST(c_custkey AS VARCHAR) || '.bin' AS name, 'm' || CAST(c_nationkey AS VARCHAR) AS family, CAST(strlen({_BODY}) AS BIGINT) AS length, ['intact', 'digest differs', 'no sidecar'][c_custkey % 3 + 1] AS verdict, CASE WHEN c_custkey % 3 < 2 THEN sha256({_BODY}) END AS sha256 FROM customer",
+    "artifact_digests": f"WITH a AS (SELECT c_nationkey AS k, c_mktsegment AS s, {_BODY} AS body FROM customer GROUP BY 1, 2) SELECT 'm' || CAST(k AS VARCHAR) || '-' || s || '.bin' AS name, 'm' || CAST(k AS VARCHAR) AS family, CAST(strlen(body) AS BIGINT) AS length, ['intact', 'digest differs', 'no sidecar'][(k + length(s)) % 3 + 1] AS verdict, CASE WHEN (k + length(s)) % 3 < 2 THEN sha256(body) END AS sha256 FROM a",
     "load_sketches": f"WITH {_BUCKETS} SELECT * FROM b",
     "load_test": f"""WITH {_BUCKETS}, w AS (SELECT job, bucket, sum(n) OVER (PARTITION BY job ORDER BY bucket) AS seen, sum(n) OVER (PARTITION BY job) AS whole FROM b),
 p AS (SELECT job, {_P.format(50)} AS b50, {_P.format(95)} AS b95, {_P.format(99)} AS b99 FROM w GROUP BY job),
