@@ -80,3 +80,14 @@ def test_labels_in_any_order_and_after_a_restart(spark, rows, tmp_path):
 def test_stream_of_labels_over_events(spark):
     log, truth = logs(spark, DATA)
     assert _joined(learned.stream_labels(spark, DATA)) == _joined(joins.labelled_join(log, truth, CODES, limit=None))
+
+
+def test_only_frequent_cases_have_parts(spark, rows, tmp_path, monkeypatch):
+    log = rows([(i, "x" if i % 2 else "y", "a") for i in range(40)], "seq long, case_id string, pred_code string")
+    truth = rows([(2**53 + 1, "x", "b"), (50, "y", "a")], "seq long, case_id string, label_code string")
+    both = [tuple(r) for r in labels.events(log, truth, ["a", "b"], 4, ["x"]).collect()]
+    assert {r[0] for r in both if r[1] == "y"} == {0} and {r[0] for r in both if r[1] == "x"} == {0, 1, 2, 3}
+    assert sorted(r[:4] for r in both if r[4]) == [(0, "x", 2**53 + 1, 1), (0, "y", 50, 0), (1, "x", 2**53 + 1, 1), (2, "x", 2**53 + 1, 1), (3, "x", 2**53 + 1, 1)]
+    monkeypatch.setattr(learned, "_FREQUENT", 60)
+    log, truth = logs(spark, DATA)
+    assert _joined(learned.stream_labels(spark, DATA)) == _joined(joins.labelled_join(log, truth, CODES, limit=None))
