@@ -105,7 +105,7 @@ def nearest_flips(x: np.ndarray, keys: np.ndarray, classes: Callable[[np.ndarray
     return best, found, used
 
 
-def attacked(rows: DataFrame, probabilities: Callable[[np.ndarray], np.ndarray], key: str, how: Search | None = None, at_once: int = 256) -> DataFrame:
+def attacked(rows: DataFrame, probabilities: Callable[[np.ndarray], np.ndarray], key: str, how: Search | None = None, at_once: int = 1024) -> DataFrame:
     """Adds y_pred, ``adversarial`` (null where none is found), ``distance`` (largest change) and ``scorings`` to rows with ``x``.
 
     A row whose ``x`` is null, empty, or has a null or what isn't finite, gets nulls; all others

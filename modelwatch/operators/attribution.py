@@ -11,6 +11,7 @@ sum over subsets.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,42 @@ from modelwatch.operators.explain import urgency
 _NODES = "tree int, node int, left int, right int, feature int, threshold double, stats array<double>"
 
 
+class Cells:
+    """The grid that all thresholds of a forest make: the forest says the same of all rows in a cell.
+
+    What a cell gets is worked out once and kept, for ``most`` cells at most; what comes
+    beyond these is worked out once a call. A grid with too many cells to number shares nothing.
+    """
+
+    def __init__(self, cuts: dict[int, set[float]], most: int = 1 << 16):
+        self.cuts = [(f, np.array(sorted(c))) for f, c in sorted(cuts.items())]
+        self.numbered = sum(np.log2(len(c) + 1) for _, c in self.cuts) < 62
+        self.most, self.seen, self.values = most, np.array([np.iinfo(np.int64).max]), None
+
+    def of(self, x: np.ndarray, work: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """``work(x)``, a row of values a row, by one row of each cell."""
+        if not self.numbered or not len(x):
+            return work(x)
+        code = np.zeros(len(x), np.int64)
+        for f, cuts in self.cuts:
+            code = code * (len(cuts) + 1) + np.searchsorted(cuts, x[:, f])
+        at = np.searchsorted(self.seen, code)
+        known = self.seen[at] == code
+        if known.all():
+            return self.values[at]
+        new, first, back = np.unique(code[~known], return_index=True, return_inverse=True)
+        found = work(x[~known][first])
+        out = np.empty((len(x), *found.shape[1:]))
+        out[~known] = found[back]
+        if known.any():
+            out[known] = self.values[at[known]]
+        if len(self.seen) + len(new) <= self.most:
+            place = np.searchsorted(self.seen, new)
+            self.values = found if self.values is None else np.insert(self.values, place, found, 0)
+            self.seen = np.insert(self.seen, place, new)
+        return out
+
+
 @dataclass
 class Leaf:
     """A path's distinct features, the interval (low, high] each must be in, the shares that pass, and the class values."""
@@ -41,6 +78,13 @@ class Paths:
     base: np.ndarray
     width: int
 
+    def __post_init__(self):
+        cuts: dict[int, set[float]] = {}
+        for leaf in self.leaves:
+            for f, *bounds in zip(leaf.features.tolist(), leaf.low.tolist(), leaf.high.tolist(), strict=True):
+                cuts.setdefault(f, set()).update(b for b in bounds if np.isfinite(b))
+        self.cells = Cells(cuts, 1 << 14)
+
 
 def node_table(model, path: str) -> DataFrame:
     """_NODES of a fitted forest, from what its writer saves at ``path``; at most trees * 2**(depth + 1) rows."""
@@ -78,6 +122,10 @@ def paths(nodes: DataFrame, width: int) -> Paths:
 
 def explained(x: np.ndarray, found: Paths) -> np.ndarray:
     """[rows, features, classes] of attributions; with ``base`` they add up to the forest's probabilities."""
+    return found.cells.of(x, lambda rows: _explained(rows, found))
+
+
+def _explained(x: np.ndarray, found: Paths) -> np.ndarray:
     out = np.zeros((len(x), found.width, len(found.base)))
     rules: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for leaf in found.leaves:
@@ -89,9 +137,14 @@ def explained(x: np.ndarray, found: Paths) -> np.ndarray:
             rules[d] = (u + 1) / 2, w / 2
         u, w = rules[d]
         v = x[:, leaf.features]
-        passed = (v > leaf.low) & (v <= leaf.high)
+        # As the forest itself goes: what is no number to the right, and an open side is open to infinities too.
+        passed = ((leaf.low == -np.inf) | ~(v <= leaf.low)) & ((leaf.high == np.inf) | (v <= leaf.high))
         # Rows that pass the same features share their sums.
-        kinds, of = np.unique(passed, axis=0, return_inverse=True)
+        if d < 63:
+            _, first, of = np.unique(passed @ (1 << np.arange(d)), return_index=True, return_inverse=True)
+            kinds = passed[first]
+        else:
+            kinds, of = np.unique(passed, axis=0, return_inverse=True)
         factor = (1 - u)[:, None, None] * leaf.shares + u[:, None, None] * kinds  # [points, kinds, d]
         before, after = np.ones_like(factor), np.ones_like(factor)
         np.cumprod(factor[..., :-1], axis=-1, out=before[..., 1:])
@@ -101,7 +154,7 @@ def explained(x: np.ndarray, found: Paths) -> np.ndarray:
     return out
 
 
-def attributed(rows: DataFrame, found: Paths, x: str = "x", name: str = "phi", at_once: int = 1024) -> DataFrame:
+def attributed(rows: DataFrame, found: Paths, x: str = "x", name: str = "phi", at_once: int = 5000) -> DataFrame:
     """Adds ``name``, array<array<double>> by feature and class, to rows with ``x``; in Arrow, ``at_once`` rows at a time.
 
     A row whose ``x`` is null, short, long or has a null gets null.

@@ -18,6 +18,7 @@ from modelwatch.functions.numbers import argmax, rounded
 from modelwatch.functions.quantiles import exact_quantiles
 from modelwatch.operators.fairness import SEVERE
 from modelwatch.operators.snapshot import ordering, stratified_folds
+from modelwatch.sources.shared import spread, stored
 
 #: A scorer adds ``proba`` (array<double>) to rows that have ``x`` (array<double>).
 Scorer = Callable[[DataFrame], DataFrame]
@@ -67,11 +68,11 @@ def curved(df: DataFrame, curves: list[tuple[list[float], list[float]]], name: s
 
 def isotonic(rows: DataFrame, train: Callable[[DataFrame], Scorer], key: str, label: str = "y", classes: int = 5, folds: int = 3, grid: int = 10_000) -> Scorer:
     """A calibrated scorer: for each fold a model on the others and a curve per class on it; means, renormalised."""
-    dealt = stratified_folds(rows, key, label, folds)
+    dealt = stored(spread(stratified_folds(rows, key, label, folds), key), "folds")
     parts: list[tuple[Scorer, list[tuple[list[float], list[float]]]]] = []
     for k in range(folds):
         scorer = train(dealt.where(F.col("fold") != k))
-        held = scorer(dealt.where(F.col("fold") == k)).select("proba", label).checkpoint()
+        held = stored(scorer(dealt.where(F.col("fold") == k)).select("proba", label), f"held{k}")
         parts.append((scorer, [curve(held, c, grid, label) for c in range(classes)]))
 
     def calibrated(df: DataFrame) -> DataFrame:
@@ -205,14 +206,17 @@ def _draws(h: np.ndarray, tree: int, seed: int) -> np.ndarray:
 def tree_rows(rows: DataFrame, key: str, trees: int, sample: int, seed: int) -> list[np.ndarray]:
     """For each tree the ``x`` of the ``sample`` rows with the smallest hashes of (tree, key).
 
-    Every task sends at most ``trees`` x ``sample`` rows on, the driver gets as many.
+    The rows are counted first, and hashes so large that they are hardly among the smallest
+    stay where they are; if that leaves a tree short, as with keys that repeat, all are looked
+    at again. So the tasks together send little more than ``trees`` x ``sample`` rows on, and
+    the driver gets as many.
     """
     import pyarrow as pa
     from pyspark.sql import Window
 
     schema = pa.schema([("tree", pa.int32()), ("v", pa.int64()), ("x", pa.list_(pa.float64()))])
 
-    def run(batches):
+    def run(batches, limit):
         best = [(np.zeros(0, np.int64), None)] * trees
         for b in batches:
             if not b.num_rows:
@@ -220,7 +224,7 @@ def tree_rows(rows: DataFrame, key: str, trees: int, sample: int, seed: int) ->
             x, h = np.array(b.column("x").to_pylist(), dtype=float).reshape(b.num_rows, -1), b.column("h").to_numpy()
             for t in range(trees):
                 v, (had, kept) = _draws(h, t, seed), best[t]
-                near = np.flatnonzero(v < had.max()) if len(had) == sample else np.arange(len(v))
+                near = np.flatnonzero(v < had.max() if len(had) == sample else v <= limit)
                 if len(near) > sample:
                     near = near[np.argpartition(v[near], sample - 1)[:sample]]
                 if len(near):
@@ -231,11 +235,17 @@ def tree_rows(rows: DataFrame, key: str, trees: int, sample: int, seed: int) ->
             if len(v):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), pa.array(v), pa.array(kept.tolist(), pa.list_(pa.float64()))], schema=schema)
 
-    near = rows.select(F.xxhash64(F.lit(seed), key).alias("h"), F.col("x").cast("array<double>").alias("x")).mapInArrow(run, "tree int, v long, x array<double>")
+    hashed = rows.select(F.xxhash64(F.lit(seed), key).alias("h"), F.col("x").cast("array<double>").alias("x"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy("v", "x"))
-    out = [[] for _ in range(trees)]
-    for r in sorted((r["tree"], r["v"], r["x"]) for r in near.withColumn("_rank", rank).where(F.col("_rank") <= sample).collect()):
-        out[r[0]].append(r[2])
+    n, top = hashed.count(), (1 << 63) - 1
+    likely = (sample + 10 * sample**0.5 + 50) / max(1, n)
+    for limit in dict.fromkeys((min(top, int(likely * top)), top)):
+        near = hashed.mapInArrow(lambda batches, limit=limit: run(batches, limit), "tree int, v long, x array<double>")
+        out = [[] for _ in range(trees)]
+        for r in sorted((r["tree"], r["v"], r["x"]) for r in near.withColumn("_rank", rank).where(F.col("_rank") <= sample).collect()):
+            out[r[0]].append(r[2])
+        if all(len(o) == min(sample, n) for o in out):
+            break
     return [np.array(o, dtype=float) for o in out]
 
 

@@ -29,7 +29,7 @@ from modelwatch.functions.numbers import argmax
 from modelwatch.functions.quantiles import exact_quantiles
 from modelwatch.operators import attribution, fairness, models
 from modelwatch.operators.snapshot import content_hash, oversample, stratified_folds, stratified_split, version_id
-from modelwatch.sources.shared import checkpoints, folder, publish, read_text
+from modelwatch.sources.shared import folder, publish, read_text, spread, stored
 
 SCHEMA_VERSION = 1
 WEIGHTS = (1.0, 0.5, 0.0, -0.5, -1.0)  # of the classes in an urgency
@@ -80,8 +80,18 @@ class Grove:
             np.array([i for i, r in enumerate(rows) if r["node"] == 0]),
         )
 
+    def __post_init__(self):
+        cuts: dict[int, set[float]] = {}
+        for f, t in zip(self.feature.tolist(), self.threshold.tolist(), strict=True):
+            if np.isfinite(t):
+                cuts.setdefault(f, set()).add(t)
+        self.cells = attribution.Cells(cuts)
+
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         """[rows, classes]: the mean of the leaves' shares."""
+        return self.cells.of(x, self._descended)
+
+    def _descended(self, x: np.ndarray) -> np.ndarray:
         at, rows = np.tile(self.roots, (len(x), 1)), np.arange(len(x))[:, None]
         while True:
             below = np.where(x[rows, self.feature[at]] <= self.threshold[at], self.low[at], self.high[at])
@@ -156,8 +166,7 @@ def build(rows: DataFrame, root: str, settings: Settings, names: list[str]) -> s
     path = f"{root}/{version}"
     if served and json.loads(served)["version"] == version:
         return path
-    checkpoints(spark)
-    split = stratified_split(rows.select("id", "x", F.col("y").cast("int").alias("y"), "grp"), "id", "y").checkpoint()
+    split = stored(spread(stratified_split(rows.select("id", "x", F.col("y").cast("int").alias("y"), "grp"), "id", "y"), "id"), "split")
     train, test = split.where("part = 'train'"), split.where("part = 'test'")
     fit = lambda r: models.forest(r, trees=settings.trees, leaf=settings.leaf, depth=settings.depth, seed=settings.seed)[1]
     nodes, curves = [], []
@@ -167,18 +176,20 @@ def build(rows: DataFrame, root: str, settings: Settings, names: list[str]) -> s
         nodes.append(table)
         return table.collect()
 
-    served_rows = saved("served", fit(oversample(train, "id", "grp")))
-    dealt, folds = stratified_folds(train, "id", "y", settings.folds).checkpoint(), []
+    served_rows = saved("served", fit(stored(spread(oversample(train, "id", "grp"), "id", "copy"), "served")))
+    dealt, folds = stored(spread(stratified_folds(train, "id", "y", settings.folds), "id"), "folds"), []
     for k in range(settings.folds):
         model = fit(dealt.where(F.col("fold") != k))
         folds.append(Grove.of(saved(f"fold{k}", model)))
-        held = scored_by(dealt.where(F.col("fold") == k), folds[-1].probabilities).select("proba", "y").checkpoint()
+        held = stored(scored_by(dealt.where(F.col("fold") == k), folds[-1].probabilities).select("proba", "y"), f"held{k}")
         curves.append([models.curve(held, c, settings.grid) for c in range(settings.classes)])
     width = len(names)
     trees = models.isolation_trees(train, "id", settings.novelty_trees, settings.novelty_sample, settings.seed)
-    bound = exact_quantiles(models.novelty(test, trees, settings.novelty_sample).select(F.lit("all").alias("g"), "novelty"), "g", "novelty", [settings.novelty_share]).first()
+    novel = stored(models.novelty(test, trees, settings.novelty_sample).select(F.lit("all").alias("g"), "novelty"), "novel")
+    bound = exact_quantiles(novel, "g", "novelty", [settings.novelty_share]).first()
     model = Model(settings, Grove.of(served_rows), folds, [[tuple(map(np.array, c)) for c in cs] for cs in curves], attribution.Paths([], np.zeros(0), width), {}, trees, bound["quantiles"][0] if bound else 1.0, names)
-    told = scored_by(test, model.blind).withColumns({"y_pred": argmax(F.col("proba")), "p_severe": F.get("proba", F.lit(0)) + F.get("proba", F.lit(1))}).checkpoint()
+    told = scored_by(test, model.blind).withColumns({"y_pred": argmax(F.col("proba")), "p_severe": F.get("proba", F.lit(0)) + F.get("proba", F.lit(1))})
+    told = stored(told.drop("x"), "told")
     thresholds = fairness.opportunity_thresholds(told, label="y")
     accuracy = told.agg(F.avg((F.col("y_pred") == F.col("y")).cast("double")).alias("a")).first()["a"]
 
@@ -213,7 +224,7 @@ def load(spark: SparkSession, root: str) -> Model:
     return Model(settings, Grove.of(by["served"]), [Grove.of(by[f"fold{k}"]) for k in range(settings.folds)], curves, found, thresholds, trees, told["novel"], told["names"])
 
 
-def scored_by(rows: DataFrame, score, at_once: int = 1024) -> DataFrame:
+def scored_by(rows: DataFrame, score, at_once: int = 5000) -> DataFrame:
     """Adds ``proba`` by a function of [rows, features]; every ``x`` must be whole."""
     import pyarrow as pa
 
@@ -252,7 +263,7 @@ class Triage(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     @keyword_only
     def __init__(self, root: str | None = None, rowsAtOnce: int | None = None):
         super().__init__()
-        self._setDefault(rowsAtOnce=512)
+        self._setDefault(rowsAtOnce=5000)
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
         self._model: Model | None = None
 

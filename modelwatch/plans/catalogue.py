@@ -15,6 +15,7 @@ from modelwatch.plans import evidence, learned
 from modelwatch.plans.carriers import CODES, LOGS, SCORED, logs, r, scored, table
 from modelwatch.sources import logs as log_source
 from modelwatch.sources import synth
+from modelwatch.sources.shared import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -141,7 +142,7 @@ _PROBES = "probes AS (SELECT p_partkey AS probe, b AS band, s AS sex, CAST((p_si
 
 @_query(f"WITH {_PROBES} SELECT {r('avg(CAST(f.y_pred <> m.y_pred AS DOUBLE))')} AS flip_rate, {r('avg(abs(f.y_pred - m.y_pred))')} AS mean_delta, count(*) AS n FROM probes f JOIN probes m USING (probe, band) WHERE f.sex = 'F' AND m.sex = 'M'")
 def sex_flips(spark, d):
-    probes = table(spark, d, "part").select(F.col("p_partkey").alias("probe"), "p_size", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("band")).withColumn("sex", F.explode(F.array(F.lit("F"), F.lit("M"))))
+    probes = spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").select(F.col("p_partkey").alias("probe"), "p_size", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("band")).withColumn("sex", F.explode(F.array(F.lit("F"), F.lit("M"))))
     moved = F.when((F.col("sex") == "F") & (F.col("probe") % 10 == 0), 1).otherwise(0)
     rows = probes.withColumn("y_pred", ((F.col("p_size") + F.col("probe") * 3 + F.col("band") + moved) % 5).cast("int"))
     return fairness.sex_flips(rows, ["probe", "band"])

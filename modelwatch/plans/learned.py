@@ -9,17 +9,18 @@ from modelwatch.functions.numbers import rounded
 from modelwatch.functions.quantiles import exact_quantiles
 from modelwatch.operators import attack, attribution, contracts, explain, models, scoring, textfeat
 from modelwatch.plans.carriers import CODES, LOGS, table
-from modelwatch.sources.shared import checkpoints, folder
+from modelwatch.sources.shared import checkpoints, folder, spread, stored
 from modelwatch.streaming import labels, monitor
 
 _FLAGS = 8
+_FREQUENT = 100_000  # events of a case whose stream is dealt into parts
 
 
 def _cases(spark: SparkSession, d: str) -> DataFrame:
     """(id, x, y) of parts: flags from their numbers, a count, a length, ages and sex; the class follows from the flags."""
     k = F.col("p_partkey")
     flags = [(F.pmod(F.xxhash64(F.lit(i), k), F.lit(3)) == 0).cast("double") for i in range(_FLAGS)]
-    df = table(spark, d, "part").select(k.alias("id"), F.array(*flags).alias("f"), (F.col("p_size") / 50.0).alias("len"), F.pmod(k, F.lit(4)).alias("age"), F.pmod(k, F.lit(2)).cast("double").alias("sex"))
+    df = spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey", "p_size").select(k.alias("id"), F.array(*flags).alias("f"), (F.col("p_size") / 50.0).alias("len"), F.pmod(k, F.lit(4)).alias("age"), F.pmod(k, F.lit(2)).cast("double").alias("sex"))
     total = F.aggregate("f", F.lit(0.0), lambda s, v: s + v)
     ages = [(F.col("age") == i).cast("double") for i in range(4)]
     x = F.concat("f", F.array(F.least(total, F.lit(6.0)) / 6, F.least("len", F.lit(1.0)), *ages, F.col("sex")))
@@ -39,7 +40,6 @@ def model_predictions(spark, d):
 
 def calibrated_predictions(spark, d):
     rows = _cases(spark, d)
-    checkpoints(spark)
     calibrated = models.isotonic(rows, lambda r: models.forest(r, trees=5, depth=5)[0], "id")
     return models.predict(rows, calibrated).select("id", "y", "y_pred", "confidence")
 
@@ -86,7 +86,7 @@ def novelty(spark, d):
     rows = _cases(spark, d)
     held = F.pmod(F.xxhash64(F.lit("held"), "id"), F.lit(4)) == 0
     trees = models.isolation_trees(rows.where(~held), "id")
-    scored = models.novelty(rows, trees)
+    scored = stored(models.novelty(rows, trees), "novelty")
     bound = exact_quantiles(scored.where(held).select(F.lit("all").alias("g"), "novelty"), "g", "novelty", [0.99]).first()
     out = models.out_of_distribution(scored, textfeat.vector_valid(F.col("x"), _FLAGS), bound["quantiles"][0] if bound else 1.0)
     return out.select("id", rounded(F.col("novelty"), 6).alias("novelty"), "ood")
@@ -140,7 +140,8 @@ def _balances(spark, d):
     balance = F.least(F.greatest((F.col("c_acctbal") + 1000) / 11000.0, F.lit(0.0)), F.lit(1.0))
     band = F.least(F.floor(balance * 5), F.lit(4)).cast("int")
     y = F.when(F.col("c_nationkey") % 6 == 0, F.greatest(band - 1, F.lit(0))).otherwise(band)
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.array(balance, F.col("c_nationkey") / 24.0, F.pmod("c_custkey", F.lit(100)) / 99.0).alias("x"), y.alias("y"))
+    customers = spread(table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), "c_custkey", "c_nationkey", "c_acctbal")
+    return customers.select(F.col("c_custkey").alias("id"), F.array(balance, F.col("c_nationkey") / 24.0, F.pmod("c_custkey", F.lit(100)) / 99.0).alias("x"), y.alias("y"))
 
 
 def boundary_attack(spark, d):
@@ -153,9 +154,7 @@ def boundary_attack(spark, d):
 def robustness(spark, d):
     """(model, accuracy, robust_accuracy, flipped, mean_distance) of a forest, and of one that has learned from the points that flipped the first."""
     rows = _balances(spark, d)
-    first = attack.attacked(rows, _grove(spark, rows).probabilities, "id")
-    checkpoints(spark)
-    first = first.checkpoint()
+    first = stored(attack.attacked(rows, _grove(spark, rows).probabilities, "id"), "attacked")
     more = attack.hardened_rows(first, "id")
     second = attack.attacked(rows, _grove(spark, more).probabilities, "id")
     return attack.robust_accuracy(first).withColumn("model", F.lit("baseline")).unionByName(attack.robust_accuracy(second).withColumn("model", F.lit("hardened")))
@@ -200,7 +199,9 @@ def stream_labels(spark, d):
     rows = stream.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("case_id"), "event_type", "ts")
     log = rows.where("seq % 3 <> 0").withColumnRenamed("event_type", "pred_code")
     truth = rows.where("seq % 3 = 0").withColumn("label_code", F.when(F.col("seq") % 7 != 0, F.col("event_type")))
-    monitor.each_batch(labels.labelled_facts(log, truth, CODES), lambda b: b, f"{out}/facts", f"{out}/progress").awaitTermination()
+    users = table(spark, d, "events").where("user_id is not null").groupBy(F.col("user_id").cast("string").alias("u")).count()
+    frequent = [r["u"] for r in users.where(F.col("count") > _FREQUENT).select("u").collect()]  # a case for _FREQUENT events at most
+    monitor.each_batch(labels.labelled_facts(log, truth, CODES, frequent=frequent), lambda b: b, f"{out}/facts", f"{out}/progress").awaitTermination()
     return labels.current(spark.read.schema(labels.FACTS).parquet(f"{out}/facts"))
 
 

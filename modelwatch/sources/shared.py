@@ -1,4 +1,4 @@
-"""The folder that the driver and all executors share, and files in it that appear whole or not at all."""
+"""The folder that the driver and all executors share, files in it that appear whole or not at all, and tables in it."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -29,6 +29,23 @@ def checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(folder(spark, "checkpoints"))
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table in the shared folder, worked out once; ``checkpoint()`` works rows out twice that no shuffle keeps."""
+    path = folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def spread(rows: DataFrame, *keys: str, each: int = 32_768) -> DataFrame:
+    """``rows`` dealt by a hash of ``keys`` into partitions of about ``each``, each in the order of ``keys``.
+
+    A file is read by as few tasks as it has row groups; models and Python work on narrow
+    rows need more. The rows are counted first. Tables of up to ``each`` rows stay as they are.
+    """
+    parts = -(-rows.count() // each)
+    return rows if parts < 2 else rows.repartition(parts, *keys).sortWithinPartitions(*keys)
+
+
 def _system(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
