@@ -869,7 +869,8 @@ _ATTR = "attr AS (SELECT l_orderkey AS row_id, 'f' || CAST(l_linenumber AS VARCH
 
 
 def _attributions(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("row_id"), F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("feature"))
+    lines = spread(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax"), "l_orderkey", each=1 << 18)  # one shuffle serves all that goes by order
+    li = lines.groupBy(F.col("l_orderkey").alias("row_id"), F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("feature"))
     return li.agg(F.count(F.lit(1)).alias("n"), F.first(F.col("l_discount") - 0.05).alias("a"), F.first(F.col("l_tax") - 0.04).alias("b")).where("n = 1").drop("n")
 
 

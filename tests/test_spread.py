@@ -57,3 +57,12 @@ def test_attack_in_other_batches(spark):
     score = lambda p: np.column_stack([p[:, 0] <= 0.5, p[:, 0] > 0.5]).astype(float)
     one, two = (sorted(map(str, attack.attacked(df, score, "id", at_once=n).collect())) for n in (7, 1024))
     assert one == two
+
+
+def test_agreement_has_small_tasks(spark, tmp_path):
+    li = spark.range(600_000).select((F.col("id") / 4).cast("long").alias("l_orderkey"), (F.col("id") % 4).alias("l_linenumber"), (F.col("id") % 11 / 100).alias("l_discount"), (F.col("id") % 9 / 100).alias("l_tax"))
+    li.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    sizes = [r[0] for r in catalogue._attributions(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(sizes) == 600_000 and len(sizes) == 3
+    plan = catalogue.explanation_agreement(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
