@@ -316,6 +316,17 @@ def mixed(labelled: DataFrame) -> DataFrame:
     return labelled.join(keys, "key", "left_semi")
 
 
+def still_open(labelled: DataFrame, representatives: DataFrame, texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Numbers and sketches (rep, n_shingles, sketch), and texts, of the documents in ``labelled``.
+
+    Later steps join these again and again, and each such join shuffles its table whole; of
+    documents whose buckets are all settled they ask nothing more.
+    """
+    reps = scratch.save(labelled.select("rep").distinct(), "open")
+    sketches = scratch.save(representatives.select("rep", "n_shingles", "sketch").join(reps, "rep", "left_semi"), "open_reps")
+    return sketches, scratch.save(texts.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), "open_texts")
+
+
 def star_rounds(labelled: DataFrame, representatives: DataFrame, texts: DataFrame, scratch: Scratch, width: int, rounds: int) -> tuple[DataFrame, list[DataFrame]]:
     """``labelled`` (key, rep, comp) after more rounds of stars, and the links (a, b) of each.
 
@@ -692,8 +703,11 @@ def classified(documents: DataFrame, width: int) -> DataFrame:
     labels = scratch.save(roots(first), "roots")
     labelled = scratch.save(members.join(labels.select(F.col("id").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("comp")), "labelled")
     labelled = scratch.save(mixed(labelled), "mixed")
-    labelled, more = star_rounds(labelled, reps, texts, scratch, width, ROUNDS)
-    second = scratch.save(cross_links(labelled, reps, texts, scratch, width), "second")
+    open_reps, open_texts = still_open(labelled, reps, texts, scratch)
+    for name in ("pivots", "members", "best", "labelled", "texts"):
+        scratch.drop(name)
+    labelled, more = star_rounds(labelled, open_reps, open_texts, scratch, width, ROUNDS)
+    second = scratch.save(cross_links(labelled, open_reps, open_texts, scratch, width), "second")
     final = components(reduce(DataFrame.unionByName, more, first.unionByName(second))).withColumnRenamed("id", "rep")
 
     linked = scratch.save(reps.select("digest", "rep", "least").join(final, "rep").select("digest", "root", "least"), "linked")

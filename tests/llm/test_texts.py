@@ -85,6 +85,26 @@ def test_rows_that_share_an_id_link_nothing_by_it(rows):
     assert sorted((r["doc_id"], r["text"]) for r in minhash.deduplicated(four).collect()) == [(0, x), (1, y)]
 
 
+def test_settled_documents_are_not_joined_again(rows, monkeypatch):
+    """Texts and sketches of documents whose buckets the first stars settled go into no later step."""
+    pairs = [f"{' '.join(f'p{i}w{k}' for k in range(60))} {end}" for i in range(20) for end in "xy"]
+    texts, asked = pairs + _template(3, 40), []
+
+    def seen(step):
+        def run(labelled, representatives, own, *rest):
+            asked.append((labelled.select("rep").distinct().count(), representatives.count(), own.count()))
+            return step(labelled, representatives, own, *rest)
+
+        return run
+
+    for name in ("star_rounds", "cross_links"):
+        monkeypatch.setattr(minhash, name, seen(getattr(minhash, name)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(_frame(rows, texts)).collect()}
+    assert got == brute.components(list(enumerate(texts)))
+    (reps, sketches, own), (later, *_) = asked
+    assert 0 < later <= reps == sketches == own <= 40
+
+
 def _template(seed, m, content=48, size=300):
     """Pages that share most of their words, so that no two are linked but for a few near copies."""
     rng = random.Random(seed)
