@@ -115,12 +115,18 @@ def cross_validated(rows: DataFrame, train: Callable[[DataFrame], Scorer], key:
 
 
 def sex_blind(scorer: Scorer, key: str) -> Scorer:
-    """Mean of the probabilities with the last entry of ``x`` at 0 and at 1. ``key`` must be unique."""
+    """Mean of the probabilities with the last entry of ``x`` at 0 and at 1.
+
+    Every row is answered by its own ``x``, also where ``key`` repeats, and scored twice where
+    it lies: nothing is shuffled, and no side of a join can be sent to all. Rows without
+    ``key`` take no part.
+    """
 
     def scored(df: DataFrame) -> DataFrame:
-        both = df.select(key, "x").withColumn("_s", F.explode(F.array(F.lit(0.0), F.lit(1.0)))).withColumn("x", F.concat(F.slice("x", F.lit(1), F.size("x") - 1), F.array("_s")))
-        once = scorer(both).groupBy(key).agg(F.min_by("proba", "_s").alias("_a"), F.max_by("proba", "_s").alias("_b"))
-        return df.join(once.select(key, F.zip_with("_a", "_b", lambda a, b: (a + b) / 2).alias("proba")), key)
+        out = df.where(F.col(key).isNotNull()).withColumn("_x", F.col("x"))
+        for value, name in ((0.0, "_a"), (1.0, "_b")):
+            out = scorer(out.withColumn("x", F.concat(F.slice("_x", F.lit(1), F.size("_x") - 1), F.array(F.lit(value))))).withColumnRenamed("proba", name)
+        return out.withColumn("x", F.col("_x")).withColumn("proba", F.zip_with("_a", "_b", lambda a, b: (a + b) / 2)).drop("_x", "_a", "_b")
 
     return scored
 

@@ -47,6 +47,17 @@ def test_cells_change_nothing(spark):
     assert not large.numbered and np.array_equal(large.of(x, grove._descended), grove._descended(x))
 
 
+def test_blind_scores_stay_where_the_rows_are(spark, tmp_path):
+    rows = [(1, [0.5, 1.0]), (1, [0.25, 0.0]), (2, [1.0, 0.0]), (None, [1.0, 1.0])]
+    spark.createDataFrame(rows, "id long, x array<double>").write.parquet(f"{tmp_path}/rows")
+    df = spark.read.parquet(f"{tmp_path}/rows")
+    scorer = lambda d: d.withColumn("proba", F.array(F.col("x")[0] * F.col("x")[1], 1 - F.col("x")[0] * F.col("x")[1]))
+    out = models.sex_blind(scorer, "id")(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert sorted((r["id"], r["x"], r["proba"]) for r in out.collect()) == sorted((i, x, [x[0] / 2, 1 - x[0] / 2]) for i, x in rows if i is not None)
+
+
 def test_trees_of_repeated_keys_are_whole(spark):
     df = spark.range(3000).select(F.lit(7).alias("id"), F.array(F.col("id").cast("double")).alias("x"))
     assert [len(x) for x in models.tree_rows(df, "id", 3, 64, 11)] == [64] * 3
