@@ -320,11 +320,12 @@ def still_open(labelled: DataFrame, representatives: DataFrame, texts: DataFrame
     """Numbers and sketches (rep, n_shingles, sketch), and texts, of the documents in ``labelled``.
 
     Later steps join these again and again, and each such join shuffles its table whole; of
-    documents whose buckets are all settled they ask nothing more.
+    documents whose buckets are all settled they ask nothing more. Texts are not broadcast,
+    however small their table is on disk: near copies unpack to many times that.
     """
     reps = scratch.save(labelled.select("rep").distinct(), "open")
     sketches = scratch.save(representatives.select("rep", "n_shingles", "sketch").join(reps, "rep", "left_semi"), "open_reps")
-    return sketches, scratch.save(texts.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), "open_texts")
+    return sketches, scratch.save(texts.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), "open_texts").hint("merge")
 
 
 def star_rounds(labelled: DataFrame, representatives: DataFrame, texts: DataFrame, scratch: Scratch, width: int, rounds: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -699,7 +700,7 @@ def classified(documents: DataFrame, width: int) -> DataFrame:
 
     stars = members.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
     best = scratch.save(_estimated(stars, sketch).groupBy("a").agg(F.max(F.struct("score", (-F.col("b")).alias("less"))).alias("m")).select("a", (-F.col("m.less")).alias("b")), "best")
-    first = scratch.save(verified(best, texts, width), "first")
+    first = scratch.save(verified(best, texts.hint("merge"), width), "first")
     labels = scratch.save(roots(first), "roots")
     labelled = scratch.save(members.join(labels.select(F.col("id").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("comp")), "labelled")
     labelled = scratch.save(mixed(labelled), "mixed")
