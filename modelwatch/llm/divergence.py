@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from modelwatch.llm.shared import Scratch, arrow_schema, plain, slices, trim
 
-LEAVES = 1 << 18  # counters of a task's tries, and a slice's more
+LEAVES = 1 << 19  # counters of a task's tries, and a slice's more
 CHUNK = 1 << 18  # cells, terms times sources, of which a walk computes at a time
+SHORT = 64  # first bytes of terms that are compared with all terms at once
 LONG = 1 << 20  # bytes of a text that are split into terms at a time
 UNIT, LEAST, FIRST = 1_000_000_000, 3, 200  # of a share; documents of a kept term; ranks of terms
 
@@ -77,20 +78,69 @@ class Trie:
             self.leaves += 1
         return node[2]
 
+    def grow(self, terms: list[bytes]) -> None:
+        """Adds distinct ``terms`` in byte order to an empty trie, so that their leaves have the numbers 0, 1, ...
+
+        Each term leaves the path of the one before where the two differ; nothing is looked
+        up from the root.
+        """
+        path, ends, before = [self.root], [0], b""
+        for number, (term, same) in enumerate(zip(terms, prefixes(terms), strict=True)):
+            below = None
+            while ends[-1] > same:
+                below = path.pop()
+                ends.pop()
+            node, at = path[-1], ends[-1]
+            if at < same:  # the edge parts where the two differ
+                node[1][before[at]] = node = [before[at:same], {before[same]: below}, -1]
+                below[0] = below[0][same - at :]
+                path.append(node)
+                ends.append(same)
+            if same == len(term):  # the empty term
+                node[2] = number
+            else:
+                if node[1] is None:
+                    node[1] = {}
+                node[1][term[same]] = leaf = [term[same:], None, number]
+                path.append(leaf)
+                ends.append(len(term))
+            before = term
+        self.leaves = len(terms)
+
     def walk(self) -> tuple[list[bytes], list[int]]:
         """Terms and numbers of all leaves in byte order."""
         terms, numbers, stack = [], [], [(b"", self.root)]
         while stack:
-            before, node = stack.pop()
-            term = before + node[0]
-            if node[2] >= 0:
+            before, (label, children, number) = stack.pop()
+            term = before + label
+            if number >= 0:
                 terms.append(term)
-                numbers.append(node[2])
-            if node[1]:
-                stack += [(term, node[1][b]) for b in sorted(node[1], reverse=True)]
+                numbers.append(number)
+            if children:
+                stack += [(term, children[b]) for b in sorted(children, reverse=True)]
         return terms, numbers
 
 
+def prefixes(terms: list[bytes]) -> list[int]:
+    """How many bytes each term begins with that the one before it begins with as well."""
+    if not terms:
+        return []
+    size = np.fromiter(map(len, terms), np.int64, len(terms))
+    data, start = np.frombuffer(b"".join(terms), np.uint8), np.cumsum(size) - size
+    same, at, n = np.zeros(len(terms), np.int64), np.arange(1, len(terms)), 0
+    most = np.minimum(size[1:], size[:-1])
+    while n < SHORT and len(at):
+        at = at[most[at - 1] > n]
+        at = at[data[start[at] + n] == data[start[at - 1] + n]]
+        same[at] += 1
+        n += 1
+    for i in at.tolist():  # very long terms, from where they are still equal
+        m = most[i - 1]
+        differ = data[start[i] + n : start[i] + m] != data[start[i - 1] + n : start[i - 1] + m]
+        same[i] = n + int(differ.argmax()) if differ.any() else m
+    return same.tolist()
+
+
 def pieces(text: bytes):
     """``text`` with A-Z lower-cased, in pieces of about LONG bytes that part no term."""
     text, at = text.translate(_LOWER), 0
@@ -130,18 +180,17 @@ def counted(documents: DataFrame, groups: dict[tuple[str, str], int]) -> DataFra
 
         def walked_trie(lang: str):
             """A trie of the language's terms, its counters by leaf, and its walk as rows."""
-            trie = Trie()
-            number = {term: trie.leaf(term) for term in holders[lang]}
+            trie, held = Trie(), holders[lang]
+            trie.grow(sorted(held))
+            terms, leaves = trie.walk()
+            number = dict(zip(terms, leaves, strict=True))
             at, gs, ns = [], [], []
             for source, counts in found[lang].items():
-                at.append(np.fromiter((number[t] for t in counts), np.int64, len(counts)))
+                at.append(np.fromiter(map(number.__getitem__, counts), np.int64, len(counts)))
                 ns.append(np.fromiter(counts.values(), np.int64, len(counts)))
                 gs.append(np.full(len(counts), groups[lang, source], np.int64))
-            seen = np.fromiter(holders[lang].values(), np.int64, len(number))
-            terms, leaves = trie.walk()
-            place = np.empty(len(leaves), np.int64)
-            place[leaves] = np.arange(len(leaves))
-            return _rows(pa.array([lang] * len(terms), pa.string()), pa.array(terms, pa.binary()), place[np.concatenate(at)], np.concatenate(gs), np.concatenate(ns), seen[leaves])
+            seen = np.fromiter(map(held.__getitem__, terms), np.int64, len(terms))
+            return _rows(pa.array([lang] * len(terms), pa.string()), pa.array(terms, pa.binary()), np.concatenate(at), np.concatenate(gs), np.concatenate(ns), seen)
 
         def flush():
             for lang in list(holders):
