@@ -173,19 +173,31 @@ def bands(representatives: DataFrame) -> DataFrame:
 # -- verification -----------------------------------------------------------------------
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough.
+def dealt_roles(pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(doc_id, role) of the pairs' members and centres, with the copy of the centre that a member meets.
 
-    b's text meets those of its partners; with more than FOLLOWERS of these it is sent
-    once for so many each, so no task gets all of them.
+    Only centres of more than one copy are looked up, and these are fewer than one in
+    FOLLOWERS of the pairs; so no pair is shuffled, and as a table roles are read in as many
+    tasks as their rows need and not in one for each shuffle partition.
     """
-    counts = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    counts = checkpointed(counts.select("b", F.ceil(F.col("n") / FOLLOWERS).cast("int").alias("parts")))
-    member = F.struct(F.col("b"), F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("member"))
+    counts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / FOLLOWERS).cast("int").alias("parts"))
+    counts = scratch.save(counts, f"{name}_centres")
+    member = F.struct(F.col("b"), F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), F.lit(True).alias("member"))
     center = F.struct(F.col("b"), F.col("part"), F.lit(False).alias("member"))
-    roles = pairs.join(counts, "b").select(F.col("a").alias("doc_id"), member.alias("role"))
+    roles = pairs.join(F.broadcast(counts.where("parts > 1")), "b", "left").select(F.col("a").alias("doc_id"), member.alias("role"))
     roles = roles.unionByName(counts.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.col("b").alias("doc_id"), center.alias("role")))
-    placed = texts.join(checkpointed(roles), "doc_id").select("role.b", "role.part", "role.member", "doc_id", "text")
+    return scratch.save(roles, f"{name}_roles")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, scratch: Scratch | None = None, name: str = "verified") -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough.
+
+    b's text meets those of its partners; with more than FOLLOWERS of these it is sent
+    once for so many each, so no task gets all of them. ``name`` is that of tables in
+    ``scratch``.
+    """
+    roles = dealt_roles(pairs, scratch or Scratch(pairs.sparkSession), name)
+    placed = texts.join(roles, "doc_id").select("role.b", "role.part", "role.member", "doc_id", "text")
     placed = placed.repartition("b", "part").sortWithinPartitions("b", "part", "member")
     schema = arrow_schema("a long, b long")
 
@@ -339,12 +351,12 @@ def star_rounds(labelled: DataFrame, representatives: DataFrame, texts: DataFram
     found = []
     for t in range(rounds):
         centers = labelled.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(t), "rep").alias("h"), "rep", "comp")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "c")
-        pairs = labelled.join(centers, "key").where("comp <> c.comp").select(F.col("rep").alias("a"), F.col("c.rep").alias("b")).distinct()
+        pairs = _distinct(labelled.join(centers, "key").where("comp <> c.comp").select(F.col("rep").alias("a"), F.col("c.rep").alias("b")))
         sketch = representatives.select("rep", "n_shingles", "sketch")
         best = scratch.save(_estimated(pairs, sketch).groupBy("a").agg(F.max(F.struct("score", (-F.col("b")).alias("less"))).alias("m")).select("a", (-F.col("m.less")).alias("b")), f"best{t}")
-        links = scratch.save(verified(best, texts, width), f"links{t}")
+        links = scratch.save(verified(best, texts, width, scratch, f"links{t}"), f"links{t}")
         found.append(links)
-        comps = labelled.select("rep", "comp").distinct()
+        comps = labelled.groupBy("rep").agg(F.min("comp").alias("comp"))  # a document has one
         edges = links.join(comps.select(F.col("rep").alias("a"), F.col("comp").alias("x")), "a").join(comps.select(F.col("rep").alias("b"), F.col("comp").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
         merged = components(scratch.save(edges, f"edges{t}")).select(F.col("id").alias("comp"), "root")
         changed = scratch.save(labelled.join(merged, "comp", "left").select("key", "rep", F.coalesce("root", "comp").alias("comp")), f"labelled{t}")
@@ -429,11 +441,11 @@ def family_links(marked: DataFrame, representatives: DataFrame, texts: DataFrame
         most = -(-most // BLOCK)
         levels.append(scratch.save(node_unions(levels[-1]), f"nodes{len(levels)}"))
     for k in reversed(range(len(levels))):
-        asks = scratch.save(qualifying(asks, levels[k], texts, width), f"asked{k}")
+        asks = scratch.save(qualifying(asks, levels[k], texts, scratch, width, f"copies{k}"), f"asked{k}")
         if k:
             below = levels[k - 1].select("comp", F.col("g").alias("child"), F.floor(F.col("g") / BLOCK).alias("g"))
             asks = asks.join(below, ["comp", "g"]).select("rep", "comp", F.col("child").alias("g"))
-    return scratch.save(opened(asks, placed, texts, width), "opened")
+    return scratch.save(opened(asks, placed, texts, scratch, width), "opened")
 
 
 def _united(items, schema: pa.Schema):
@@ -494,16 +506,19 @@ def node_unions(below: DataFrame) -> DataFrame:
     return up.repartition("comp", "g").sortWithinPartitions("comp", "g").mapInArrow(lambda batches: _united(items(batches), schema), _NODE)
 
 
-def _parts(asks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The asked nodes with the numbers of their copies, (comp, g, part), and the asks with the copy that each meets."""
-    counts = checkpointed(asks.groupBy("comp", "g").agg(F.ceil(F.count(F.lit(1)) / ASKERS).cast("int").alias("parts")))
-    copies = counts.select("comp", "g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+def _parts(asks: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """The asked nodes with the numbers of their copies, (comp, g, part), and the asks with the copy that each meets.
+
+    Nodes are broadcast: there is about one for BLOCK documents or UNION shingles, and a copy for ASKERS asks.
+    """
+    counts = F.broadcast(scratch.save(asks.groupBy("comp", "g").agg(F.ceil(F.count(F.lit(1)) / ASKERS).cast("int").alias("parts")), name))
+    copies = F.broadcast(counts.select("comp", "g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
     return copies, asks.join(counts, ["comp", "g"]).select("rep", "comp", "g", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"))
 
 
-def qualifying(asks: DataFrame, nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+def qualifying(asks: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, width: int, name: str) -> DataFrame:
     """The asks (rep, comp, g) whose overlap with the node's union allows a link with a member."""
-    copies, placed = _parts(asks)
+    copies, placed = _parts(asks, scratch, name)
     told = texts.withColumnRenamed("doc_id", "rep").join(placed, "rep").select("comp", "g", "part", "rep", "text", *(F.lit(None).cast(t).alias(c) for c, t in (("low", "long"), ("high", "long"), ("shingles", "binary"))))
     owns = nodes.join(copies, ["comp", "g"]).select("comp", "g", "part", F.lit(None).cast("long").alias("rep"), F.lit(None).cast("string").alias("text"), "low", "high", "shingles")
     cells = owns.unionByName(told).repartition("comp", "g", "part").sortWithinPartitions("comp", "g", "part", F.col("rep").asc_nulls_first())
@@ -535,9 +550,9 @@ def qualifying(asks: DataFrame, nodes: DataFrame, texts: DataFrame, width: int)
     return cells.mapInArrow(run, "rep long, comp long, g long")
 
 
-def opened(asks: DataFrame, placed: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+def opened(asks: DataFrame, placed: DataFrame, texts: DataFrame, scratch: Scratch, width: int) -> DataFrame:
     """(a, b), a > b: a link of each document with a member of the leaf that it asks, if there is one."""
-    copies, askers = _parts(asks)
+    copies, askers = _parts(asks, scratch, "leaves")
     roles = askers.withColumn("member", F.lit(False)).unionByName(placed.join(copies, ["comp", "g"]).select("rep", "comp", "g", "part", F.lit(True).alias("member")))
     cells = texts.withColumnRenamed("doc_id", "rep").join(roles, "rep").select("comp", "g", "part", "member", "rep", "text")
     cells = cells.repartition("comp", "g", "part").sortWithinPartitions("comp", "g", "part", F.col("member").desc())
@@ -663,7 +678,7 @@ def shingle_links(crowd: DataFrame, representatives: DataFrame, texts: DataFrame
 
     full = met.join(representatives.select("rep", "n_shingles", "sketch"), "rep").repartition("cell").sortWithinPartitions("cell")
     pairs = scratch.save(full.mapInArrow(_by_cell(candidates, links), "a long, b long").distinct(), "pairs")
-    return verified(pairs, texts, width)
+    return verified(pairs, texts, width, scratch, "rare")
 
 
 # -- the operator -----------------------------------------------------------------------
@@ -698,9 +713,9 @@ def classified(documents: DataFrame, width: int) -> DataFrame:
     texts = scratch.save(docs.select(F.col("row").alias("doc_id"), "text").join(involved, "doc_id", "left_semi"), "texts")
     sketch = reps.select("rep", "n_shingles", "sketch")
 
-    stars = members.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+    stars = _distinct(members.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
     best = scratch.save(_estimated(stars, sketch).groupBy("a").agg(F.max(F.struct("score", (-F.col("b")).alias("less"))).alias("m")).select("a", (-F.col("m.less")).alias("b")), "best")
-    first = scratch.save(verified(best, texts.hint("merge"), width), "first")
+    first = scratch.save(verified(best, texts.hint("merge"), width, scratch, "first"), "first")
     labels = scratch.save(roots(first), "roots")
     labelled = scratch.save(members.join(labels.select(F.col("id").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("comp")), "labelled")
     labelled = scratch.save(mixed(labelled), "mixed")
@@ -738,6 +753,11 @@ def deduplicated(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     return whole.unionByName(documents.where(F.col("doc_id").isNull()))
 
 
+def _distinct(pairs: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b), dealt by a: so they lie as the join with a's sketch needs them."""
+    return pairs.repartition("a").distinct()
+
+
 def _estimated(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
     """(a, b, score) of the pairs whose sizes and estimate allow a link."""
     left = sketch.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n"), F.col("sketch").alias("x"))
